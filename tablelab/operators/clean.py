@@ -92,7 +92,8 @@ def fit_quasi_constant(df: DataFrame, threshold: float = 0.99) -> dict[str, floa
     if threshold < 0.51:
         rows = value_shares(df).filter(F.col("top_share") >= threshold).collect()
         return {r["column"]: r["top_share"] for r in rows}
-    hashes = {c: F.when(as_column(c).isNotNull(), F.xxhash64(as_column(c))) for c in columns}
+    # 52 bits, because the sketch works on doubles.
+    hashes = {c: F.when(as_column(c).isNotNull(), F.shiftrightunsigned(F.xxhash64(as_column(c)), 12)) for c in columns}
     middle = df.agg(*[F.percentile_approx(hashes[c], 0.5, 1000).alias(f"h{i}") for i, c in enumerate(columns)]).first()
     aggs = []
     for i, c in enumerate(columns):

@@ -373,9 +373,9 @@ def fill(
         beside = F.col(f"{typical[1]}.value") if e == typical[0] else F.lit(None).cast("double")
         parts = {
             "value": F.col(f"{e}.value"),
-            "unit": F.lit(unit),
-            "method": F.lit(method),
-            "species": F.lit(species),
+            "unit": F.lit(unit).cast("string"),
+            "method": F.lit(method).cast("string"),
+            "species": F.lit(species).cast("string"),
             "meas_or_est": origin(F.col(f"{e}.raw")),
             "db_source": F.lit(source),
             "primary_citation": citation(cite, code, beside),

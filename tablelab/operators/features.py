@@ -92,7 +92,7 @@ def clip(c: Column, lower: float | None = None, upper: float | None = None) -> C
     if lower is not None:
         out = F.when(c < float(lower), F.lit(float(lower)))
     if upper is not None:
-        out = (out or F).when(c > float(upper), F.lit(float(upper)))
+        out = (F if out is None else out).when(c > float(upper), F.lit(float(upper)))
     return c if out is None else out.otherwise(c)
 
 
@@ -120,7 +120,7 @@ def conditional(cases: Sequence[tuple[str, Any]], default: Any = None) -> Column
     """The value of the first listed condition that holds, else the default."""
     out = None
     for condition, value in cases:
-        out = (out or F).when(F.expr(condition), F.lit(value))
+        out = (F if out is None else out).when(F.expr(condition), F.lit(value))
     return F.lit(default) if out is None else out.otherwise(F.lit(default))
 
 

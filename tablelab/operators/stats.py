@@ -233,10 +233,13 @@ def group_sample(df: DataFrame, label: str, key: str, size: int, seed: int = 42)
 _BLOCK = 250
 
 
-def member_blocks(df: DataFrame, label: str, key: str, columns: Sequence[str], max_samples: int, seed: int = 42) -> DataFrame:
+def member_blocks(
+    df: DataFrame, label: str, key: str, columns: Sequence[str], max_samples: int, seed: int = 42,
+    fit: Mapping[str, tuple[float, float]] | None = None,
+) -> DataFrame:
     """Sampled members of each group in blocks of at most 250 scaled rows: (label, block, members)."""
     rows = complete_cases(df.select(label, key, *columns), columns)
-    fit = fit_scaling(rows, columns)
+    fit = fit or fit_scaling(rows, columns)
     z = rows.select(label, key, F.array(*[scaled(c, fit) for c in columns]).alias("z"))
     return (
         group_sample(z, label, key, max_samples, seed)
@@ -364,10 +367,14 @@ def pair_medians(pairs: DataFrame, moments: DataFrame) -> DataFrame:
 
 
 def pair_similarity(
-    df: DataFrame, label: str, key: str, columns: Sequence[str], max_samples: int = 5000, seed: int = 42, median: bool = False
+    df: DataFrame, label: str, key: str, columns: Sequence[str], max_samples: int = 5000, seed: int = 42,
+    median: bool = False, fit: Mapping[str, tuple[float, float]] | None = None,
 ) -> DataFrame:
-    """Euclidean 1/(1+d) and cosine similarity over the pairs of at most ``max_samples`` members per group."""
-    pairs = block_pairs(member_blocks(df, label, key, columns, max_samples, seed))
+    """Euclidean 1/(1+d) and cosine similarity over the pairs of at most ``max_samples`` members per group.
+
+    ``fit`` is the scaling of all rows where ``df`` repeats rows, as under overlapping labels.
+    """
+    pairs = block_pairs(member_blocks(df, label, key, columns, max_samples, seed, fit))
     moments = pair_moments(pairs)
     if not median:
         return moments
@@ -380,8 +387,7 @@ def similarity_comparison(df: DataFrame, labels: Sequence[str], key: str, column
     fit = fit_scaling(rows, columns)
     members = by_label(rows, labels)
     cosine = cosine_similarity(members, "label", columns, fit)
-    z = members.select("label", key, *[scaled(c, fit).alias(c) for c in columns])
-    euclid = pair_similarity(z, "label", key, columns, max_samples).filter(F.col("metric") == "euclidean")
+    euclid = pair_similarity(members, "label", key, columns, max_samples, fit=fit).filter(F.col("metric") == "euclidean")
     return cosine.join(
         euclid.select("label", F.col("mean").alias("euclidean_mean"), F.col("std").alias("euclidean_std")), "label", "left"
     )
