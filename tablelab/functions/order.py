@@ -90,13 +90,16 @@ def running_sums(
     by: Sequence[str] = (),
     descending: bool = False,
     rows_per_task: int = ROWS_PER_TASK,
+    spread: DataFrame | None = None,
 ) -> DataFrame:
     """Inclusive running sums ``cum_<c>`` and group totals ``total_<c>``.
 
     ``df`` holds one row per (by, order) value, already aggregated. Rows are bucketed by value; a
-    window runs inside each bucket and the sums of the buckets before it are added.
+    window runs inside each bucket and the sums of the buckets before it are added. ``spread`` may
+    name a cheaper frame with the order column (such as the rows before aggregation) to cut buckets
+    from; a bucket then holds at most as many values of a group as rows.
     """
-    edges = _value_edges(df, order, rows_per_task)
+    edges = _value_edges(df if spread is None else spread, order, rows_per_task)
     by = list(by)
     key = as_column(order)
     direction = key.desc() if descending else key.asc()
@@ -124,7 +127,7 @@ def running_sums(
         )
     )
     run = Window.partitionBy(*by, "_bucket").orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
-    return null_safe_join(bucketed, offsets, [*by, "_bucket"]).select(
+    return null_safe_join(bucketed, offsets, [*by, "_bucket"], small=SMALL_ROWS).select(
         *[as_column(c) for c in df.columns],
         *[(F.sum(c).over(run) + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in sums],
         *[F.col(f"total_{c}") for c in sums],
@@ -257,6 +260,14 @@ def stratified_rank(
         bits = min(20, max(0, math.ceil(math.log2(max(1, df.count()) / rows_per_task))))
     h = df.withColumn("_hash", row_hash(keys, seed, method))
     h = h.withColumn("_bucket", F.shiftright("_hash", HASH_BITS - bits).cast("int") if bits else F.lit(0))
+    inside = Window.partitionBy(label, "_bucket").orderBy("_hash", *keys)
+    if not bits:
+        whole = Window.partitionBy(label, "_bucket")
+        return h.select(
+            *[as_column(c) for c in df.columns],
+            (F.row_number().over(inside) - 1).cast("long").alias("_rank"),
+            F.count("*").over(whole).alias("_size"),
+        )
     before = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = (
         h.groupBy(label, "_bucket")
@@ -268,12 +279,9 @@ def stratified_rank(
             F.sum("_n").over(Window.partitionBy(label)).alias("_size"),
         )
     )
-    inside = Window.partitionBy(label, "_bucket").orderBy("_hash", *keys)
     ranked = h.withColumn("_in", F.row_number().over(inside) - 1)
-    return (
-        null_safe_join(ranked, sizes, [label, "_bucket"])
-        .withColumn("_rank", (F.col("_in") + F.col("_offset")).cast("long"))
-        .drop("_hash", "_bucket", "_in", "_offset")
+    return null_safe_join(ranked, sizes, [label, "_bucket"], small=SMALL_ROWS).select(
+        *[as_column(c) for c in df.columns], (F.col("_in") + F.col("_offset")).cast("long").alias("_rank"), "_size"
     )
 
 

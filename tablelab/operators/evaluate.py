@@ -107,9 +107,15 @@ def score_counts(df: DataFrame, by: Sequence[str] = (), label: str = LABEL, prob
     )
 
 
+def _running_scores(df: DataFrame, by: Sequence[str], label: str, probability: str, descending: bool) -> DataFrame:
+    scores = df.select(as_column(probability).cast("double").alias("score"))
+    counts = score_counts(df, by, label, probability)
+    return running_sums(counts, "score", ["pos", "neg"], by=by, descending=descending, spread=scores)
+
+
 def roc_auc(df: DataFrame, by: Sequence[str] = (), label: str = LABEL, probability: str = PROBABILITY) -> DataFrame:
     """Exact area with ties counted half; null when only one class is present."""
-    run = running_sums(score_counts(df, by, label, probability), "score", ["pos", "neg"], by=by)
+    run = _running_scores(df, by, label, probability, False)
     won = F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2)
     return run.groupBy(*by).agg(
         F.try_divide(
@@ -127,14 +133,14 @@ def roc_auc_multiclass(df: DataFrame, label: str, probabilities: str) -> DataFra
 
 def average_precision(df: DataFrame, by: Sequence[str] = (), label: str = LABEL, probability: str = PROBABILITY) -> DataFrame:
     """Sum over thresholds of the recall gained times the precision there."""
-    run = running_sums(score_counts(df, by, label, probability), "score", ["pos", "neg"], by=by, descending=True)
+    run = _running_scores(df, by, label, probability, True)
     step = ratio(F.col("pos"), F.col("total_pos")) * ratio(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg"))
     return run.groupBy(*by).agg(F.sum(step).alias("average_precision"))
 
 
 def roc_points(df: DataFrame, by: Sequence[str] = (), label: str = LABEL, probability: str = PROBABILITY) -> DataFrame:
     """(threshold, fpr, tpr) per distinct score, predicting 1 from the threshold upwards."""
-    run = running_sums(score_counts(df, by, label, probability), "score", ["pos", "neg"], by=by, descending=True)
+    run = _running_scores(df, by, label, probability, True)
     return run.select(
         *by,
         F.col("score").alias("threshold"),

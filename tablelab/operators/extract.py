@@ -2,8 +2,8 @@
 
 Lines carry the few lines after them, so every search is a test on one row; the first hit of each
 (document, endpoint) is a min aggregate that combines on the map side. Documents of one row need no
-shuffle before it; documents of many pages are cut into overlapping blocks of lines, so one very long
-document is spread over tasks like any other.
+shuffle before it; of documents of many pages only the first lines of each page are shuffled, in
+overlapping blocks of pages.
 """
 
 from __future__ import annotations
@@ -101,48 +101,56 @@ def lines_with_following(
 ) -> DataFrame:
     """Lines with ``following``: the next ``after`` lines of the document, across pages.
 
-    ``wanted`` is a pattern; only lines that match it are returned.
+    ``wanted`` is a pattern; only lines that match it are returned, and only pages that hold such a
+    line are taken apart. ``df`` has one row per document, or per page with ``page``.
     """
+    number = as_column(page).cast("int") if page else F.lit(1)
+    pages = df.select(as_column(doc).alias("doc_id"), number.alias("page"), as_column(text).alias("_t"))
+    rows = pages.filter(F.col("_t").rlike(wanted)) if wanted else pages
+    rows = rows.select("doc_id", "page", split_lines(F.col("_t")).alias("_lines"))
+    rows = rows.filter(F.size("_lines") > 0)
     if page is None:
-        rows = df.select(as_column(doc).alias("doc_id"), as_column(text).alias("_t"))
-        if wanted:
-            rows = rows.filter(F.col("_t").rlike(wanted))
-        lines = rows.select("doc_id", split_lines(F.col("_t")).alias("_lines"))
-        entry = F.transform(
-            F.sequence(F.lit(1), F.size("_lines")),
-            lambda i: F.struct(
-                F.lit(1).alias("page"),
-                i.alias("line_no"),
-                F.element_at("_lines", i).alias("text"),
-            ),
-        )
-        lines = lines.filter(F.size("_lines") > 0).select("doc_id", entry.alias("_all"))
-        hits = F.filter("_all", lambda x: x["text"].rlike(wanted)) if wanted else F.col("_all")
-        placed = F.transform(
-            hits,
-            lambda x: F.struct(
-                x["page"].alias("page"),
-                x["line_no"].alias("line_no"),
-                x["text"].alias("text"),
-                F.slice("_all", x["line_no"] + 1, F.lit(after)).alias("following"),
-            ),
-        )
-        return lines.select("doc_id", F.inline(placed))
+        rows = rows.withColumn("_next", F.array().cast("array<struct<page:int,line_no:int,text:string>>"))
+    else:
+        rows = null_safe_join(rows, _following_heads(pages, after), ["doc_id", "page"])
+    own = F.transform("_lines", lambda x, i: F.struct(F.col("page").alias("page"), (i + 1).alias("line_no"), x.alias("text")))
+    rows = rows.select("doc_id", own.alias("_own"), F.concat(own, "_next").alias("_all"))
+    hits = F.filter("_own", lambda x: x["text"].rlike(wanted)) if wanted else F.col("_own")
+    placed = F.transform(
+        hits,
+        lambda x: F.struct(
+            x["page"].alias("page"),
+            x["line_no"].alias("line_no"),
+            x["text"].alias("text"),
+            F.slice("_all", x["line_no"] + 1, F.lit(after)).alias("following"),
+        ),
+    )
+    return rows.select("doc_id", F.inline(placed))
 
-    lines = document_lines(df, doc, text, page)
-    sizes = lines.groupBy("doc_id", "page").agg(F.count("*").alias("_n"))
-    starts = running_sums(sizes, "page", ["_n"], by=["doc_id"]).select(
-        "doc_id", "page", (F.col("cum__n") - F.col("_n")).alias("_start")
+
+def _following_heads(pages: DataFrame, after: int) -> DataFrame:
+    """Per page the first ``after`` lines that come after it in its document.
+
+    Only the first lines of each page move. Pages are numbered along the document and cut into
+    blocks that overlap by ``after`` pages (every page with text has a line), so a document of very
+    many pages is spread over tasks.
+    """
+    heads = pages.select("doc_id", "page", F.slice(split_lines(F.col("_t")), 1, after).alias("_head")).filter(F.size("_head") > 0)
+    index = running_sums(
+        heads.groupBy("doc_id", "page").agg(F.count("*").alias("one")), "page", ["one"], by=["doc_id"], spread=heads
+    ).select("doc_id", "page", (F.col("cum_one") - 1).alias("_i"))
+    head = F.transform("_head", lambda x, i: F.struct(F.col("page").alias("page"), (i + 1).alias("line_no"), x.alias("text")))
+    placed = null_safe_join(heads.select("doc_id", "page", head.alias("_head")), index, ["doc_id", "page"])
+    block = F.floor(F.col("_i") / _BLOCK)
+    copies = F.when((F.col("_i") % _BLOCK < after) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
+    window = Window.partitionBy("doc_id", "_block").orderBy("_i").rowsBetween(1, after)
+    return (
+        placed.withColumn("_home", block)
+        .withColumn("_block", F.explode(copies))
+        .withColumn("_next", F.slice(F.flatten(F.collect_list("_head").over(window)), 1, after))
+        .filter(F.col("_block") == F.col("_home"))
+        .select("doc_id", "page", "_next")
     )
-    placed = null_safe_join(lines, starts, ["doc_id", "page"]).withColumn("_g", F.col("_start") + F.col("line_no") - 1)
-    own = F.floor(F.col("_g") / _BLOCK)
-    # The first lines of a block are also shown to the block before it.
-    copies = F.when((F.col("_g") % _BLOCK < after) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
-    blocked = placed.withColumn("_own", own).withColumn("_block", F.explode(copies))
-    window = Window.partitionBy("doc_id", "_block").orderBy("_g").rowsBetween(1, after)
-    seen = blocked.withColumn("following", F.collect_list(F.struct("page", "line_no", "text")).over(window))
-    out = seen.filter(F.col("_block") == F.col("_own")).select("doc_id", "page", "line_no", "text", "following")
-    return out.filter(F.col("text").rlike(wanted)) if wanted else out
 
 
 # --- one candidate per line and endpoint -------------------------------------------------------------

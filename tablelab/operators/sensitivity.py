@@ -62,7 +62,7 @@ def bootstrap_metrics(
         F.count_if((F.col("y") == 1) & (F.col("pred") == 1)).alias("hit"),
         F.count_if((F.col("y") == 0) & (F.col("pred") == 1)).alias("false"),
     )
-    run = running_sums(cells, "score", ["pos", "neg"], by=["replicate"])
+    run = running_sums(cells, "score", ["pos", "neg"], by=["replicate"], spread=df.select(p.alias("score")))
     won = F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2)
     per = run.groupBy("replicate").agg(
         F.sum("hit").alias("tp"),
@@ -272,11 +272,8 @@ def uncertainty(df: DataFrame, keys: Sequence[str], top: int = 100, probability:
     p = as_column(probability)
     rows = df.select(*keys, p.alias("_p"), F.abs(p - 0.5).alias("distance"))
     nearest = rows.orderBy("distance", *keys).limit(top).agg(F.avg("_p").alias("mean_probability"))
-    median = exact_quantiles(rows, ["distance"], [0.0, 0.5]).select(
-        F.col("q")[0].alias("min_uncertainty"), F.col("q")[1].alias("median_uncertainty")
-    )
-    # Two one-row tables side by side.
-    return nearest.withColumn("_one", F.lit(1)).join(median.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    least, median = exact_quantiles(rows, ["distance"], [0.0, 0.5]).first()["q"]
+    return nearest.select("mean_probability", F.lit(least).alias("min_uncertainty"), F.lit(median).alias("median_uncertainty"))
 
 
 # --- thresholds ----------------------------------------------------------------------------------------

@@ -36,6 +36,8 @@ def read_csv_tolerant(spark: SparkSession, path: str, schema: T.StructType, **op
         .option("header", True)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
+        # A pruned parser does not see surplus fields, so every field is parsed.
+        .option("columnPruning", False)
         .options(**options)
         .csv(path)
     )
