@@ -77,6 +77,13 @@ def flag(c: Column) -> Column:
     return F.coalesce(c.cast("int"), F.lit(0))
 
 
+# Fixed value: the characters that count as white space when text is stripped.
+WHITE_SPACE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: Column | str) -> Column:
     """Trim every kind of Unicode white space on both ends."""
-    return F.regexp_replace(as_column(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(as_column(c), F.lit(WHITE_SPACE))

@@ -22,6 +22,7 @@ from .nulls import as_column
 ROWS_PER_TASK = 500_000
 MAX_BUCKETS = 10_000
 SMALL_ROWS = 100_000
+DISTINCT_PER_GROUP = 1_500_000
 WHEN_TREE_LIMIT = 128
 
 
@@ -72,9 +73,9 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], small
     return left.join(renamed, on).drop(*[f"_r_{k}" for k in keys])
 
 
-def _value_edges(df: DataFrame, order: str, rows_per_task: int) -> list[float]:
+def _value_edges(df: DataFrame, order: str, rows_per_task: int, rows: int | None = None) -> list[float]:
     """Edges that cut the rows of ``df`` into buckets of about ``rows_per_task`` rows."""
-    rows = df.count()
+    rows = df.count() if rows is None or rows > rows_per_task else rows
     n = min(MAX_BUCKETS, math.ceil(rows / rows_per_task))
     if n <= 1:
         return []
@@ -91,15 +92,17 @@ def running_sums(
     descending: bool = False,
     rows_per_task: int = ROWS_PER_TASK,
     spread: DataFrame | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums ``cum_<c>`` and group totals ``total_<c>``.
 
     ``df`` holds one row per (by, order) value, already aggregated. Rows are bucketed by value; a
     window runs inside each bucket and the sums of the buckets before it are added. ``spread`` may
     name a cheaper frame with the order column (such as the rows before aggregation) to cut buckets
-    from; a bucket then holds at most as many values of a group as rows.
+    from; a bucket then holds at most as many values of a group as rows. ``rows`` may bound the values
+    of one group, which saves the count where they are few.
     """
-    edges = _value_edges(df if spread is None else spread, order, rows_per_task)
+    edges = _value_edges(df if spread is None else spread, order, rows_per_task, rows)
     by = list(by)
     key = as_column(order)
     direction = key.desc() if descending else key.asc()
@@ -139,35 +142,44 @@ def exact_quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    small: int = ROWS_PER_TASK,
+    small: int = DISTINCT_PER_GROUP,
     accuracy: int = 10_000,
 ) -> DataFrame:
     """Linear-interpolated quantiles of each column, one row per (by, column): ``q`` is the array.
 
-    Groups up to ``small`` rows use the exact ``percentile`` aggregate. Beyond it that aggregate
-    would gather every distinct value in one task, so the ranks are bracketed first.
+    The exact ``percentile`` aggregate keeps a count per distinct value. It serves the columns whose
+    distinct values, taken together, stay within about ``small`` in every group. For the others it
+    would gather them all in one task, so their ranks are bracketed first.
     """
     by = list(by)
     columns = list(columns)
     probs = [float(p) for p in probs]
-    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest <= small:
+    sizes = df.groupBy(*by).agg(*[F.approx_count_distinct(as_column(c)).alias(f"_d{i}") for i, c in enumerate(columns)])
+    most = sizes.agg(*[F.max(f"_d{i}").alias(f"_d{i}") for i in range(len(columns))]).first()
+    few: list[str] = []
+    held = 0
+    for n, c in sorted((most[f"_d{i}"] or 0, c) for i, c in enumerate(columns)):
+        held += n
+        if held <= small:
+            few.append(c)
+    many = [c for c in columns if c not in few]
+    parts = []
+    if few:
         wide = df.groupBy(*by).agg(
-            *[
-                F.percentile(as_column(c).cast("double"), F.lit(probs)).alias(f"_q{i}")
-                for i, c in enumerate(columns)
-            ]
+            *[F.percentile(as_column(c).cast("double"), F.lit(probs)).alias(f"_q{i}") for i, c in enumerate(few)]
         )
-        rows = [F.struct(F.lit(c).alias("column"), F.col(f"_q{i}").alias("q")) for i, c in enumerate(columns)]
-        return wide.select(*by, F.inline(F.array(*rows)))
-    return _bracketed_quantiles(df, columns, probs, by, accuracy)
+        rows = [F.struct(F.lit(c).alias("column"), F.col(f"_q{i}").alias("q")) for i, c in enumerate(few)]
+        parts.append(wide.select(*by, F.inline(F.array(*rows))))
+    if many:
+        parts.append(_bracketed_quantiles(df, many, probs, by, accuracy))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def _bracketed_quantiles(
     df: DataFrame, columns: list[str], probs: list[float], by: list[str], accuracy: int
 ) -> DataFrame:
     keys = [*by, "column"]
-    margin = 2.0 / accuracy
+    margin = 2.0 / accuracy  # twice the rank error of the sketch
     cells = F.array(
         *[F.struct(F.lit(c).alias("column"), as_column(c).cast("double").alias("value")) for c in columns]
     )
@@ -177,8 +189,8 @@ def _bracketed_quantiles(
     # One row per (by, column): counts and the value bracket around each wanted rank.
     bounds = long.groupBy(*keys).agg(
         F.count("value").alias("n"),
-        F.percentile_approx("value", lows, 4 * accuracy).alias("lo"),
-        F.percentile_approx("value", highs, 4 * accuracy).alias("hi"),
+        F.percentile_approx("value", lows, accuracy).alias("lo"),
+        F.percentile_approx("value", highs, accuracy).alias("hi"),
         F.min("value").alias("vmin"),
         F.max("value").alias("vmax"),
     )
@@ -198,36 +210,33 @@ def _bracketed_quantiles(
         ]).alias("brackets"),
     )
     bounds = _written_once(bounds)
+    largest = bounds.agg(F.max("n")).first()[0] or 0
     joined = null_safe_join(long, bounds, keys, small=SMALL_ROWS).withColumn("b", F.explode("brackets"))
-    joined = joined.select(*keys, "value", F.col("b.i").alias("i"), F.col("b.lo").alias("lo"), F.col("b.hi").alias("hi"))
-    below = joined.groupBy(*keys, "i").agg(F.count_if(F.col("value") < F.col("lo")).alias("below"))
+    # Values under the bracket are counted together as -inf, those above it do not matter.
+    value = F.when(F.col("value") < F.col("b.lo"), F.lit(float("-inf"))).otherwise(F.col("value"))
     inside = (
-        joined.filter((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi")))
+        joined.filter(F.col("value") <= F.col("b.hi"))
+        .select(*keys, F.col("b.i").alias("i"), F.col("b.rank").alias("rank"), value.alias("value"))
         .groupBy(*keys, "i", "value")
-        .agg(F.count("*").alias("n_value"))
-    )
-    running = running_sums(inside, "value", ["n_value"], by=[*keys, "i"])
-    targets = bounds.select(*keys, F.explode("brackets").alias("b")).select(
-        *keys, F.col("b.i").alias("i"), F.col("b.rank").alias("rank")
+        .agg(F.count("*").alias("n_value"), F.first("rank").alias("rank"))
     )
+    running = running_sums(inside, "value", ["n_value"], by=[*keys, "i"], rows=int(largest * 6 / accuracy) + 2)
     at = (
-        null_safe_join(null_safe_join(running, below, [*keys, "i"]), targets, [*keys, "i"])
-        .withColumn("last", F.col("below") + F.col("cum_n_value") - 1)
-        .withColumn("first", F.col("last") - F.col("n_value") + 1)
+        running.withColumn("last", F.col("cum_n_value") - 1)
+        .withColumn("first", F.col("cum_n_value") - F.col("n_value"))
         .groupBy(*keys, "i")
         .agg(
             F.max(F.when(F.floor("rank").between(F.col("first"), F.col("last")), F.col("value"))).alias("v_lo"),
             F.max(F.when(F.ceil("rank").between(F.col("first"), F.col("last")), F.col("value"))).alias("v_hi"),
             F.first("rank").alias("rank"),
         )
-        .withColumn(
-            "v",
-            F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("rank") - F.floor("rank")),
-        )
+        .withColumn("v", F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("rank") - F.floor("rank")))
     )
+    # The sketch's error bound keeps every rank inside its bracket; anything else must not pass as a result.
+    lost = F.coalesce(F.least("v_lo", "v_hi") == float("-inf"), F.lit(False)) | F.col("v_lo").isNull() | F.col("v_hi").isNull()
+    at = at.withColumn("v", F.when(lost, F.raise_error("a quantile fell outside its bracket").cast("double")).otherwise(F.col("v")))
     ordered = F.array_sort(F.collect_list(F.struct("i", "v")))
-    found = at.groupBy(*keys).agg(F.transform(ordered, lambda s: s["v"]).alias("q"))
-    return found
+    return at.groupBy(*keys).agg(F.transform(ordered, lambda s: s["v"]).alias("q"))
 
 
 def _written_once(small: DataFrame) -> DataFrame:

@@ -172,96 +172,101 @@ def number_and_code(tail: Column) -> tuple[Column, Column]:
     return first_number(plain), F.nullif(F.regexp_extract(rest, CODE, 1), F.lit(""))
 
 
-def _candidate(rank: int, value: Column, code: Column, page: Column, line: Column, raw: Column, nodata: Column) -> Column:
-    return F.struct(
-        F.lit(rank).alias("rank"),
-        F.col("page").alias("anchor_page"),
-        F.col("line_no").alias("anchor_line"),
-        value.cast("double").alias("value"),
-        code.cast("string").alias("qc"),
-        page.cast("int").alias("page"),
-        line.cast("int").alias("line"),
-        strip(raw).alias("raw"),
-        nodata.alias("nodata"),
-    )
+def _hits(endpoints: Sequence[Endpoint]) -> Column:
+    """Array of (endpoint, kind, tail) for every anchor the line holds; the tail lacks the anchor."""
+    text = F.col("text")
 
+    def hit(test: Column, name: str, kind: str, tail: Column) -> Column:
+        return F.when(test, F.struct(F.lit(name).alias("endpoint"), F.lit(kind).alias("kind"), tail.alias("tail")))
 
-def _same_line(anchor: str) -> list[Column]:
-    text = F.col("text")
-    tail = without_anchor(text, anchor)
-    value = first_number(tail)
-    empty = tail.rlike(r"^\s*-*\s*$")
-    hit = _candidate(0, value, F.lit(None), F.col("page"), F.col("line_no"), text, value.isNull())
-    return [F.when(text.rlike(anchor) & (value.isNotNull() | empty), hit)]
-
-
-def _next_line(anchor: str) -> list[Column]:
-    body = lambda x: strip(x["text"])
-    # A number starts the line, or its first word is a dash, or it holds nothing but dashes.
-    near = F.filter(
-        F.slice("following", 1, NEXT_LINES), lambda x: body(x).rlike(r"^(?:-?\d|-{1,3}(?:\s|$)|[- ]+$)")
-    )
-    found = F.get(near, F.lit(0))
-    line = strip(found["text"])
-    value = F.when(line.rlike(r"^-?\d"), first_number(line))
-    hit = _candidate(0, value, F.lit(None), found["page"], found["line_no"], line, value.isNull())
-    return [F.when(F.col("text").rlike(anchor) & (F.size(near) > 0), hit)]
+    cells = []
+    for e in endpoints:
+        if e.kind == "block":
+            fallback = e.fallback or e.anchor
+            cells += [hit(text.contains(e.anchor), e.name, "header", text), hit(text.contains(fallback), e.name, "fallback", text)]
+        elif e.kind in ("same_line", "coded_line"):
+            cells.append(hit(text.rlike(e.anchor), e.name, e.kind, without_anchor(text, e.anchor)))
+        elif e.kind == "next_line":
+            cells.append(hit(text.rlike(e.anchor), e.name, e.kind, text))
+        else:
+            raise ValueError(f"unknown endpoint kind: {e.kind}")
+    return F.array_compact(F.array(*cells))
 
 
-def _coded_line(anchor: str) -> list[Column]:
-    text = F.col("text")
-    value, code = number_and_code(without_anchor(text, anchor))
-    hit = _candidate(0, value, F.when(value.isNotNull(), code), F.col("page"), F.col("line_no"), text, value.isNull())
-    return [F.when(text.rlike(anchor), hit)]
+_BLOCK_VALUE = rf"({NUMBER})\s+([A-Z]{{1,3}}\d)\b"
 
 
-def _block(header: str, fallback: str) -> list[Column]:
-    """Ranks: 0 value under the header, 1 header without value, 2 value under the fallback, 3 no-data mark."""
-    text = F.col("text")
-    own = F.array(F.struct(F.col("page"), F.col("line_no"), text.alias("text")))
-    pattern = rf"({NUMBER})\s+([A-Z]{{1,3}}\d)\b"
-
-    def wanted(x: Column) -> Column:
-        t = x["text"]
-        value = F.nullif(F.regexp_extract(t, pattern, 1), F.lit("")).cast("double")
-        return (
-            ~t.contains("X 10")
-            & ~t.contains("Calculated")
-            & t.rlike(LEVEL_WORDS)
-            & F.coalesce(value.between(*BLOCK_RANGE), F.lit(False))
-        )
-
-    near = F.filter(F.concat(own, F.slice("following", 1, BLOCK_LINES - 1)), wanted)
-    found = F.get(near, F.lit(0))
-    value = F.regexp_extract(found["text"], pattern, 1).cast("double")
-    code = F.regexp_extract(found["text"], pattern, 2)
-    some = F.size(near) > 0
-
-    def hit(rank: int) -> Column:
-        return _candidate(rank, value, code, found["page"], found["line_no"], found["text"], F.lit(False))
-
-    nothing = F.lit(None)
-    blank = lambda rank, nodata: _candidate(
-        rank, nothing, nothing, F.col("page"), F.col("line_no"), text, F.lit(nodata)
+def _block_line(x: Column) -> Column:
+    """A line of a block that carries the value: a level word, and a number in range before a code."""
+    t = x["text"]
+    value = F.nullif(F.regexp_extract(t, _BLOCK_VALUE, 1), F.lit("")).cast("double")
+    return (
+        t.rlike(LEVEL_WORDS)
+        & ~t.contains("X 10")
+        & ~t.contains("Calculated")
+        & F.coalesce(value.between(*BLOCK_RANGE), F.lit(False))
     )
-    return [
-        F.when(text.contains(header) & some, hit(0)),
-        F.when(text.contains(header) & ~some, blank(1, False)),
-        F.when(text.contains(fallback) & some, hit(2)),
-        F.when(text.contains(fallback), blank(3, True)),
-    ]
 
 
-def _candidates(e: Endpoint) -> list[Column]:
-    if e.kind == "same_line":
-        return _same_line(e.anchor)
-    if e.kind == "next_line":
-        return _next_line(e.anchor)
-    if e.kind == "coded_line":
-        return _coded_line(e.anchor)
-    if e.kind == "block":
-        return _block(e.anchor, e.fallback or e.anchor)
-    raise ValueError(f"unknown endpoint kind: {e.kind}")
+def _next_value_line(x: Column) -> Column:
+    """A number starts the line, or its first word is a dash, or it holds nothing but dashes."""
+    return strip(x["text"]).rlike(r"^(?:-?\d|-{1,3}(?:\s|$)|[- ]+$)")
+
+
+def _records(hits: DataFrame) -> DataFrame:
+    """One ranked record per hit: 0 found, 1 block header without value, 2 found under a fallback.
+
+    ``mark`` is the place of a fallback anchor, which tells 'no data' when nothing is found.
+
+    Each stage is a projection of its own, so that a search is evaluated once per hit.
+    """
+    kind = F.col("kind")
+    block = kind.isin("header", "fallback")
+    own = F.array(F.struct(F.col("page"), F.col("line_no"), F.col("text")))
+    nearby = (
+        F.when(kind == "next_line", F.filter(F.slice("following", 1, NEXT_LINES), _next_value_line))
+        .when(block, F.filter(F.concat(own, F.slice("following", 1, BLOCK_LINES - 1)), _block_line))
+    )
+    code, plain_value = number_and_code(F.col("tail"))[1], first_number(F.col("tail"))
+    staged = hits.withColumn("near", F.get(nearby, F.lit(0)))
+    staged = staged.withColumn("spot", strip(F.coalesce(F.col("near.text"), F.col("text"))))
+    staged = staged.withColumn(
+        "value",
+        F.when(kind == "same_line", plain_value)
+        .when(kind == "coded_line", number_and_code(F.col("tail"))[0])
+        .when(kind == "next_line", F.when(F.col("spot").rlike(r"^-?\d"), first_number(F.col("spot"))))
+        .when(F.col("near").isNotNull(), F.regexp_extract("spot", _BLOCK_VALUE, 1).cast("double")),
+    )
+    has = F.col("value").isNotNull()
+    found = F.col("near").isNotNull()
+    staged = staged.withColumn(
+        "qc",
+        F.when((kind == "coded_line") & has, code).when(block & found, F.regexp_extract("spot", _BLOCK_VALUE, 2)),
+    )
+    empty = F.col("tail").rlike(r"^\s*-*\s*$")
+    rank = (
+        F.when(kind == "same_line", F.when(has | empty, 0))
+        .when(kind == "coded_line", 0)
+        .when(kind == "next_line", F.when(found, 0))
+        .when(kind == "header", F.when(found, 0).otherwise(1))
+        .otherwise(F.when(found, 2))
+    )
+    return staged.select(
+        "doc_id",
+        "endpoint",
+        F.struct(
+            rank.alias("rank"),
+            F.col("page").alias("anchor_page"),
+            F.col("line_no").alias("anchor_line"),
+            F.col("value"),
+            F.col("qc"),
+            F.coalesce("near.page", "page").cast("int").alias("page"),
+            F.coalesce("near.line_no", "line_no").cast("int").alias("line"),
+            F.col("spot").alias("raw"),
+            F.when(kind == "header", F.lit(False)).otherwise(~has).alias("nodata"),
+        ).alias("c"),
+        F.when(kind == "fallback", F.struct("page", "line_no", strip("text").alias("raw"))).alias("mark"),
+    )  # records without rank are ignored by the aggregate; a filter here would repeat the search
 
 
 def _wanted_pattern(endpoints: Sequence[Endpoint]) -> str:
@@ -275,26 +280,30 @@ def _wanted_pattern(endpoints: Sequence[Endpoint]) -> str:
 
 
 def extract(df: DataFrame, doc: str, text: str, endpoints: Sequence[Endpoint], page: str | None = None) -> DataFrame:
-    """One record per document and endpoint that occurs: value, qc, page, line, raw, nodata."""
+    """One record per document and endpoint that occurs: value, qc, page, line, raw, nodata.
+
+    ``df`` has one row per document, or per page with ``page``.
+    """
     lines = lines_with_following(df, doc, text, page, _wanted_pattern(endpoints))
-    cells = [
-        F.when(c.isNotNull(), F.struct(F.lit(e.name).alias("endpoint"), c.alias("c")))
-        for e in endpoints
-        for c in _candidates(e)
-    ]
-    found = lines.select("doc_id", F.inline(F.array_compact(F.array(*cells))))
+    hits = lines.select("doc_id", "page", "line_no", "text", "following", F.inline(_hits(endpoints)))
     rank = F.col("c.rank")
-    best = found.groupBy("doc_id", "endpoint").agg(
+    best = _records(hits).groupBy("doc_id", "endpoint").agg(
         F.min(F.when(rank == 0, F.col("c"))).alias("_found"),
-        F.max((rank == 1).cast("int")).alias("_header"),
+        F.count_if(rank == 1).alias("_headers"),
         F.min(F.when(rank == 2, F.col("c"))).alias("_second"),
-        F.min(F.when(rank == 3, F.col("c"))).alias("_nodata"),
+        F.min("mark").alias("_mark"),
     )
-    pick = F.coalesce(F.col("_found"), F.when(F.col("_header") == 0, F.col("_second")), F.col("_nodata"))
-    return (
-        best.select("doc_id", "endpoint", pick.alias("c"))
-        .filter(F.col("c").isNotNull())
-        .select("doc_id", "endpoint", *[F.col(f"c.{k}") for k in ("value", "qc", "page", "line", "raw", "nodata")])
+    best = best.withColumn("c", F.coalesce(F.col("_found"), F.when(F.col("_headers") == 0, F.col("_second"))))
+    mark = F.col("_mark")
+    return best.filter(F.col("c").isNotNull() | mark.isNotNull()).select(
+        "doc_id",
+        "endpoint",
+        "c.value",
+        "c.qc",
+        F.coalesce("c.page", mark["page"]).alias("page"),
+        F.coalesce("c.line", mark["line_no"]).alias("line"),
+        F.coalesce("c.raw", mark["raw"]).alias("raw"),
+        F.coalesce("c.nodata", F.lit(True)).alias("nodata"),
     )
 
 

@@ -17,6 +17,7 @@ from ..functions.groups import by_label
 from ..functions.hashing import row_hash, uniform
 from ..functions.nulls import as_column, ratio
 from ..functions.order import SMALL_ROWS, null_safe_join
+from ..session import checkpointed
 
 # --- correlation ----------------------------------------------------------------------------------
 
@@ -91,15 +92,20 @@ def correlation_by_label(df: DataFrame, columns: Sequence[str], labels: Sequence
 # --- scaling and PCA --------------------------------------------------------------------------------
 
 
-def fit_scaling(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """Mean and population std per column."""
+def _scaling(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict[str, tuple[float, float]]]:
     row = df.agg(
+        F.count("*").alias("n"),
         *[
             F.struct(F.avg(as_column(c).cast("double")), F.stddev_pop(as_column(c).cast("double"))).alias(f"c{i}")
             for i, c in enumerate(columns)
-        ]
+        ],
     ).first()
-    return {c: (row[f"c{i}"][0], row[f"c{i}"][1]) for i, c in enumerate(columns)}
+    return row["n"], {c: (row[f"c{i}"][0], row[f"c{i}"][1]) for i, c in enumerate(columns)}
+
+
+def fit_scaling(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Mean and population std per column."""
+    return _scaling(df, columns)[1]
 
 
 def scaled(column: str, fit: Mapping[str, tuple[float, float]]) -> Column:
@@ -151,10 +157,9 @@ def fit_pca(df: DataFrame, columns: Sequence[str], k: int = 5, min_rows: int = 1
     """PCA of the scaled complete rows, or None below ``min_rows``. Each component's largest loading is positive."""
     columns = list(columns)
     rows = complete_cases(df.select(*[as_column(c).cast("double").alias(c) for c in columns]), columns)
-    n = rows.count()
+    n, scaling = _scaling(rows, columns)
     if n < min_rows:
         return None
-    scaling = fit_scaling(rows, columns)
     k = min(k, len(columns), n)
     vectors = VectorAssembler(inputCols=columns, outputCol="_v").transform(scale(rows, columns, scaling)).select("_v")
     model = PCA(k=k, inputCol="_v", outputCol="_pc").fit(vectors)
@@ -307,13 +312,13 @@ def pair_moments(pairs: DataFrame) -> DataFrame:
     )
 
 
-_STEPS = 1024
+_STEPS = 4096
 
 
 def pair_medians(pairs: DataFrame, moments: DataFrame) -> DataFrame:
     """Exact median per (label, metric) by narrowing a value bracket with counts; pairs are never emitted.
 
-    Every round splits the bracket of each wanted rank into 1024 steps and keeps the step that holds
+    Every round splits the bracket of each wanted rank into 4096 steps and keeps the step that holds
     the rank, until one value is left.
     """
     kind = pairs.schema["label"].dataType.simpleString()
@@ -348,7 +353,7 @@ def pair_medians(pairs: DataFrame, moments: DataFrame) -> DataFrame:
             .groupBy("label", "metric", "rank", "step")
             .agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
             .orderBy("step")
-            .collect()  # at most 1025 rows per group, metric and rank
+            .collect()  # at most 4097 rows per group, metric and rank
         )
         seen: dict[tuple, int] = {}
         for s in steps:
@@ -374,7 +379,10 @@ def pair_similarity(
 
     ``fit`` is the scaling of all rows where ``df`` repeats rows, as under overlapping labels.
     """
-    pairs = block_pairs(member_blocks(df, label, key, columns, max_samples, seed, fit))
+    blocks = member_blocks(df, label, key, columns, max_samples, seed, fit)
+    if median:
+        blocks = checkpointed(blocks)  # the bounded sample, read once per narrowing round
+    pairs = block_pairs(blocks)
     moments = pair_moments(pairs)
     if not median:
         return moments

@@ -92,10 +92,27 @@ class _Run:
         self.rows = total
 
 
-def clean(df: DataFrame, config: Mapping[str, Any], order: Sequence[str], checkpoint: bool = False) -> CleanResult:
+def _fits_later(config: Mapping[str, Any]) -> bool:
+    """Does any step after the removal of duplicates look at the data before the final count?"""
+    on = lambda section, *keys: (
+        config.get(section, {}).get("enabled", False) and (not keys or any(config[section].get(k, False) for k in keys))
+    )
+    return bool(
+        on("numeric_cleaning", "clip_outliers")
+        or on("data_type_enforcement")
+        or on("chemical_validation", "remove_disconnected_structures")
+        or config.get("row_validation")
+        or on("feature_selection", "remove_constant_columns", "remove_quasi_constant_columns", "remove_highly_correlated")
+    )
+
+
+def clean(
+    df: DataFrame, config: Mapping[str, Any], order: Sequence[str], checkpoint: bool | None = None
+) -> CleanResult:
     """Run the configured steps. ``order`` names the columns that say which copy of a duplicate is first.
 
-    ``checkpoint`` writes the de-duplicated table once, for configurations with many later fits.
+    ``checkpoint`` writes the de-duplicated table once to the shared folder, so that later fits do
+    not repeat its shuffle; by default it is written when there are such fits.
     """
     columns = config.get("column_handling", {})
     missing = config.get("missing_value_handling", {})
@@ -125,7 +142,7 @@ def clean(df: DataFrame, config: Mapping[str, Any], order: Sequence[str], checkp
         subset = copies.get("duplicate_subset")
         unique = ops.deduplicate(run.df, subset, order, copies.get("keep_strategy", "first"))
         run.change("duplicates", unique, ", ".join(subset or []), removes_rows=True)
-        if checkpoint:
+        if _fits_later(config) if checkpoint is None else checkpoint:
             run.result.df = checkpointed(run.df)
 
     text = config.get("text_cleaning", {})
