@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -92,20 +91,15 @@ def correlation_by_label(df: DataFrame, columns: Sequence[str], labels: Sequence
 # --- scaling and PCA --------------------------------------------------------------------------------
 
 
-def _scaling(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict[str, tuple[float, float]]]:
+def fit_scaling(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Mean and population std per column."""
     row = df.agg(
-        F.count("*").alias("n"),
         *[
             F.struct(F.avg(as_column(c).cast("double")), F.stddev_pop(as_column(c).cast("double"))).alias(f"c{i}")
             for i, c in enumerate(columns)
-        ],
+        ]
     ).first()
-    return row["n"], {c: (row[f"c{i}"][0], row[f"c{i}"][1]) for i, c in enumerate(columns)}
-
-
-def fit_scaling(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """Mean and population std per column."""
-    return _scaling(df, columns)[1]
+    return {c: (row[f"c{i}"][0], row[f"c{i}"][1]) for i, c in enumerate(columns)}
 
 
 def scaled(column: str, fit: Mapping[str, tuple[float, float]]) -> Column:
@@ -154,18 +148,39 @@ class FittedPca:
 
 
 def fit_pca(df: DataFrame, columns: Sequence[str], k: int = 5, min_rows: int = 10) -> FittedPca | None:
-    """PCA of the scaled complete rows, or None below ``min_rows``. Each component's largest loading is positive."""
+    """PCA of the scaled complete rows, or None below ``min_rows``. Each component's largest loading is positive.
+
+    The covariance of scaled columns is their correlation, so one aggregate gives scaling and matrix;
+    only the columns x columns matrix is decomposed on the driver.
+    """
     columns = list(columns)
+    p = len(columns)
     rows = complete_cases(df.select(*[as_column(c).cast("double").alias(c) for c in columns]), columns)
-    n, scaling = _scaling(rows, columns)
+    row = rows.agg(
+        F.count("*").alias("n"),
+        *[F.struct(F.avg(as_column(c)), F.stddev_pop(as_column(c))).alias(f"s{i}") for i, c in enumerate(columns)],
+        *[
+            F.covar_pop(as_column(columns[i]), as_column(columns[j])).alias(f"v{i}_{j}")
+            for i in range(p)
+            for j in range(i + 1, p)
+        ],
+    ).first()
+    n = row["n"]
     if n < min_rows:
         return None
-    k = min(k, len(columns), n)
-    vectors = VectorAssembler(inputCols=columns, outputCol="_v").transform(scale(rows, columns, scaling)).select("_v")
-    model = PCA(k=k, inputCol="_v", outputCol="_pc").fit(vectors)
-    loadings = model.pc.toArray()
-    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), range(k)])
-    return FittedPca(columns, scaling, [float(r) for r in model.explainedVariance], loadings * signs)
+    std = [row[f"s{i}"][1] for i in range(p)]
+    matrix = np.diag([1.0 if v else 0.0 for v in std])
+    for i in range(p):
+        for j in range(i + 1, p):
+            if std[i] and std[j]:
+                matrix[i, j] = matrix[j, i] = row[f"v{i}_{j}"] / (std[i] * std[j])
+    values, vectors = np.linalg.eigh(matrix)
+    order = np.argsort(values)[::-1][: min(k, p, n)]
+    loadings = vectors[:, order]
+    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), range(len(order))])
+    total = float(np.trace(matrix))
+    ratios = [float(max(values[i], 0.0) / total) if total else 0.0 for i in order]
+    return FittedPca(columns, {c: (row[f"s{i}"][0], std[i]) for i, c in enumerate(columns)}, ratios, loadings * signs)
 
 
 def pca_points(df: DataFrame, fitted: FittedPca, keep: Sequence[str], sample: int | None = None, key: str | None = None) -> DataFrame:

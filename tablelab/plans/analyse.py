@@ -71,7 +71,18 @@ def analyse(
     t["confusion"] = per(lambda s: evaluate.confusion(s, label="y"))
     t["sweep"] = per(lambda s: evaluate.threshold_sweep(s, label="y"))
     t["calibration"] = per(lambda s: evaluate.calibration(s, label="y"))
+    t["sweep_summary"] = evaluate.sweep_summary(t["sweep"], by=["label"])
+    t["class_report"] = per(lambda s: evaluate.class_report(s, label="y"))
+    t["roc_points"] = per(lambda s: evaluate.roc_points(s, label="y"))
     t["false_positives"] = per(lambda s: evaluate.false_positive_features(s, features, label="y"))
+    t["attribution"] = _stack(
+        {n: evaluate.false_positive_attribution(s, done[n].importances, label="y") for n, s in scored.items()}
+    )
+    t["importances"] = _stack({n: models.importance_table(df.sparkSession, m) for n, m in done.items()})
+    t["rules"] = _stack({n: models.rule_table(df.sparkSession, m) for n, m in done.items()})
+    t["split_ranges"] = _stack(
+        {n: models.split_ranges(t["rules"].filter(F.col("label") == n)) for n in done}
+    )
 
     stress = config.get("sensitivity_analysis", {})
     if stress.get("enabled", False):
@@ -95,6 +106,11 @@ def analyse(
         t["cv_stability"] = _stack(
             {n: sensitivity.repeated_cv(rows, features, n, keys, stress.get("cv_splits", 10), params=stress.get("fixed_model")) for n in done}
         )
+        t["boundary"] = per(lambda s: sensitivity.boundary(s, label="y"))
+        if stress.get("feature_ablation_enabled", False):
+            t["ablation"] = _stack(
+                {n: sensitivity.ablation(rows, features, n, keys, params=stress.get("fixed_model")) for n in done}
+            )
         t["robustness"] = per(lambda s: sensitivity.threshold_robustness(s, label="y"))
         t["summary"] = sensitivity.sensitivity_summary(
             t["stability"], t["similarity"], t["cv_stability"], t["intervals"], t["robustness"]

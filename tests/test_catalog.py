@@ -31,6 +31,9 @@ def con():
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
 def test_query(spark, con, name):
     df = QUERIES[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for sign in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert sign not in plan
     got = canonical(df.columns, [tuple(r) for r in df.collect()])
     if name not in ORACLE:
         assert got[1]

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablelab.operators import extract as ex
-from tablelab.plans import analyse, benchmark, clean, label
+from tablelab import config
+from tablelab.plans import analyse, benchmark, clean, label, profile
 from tablelab.session import checkpointed, ensure_checkpoint_dir
 from tablelab.streaming import apply as stream
 
@@ -82,13 +83,13 @@ def test_label_run(raw):
 
 
 def test_stream_repeats_the_batch(spark, raw, tmp_path):
-    config = {**CONFIG, "duplicate_handling": {}, "chemical_validation": {}, "filtering": {}}
-    result = clean.clean(raw, config, ["id"])
+    settings = {**CONFIG, "duplicate_handling": {}, "chemical_validation": {}, "filtering": {}}
+    result = clean.clean(raw, settings, ["id"])
     labelled = label.derive_label_flag(result.df, {k: v for k, v in LABELS.items() if k != "domain_labeling"}, on_invalid="skip")
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     raw.write.parquet(source)
     arriving = stream.read_arriving(spark, source, raw.schema)
-    query = stream.write_available(stream.apply_run(arriving, result, config, labelled), out, str(tmp_path / "ck"))
+    query = stream.write_available(stream.apply_run(arriving, result, settings, labelled), out, str(tmp_path / "ck"))
     assert query.awaitTermination(120)
     want = labelled.df.orderBy("id").collect()
     assert spark.read.parquet(out).select(labelled.df.columns).orderBy("id").collect() == want
@@ -151,12 +152,32 @@ def test_analysis_run(spark):
     df = spark.range(400).select(
         "id", ((F.col("id") * 37) % 101).cast("double").alias("u"), ((F.col("id") * 53) % 97).cast("double").alias("v")
     ).withColumn("y", (F.col("u") > 60).cast("int")).withColumn("n", F.lit(0))
-    config = {
+    settings = {
         "model_settings": {"learner": "tree", "max_depth_range": [2], "min_samples_leaf_range": [5]}, "cv_folds": 2,
         "sensitivity_analysis": {"enabled": True, "bootstrap_iterations": 12, "cv_splits": 2, "fixed_model": {"maxIter": 2, "maxDepth": 2}},
     }
-    out = analyse.analyse(df, ["y", "n"], ["u", "v"], ["id"], config)
+    out = analyse.analyse(df, ["y", "n"], ["u", "v"], ["id"], settings)
     assert list(out.models) == ["y"] and list(out.skipped) == ["n"]
     summary = out.tables["summary"].collect()
     assert len(summary) == 1 and summary[0]["grade"] in ("high", "medium", "low") and summary[0]["n_replicates"] == 12
     assert out.tables["sweep"].count() == 50
+    assert out.tables["split_ranges"].filter("feature = 'u'").first()["thresholds"]
+    assert out.tables["attribution"].columns == ["label", "feature", "contribution"]
+    assert {r["width"] for r in out.tables["boundary"].collect()} == {0.1, 0.15, 0.2, 0.25}
+
+
+def test_profiles(raw):
+    tables = profile.profile_table(raw, ["mw", "xlogp", "absent"], {"pca_analysis": {"n_components": 2}})
+    assert {r["column"] for r in tables["feature_statistics"].collect()} == {"mw", "xlogp"}
+    assert tables["histograms"].agg(F.sum("n")).first()[0] == 44 + 44
+    assert tables["pca_variance"].count() == 2
+    labelled = label.derive_label_flag(raw, LABELS).df
+    tables = profile.profile_labels(labelled, ["mw", "xlogp"], ["noted", "big"])
+    assert {r["label"] for r in tables["by_label"].collect()} == {"overall", "noted", "big"}
+    assert tables["normalised"].count() == 90
+
+
+def test_unknown_configuration_keys():
+    found = config.unknown_keys({"filtering": {"enabled": True, "mw_rnage": [0, 1]}, "wrong": {}})
+    assert found == ["filtering.mw_rnage", "wrong"]
+    assert not config.unknown_keys({**CONFIG, **LABELS})
