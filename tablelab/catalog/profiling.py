@@ -281,11 +281,11 @@ def _(s, d):
     return st.fit_pca(df, FEATS, 4).loading_table(df)
 
 
-# With two standardised features the first component is their sum (r > 0) over sqrt(2).
+# With two standardised features the first component is their sum (r > 0) or difference over sqrt(2).
 @query(
     "c6_projection",
     sql(
-        f"""SELECT id, returned, price, CASE WHEN r > 0 THEN (zq + zp) / sqrt(2) ELSE abs(zq - zp) / sqrt(2) END AS pc1
+        f"""SELECT id, returned, price, CASE WHEN r > 0 THEN (zq + zp) / sqrt(2) ELSE (zq - zp) / sqrt(2) END AS pc1
         FROM (SELECT *, (qty - mq) / vq AS zq, (price - mp) / vp AS zp FROM {L},
         (SELECT avg(qty) mq, stddev_pop(qty) vq, avg(price) mp, stddev_pop(price) vp, corr(qty, price) r FROM {L}))""",
         L, doubles="price pc1",

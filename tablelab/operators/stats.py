@@ -177,7 +177,9 @@ def fit_pca(df: DataFrame, columns: Sequence[str], k: int = 5, min_rows: int = 1
     values, vectors = np.linalg.eigh(matrix)
     order = np.argsort(values)[::-1][: min(k, p, n)]
     loadings = vectors[:, order]
-    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), range(len(order))])
+    # Of equally large loadings the first column decides the sign.
+    leading = (np.abs(loadings) >= np.abs(loadings).max(axis=0) - 1e-9).argmax(axis=0)
+    signs = np.sign(loadings[leading, range(len(order))])
     total = float(np.trace(matrix))
     ratios = [float(max(values[i], 0.0) / total) if total else 0.0 for i in order]
     return FittedPca(columns, {c: (row[f"s{i}"][0], std[i]) for i, c in enumerate(columns)}, ratios, loadings * signs)
