@@ -27,19 +27,17 @@ def local_session(cores: int = 8, app: str = "tablelab", shuffle_partitions: int
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the session; a throw-away one only where none is set."""
+    """The shared folder named by the session; a throw-away one only where none is set (local mode)."""
     sc = spark.sparkContext
-    folder = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY, None)
+    named = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY, None)
     current = sc.getCheckpointDir()
-    if folder is None:
-        if current is not None:
-            return current
+    if named is None and current is None:
         if not sc.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="tablelab-ckpt-")
-    if current is None or not current.startswith(folder.rstrip("/")):
-        sc.setCheckpointDir(folder)
-    return folder
+        named = tempfile.mkdtemp(prefix="tablelab-ckpt-")
+    if current is None:
+        sc.setCheckpointDir(named)
+    return named or current
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -52,9 +52,15 @@ def test_checkpointed_run_gives_the_same(raw):
     assert a == clean.clean(raw, CONFIG, ["id"], checkpoint=True).df.orderBy("id").collect()
 
 
-def test_checkpoint_folder(spark):
+def test_checkpoint_folder(spark, tmp_path):
     folder = ensure_checkpoint_dir(spark)
     assert folder == ensure_checkpoint_dir(spark)
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        assert ensure_checkpoint_dir(spark) == str(tmp_path)
+        assert checkpointed(spark.range(3)).count() == 3 and list(tmp_path.iterdir())
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
     assert checkpointed(spark.range(3)).count() == 3
 
 
@@ -136,6 +142,11 @@ def test_a_block_without_value_blocks_the_fallback(spark):
     assert got == {"far": (None, 11, "Log P 2.5 A5 Low", True), "near": (2.5, 2, "Log P 2.5 A5 Low", False), "none": (None, 1, "Log P", True)}
 
 
+def test_page_numbers(spark):
+    df = spark.createDataFrame([("12.txt",), ("page-3.txt",), ("cover",)], "name string")
+    assert [r[0] for r in df.select(ex.page_number(F.col("name"))).collect()] == [12, 3, None]
+
+
 def test_page_blocks_equal_one_piece(spark, monkeypatch):
     text = document()
     pages = [("d", 7 * i, "\n".join(text[i % 10 : i % 10 + 1 + i % 3])) for i in range(60)] + [("e", 1, "")]
