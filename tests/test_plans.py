@@ -1,5 +1,7 @@
 """The four runs end to end on small frames."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,18 +54,22 @@ def test_checkpointed_run_gives_the_same(raw):
     assert a == clean.clean(raw, CONFIG, ["id"], checkpoint=True).df.orderBy("id").collect()
 
 
-def test_checkpoint_folder(spark, tmp_path):
+def test_checkpoint_folder(spark):
     folder = ensure_checkpoint_dir(spark)
     assert folder == ensure_checkpoint_dir(spark)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert ensure_checkpoint_dir(spark) == str(tmp_path)
-        assert checkpointed(spark.range(3)).count() == 3 and list(tmp_path.iterdir())
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
     assert checkpointed(spark.range(3)).count() == 3
 
 
+def test_checkpoint_folder_named_by_the_session():
+    seen = []
+    context = SimpleNamespace(getCheckpointDir=lambda: None, setCheckpointDir=seen.append, master="yarn")
+    session = SimpleNamespace(conf={"spark.checkpoint.dir": "/shared"}, sparkContext=context)
+    assert ensure_checkpoint_dir(session) == "/shared" and seen == ["/shared"]
+    session.conf, context.getConf = {}, dict
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(session)
+
+
 LABELS = {
     "feature_engineering": {"features": [{"name": "mw_half", "operation": "formula", "parameters": {"formula": "mw / 2"}}]},
     "domain_labeling": {"text_columns": ["note"], "domains": {"noted": {"keywords": ["note"]}, "off": {"enabled": False, "keywords": ["x"]}}},
