@@ -106,15 +106,15 @@ def lines_with_following(
     """
     number = as_column(page).cast("int") if page else F.lit(1)
     pages = df.select(as_column(doc).alias("doc_id"), number.alias("page"), as_column(text).alias("_t"))
-    rows = pages.filter(F.col("_t").rlike(wanted)) if wanted else pages
-    rows = rows.select("doc_id", "page", split_lines(F.col("_t")).alias("_lines"))
-    rows = rows.filter(F.size("_lines") > 0)
+    rows = pages.filter(F.col("_t").rlike(wanted) if wanted else F.length("_t") > 0)
+    rows = rows.withColumn("_lines", split_lines(F.col("_t"))).drop("_t")
+    own = F.transform("_lines", lambda x, i: F.struct(F.col("page").alias("page"), (i + 1).alias("line_no"), x.alias("text")))
+    rows = rows.withColumn("_own", own)
     if page is None:
-        rows = rows.withColumn("_next", F.array().cast("array<struct<page:int,line_no:int,text:string>>"))
+        rows = rows.withColumn("_all", F.col("_own"))
     else:
         rows = null_safe_join(rows, _following_heads(pages, after), ["doc_id", "page"])
-    own = F.transform("_lines", lambda x, i: F.struct(F.col("page").alias("page"), (i + 1).alias("line_no"), x.alias("text")))
-    rows = rows.select("doc_id", own.alias("_own"), F.concat(own, "_next").alias("_all"))
+        rows = rows.withColumn("_all", F.concat("_own", "_next"))
     hits = F.filter("_own", lambda x: x["text"].rlike(wanted)) if wanted else F.col("_own")
     placed = F.transform(
         hits,
@@ -135,7 +135,9 @@ def _following_heads(pages: DataFrame, after: int) -> DataFrame:
     blocks that overlap by ``after`` pages (every page with text has a line), so a document of very
     many pages is spread over tasks.
     """
-    heads = pages.select("doc_id", "page", F.slice(split_lines(F.col("_t")), 1, after).alias("_head")).filter(F.size("_head") > 0)
+    heads = pages.filter(F.length("_t") > 0).select(
+        "doc_id", "page", F.slice(split_lines(F.col("_t")), 1, after).alias("_head")
+    )
     index = running_sums(
         heads.groupBy("doc_id", "page").agg(F.count("*").alias("one")), "page", ["one"], by=["doc_id"], spread=heads
     ).select("doc_id", "page", (F.col("cum_one") - 1).alias("_i"))
