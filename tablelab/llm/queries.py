@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language
+from . import decontaminate, language, packing
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_language(spark: SparkSession, sf: str) -> DataFrame:
     return language.report(_table(spark, sf, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.report(_table(spark, sf, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
@@ -23,6 +27,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language,
+        op3_packing,
         op8_decontaminate,
     )
 }
