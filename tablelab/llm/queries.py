@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, packing
+from . import decontaminate, language, packing, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,12 +23,17 @@ def op8_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
 
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.report(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language,
         op3_packing,
         op8_decontaminate,
+        op10_toxicity,
     )
 }
 

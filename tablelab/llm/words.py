@@ -6,7 +6,7 @@ multi-byte character of UTF-8 consists of bytes above 127, so words can be cut o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -87,14 +87,21 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return low, starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hash of each word, with starts, ends and the word offsets of the rows."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, beginnings: Sequence[int] = ()):
+    """64-bit hash of each word, with starts, ends and the word offsets of the rows.
+
+    ``beginnings`` adds a list of hashes of the words' first so many bytes (of the whole word where it is shorter).
+    """
     low, starts, ends, word_offsets = spans(data, offsets)
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(low.astype(np.uint64) * _power_table(_BASE, n), out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * _power_table(_INVERSE, n)[starts]
-    return mix(hashes + (ends - starts).astype(np.uint64)), starts, ends, word_offsets
+    back = _power_table(_INVERSE, n)[starts]
+    upto = lambda end, kind: mix((sums[end] - sums[starts]) * back + (end - starts).astype(np.uint64) + np.uint64(kind << 32))
+    whole = upto(ends, 0)
+    if not beginnings:
+        return whole, starts, ends, word_offsets
+    return whole, starts, ends, word_offsets, [upto(np.minimum(starts + k, ends), k) for k in beginnings]
 
 
 def shingles(hashes: np.ndarray, word_offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
