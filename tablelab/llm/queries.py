@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, maintext, packing, toxicity
+from . import decontaminate, language, maintext, merkle, packing, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.report(_table(spark, sf, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.report(_table(spark, sf, "documents"))
+
+
 def op6_main_text(spark: SparkSession, sf: str) -> DataFrame:
     return maintext.report(_table(spark, sf, "pages"))
 
@@ -36,6 +40,7 @@ QUERIES = {
     for f in (
         op1_language,
         op3_packing,
+        op5_fingerprints,
         op6_main_text,
         op8_decontaminate,
         op10_toxicity,
