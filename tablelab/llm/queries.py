@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, maintext, merkle, packing, toxicity
+from . import decontaminate, language, maintext, merkle, neardups, packing, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_language(spark: SparkSession, sf: str) -> DataFrame:
     return language.report(_table(spark, sf, "documents"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return neardups.report(_table(spark, sf, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.report(_table(spark, sf, "documents"))
 
@@ -39,6 +43,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language,
+        op2_near_duplicates,
         op3_packing,
         op5_fingerprints,
         op6_main_text,
