@@ -142,7 +142,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return NO_MODEL
     chance = F.when(F.col("_label") == 1, min(1.0, docs_per_label / counts[1])).otherwise(min(1.0, docs_per_label / counts[0]))
     draw = F.shiftrightunsigned(F.xxhash64(F.col("_key"), F.lit("toxicity")), 11).cast("double") / float(1 << 53)
-    chosen = marks.filter(draw < chance)
+    chosen = F.broadcast(marks.filter(draw < chance))  # about docs_per_label rows a label
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).filter(F.col("text").isNotNull()).join(chosen, "_key")
 
     short = rows.filter(F.octet_length("text") <= SAMPLE_BYTES).select("text", "_label")
