@@ -15,6 +15,9 @@ are not read.
 
 from __future__ import annotations
 
+import os
+import re
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -31,8 +34,12 @@ END_TOKEN = 1
 DIMENSIONS, BITS = 3, 10
 #: Distinct pieces whose tokens a task remembers; the rest is tokenised anew.
 CACHE = 400_000
+_STOP = re.compile(r"(?<=[a-zA-Zà-öø-ÿ])([.,])(?=\s|\Z)")
 #: Sequence numbers of one range start at range * RANGE_SEQUENCES.
 RANGE_SEQUENCES = 1 << 40
+#: Byte-level vocabularies write bytes that are not printable as the characters from 256 on, in order.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTED)}
 
 
 def default_tokenizer() -> str:
@@ -45,56 +52,50 @@ class CachedTokenizer:
     """Token ids of texts, piece by piece.
 
     The tokenizer drops white space and never looks across it, so a text's ids are those of its blank-separated
-    pieces in order, and common pieces are looked up.
+    pieces in order, and common pieces are looked up. A stop or comma between a letter and white space is a token
+    of its own, and the tokenizer lower-cases, so both are evened out before the look-up.
     """
 
     def __init__(self, file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {"": b""}
 
     def __call__(self, texts: Sequence[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        split = [self._pieces(t) for t in texts if t]
         cache = self.cache
-        missing = [p for p in set().union(*split) if p not in cache] if split else []
-        if len(cache) + len(missing) > CACHE:
-            self.cache = cache = {"": b""}
-            missing = [p for p in set().union(*split) if p]
+        missing = set().union(*split).difference(cache)
+        full = len(cache) + len(missing) > CACHE
         self._learn(missing)
-        return [b"".join(map(cache.__getitem__, pieces)) for pieces in split]
-
-    def _learn(self, pieces: list[str]) -> None:
-        cache = self.cache
-        # A final stop or comma after a letter is a token of its own.
-        stopped = [p for p in pieces if p[-1] in ".," and p[-2:-1].isalpha()]
-        bare = {p[:-1] for p in stopped if p[:-1] not in cache}
-        bare.update(p for p in pieces if not (p[-1] in ".," and p[-2:-1].isalpha()))
-        bare.update(m for m in ".," if m not in cache)
-        simple = [p for p in bare if p.isalpha()]
-        rest = [p for p in bare if not p.isalpha()]
-        for i in range(0, len(simple), 4000):
-            part = simple[i : i + 4000]
-            if not self._together(part):
-                rest += part
-        for piece, made in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            cache[piece] = np.array(made.ids, self.dtype).tobytes()
-        for p in stopped:
-            cache[p] = cache[p[:-1]] + cache[p[-1]]
-
-    def _together(self, part: list[str]) -> bool:
-        """Tokenise words of letters as one text; False if they didn't stay one word each."""
-        made = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-        ids, number = np.array(made.ids, self.dtype), np.array(made.word_ids)
-        if not len(number) or number[-1] + 1 != len(part):
-            return False
-        ends = np.searchsorted(number, np.arange(1, len(part) + 1)) * self.dtype.itemsize
-        data, start = ids.tobytes(), 0
-        for piece, end in zip(part, ends.tolist(), strict=True):
-            self.cache[piece] = data[start:end]
-            start = end
-        return True
+        made = iter([b"".join(map(cache.__getitem__, pieces)) for pieces in split])
+        if full:
+            for piece in missing:
+                del cache[piece]
+        return [next(made) if t else b"" for t in texts]
+
+    @staticmethod
+    def _pieces(text: str) -> list[str]:
+        if text.isascii():
+            text = text.lower()
+        return _STOP.sub(r" \1", text).replace("\n", " ").split(" ")
+
+    def _learn(self, pieces: set[str]) -> None:
+        rest, cache, tokenize, kind = [], self.cache, self.model.tokenize, self.dtype.char
+        for piece in pieces:
+            # Letters up to Latin Extended-A: lower-casing is all that the tokenizer does to them before its merges.
+            if piece.isalpha() and max(piece) < "\u0180" and "\u0130" not in piece:
+                written = piece.lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
+                cache[piece] = array(kind, [t.id for t in tokenize(written)]).tobytes()
+            else:
+                rest.append(piece)
+        for i in range(0, len(rest), 4000):
+            part = rest[i : i + 4000]
+            for piece, made in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+                cache[piece] = array(kind, made.ids).tobytes()
 
 
 def project(column: pa.Array, dimensions: int = DIMENSIONS, bits: int = BITS) -> np.ndarray:
