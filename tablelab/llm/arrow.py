@@ -12,13 +12,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import words
 
 
-def add_columns(df: DataFrame, text: str, keep: Sequence[str], fields: Sequence[tuple[str, T.DataType]], make: Callable[[], Callable]) -> DataFrame:
+def add_columns(df: DataFrame, text: str, keep: Sequence[str], fields: Sequence[tuple[str, T.DataType]], make: Callable[[], Callable], also: Sequence[str] = ()) -> DataFrame:
     """``keep`` columns of every row and the ``fields`` that are made from its text.
 
     ``make`` runs once per task and returns a function from a text column (an Arrow array of about
-    ``words.STEP_BYTES``) to one list or array per field. Other columns of the input are not read.
+    ``words.STEP_BYTES``) and the columns in ``also`` to one list or array per field. Other columns of the input
+    are not read.
     """
-    selected = df.select(*dict.fromkeys([*keep, text]))
+    selected = df.select(*dict.fromkeys([*keep, text, *also]))
     schema = T.StructType([selected.schema[k] for k in keep] + [T.StructField(n, t) for n, t in fields])
     kinds = [to_arrow_type(t) for _, t in fields]
     names = [*keep, *(n for n, _ in fields)]
@@ -29,7 +30,7 @@ def add_columns(df: DataFrame, text: str, keep: Sequence[str], fields: Sequence[
         for batch in batches:
             column = batch.column(text)
             for start, end in words.steps(column):
-                made = function(column.slice(start, end - start))
+                made = function(column.slice(start, end - start), *(batch.column(c).slice(start, end - start) for c in also))
                 arrays = [batch.column(k).slice(start, end - start) for k in keep]
                 arrays += [m if isinstance(m, pa.Array) else pa.array(m, kind) for m, kind in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, maintext, merkle, neardups, packing, toxicity
+from . import chunks, decontaminate, language, maintext, merkle, neardups, packing, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op8_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
 
+def op9_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    return chunks.report(_table(spark, sf, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.report(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
@@ -48,6 +52,7 @@ QUERIES = {
         op5_fingerprints,
         op6_main_text,
         op8_decontaminate,
+        op9_substrings,
         op10_toxicity,
     )
 }
