@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, decontaminate, language, maintext, merkle, neardups, packing, toxicity
+from . import backoff, chunks, decontaminate, language, maintext, merkle, neardups, packing, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op6_main_text(spark: SparkSession, sf: str) -> DataFrame:
     return maintext.report(_table(spark, sf, "pages"))
 
 
+def op7_backoff(spark: SparkSession, sf: str) -> DataFrame:
+    return backoff.report(_table(spark, sf, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
@@ -51,6 +55,7 @@ QUERIES = {
         op3_packing,
         op5_fingerprints,
         op6_main_text,
+        op7_backoff,
         op8_decontaminate,
         op9_substrings,
         op10_toxicity,
