@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff, chunks, decontaminate, language, maintext, merkle, neardups, packing, toxicity
+from . import backoff, chunks, decontaminate, language, maintext, merkle, neardups, packing, quotes, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.report(_table(spark, sf, "documents"))
 
 
+def op4_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    return quotes.report(_table(spark, sf, "conversations"))
+
+
 def op5_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.report(_table(spark, sf, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES = {
         op1_language,
         op2_near_duplicates,
         op3_packing,
+        op4_quotes,
         op5_fingerprints,
         op6_main_text,
         op7_backoff,
