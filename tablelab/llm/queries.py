@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import backoff, chunks, decontaminate, language, maintext, merkle, neardups, packing, quotes, toxicity
 
@@ -36,7 +37,8 @@ def op6_main_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op7_backoff(spark: SparkSession, sf: str) -> DataFrame:
-    return backoff.report(_table(spark, sf, "documents"))
+    found = backoff.report(_table(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 3).alias("mean_log_score"))
 
 
 def op8_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,4 +69,40 @@ QUERIES = {
     )
 }
 
-ORACLE: dict[str, str] = {}
+#: Words of a text, with A-Z alone lower-cased.
+_WORDS = (
+    "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+ORACLE: dict[str, str] = {
+    "op7_backoff": f"""
+WITH texts AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS ws FROM documents),
+singles AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS place FROM texts),
+pairs AS (SELECT doc_id, word, place, lag(word) OVER (PARTITION BY doc_id ORDER BY place) AS before FROM singles),
+ones AS (SELECT word, count(*) AS n FROM singles GROUP BY word),
+twos AS (SELECT before, word, count(*) AS n FROM pairs WHERE before IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
+total AS (SELECT count(*) AS n FROM singles),
+scored AS (
+  SELECT p.doc_id, CASE WHEN p.before IS NULL THEN ln(o.n / t.n) WHEN b.n IS NULL THEN ln(0.4 * o.n / t.n) ELSE ln(b.n / c.n) END AS v
+  FROM pairs p JOIN ones o ON o.word = p.word LEFT JOIN twos b ON b.before = p.before AND b.word = p.word
+       LEFT JOIN ones c ON c.word = p.before CROSS JOIN total t),
+sums AS (SELECT doc_id, count(*) AS n, sum(v) AS s FROM scored GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_words, round(coalesce(s, 0.0), 3) AS log_score, round(s / n, 3) AS mean_log_score
+FROM texts LEFT JOIN sums USING (doc_id)""",
+    "op8_decontaminate": f"""
+WITH texts AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS ws FROM documents),
+items AS (SELECT item_id, coalesce({_WORDS.format("text")}, []) AS ws FROM benchmark),
+windows AS (SELECT DISTINCT item_id, array_to_string(ws[k + 1 : k + 13], ' ') AS w, least(len(ws), 13) AS size
+            FROM items, unnest(range(greatest(1, len(ws) - 12))) AS u(k) WHERE len(ws) > 0),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (SELECT doc_id, size, k, array_to_string(ws[k + 1 : k + size], ' ') AS w
+           FROM texts, sizes, unnest(range(greatest(0, len(ws) - size + 1))) AS u(k)),
+hits AS (SELECT doc_id, k, p.size, item_id FROM places p JOIN windows USING (w, size)),
+hit_words AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM hits, unnest(range(k, k + size)) AS u(j) GROUP BY doc_id),
+hit_items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+              FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM texts LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)""",
+}
