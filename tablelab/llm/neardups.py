@@ -8,9 +8,10 @@ to their weighted Jaccard similarity, exactly and without bias.
 
 Rows of equal multisets collapse first, so copies are one node. Nodes that share a band become candidates:
 
-1. every node of a bucket is compared with the bucket's smallest node, and its best such link is verified;
+1. every node is compared with one node, the first of a bucket, that it shares most buckets with;
 2. inside a bucket, only nodes of different components are still compared with each other: in small buckets
-   pair by pair, in large ones in blocks of signatures, of which only likely pairs leave the task.
+   pair by pair, while nodes that hang together by large ones are compared in blocks of like size, in which a
+   task verifies what the signatures find likely and hands out at most one link a node.
 
 So a large group of near copies costs a link per member, no bucket is cut off, and no link between different
 texts that share a band is lost but for those that lie inside one component already. Every link is verified on
@@ -42,8 +43,8 @@ BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
 #: Shared slots from which on a candidate is verified; four deviations below the expectation at SIMILARITY.
 LIKELY = 0.8 - 4 * (0.8 * 0.2 / SLOTS) ** 0.5
-#: Nodes of a bucket up to which its pairs are rows; larger ones are compared in blocks of signatures.
-SMALL_BUCKET, BLOCK = 24, 512
+#: Nodes of a bucket up to which its pairs are rows; the nodes of larger ones are compared in blocks.
+SMALL_BUCKET, BLOCK = 24, 2048
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -140,20 +141,26 @@ def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return add_columns(rows, "text", ["id"], fields, make)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) whose multisets overlap enough."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("text is not null").join(ids, "id", "left_semi")
+def _sets(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, elements) of the named documents: their multisets as sorted sets."""
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("text is not null")
+    # Sorted on both sides whatever their sizes, so that the plan does not change with the input.
+    rows = rows.join(ids.distinct().hint("merge"), "id", "left_semi")
 
     def make():
         def function(column: pa.Array):
             row, found = elements(*multisets(column))
+            found = found[np.lexsort((found, row))]
             offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(column)))])
             return (pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found.view(np.int64))),)
 
         return function
 
-    sets = stored(add_columns(rows, "text", ["id"], [("elements", T.ArrayType(T.LongType()))], make), "elements")
+    return stored(add_columns(rows, "text", ["id"], [("elements", T.ArrayType(T.LongType()))], make).dropDuplicates(["id"]), "elements")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose multisets overlap enough."""
     side = lambda name, other: sets.select(F.col("id").alias(name), F.col("elements").alias(other))
     joined = pairs.select("a", "b").join(side("a", "_x"), "a").join(side("b", "_y"), "b")
     both = F.size(F.array_intersect("_x", "_y"))
@@ -173,26 +180,67 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.select("a", "b", shared("_s0", "_s1").alias("shared")).filter(F.col("shared") >= LIKELY)
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """Likely pairs of different components in buckets of any size; rows (band, id, component, weight, slots, n)."""
-    groups = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), groups).cast("int")
-    spread = rows.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), groups - 1)))
-    spread = spread.select("*", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"))
-
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        slots = np.frombuffer(b"".join(block["slots"]), np.uint8).reshape(-1, SLOTS)
-        ids, component, weight, mine = (block[c].to_numpy() for c in ("id", "component", "weight", "_mine"))
-        i, j = block["_i"].iloc[0], block["_j"].iloc[0]
-        out = []
-        for k in np.flatnonzero(mine == i):
-            other = np.flatnonzero((mine == j) & (component != component[k]) & ((ids > ids[k]) | (i != j)))
-            other = other[np.minimum(weight[other], weight[k]) >= SIMILARITY * np.maximum(weight[other], weight[k])]
-            other = other[(slots[other] == slots[k]).mean(1) >= LIKELY]
-            out += [(min(ids[k], x), max(ids[k], x)) for x in ids[other]]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return spread.groupBy("band", "_i", "_j").applyInPandas(compare, "a long, b long")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+
+
+def _compare(block: pa.Table, similarity: float) -> pa.Table:
+    """Verified links between the nodes of two blocks (or of one) that join components, at most one a node."""
+    column = lambda c: block.column(c).to_numpy()
+    ids, component, weight, first = column("id"), column("component"), column("weight"), column("_first")
+    slots = np.frombuffer(b"".join(block.column("slots").to_pylist()), np.uint8).reshape(-1, SLOTS)
+    lists = block.column("elements").combine_chunks()
+    values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+    within = block.column("_within")[0].as_py()
+    top = {c: c for c in component.tolist()}
+
+    def find(c):
+        while top[c] != c:
+            top[c] = top[top[c]]
+            c = top[c]
+        return c
+
+    links = []
+    place = np.arange(len(ids))
+    for k in place if within else np.flatnonzero(first):
+        other = place[k + 1 :] if within else np.flatnonzero(~first)
+        other = other[np.minimum(weight[other], weight[k]) >= similarity * np.maximum(weight[other], weight[k])]
+        shared = (slots[other] == slots[k]).mean(1)
+        likely = shared >= LIKELY
+        for x in other[likely][np.argsort(-shared[likely], kind="stable")].tolist():
+            c, d = find(component[k]), find(component[x])
+            if c == d:
+                continue
+            both = len(np.intersect1d(values[offsets[k] : offsets[k + 1]], values[offsets[x] : offsets[x + 1]], assume_unique=True))
+            if both >= similarity * (weight[k] + weight[x] - both):
+                links.append((int(ids[k]), int(ids[x])))
+                top[max(c, d)] = min(c, d)
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+
+def _blocks(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Verified links inside clusters of any size; rows (cluster, id, component, weight, slots, elements).
+
+    Similar texts are of like size, so nodes are set apart by size class, a class by hash into blocks, and blocks
+    meet those of their own and of the next class.
+    """
+    nodes = nodes.withColumn("_class", F.floor(F.log("weight") / float(-np.log(similarity))).cast("int"))
+    sizes = nodes.groupBy("cluster", "_class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_groups"))
+    beside = sizes
+    for name, step in (("_above", 1), ("_below", -1)):
+        other = sizes.select("cluster", (F.col("_class") - step).alias("_class"), F.col("_groups").alias(name))
+        beside = beside.join(other, ["cluster", "_class"], "left")
+    placed = nodes.join(beside.fillna(0), ["cluster", "_class"]).withColumn("_mine", F.pmod(F.xxhash64("id"), F.col("_groups")).cast("int"))
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    meet = lambda low, i, j, first, within: F.struct(low.alias("_low"), i.alias("_i"), j.alias("_j"), first.alias("_first"), within.alias("_within"))
+    own, no, yes, mine = F.col("_class"), F.lit(False), F.lit(True), F.col("_mine")
+    places = F.concat(
+        F.transform(upto("_groups"), lambda g: meet(own, F.least(mine, g), F.greatest(mine, g) + 0, mine < g, mine == g)),
+        F.transform(upto("_above"), lambda g: meet(own, -1 - mine, g + 0, yes, no)),
+        F.transform(upto("_below"), lambda g: meet(own - 1, -1 - g, mine + 0, no, no)),
+    )
+    spread = placed.select("cluster", "id", "component", "weight", "slots", "elements", F.explode(places).alias("_at")).select("*", "_at.*").drop("_at")
+    return spread.groupBy("cluster", "_low", "_i", "_j").applyInArrow(lambda t: _compare(t, similarity), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -206,21 +254,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     banded = nodes.select("id", F.explode("bands").alias("band"))
     buckets = stored(banded.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1"), "buckets")
     shared = stored(banded.join(buckets, "band"), "shared")
-    # 1. The best link of each node to a leader.
-    pairs = shared.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    best = _likely(pairs, nodes).groupBy("b").agg(F.max(F.struct("shared", -F.col("a"))).alias("best")).select((-F.col("best.col2")).alias("a"), "b")
-    links = _verified(docs, stored(best, "pairs"), similarity, key, text)
-    first = components(links)
+    # 1. One link for each node: to the leader that it shares most buckets with.
+    votes = shared.filter("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("n"))
+    best = votes.groupBy("id").agg(F.max(F.struct("n", (-F.col("leader")).alias("low"))).alias("best"))
+    best = _likely(best.select((-F.col("best.low")).alias("a"), F.col("id").alias("b")), nodes).select("a", "b")
+    best = stored(best, "pairs")
+    first = components(_verified(best, _sets(docs, _ends(best), key, text), similarity))
     # 2. What is still apart inside a bucket.
     named = shared.join(first, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-    apart = named.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    rest = stored(named.join(apart.select("band", "n"), "band"), "rest")
-    small = rest.filter(F.col("n") <= SMALL_BUCKET)
+    apart = named.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("leader"))
+    rest = stored(named.join(apart.filter("low <> high").drop("low", "high"), "band"), "rest")
+    small, large = rest.filter(F.col("n") <= SMALL_BUCKET), rest.filter(F.col("n") > SMALL_BUCKET)
     left, right = small.select("band", F.col("id").alias("a"), F.col("component").alias("_c")), small.select("band", F.col("id").alias("b"), F.col("component").alias("_d"))
-    pairs = left.join(right, "band").filter("a < b and _c <> _d").select("a", "b").distinct()
-    large = _blocks(rest.filter(F.col("n") > SMALL_BUCKET).join(nodes.select("id", "weight", "slots"), "id"))
-    pairs = stored(_likely(pairs, nodes).select("a", "b").union(large).distinct(), "pairs")
-    more = _verified(docs, pairs, similarity, key, text)
+    pairs = stored(_likely(left.join(right, "band").filter("a < b and _c <> _d").select("a", "b").distinct(), nodes).select("a", "b"), "pairs")
+    clusters = components(large.select(F.col("leader").alias("a"), F.col("id").alias("b"))).select("id", F.col("component").alias("cluster"))
+    sets = _sets(docs, _ends(pairs).union(clusters.select("id")), key, text)
+    crowd = clusters.join(large.select("id", "component").distinct(), "id").join(nodes.select("id", "weight", "slots"), "id").join(sets, "id")
+    more = _verified(pairs, sets, similarity).union(_blocks(crowd, similarity))
     name = lambda c, out: first.select(F.col("id").alias(c), F.col("component").alias(out))
     merged = more.join(name("a", "_x"), "a", "left").join(name("b", "_y"), "b", "left").select(F.coalesce("_x", "a").alias("a"), F.coalesce("_y", "b").alias("b"))
     second = components(merged).select(F.col("id").alias("component"), F.col("component").alias("_top"))
