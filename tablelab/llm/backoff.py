@@ -33,8 +33,8 @@ ALPHA = 0.4
 LEAST = 2
 HEAVY = 2000
 #: Bytes of a part's n-grams.
-PART_BYTES = 32 << 20
-ENTRY_BYTES = 9
+PART_BYTES = 12 << 20
+ENTRY_BYTES = 10
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _LOW, _HIGH = np.uint64(0xFFFFFFFF), np.uint64(32)
 _NULL_ID = -(1 << 63)
