@@ -237,7 +237,7 @@ def _fp_row(c: str) -> str:
 
 @query(
     "e15_fp_features",
-    sql(_union(map(_fp_row, ("n_chars", "bucket"))), X, doubles="fp_mean fp_std tn_mean tn_std difference fp_rate_pct"),
+    sql(f"SELECT *, row_number() OVER (ORDER BY abs(difference) DESC, feature)::INTEGER AS rank FROM ({_union(map(_fp_row, ('n_chars', 'bucket')))})", X, doubles="fp_mean fp_std tn_mean tn_std difference fp_rate_pct"),
 )
 def _(s, d):
     return ev.false_positive_features(view(s, d, X), ["n_chars", "bucket"])
@@ -246,11 +246,11 @@ def _(s, d):
 @query(
     "e16_fp_attribution",
     sql(
-        _union(
+        "SELECT *, row_number() OVER (ORDER BY abs(contribution) DESC, feature)::INTEGER AS rank FROM (" + _union(
             f"""SELECT '{c}' AS feature, {w} * coalesce((avg({c}) FILTER (label = 0 AND prediction = 1) - avg({c})) / nullif(stddev_samp({c}), 0), 0) AS contribution
             FROM {X} HAVING count_if(label = 0 AND prediction = 1) > 0"""
             for c, w in (("n_chars", "0.7::DOUBLE"), ("bucket", "0.3::DOUBLE"))
-        ),
+        ) + ")",
         X, doubles="contribution",
     ),
 )
@@ -383,18 +383,18 @@ def md5_hash(*parts: str) -> str:
     return _HASH.format(text=" || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts))
 
 
-_BOOT = f"""drawn AS (SELECT *, rep + 42 AS seed FROM {S}, (SELECT unnest(range(20)) AS rep)),
+_BOOT = f"""drawn AS (SELECT *, rep + 42 AS seed FROM {S}, (SELECT unnest(range(100)) AS rep)),
 oob AS (SELECT * FROM drawn WHERE CAST({md5_hash('id', 'seed')} >> 8 AS DOUBLE) / 4503599627370496 < exp(-1)),
 counts AS (SELECT rep, count_if(label = 0 AND prediction = 0) AS tn, count_if(label = 0 AND prediction = 1) AS fp,
 count_if(label = 1 AND prediction = 0) AS fn, count_if(label = 1 AND prediction = 1) AS tp FROM oob GROUP BY rep),
 auc AS (SELECT p.rep, sum(CASE WHEN p.probability > n.probability THEN 1.0::DOUBLE WHEN p.probability = n.probability THEN 0.5::DOUBLE ELSE 0 END) / count(*) AS roc_auc
 FROM oob p JOIN oob n ON p.rep = n.rep AND p.label = 1 AND n.label = 0 GROUP BY p.rep),
-boot AS (SELECT CAST(c.rep AS INTEGER) AS replicate, {_div('tp + tn', 'tp + tn + fp + fn')} AS accuracy, {MACRO} AS f1_macro, {_div('tp', 'tp + fp')} AS precision,
-{_div('tp', 'tp + fn')} AS recall, roc_auc FROM counts c LEFT JOIN auc a ON c.rep = a.rep WHERE tn + fp + fn + tp >= 10)"""
+boot AS (SELECT CAST(c.rep AS INTEGER) AS replicate, tn + fp + fn + tp AS n, {_div('tp + tn', 'tp + tn + fp + fn')} AS accuracy, {MACRO} AS f1_macro, {_div('tp', 'tp + fp')} AS precision,
+{_div('tp', 'tp + fn')} AS recall, roc_auc FROM counts c LEFT JOIN auc a ON c.rep = a.rep)"""
 
 
 def _boot(s, d):
-    return se.bootstrap_metrics(view(s, d, S), ["id"], replicates=20, method="md5")
+    return se.bootstrap_metrics(view(s, d, S), ["id"], method="md5")
 
 
 @query("n1_bootstrap", sql("SELECT * FROM boot", S, ctes=_BOOT, doubles="accuracy f1_macro precision recall roc_auc"))
@@ -410,7 +410,7 @@ def _(s, d):
             f"SELECT '{m}' AS metric, avg({m}) AS mean, stddev_pop({m}) AS std, quantile_cont({m}, 0.025) AS ci_lower, quantile_cont({m}, 0.975) AS ci_upper, count({m}) AS n FROM boot"
             for m in se.METRICS
         )
-        + ") WHERE n > 10",
+        + ")",
         S, ctes=_BOOT, doubles="mean std ci_lower ci_upper",
     ),
 )
@@ -477,13 +477,13 @@ def _(s, d):
 @query(
     "n4_uncertainty",
     sql(
-        f"""SELECT (SELECT avg(probability) FROM (SELECT probability FROM {S} ORDER BY abs(probability - 0.5::DOUBLE), id LIMIT 100)) AS mean_probability,
-        min(abs(probability - 0.5::DOUBLE)) AS min_uncertainty, median(abs(probability - 0.5::DOUBLE)) AS median_uncertainty FROM {S}""",
-        S, doubles="mean_probability min_uncertainty median_uncertainty",
+        f"""SELECT least(floor(u * 20), 9)::INTEGER AS interval, count(*) AS n, avg(probability) AS mean_probability, min(u) AS min_uncertainty,
+        max(u) AS max_uncertainty, median(u) AS median_uncertainty FROM (SELECT probability, abs(probability - 0.5::DOUBLE) AS u FROM {S}) GROUP BY 1""",
+        S, doubles="mean_probability min_uncertainty max_uncertainty median_uncertainty",
     ),
 )
 def _(s, d):
-    return se.uncertainty(view(s, d, S), ["id"])
+    return se.uncertainty(view(s, d, S))
 
 
 @query(

@@ -183,7 +183,7 @@ def _(s, d):
     ).replace({"flag2": "toxic"}, subset=["label"])
     folded = {n: mo.folds(t, "y", ["id"]) for n, t in scored.items()}
     cv = _stack({n: se.cv_summary(ev.metrics(t, by=["fold"], label="y")) for n, t in folded.items()})
-    intervals = _stack({n: se.bootstrap_intervals(se.bootstrap_metrics(t, ["id"], 20, label="y")) for n, t in scored.items()})
+    intervals = _stack({n: se.bootstrap_intervals(se.bootstrap_metrics(t, ["id"], label="y")) for n, t in scored.items()})
     robust = _stack({n: se.threshold_robustness(t, label="y") for n, t in scored.items()})
     return se.sensitivity_summary(stability, similarity, cv, intervals, robust)
 

@@ -296,15 +296,9 @@ def _(s, d):
     return st.pca_points(df, st.fit_pca(df, ["qty", "price"], 2), ["id", "returned", "price"]).drop("pc2")
 
 
-@query("c6_projection_sample")
-def _(s, d):
-    df = view(s, d, L)
-    return st.pca_points(df, st.fit_pca(df, FEATS, 2), ["id", "returned"], sample=10_000)
-
-
 # --- similarity --------------------------------------------------------------------------------------
 
-P = 8
+P = 64
 E = [f"e{i}" for i in range(1, P + 1)]
 
 
@@ -332,29 +326,6 @@ def _(s, d):
     return st.cosine_similarity(vectors(s, d), "label", E)
 
 
-@query(
-    "c8_euclid",
-    sql("SELECT label, avg(euclidean) AS mean, stddev_pop(euclidean) AS std FROM pairs GROUP BY label", ctes=_Z, doubles="mean std"),
-)
-def _(s, d):
-    out = st.pair_similarity(vectors(s, d), "label", "vec_id", E)
-    return out.filter(F.col("metric") == "euclidean").select("label", "mean", "std")
-
-
-@query(
-    "c9_extremes",
-    sql(
-        _union(
-            f"SELECT label, '{m}' AS metric, (count(*) // 2)::BIGINT AS pairs, min({m}) AS min, max({m}) AS max, median({m}) AS median FROM pairs GROUP BY label"
-            for m in ("cosine", "euclidean")
-        ),
-        ctes=_Z, doubles="min max median",
-    ),
-)
-def _(s, d):
-    return st.pair_similarity(vectors(s, d), "label", "vec_id", E, median=True).drop("mean", "std")
-
-
 _GROUPS = {"low": "label <= 4", "odd": "label % 2 = 1"}
 _ZG = _Z.split("pairs AS")[0].rstrip().rstrip(",")
 
@@ -364,28 +335,13 @@ _ZG = _Z.split("pairs AS")[0].rstrip().rstrip(",")
     sql(
         _union(
             f"""SELECT '{n}' AS label, CAST((1 + sqrt(1 + 4 * count(*))) / 2 AS BIGINT) AS n, avg(c) AS cosine_mean, stddev_pop(c) AS cosine_std,
-            avg(u) AS euclidean_mean, stddev_pop(u) AS euclidean_std FROM (SELECT list_cosine_similarity(a.z, b.z) AS c,
-            1 / (1 + list_distance(a.z, b.z)) AS u FROM (SELECT * FROM z WHERE {w}) a JOIN (SELECT * FROM z WHERE {w}) b ON a.vec_id <> b.vec_id)"""
+            avg(u * u) AS squared_distance_mean FROM (SELECT list_cosine_similarity(a.z, b.z) AS c,
+            list_distance(a.z, b.z) AS u FROM (SELECT * FROM z WHERE {w}) a JOIN (SELECT * FROM z WHERE {w}) b ON a.vec_id <> b.vec_id)"""
             for n, w in _GROUPS.items()
         ),
-        ctes=_ZG, doubles="cosine_mean cosine_std euclidean_mean euclidean_std",
+        ctes=_ZG, doubles="cosine_mean cosine_std squared_distance_mean",
     ),
 )
 def _(s, d):
     df = vectors(s, d).withColumns({n: F.expr(f"CAST({w} AS INT)") for n, w in _GROUPS.items()})
-    return st.similarity_comparison(df, list(_GROUPS), "vec_id", E)
-
-
-@query(
-    "c11_block",
-    sql(
-        """SELECT a.label, a.vec_id AS "key", count(*)::INTEGER AS members, sum(1 / (1 + list_distance(a.z, b.z))) AS total
-        FROM z a JOIN z b ON a.label = b.label GROUP BY a.label, a.vec_id""",
-        ctes=_ZG, doubles="total",
-    ),
-)
-def _(s, d):
-    block = st.similarity_block(vectors(s, d), "label", "vec_id", E, 500)
-    return block.select(
-        "label", "key", F.size("similar").alias("members"), F.aggregate("similar", F.lit(0.0), lambda a, x: a + x).alias("total")
-    )
+    return st.similarity_comparison(df, list(_GROUPS), E)

@@ -63,6 +63,24 @@ def coerce(df: DataFrame, name: str) -> Column:
     return to_number(name)
 
 
+def exact_number(df: DataFrame, name: str) -> Column:
+    """As ``coerce``, but whole and decimal numbers keep their type, which double can't hold beyond 2**53."""
+    dtype = df.schema[name].dataType
+    return as_column(name) if is_numeric(dtype) and not is_floating(dtype) else coerce(df, name)
+
+
+def whole_number(df: DataFrame, name: str) -> Column:
+    """Long; digits are read as they stand, other text and floats through double."""
+    dtype = df.schema[name].dataType
+    if is_numeric(dtype) and not is_floating(dtype):
+        return as_column(name).try_cast("long")
+    rounded = coerce(df, name).try_cast("long")
+    if is_numeric(dtype):
+        return rounded
+    text = as_column(name).cast("string")
+    return F.coalesce(F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(text).try_cast("long")), rounded)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b as double, null where b is 0."""
     return F.try_divide(a.cast("double"), b.cast("double"))

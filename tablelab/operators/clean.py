@@ -19,11 +19,13 @@ from ..functions.nulls import (
     MISSING_TEXTS,
     as_column,
     coerce,
+    exact_number,
     is_floating,
     is_numeric,
     ratio,
     string_columns,
     strip,
+    whole_number,
 )
 from ..functions.order import exact_quantiles, keep_one
 from .stats import correlation_values
@@ -222,17 +224,17 @@ def lower_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def coerce_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     names = existing(df, columns)
-    return df.withColumns({c: coerce(df, c) for c in names}) if names else df
+    return df.withColumns({c: exact_number(df, c) for c in names}) if names else df
 
 
 def null_negatives(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    values = {c: coerce(df, c) for c in existing(df, columns)}
+    values = {c: exact_number(df, c) for c in existing(df, columns)}
     return df.withColumns({c: F.when(~(v < 0), v) for c, v in values.items()}) if values else df
 
 
 def null_zeros(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    values = {c: coerce(df, c) for c in existing(df, columns)}
-    return df.withColumns({c: F.nullif(v, F.lit(0.0)) for c, v in values.items()}) if values else df
+    values = {c: exact_number(df, c) for c in existing(df, columns)}
+    return df.withColumns({c: F.when(~(v == 0), v) for c, v in values.items()}) if values else df
 
 
 def count_where(df: DataFrame, columns: Sequence[str], test) -> DataFrame:
@@ -294,7 +296,7 @@ def enforce_types(
     """Cast to the three type families; ``whole`` comes from ``fit_integers``."""
     changed: dict[str, Column] = {}
     for c in existing(df, whole):
-        changed[c] = coerce(df, c).try_cast("long")
+        changed[c] = whole_number(df, c)
     for c in existing(df, floats):
         changed[c] = coerce(df, c)
     for c in existing(df, strings):

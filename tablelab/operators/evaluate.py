@@ -12,6 +12,7 @@ import operator
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.groups import to_long
 from ..functions.nulls import as_column, ratio, ratio_or_zero
@@ -285,8 +286,13 @@ def _outcome_stats(df: DataFrame, columns: Sequence[str], label: str, prediction
     return to_long(df.agg(*aggs).filter(F.col("n_fp") > 0), ["n_fp", "n_tn"], per, "feature")
 
 
+def _rank(value: str) -> Column:
+    """Place by size, from 1, among features (a handful of rows); equal sizes by name."""
+    return F.row_number().over(Window.orderBy(F.abs(value).desc_nulls_last(), "feature"))
+
+
 def false_positive_features(
-    df: DataFrame, columns: Sequence[str], top: int = 10, label: str = LABEL, prediction: str = PREDICTION
+    df: DataFrame, columns: Sequence[str], label: str = LABEL, prediction: str = PREDICTION
 ) -> DataFrame:
     """Features by the difference of their means between false positives and true negatives; empty without any."""
     s = _outcome_stats(df, columns, label, prediction)
@@ -296,13 +302,13 @@ def false_positive_features(
             (F.col("fp_mean") - F.col("tn_mean")).alias("difference"),
             ratio(F.col("n_fp") * 100, F.col("n_fp") + F.col("n_tn")).alias("fp_rate_pct"),
         )
-        .orderBy(F.abs("difference").desc(), "feature")
-        .limit(top)
+        .withColumn("rank", _rank("difference"))
+        .orderBy("rank")
     )
 
 
 def false_positive_attribution(
-    df: DataFrame, importances: dict[str, float], top: int = 10, label: str = LABEL, prediction: str = PREDICTION
+    df: DataFrame, importances: dict[str, float], label: str = LABEL, prediction: str = PREDICTION
 ) -> DataFrame:
     """importance * (mean of the false positives - overall mean) / overall std, strongest first; 0 where std is 0."""
     weight = F.create_map(*[x for c, w in importances.items() for x in (F.lit(c), F.lit(float(w)))])
@@ -310,8 +316,8 @@ def false_positive_attribution(
     return (
         _outcome_stats(df, list(importances), label, prediction)
         .select("feature", (weight[F.col("feature")] * shift).alias("contribution"))
-        .orderBy(F.abs("contribution").desc(), "feature")
-        .limit(top)
+        .withColumn("rank", _rank("contribution"))
+        .orderBy("rank")
     )
 
 

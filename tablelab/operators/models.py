@@ -227,6 +227,8 @@ def importance_table(spark: SparkSession, trained: Trained, top: int | None = No
 def rule_table(spark: SparkSession, trained: Trained) -> DataFrame:
     """One row per tree node: feature and threshold of the split (left: <=), children, prediction, gain, rows.
 
+    A split by category has its left categories in ``categories`` and no threshold.
+
     Read back from the model's saved node data in the shared folder.
     """
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
@@ -238,11 +240,13 @@ def rule_table(spark: SparkSession, trained: Trained) -> DataFrame:
         nodes = nodes.select(F.lit(0).alias("tree"), "*")
     names = F.lit(trained.vector_names)
     leaf = F.col("leftChild") < 0
+    by_category = F.col("split.numCategories") > 0
     nodes = nodes.select(
         "tree",
         F.col("id").alias("node"),
         F.when(~leaf, F.get(names, F.col("split.featureIndex"))).alias("feature"),
-        F.when(~leaf, F.get(F.col("split.leftCategoriesOrThreshold"), F.lit(0))).alias("threshold"),
+        F.when(~leaf & ~by_category, F.get(F.col("split.leftCategoriesOrThreshold"), F.lit(0))).alias("threshold"),
+        F.when(~leaf & by_category, F.array_sort("split.leftCategoriesOrThreshold")).alias("categories"),
         F.when(~leaf, F.col("leftChild")).alias("left"),
         F.when(~leaf, F.col("rightChild")).alias("right"),
         "prediction",
@@ -265,8 +269,13 @@ def leaf_rules(spark: SparkSession, rules: DataFrame, max_depth: int | None = No
         if r["left"] is None or (max_depth is not None and len(path) >= max_depth):
             rows.append((tree, node, " AND ".join(path) or "true", float(r["prediction"])))
             return
-        walk(tree, r["left"], [*path, f"`{r['feature']}` <= {r['threshold']!r}D"])
-        walk(tree, r["right"], [*path, f"`{r['feature']}` > {r['threshold']!r}D"])
+        if r["categories"] is not None:
+            among = ", ".join(f"{v!r}D" for v in r["categories"])
+            left, right = f"`{r['feature']}` IN ({among})", f"`{r['feature']}` NOT IN ({among})"
+        else:
+            left, right = f"`{r['feature']}` <= {r['threshold']!r}D", f"`{r['feature']}` > {r['threshold']!r}D"
+        walk(tree, r["left"], [*path, left])
+        walk(tree, r["right"], [*path, right])
 
     for tree, node in sorted(k for k, r in nodes.items() if r["parent"] is None):
         walk(tree, node, [])
@@ -283,9 +292,9 @@ def split_importance(rules: DataFrame) -> DataFrame:
 
 
 def split_ranges(rules: DataFrame) -> DataFrame:
-    """All split thresholds of each feature with the suggested range (4 places)."""
+    """All split thresholds of each feature with the suggested range (4 places); splits by category have none."""
     return (
-        rules.filter(F.col("feature").isNotNull())
+        rules.filter(F.col("threshold").isNotNull())
         .groupBy("feature")
         .agg(
             F.sort_array(F.collect_list("threshold")).alias("thresholds"),

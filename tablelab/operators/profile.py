@@ -209,11 +209,9 @@ def log_histogram(df: DataFrame, value: str, group: str) -> DataFrame:
 # --- distributions ----------------------------------------------------------------------------------
 
 
-def distribution_by_combination(df: DataFrame, columns: Sequence[str], labels: Sequence[str], min_values: int = 10) -> DataFrame:
-    """Five-number summary of each feature per label combination; features with too few values are left out."""
+def distribution_by_combination(df: DataFrame, columns: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    """Five-number summary of each feature per label combination, with the number of values."""
     values = df.select(combination(labels).alias("domain"), *[coerce(df, c).alias(c) for c in columns])
-    counts = values.agg(*[F.count(as_column(c)).alias(c) for c in columns]).first()
-    columns = [c for c in columns if counts[c] >= min_values]
     aggs = [
         F.struct(F.count(as_column(c)), F.min(as_column(c)), F.max(as_column(c))).alias(f"s{i}")
         for i, c in enumerate(columns)
@@ -229,9 +227,9 @@ def distribution_by_combination(df: DataFrame, columns: Sequence[str], labels: S
     return table.join(q, ["domain", "column"])
 
 
-def normalised_long(df: DataFrame, columns: Sequence[str], labels: Sequence[str], first: int = 6) -> DataFrame:
-    """z-scores of the first features in long form, with the label combination of the row."""
-    columns = list(columns)[:first]
+def normalised_long(df: DataFrame, columns: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    """z-scores of the features in long form, with the label combination of the row."""
+    columns = list(columns)
     values = df.select(combination(labels).alias("domain"), *[coerce(df, c).alias(c) for c in columns])
     row = values.agg(
         *[F.struct(F.avg(as_column(c)), F.stddev_samp(as_column(c))).alias(c) for c in columns]

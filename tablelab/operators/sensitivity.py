@@ -6,7 +6,6 @@ import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.tuning import CrossValidator
@@ -18,7 +17,7 @@ from ..functions.groups import to_long
 from ..functions.hashing import standard_normal, uniform
 from ..functions.nulls import as_column, ratio, ratio_or_zero
 from ..functions.order import exact_quantiles, running_sums
-from ..session import ensure_checkpoint_dir
+from ..session import checkpointed, ensure_checkpoint_dir
 from .evaluate import LABEL, PREDICTION, PROBABILITY, ROBUSTNESS, metric_columns, metrics, threshold_sweep
 from .models import MacroF1, folds
 
@@ -40,7 +39,6 @@ def bootstrap_metrics(
     keys: Sequence[str],
     replicates: int = 100,
     seed: int = 42,
-    min_rows: int = 10,
     label: str = LABEL,
     probability: str = PROBABILITY,
     prediction: str = PREDICTION,
@@ -49,7 +47,7 @@ def bootstrap_metrics(
     """Metrics of the fixed scores on the out-of-bag rows of each replicate.
 
     A row is out of the bag of a replicate with probability 1/e, decided by the hash of its key and
-    the replicate (Poisson bootstrap). Replicates with fewer than ``min_rows`` rows are left out.
+    the replicate (Poisson bootstrap). ``n`` is the number of its rows; a replicate without rows is absent.
     """
     y, p = as_column(label), as_column(probability)
     drawn = df.select(*keys, y.alias("y"), p.alias("score"), as_column(prediction).alias("pred")).withColumn(
@@ -71,13 +69,13 @@ def bootstrap_metrics(
         (F.max("total_neg") - F.sum("false")).alias("tn"),
         F.try_divide(F.sum(won), F.max("total_pos").cast("double") * F.max("total_neg").cast("double")).alias("roc_auc"),
     )
-    per = per.filter(F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn") >= min_rows)
     figures = metric_columns()
-    return per.select("replicate", *[figures[m].alias(m) for m in METRICS[:-1]], "roc_auc")
+    rows = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    return per.select("replicate", rows.alias("n"), *[figures[m].alias(m) for m in METRICS[:-1]], "roc_auc")
 
 
-def bootstrap_intervals(per_replicate: DataFrame, confidence: float = 0.95, min_values: int = 10) -> DataFrame:
-    """Mean, population std and percentile interval of each metric with more than ``min_values`` values."""
+def bootstrap_intervals(per_replicate: DataFrame, confidence: float = 0.95) -> DataFrame:
+    """Mean, population std and percentile interval of each metric, with the number of its values."""
     tail = (1 - confidence) / 2
     wide = per_replicate.agg(
         *[
@@ -95,7 +93,7 @@ def bootstrap_intervals(per_replicate: DataFrame, confidence: float = 0.95, min_
         }
         for m in METRICS
     }
-    return to_long(wide, [], per, "metric").filter(F.col("n") > min_values)
+    return to_long(wide, [], per, "metric")
 
 
 # --- perturbation ------------------------------------------------------------------------------------
@@ -199,13 +197,12 @@ def repeated_cv(
 ) -> DataFrame:
     """Repeated stratified folds of a fixed model: mean, std, coefficient, min, max, range of four metrics."""
     ensure_checkpoint_dir(df.sparkSession)
-    k = min(5, k)
     rows = complete_cases(df.select(*dict.fromkeys([*keys, *features, label])), [*features, label])
     for r in range(repeats):
         rows = folds(rows, label, keys, k, seed + r, name=f"_fold{r}")
     ready = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
     ready = ready.select("features", as_column(label).alias("label"), *[f"_fold{r}" for r in range(repeats)])
-    ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
+    ready = checkpointed(ready)
     scored = []
     for r in range(repeats):
         for f in range(k):
@@ -267,13 +264,21 @@ def boundary(
     return df.agg(*aggs).select(F.inline(F.array(*cells)))
 
 
-def uncertainty(df: DataFrame, keys: Sequence[str], top: int = 100, probability: str = PROBABILITY) -> DataFrame:
-    """Mean probability of the ``top`` most uncertain rows; least and median distance from 0.5 over all rows."""
+#: Distances from 0.5 are counted in intervals of 0.05.
+UNCERTAINTY_INTERVALS = 10
+
+
+def uncertainty(df: DataFrame, probability: str = PROBABILITY) -> DataFrame:
+    """Rows, mean probability, and least, median and largest distance from 0.5, per interval of that distance."""
     p = as_column(probability)
-    rows = df.select(*keys, p.alias("_p"), F.abs(p - 0.5).alias("distance"))
-    nearest = rows.orderBy("distance", *keys).limit(top).agg(F.avg("_p").alias("mean_probability"))
-    least, median = exact_quantiles(rows, ["distance"], [0.0, 0.5]).first()["q"]
-    return nearest.select("mean_probability", F.lit(least).alias("min_uncertainty"), F.lit(median).alias("median_uncertainty"))
+    rows = df.filter(p.isNotNull()).select(p.alias("_p"), F.abs(p - 0.5).alias("distance"))
+    place = F.least(F.floor(F.col("distance") * (2 * UNCERTAINTY_INTERVALS)), F.lit(UNCERTAINTY_INTERVALS - 1)).cast("int")
+    rows = rows.withColumn("interval", place)
+    table = rows.groupBy("interval").agg(
+        F.count("*").alias("n"), F.avg("_p").alias("mean_probability"), F.min("distance").alias("min_uncertainty"), F.max("distance").alias("max_uncertainty")
+    )
+    median = exact_quantiles(rows, ["distance"], [0.5], by=["interval"]).select("interval", F.col("q")[0].alias("median_uncertainty"))
+    return table.join(median, "interval")
 
 
 # --- thresholds ----------------------------------------------------------------------------------------

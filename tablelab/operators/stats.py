@@ -2,68 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+import math
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.conditions import complete_cases
-from ..functions.groups import by_label
-from ..functions.hashing import row_hash, uniform
+from ..functions.moments import group_sums, pair_sums
 from ..functions.nulls import as_column, ratio
-from ..functions.order import SMALL_ROWS, null_safe_join
-from ..session import checkpointed
 
 # --- correlation ----------------------------------------------------------------------------------
 
 
-def _null_columns(df: DataFrame, columns: Sequence[str]) -> set[str]:
-    row = df.agg(F.count("*").alias("n"), *[F.count(as_column(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-    return {c for i, c in enumerate(columns) if row[f"c{i}"] != row["n"]}
+def correlation_matrix(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Long Pearson matrix (a, b, r) over pairwise-complete rows; r is null for a constant column or too few rows.
 
-
-def _correlation_aggs(columns: Sequence[str], nullable: set[str]) -> tuple[list[Column], dict[tuple[str, str], Column]]:
-    """Aggregates, and r per pair as an expression over them.
-
-    ``corr`` raises on a constant column under ANSI, so r is covariance over the product of the
-    deviations, all three over the rows complete in the pair. Columns without nulls share theirs.
+    ``n`` counts the group's rows.
     """
-    aggs: dict[str, Column] = {}
-    r: dict[tuple[str, str], Column] = {}
-
-    def deviation(i: int, j: int) -> Column:
-        x = as_column(columns[i]).cast("double")
-        partner = columns[j] in nullable
-        key = f"s{i}_{j}" if partner else f"s{i}"
-        aggs.setdefault(key, F.stddev_samp(F.when(as_column(columns[j]).isNotNull(), x) if partner else x))
-        return F.col(key)
-
-    for i in range(len(columns)):
-        for j in range(i + 1, len(columns)):
-            aggs[f"v{i}_{j}"] = F.covar_samp(as_column(columns[i]).cast("double"), as_column(columns[j]).cast("double"))
-            r[columns[i], columns[j]] = F.try_divide(F.col(f"v{i}_{j}"), deviation(i, j) * deviation(j, i))
-        aggs.setdefault(f"s{i}", F.stddev_samp(as_column(columns[i]).cast("double")))
-        r[columns[i], columns[i]] = F.when(F.col(f"s{i}") > 0, F.lit(1.0))
-    return [a.alias(k) for k, a in aggs.items()], r
-
-
-def correlation_matrix(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), min_rows: int = 0) -> DataFrame:
-    """Long Pearson matrix (a, b, r) over pairwise-complete rows; r is null for a constant column."""
-    columns = list(columns)
-    aggs, r = _correlation_aggs(columns, _null_columns(df, columns))
-    wide = df.groupBy(*by).agg(F.count("*").alias("n"), *aggs)
-    if min_rows:
-        wide = wide.filter(F.col("n") >= min_rows)
-    cells = []
-    for i, a in enumerate(columns):
-        for j, b in enumerate(columns):
-            pair = (a, b) if i <= j else (b, a)
-            cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r[pair].alias("r")))
-    return wide.select(*by, "n", F.inline(F.array(*cells)))
+    return _correlations(pair_sums(df, columns, by=by), list(columns), list(by))
+
+
+def _correlations(sums: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    cov = F.col("c") - F.col("si") * F.col("sj") / F.col("n")
+    spread = lambda q, s: F.col(q) - F.col(s) * F.col(s) / F.col("n")
+    # What rounding leaves of a constant column is no spread.
+    ok = (spread("qi", "si") > 1e-13 * F.col("qi")) & (spread("qj", "sj") > 1e-13 * F.col("qj"))
+    r = F.when(F.col("i") == F.col("j"), F.when(ok, 1.0)).otherwise(F.when(ok, cov / F.sqrt(spread("qi", "si") * spread("qj", "sj"))))
+    cells = sums.filter("i >= 0 and n > 0").select(*by, "i", "j", r.alias("r"))
+    cells = cells.unionByName(cells.filter("i <> j").select(*by, F.col("j").alias("i"), F.col("i").alias("j"), "r"))
+    rows = sums.filter("i < 0").select(*by, F.col("n"))
+    # Pairs without a common row have no sums of their own.
+    names = F.array(*[F.lit(c) for c in columns])
+    grid = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(len(columns) - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(len(columns) - 1))))
+    on = [F.col(f"g.{c}").eqNullSafe(F.col(f"c.{c}")) for c in by] + [F.col("g.i") == F.col("c.i"), F.col("g.j") == F.col("c.j")]
+    joined = grid.alias("g").join(cells.alias("c"), on, "left")
+    return joined.select(*[F.col(f"g.{c}").alias(c) for c in by], F.col("g.n").alias("n"), F.get(names, F.col("g.i")).alias("a"), F.get(names, F.col("g.j")).alias("b"), F.col("c.r").alias("r"))
 
 
 def correlation_values(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], float | None]:
@@ -83,9 +59,9 @@ def high_pairs(matrix: DataFrame, columns: Sequence[str], threshold: float = 0.7
     )
 
 
-def correlation_by_label(df: DataFrame, columns: Sequence[str], labels: Sequence[str], min_rows: int = 10) -> DataFrame:
-    """Matrix among the members of each label and over all rows; groups below ``min_rows`` are left out."""
-    return correlation_matrix(by_label(df, labels, overall=True), columns, by=["label"], min_rows=min_rows)
+def correlation_by_label(df: DataFrame, columns: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    """Matrix among the members of each label and over all rows, with the number of members."""
+    return _correlations(pair_sums(df, columns, labels=labels), list(columns), ["label"])
 
 
 # --- scaling and PCA --------------------------------------------------------------------------------
@@ -147,33 +123,28 @@ class FittedPca:
         return df.sparkSession.createDataFrame(rows, "component int, feature string, loading double")
 
 
-def fit_pca(df: DataFrame, columns: Sequence[str], k: int = 5, min_rows: int = 10) -> FittedPca | None:
-    """PCA of the scaled complete rows, or None below ``min_rows``. Each component's largest loading is positive.
+def fit_pca(df: DataFrame, columns: Sequence[str], k: int = 5) -> FittedPca | None:
+    """PCA of the scaled complete rows, or None without such a row. Each component's largest loading is positive.
 
-    The covariance of scaled columns is their correlation, so one aggregate gives scaling and matrix;
-    only the columns x columns matrix is decomposed on the driver.
+    The covariance of scaled columns is their correlation, so one scan gives scaling and matrix; only the
+    columns x columns matrix is decomposed on the driver.
     """
     columns = list(columns)
     p = len(columns)
     rows = complete_cases(df.select(*[as_column(c).cast("double").alias(c) for c in columns]), columns)
-    row = rows.agg(
-        F.count("*").alias("n"),
-        *[F.struct(F.avg(as_column(c)), F.stddev_pop(as_column(c))).alias(f"s{i}") for i, c in enumerate(columns)],
-        *[
-            F.covar_pop(as_column(columns[i]), as_column(columns[j])).alias(f"v{i}_{j}")
-            for i in range(p)
-            for j in range(i + 1, p)
-        ],
-    ).first()
-    n = row["n"]
-    if n < min_rows:
+    sums = {(r["i"], r["j"]): r for r in pair_sums(rows, columns).collect()}  # columns x columns
+    n = sums[-1, -1]["n"] if sums else 0
+    if not n:
         return None
-    std = [row[f"s{i}"][1] for i in range(p)]
+    mean = [sums[i, i]["shift"] + sums[i, i]["si"] / n for i in range(p)]
+    spread = [sums[i, i]["qi"] - sums[i, i]["si"] ** 2 / n for i in range(p)]
+    std = [math.sqrt(v / n) if v > 1e-13 * sums[i, i]["qi"] else 0.0 for i, v in enumerate(spread)]
     matrix = np.diag([1.0 if v else 0.0 for v in std])
     for i in range(p):
         for j in range(i + 1, p):
             if std[i] and std[j]:
-                matrix[i, j] = matrix[j, i] = row[f"v{i}_{j}"] / (std[i] * std[j])
+                r = sums[i, j]
+                matrix[i, j] = matrix[j, i] = (r["c"] - r["si"] * r["sj"] / n) / n / (std[i] * std[j])
     values, vectors = np.linalg.eigh(matrix)
     order = np.argsort(values)[::-1][: min(k, p, n)]
     loadings = vectors[:, order]
@@ -182,260 +153,62 @@ def fit_pca(df: DataFrame, columns: Sequence[str], k: int = 5, min_rows: int = 1
     signs = np.sign(loadings[leading, range(len(order))])
     total = float(np.trace(matrix))
     ratios = [float(max(values[i], 0.0) / total) if total else 0.0 for i in order]
-    return FittedPca(columns, {c: (row[f"s{i}"][0], std[i]) for i, c in enumerate(columns)}, ratios, loadings * signs)
+    return FittedPca(columns, {c: (mean[i], std[i]) for i, c in enumerate(columns)}, ratios, loadings * signs)
 
 
-def pca_points(df: DataFrame, fitted: FittedPca, keep: Sequence[str], sample: int | None = None, key: str | None = None) -> DataFrame:
-    """PC1/PC2 per complete row with the kept columns; for drawing, the ``sample`` rows of lowest key hash."""
-    out = fitted.project(complete_cases(df, fitted.columns), 2).select(*keep, "pc1", "pc2")
-    if sample is None:
-        return out
-    return out.orderBy(row_hash([key or keep[0]], 42), key or keep[0]).limit(sample)
+def pca_points(df: DataFrame, fitted: FittedPca, keep: Sequence[str]) -> DataFrame:
+    """PC1/PC2 per complete row with the kept columns."""
+    return fitted.project(complete_cases(df, fitted.columns), 2).select(*keep, "pc1", "pc2")
 
 
 # --- similarity inside a group ---------------------------------------------------------------------
 
 
-def cosine_similarity(df: DataFrame, label: str, columns: Sequence[str], fit: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:
-    """Mean and population std of the cosine over ordered pairs i != j of each group, exactly and without pairs.
+def _similarity(df: DataFrame, columns: Sequence[str], fit, **groups) -> DataFrame:
+    """Figures of the ordered pairs i != j of each group, exactly and without pairs.
 
-    With unit rows u, S = sum(u), G = sum(u u') and m non-zero rows of n:
-    mean = (|S|^2 - m) / (n (n-1)) and mean of squares = (|G|^2 - m) / (n (n-1)).
+    With unit rows u, S = sum(u), G = sum(u u') and m non-zero rows of n, the cosine has the mean
+    (|S|^2 - m) / (n (n-1)) and the mean square (|G|^2 - m) / (n (n-1)); the squared distance has the mean
+    2 (n sum(|z|^2) - |sum(z)|^2) / (n (n-1)). A task hands out these sums, so rows of a group never meet.
     """
     columns = list(columns)
     rows = complete_cases(df, columns)
     fit = fit or fit_scaling(rows, columns)
-    p = range(len(columns))
-    z = rows.select(as_column(label).alias("label"), *[scaled(c, fit).alias(f"z{i}") for i, c in enumerate(columns)])
-    square = F.lit(0.0)
-    for i in p:
-        square = square + F.col(f"z{i}") * F.col(f"z{i}")
-    u = z.withColumn("len", F.sqrt(square)).select(
-        "label",
-        (F.col("len") > 0).cast("int").alias("nonzero"),
-        *[F.coalesce(F.try_divide(F.col(f"z{i}"), F.col("len")), F.lit(0.0)).alias(f"u{i}") for i in p],
-    )
-    wide = u.groupBy("label").agg(
-        F.count("*").alias("n"),
-        F.sum("nonzero").alias("m"),
-        *[F.sum(f"u{i}").alias(f"s{i}") for i in p],
-        *[F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"g{i}_{j}") for i in p for j in p if i <= j],
-    )
-    s2 = sum((F.col(f"s{i}") * F.col(f"s{i}") for i in p), F.lit(0.0))
-    g2 = sum(
-        (F.col(f"g{i}_{j}") * F.col(f"g{i}_{j}") * (1.0 if i == j else 2.0) for i in p for j in p if i <= j),
-        F.lit(0.0),
+    z = scale(rows, columns, fit)
+
+    def sums(x: np.ndarray) -> dict[tuple[int, int], float]:
+        squares = (x * x).sum(1)
+        length = np.sqrt(squares)
+        u = np.divide(x, length[:, None], out=np.zeros_like(x), where=length[:, None] > 0)
+        gram, p = u.T @ u, x.shape[1]
+        cells = {(i, j): gram[i, j] for i in range(p) for j in range(i, p)}
+        cells |= {(i, -1): v for i, v in enumerate(u.sum(0))} | {(i, -2): v for i, v in enumerate(x.sum(0))}
+        return cells | {(-1, 0): float(len(x)), (-1, 1): float((length > 0).sum()), (-1, 2): float(squares.sum())}
+
+    parts = group_sums(z, columns, sums, "i int, j int, v double", **groups)
+    names = [f.name for f in parts.schema.fields[:-3]]
+    cells = parts.groupBy(*names, "i", "j").agg(F.sum("v").alias("v"))
+    part = lambda test, value: F.coalesce(F.sum(F.when(F.expr(test), value)), F.lit(0.0))
+    square = F.col("v") * F.col("v")
+    wide = cells.groupBy(*names).agg(
+        part("i = -1 and j = 0", F.col("v")).alias("n"), part("i = -1 and j = 1", F.col("v")).alias("m"), part("i = -1 and j = 2", F.col("v")).alias("zz"),
+        part("j = -1", square).alias("s2"), part("j = -2", square).alias("z2"), part("i >= 0 and j >= 0", F.when(F.col("i") == F.col("j"), square).otherwise(2 * square)).alias("g2"),
     )
     pairs = F.col("n") * (F.col("n") - 1)
-    mean, square_mean = ratio(s2 - F.col("m"), pairs), ratio(g2 - F.col("m"), pairs)
-    return (
-        wide.filter(F.col("n") > 1)
-        .select("label", "n", mean.alias("cosine_mean"), square_mean.alias("_sq"))
-        .withColumn("cosine_std", F.sqrt(F.greatest(F.col("_sq") - F.col("cosine_mean") ** 2, F.lit(0.0))))
-        .drop("_sq")
-    )
-
-
-def group_sample(df: DataFrame, label: str, key: str, size: int, seed: int = 42) -> DataFrame:
-    """Per group the ``size`` rows of lowest key hash, with their position.
-
-    Large groups are thinned by hash first, so that the ordering window only sees about twice the
-    wanted rows of each group. The expected surplus makes a shortfall practically impossible.
-    """
-    sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
-    thinned = (
-        null_safe_join(df, sizes, [label], small=SMALL_ROWS)
-        .filter(uniform([key], seed) * F.col("_n") < F.lit(float(2 * size + 1000)))
-        .drop("_n")
-    )
-    order = Window.partitionBy(label).orderBy(row_hash([key], seed), key)
-    return thinned.withColumn("_position", F.row_number().over(order) - 1).filter(F.col("_position") < size)
-
-
-_BLOCK = 250
-
-
-def member_blocks(
-    df: DataFrame, label: str, key: str, columns: Sequence[str], max_samples: int, seed: int = 42,
-    fit: Mapping[str, tuple[float, float]] | None = None,
-) -> DataFrame:
-    """Sampled members of each group in blocks of at most 250 scaled rows: (label, block, members)."""
-    rows = complete_cases(df.select(label, key, *columns), columns)
-    fit = fit or fit_scaling(rows, columns)
-    z = rows.select(label, key, F.array(*[scaled(c, fit) for c in columns]).alias("z"))
-    return (
-        group_sample(z, label, key, max_samples, seed)
-        .withColumn("block", F.floor(F.col("_position") / _BLOCK).cast("int"))
-        .groupBy(as_column(label).alias("label"), "block")
-        .agg(F.collect_list("z").alias("members"))
-    )
-
-
-def block_pairs(blocks: DataFrame) -> DataFrame:
-    """Every pair of blocks of a group once: a few hundred rows per group, each a bounded matrix product."""
-    right = blocks.select(
-        F.col("label").alias("label_r"), F.col("block").alias("block_r"), F.col("members").alias("members_r")
-    )
-    on = F.col("label").eqNullSafe(F.col("label_r")) & (F.col("block") <= F.col("block_r"))
-    return blocks.join(right, on).select("label", "members", "members_r", (F.col("block") == F.col("block_r")).alias("same"))
-
-
-def _similarities(a: np.ndarray, b: np.ndarray, same: bool) -> dict[str, np.ndarray]:
-    """Both similarities of all unordered pairs between two blocks."""
-    d = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-    length = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
-    dot = a @ b.T
-    cos = np.divide(dot, length, out=np.zeros_like(dot), where=length > 0)
-    pick = np.triu_indices(len(a), 1) if same else (slice(None), slice(None))
-    return {"euclidean": (1.0 / (1.0 + d))[pick].ravel(), "cosine": cos[pick].ravel()}
-
-
-def _pair_values(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[object, str, np.ndarray]]:
-    for pdf in batches:
-        for label, left, right, same in zip(pdf["label"], pdf["members"], pdf["members_r"], pdf["same"]):
-            for metric, values in _similarities(np.vstack(left), np.vstack(right), bool(same)).items():
-                if len(values):
-                    yield label, metric, values
-
-
-def pair_moments(pairs: DataFrame) -> DataFrame:
-    """(label, metric): pairs, mean, population std, min, max; partial sums leave the tasks, never the pairs."""
-    kind = pairs.schema["label"].dataType.simpleString()
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for label, metric, v in _pair_values(batches):
-            m = v.mean()
-            yield pd.DataFrame(
-                {"label": [label], "metric": [metric], "n": [len(v)], "total": [v.sum()], "mean": [m],
-                 "ss": [((v - m) ** 2).sum()], "lo": [v.min()], "hi": [v.max()]}
-            )
-
-    parts = pairs.mapInPandas(
-        partial, f"label {kind}, metric string, n long, total double, mean double, ss double, lo double, hi double"
-    )
-    # Merge of partial variances: sum(ss) + sum(n * mean^2) - N * MEAN^2.
-    return parts.groupBy("label", "metric").agg(
-        F.sum("n").alias("pairs"),
-        (F.sum("total") / F.sum("n")).alias("mean"),
-        F.sqrt(
-            F.greatest(
-                (F.sum("ss") + F.sum(F.col("n") * F.col("mean") * F.col("mean"))) / F.sum("n")
-                - (F.sum("total") / F.sum("n")) ** 2,
-                F.lit(0.0),
-            )
-        ).alias("std"),
-        F.min("lo").alias("min"),
-        F.max("hi").alias("max"),
+    wide = wide.withColumn("cosine_mean", ratio(F.col("s2") - F.col("m"), pairs))
+    spread = ratio(F.col("g2") - F.col("m"), pairs) - F.col("cosine_mean") * F.col("cosine_mean")
+    return wide.select(
+        *names, F.col("n").cast("long").alias("n"), "cosine_mean", F.sqrt(F.greatest(spread, F.lit(0.0))).alias("cosine_std"),
+        F.greatest(ratio(2 * (F.col("n") * F.col("zz") - F.col("z2")), pairs), F.lit(0.0)).alias("squared_distance_mean"),
     )
 
 
-_STEPS = 4096
-
-
-def pair_medians(pairs: DataFrame, moments: DataFrame) -> DataFrame:
-    """Exact median per (label, metric) by narrowing a value bracket with counts; pairs are never emitted.
-
-    Every round splits the bracket of each wanted rank into 4096 steps and keeps the step that holds
-    the rank, until one value is left.
-    """
-    kind = pairs.schema["label"].dataType.simpleString()
-    found = moments.select("label", "metric", "pairs", "min", "max").collect()  # one row per group and metric
-    brackets: dict[tuple, list[float]] = {}
-    for r in found:
-        for rank in {(r["pairs"] - 1) // 2, r["pairs"] // 2}:
-            brackets[r["label"], r["metric"], rank] = [r["min"], r["max"]]
-    answers: dict[tuple, float] = {k: lo for k, (lo, hi) in brackets.items() if lo == hi}
-
-    while len(answers) < len(brackets):
-        todo: dict[tuple, list[tuple[int, float, float]]] = {}
-        for (label, metric, rank), (lo, hi) in brackets.items():
-            if (label, metric, rank) not in answers:
-                todo.setdefault((label, metric), []).append((rank, lo, hi))
-
-        def count(batches: Iterator[pd.DataFrame], todo=todo) -> Iterator[pd.DataFrame]:
-            for label, metric, v in _pair_values(batches):
-                for rank, lo, hi in todo.get((label, metric), ()):
-                    inside = v[(v >= lo) & (v <= hi)]
-                    step = np.minimum(((inside - lo) / (hi - lo) * _STEPS).astype(np.int64), _STEPS - 1)
-                    out = pd.DataFrame({"step": step, "v": inside}).groupby("step")["v"].agg(["size", "min", "max"])
-                    out = out.reset_index()
-                    out.loc[len(out)] = [-1, int((v < lo).sum()), np.nan, np.nan]
-                    out.columns = ["step", "n", "lo", "hi"]
-                    out[["step", "n"]] = out[["step", "n"]].astype("int64")
-                    yield out.assign(label=label, metric=metric, rank=rank)
-
-        schema = f"step long, n long, lo double, hi double, label {kind}, metric string, rank long"
-        steps = (
-            pairs.mapInPandas(count, schema)
-            .groupBy("label", "metric", "rank", "step")
-            .agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-            .orderBy("step")
-            .collect()  # at most 4097 rows per group, metric and rank
-        )
-        seen: dict[tuple, int] = {}
-        for s in steps:
-            key = (s["label"], s["metric"], s["rank"])
-            before = seen.get(key, 0)
-            seen[key] = before + s["n"]
-            if s["step"] >= 0 and before <= s["rank"] < seen[key]:
-                brackets[key] = [s["lo"], s["hi"]]
-                if s["lo"] == s["hi"]:
-                    answers[key] = s["lo"]
-    rows = []
-    for r in found:
-        middle = sorted({(r["pairs"] - 1) // 2, r["pairs"] // 2})
-        rows.append((r["label"], r["metric"], float(np.mean([answers[r["label"], r["metric"], k] for k in middle]))))
-    return pairs.sparkSession.createDataFrame(rows, f"label {kind}, metric string, median double")
-
-
-def pair_similarity(
-    df: DataFrame, label: str, key: str, columns: Sequence[str], max_samples: int = 5000, seed: int = 42,
-    median: bool = False, fit: Mapping[str, tuple[float, float]] | None = None,
-) -> DataFrame:
-    """Euclidean 1/(1+d) and cosine similarity over the pairs of at most ``max_samples`` members per group.
-
-    ``fit`` is the scaling of all rows where ``df`` repeats rows, as under overlapping labels.
-    """
-    blocks = member_blocks(df, label, key, columns, max_samples, seed, fit)
-    if median:
-        blocks = checkpointed(blocks)  # the bounded sample, read once per narrowing round
-    pairs = block_pairs(blocks)
-    moments = pair_moments(pairs)
-    if not median:
-        return moments
-    return null_safe_join(moments, pair_medians(pairs, moments), ["label", "metric"])
-
-
-def similarity_comparison(df: DataFrame, labels: Sequence[str], key: str, columns: Sequence[str], max_samples: int = 5000) -> DataFrame:
-    """One row per label that has members: exact cosine and sampled Euclidean similarity side by side."""
-    rows = complete_cases(df, columns)
-    fit = fit_scaling(rows, columns)
-    members = by_label(rows, labels)
-    cosine = cosine_similarity(members, "label", columns, fit)
-    euclid = pair_similarity(members, "label", key, columns, max_samples, fit=fit).filter(F.col("metric") == "euclidean")
-    return cosine.join(
-        euclid.select("label", F.col("mean").alias("euclidean_mean"), F.col("std").alias("euclidean_std")), "label", "left"
-    )
-
+def cosine_similarity(df: DataFrame, label: str, columns: Sequence[str], fit: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Members, mean and population std of the cosine over the pairs of each group of two or more."""
+    found = _similarity(df, columns, fit, by=[label]).withColumnRenamed(label, "label")
+    return found.filter("n > 1").select("label", "n", "cosine_mean", "cosine_std")
 
-def similarity_block(df: DataFrame, label: str, key: str, columns: Sequence[str], size: int = 500, seed: int = 42) -> DataFrame:
-    """Similarity matrix of at most ``size`` members per group: one row per member, its similarities as an array.
 
-    ``similar`` follows the ascending keys of the group's sample.
-    """
-    rows = complete_cases(df.select(label, key, *columns), columns)
-    fit = fit_scaling(rows, columns)
-    z = rows.select(as_column(label).alias("label"), as_column(key).alias("key"), F.array(*[scaled(c, fit) for c in columns]).alias("z"))
-    sample = group_sample(z, "label", "key", size, seed).select("label", "key", "z")
-    matrix = sample.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("key", "z"))).alias("members"))
-
-    def distance(a: Column, b: Column) -> Column:
-        squares = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-        return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x))
-
-    member = F.explode("members").alias("m")
-    return matrix.select("label", "members", member).select(
-        "label",
-        F.col("m.key").alias("key"),
-        F.transform("members", lambda o: 1.0 / (1.0 + distance(F.col("m.z"), o["z"]))).alias("similar"),
-    )
+def similarity_comparison(df: DataFrame, labels: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """One row per label that has two members: exact cosine and mean squared distance side by side."""
+    return _similarity(df, columns, None, labels=labels, overall=False).filter("n > 1")

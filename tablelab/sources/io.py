@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,10 +42,10 @@ def read_csv_tolerant(spark: SparkSession, path: str, schema: T.StructType, **op
         .options(**options)
         .csv(path)
     )
-    # Spark marks short rows too; only those with a value in the last column have too many fields.
-    last = schema.fields[-1].name
-    too_long = F.col(CORRUPT).isNotNull() & F.col(last).isNotNull()
-
+    # Spark marks short rows too, so the fields of a marked row are counted: separators outside quotes, and one.
+    # Spark reads the marked line only together with a column of the file.
+    some = F.coalesce(F.length(F.col(f"`{schema.fields[-1].name}`")), F.lit(0)) >= 0
+    too_long = F.col(CORRUPT).isNotNull() & some & (_fields(F.col(CORRUPT), options) > len(schema.fields))
 
     typed = [
         (to_number(f.name).try_cast(f.dataType) if is_numeric(f.dataType) else F.col(f"`{f.name}`").try_cast(f.dataType)).alias(f.name)
@@ -53,6 +54,14 @@ def read_csv_tolerant(spark: SparkSession, path: str, schema: T.StructType, **op
     return raw.filter(~too_long).select(*typed), raw.filter(too_long).select(CORRUPT)
 
 
+def _fields(line: Column, options: Mapping[str, str]) -> Column:
+    """Number of fields of a CSV line."""
+    quote, escape, separator = (options.get(k, v) for k, v in (("quote", '"'), ("escape", "\\"), ("sep", options.get("delimiter", ","))))
+    q, e = re.escape(quote), re.escape(escape)
+    bare = F.regexp_replace(line, f"{q}(?:[^{q}{e}]|{e}.|{q}{q})*{q}", "") if quote else line
+    return F.size(F.split(bare, re.escape(separator), -1))
+
+
 def write_table(df: DataFrame, path: str, mode: str = "error") -> None:
     """Parquet, or CSV with a header for a path ending in .csv."""
     if path.rstrip("/").endswith(".csv"):

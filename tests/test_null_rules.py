@@ -150,3 +150,14 @@ def test_quasi_constant_candidate(spark):
 def test_correlated_columns_use_the_full_matrix():
     r = {("a", "b"): 0.99, ("b", "c"): -0.99, ("a", "c"): 0.1, ("a", "d"): None}
     assert clean.correlated_columns(["a", "b", "c", "d"], r, 0.95) == ["b", "c"]
+
+
+def test_whole_numbers_beyond_double_keep_their_digits(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, str(big), 1), (-big, " -3 ", -1), (0, "2.0", 0), (None, "x", None)], "n long, t string, i int")
+    whole, rest = clean.fit_integers(df, ["n", "t", "i"])
+    assert (whole, rest) == (["n", "t", "i"], [])
+    assert [tuple(r) for r in clean.enforce_types(df, whole).collect()] == [(big, big, 1), (-big, -3, -1), (0, 2, 0), (None, None, None)]
+    out = clean.null_zeros(clean.null_negatives(df, ["n", "i"]), ["n", "i"])
+    assert dict(out.dtypes)["n"] == "bigint" and [tuple(r)[::2] for r in out.collect()] == [(big, 1), (None, None), (None, None), (None, None)]
+    assert clean.coerce_numeric(df, ["n"]).first()["n"] == big

@@ -1,7 +1,9 @@
 """Statistics and models against brute force, and properties that must hold for any input."""
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tablelab.functions.hashing import standard_normal, uniform
@@ -35,27 +37,37 @@ def brute_pairs(points, fit):
     return values
 
 
-def test_similarity_equals_brute_force(points, monkeypatch):
-    monkeypatch.setattr(st, "_BLOCK", 16)
-    monkeypatch.setattr(st, "_STEPS", 4)
+def test_similarity_equals_brute_force(points):
     want = brute_pairs(points, st.fit_scaling(points.dropna(), COLS))
     exact = {r["label"]: r for r in st.cosine_similarity(points, "g", COLS).collect()}
-    for r in st.pair_similarity(points, "g", "id", COLS, median=True).collect():
-        v = want[r["label"]][r["metric"]]
-        assert r["pairs"] == len(v)
-        assert (r["mean"], r["std"], r["min"], r["max"], r["median"]) == pytest.approx(
-            (v.mean(), v.std(), v.min(), v.max(), np.median(v)), abs=1e-9
-        )
-        if r["metric"] == "cosine":
-            assert (exact[r["label"]]["cosine_mean"], exact[r["label"]]["cosine_std"]) == pytest.approx((v.mean(), v.std()), abs=1e-9)
-
-
-def test_group_sample_is_bounded_and_stable(spark):
-    df = spark.range(9000).select("id", F.when(F.col("id") < 8900, "hot").otherwise("cold").alias("g"))
-    pick = lambda frame: {(r["g"], r["id"]) for r in st.group_sample(frame, "g", "id", 150).collect()}
-    got = pick(df)
-    assert got == pick(df.repartition(11))
-    assert sum(g == "hot" for g, _ in got) == 150 and sum(g == "cold" for g, _ in got) == 100
+    groups = sorted(want, key=str)
+    flags = points.dropna().withColumns({f"in_{k}": F.col("g").eqNullSafe(F.lit(g)).cast("int") for k, g in enumerate(groups)})
+    apart = {r["label"]: r for r in st.similarity_comparison(flags, [f"in_{k}" for k in range(len(groups))], COLS).collect()}
+    for k, g in enumerate(groups):
+        v, squares = want[g]["cosine"], (1 / want[g]["euclidean"] - 1) ** 2
+        if not len(v):
+            continue
+        r, pair = exact[g], apart[f"in_{k}"]
+        assert (r["cosine_mean"], r["cosine_std"]) == pytest.approx((v.mean(), v.std()), abs=1e-9)
+        assert (pair["cosine_mean"], pair["squared_distance_mean"]) == pytest.approx((v.mean(), squares.mean()), abs=1e-9)
+
+
+def test_wide_correlation_takes_one_scan_of_tasks(spark):
+    rng = np.random.default_rng(0)
+    data = rng.normal(size=(300, 40)) * 10.0 ** rng.integers(-3, 3, 40) + 10.0 ** rng.integers(0, 8, 40)
+    data[:, 7] = 5.5
+    frame = pd.DataFrame(data, columns=[f"c{i}" for i in range(40)])
+    frame.loc[rng.random(300) < 0.2, "c3"] = np.nan
+    frame["all_null"] = np.nan
+    df = spark.createDataFrame(frame).replace(float("nan"), None)
+    got = {(r["a"], r["b"]): r["r"] for r in st.correlation_matrix(df, list(frame)).collect()}
+    want = frame.corr()
+    assert len(got) == 41 * 41
+    for (a, b), r in got.items():
+        if np.isnan(want.loc[a, b]) or "c7" in (a, b):
+            assert r is None
+        else:
+            assert r == pytest.approx(want.loc[a, b], abs=1e-8)
 
 
 def test_correlation_with_missing_and_constant(spark):
@@ -71,7 +83,7 @@ def test_pca_matches_eigenvalues(points):
     fitted = st.fit_pca(points, COLS, 5)
     assert fitted.ratios == pytest.approx(list(eigen), abs=1e-9)
     assert all(fitted.loadings[np.abs(fitted.loadings).argmax(axis=0), range(3)] > 0)
-    assert st.fit_pca(points.limit(5), COLS) is None
+    assert st.fit_pca(points.limit(0), COLS) is None and len(st.fit_pca(points.dropna().limit(5), COLS).ratios) == min(5, len(COLS))
 
 
 def brute_auc(y, p):
@@ -174,3 +186,18 @@ def test_one_hot_categories_reach_the_importances(learnable):
     df = learnable.withColumn("kind", F.when(F.col("y") == 1, "p").otherwise("q"))
     m = mo.train(df, ["w"], "y", ["id"], "tree", {"maxDepth": (2,)}, k=2, categorical=["kind"])
     assert m.metrics["f1_macro"] == 1.0 and list(m.importances)[0].startswith("kind")
+
+
+def test_splits_by_category_are_rules_over_categories(spark, learnable):
+    df = learnable.withColumn("kind", F.when(F.col("y") == 1, "p").otherwise("q"))
+    m = mo.train(df, ["w"], "y", ["id"], "tree", {"maxDepth": (2,)}, k=2, categorical=["kind"])
+    rules = mo.rule_table(spark, m)
+    assert rules.filter("categories is not null and threshold is null and feature like 'kind%'").count() >= 1
+    assert mo.split_ranges(rules).filter("feature like 'kind%'").count() == 0
+    slots = [n for n in m.vector_names if n.startswith("kind")]
+    encoded = m.score(df)
+    values = m.prepare.transform(df).select("id", F.posexplode(vector_to_array("features")).alias("at", "v"))
+    wide = values.groupBy("id").pivot("at").agg(F.first("v")).toDF("id", *m.vector_names).join(encoded.select("id", "prediction"), "id")
+    for r in mo.leaf_rules(spark, rules).collect():
+        assert wide.filter(r["predicate"]).filter(F.col("prediction") != r["prediction"]).count() == 0
+    assert slots
