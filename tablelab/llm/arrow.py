@@ -12,6 +12,19 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import words
 
 
+#: Rows of one Arrow batch: texts are long rows, and a task holds a batch several times on its way to Python.
+BATCH_ROWS = 1000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The table, after lowering the session's Arrow batches to ``BATCH_ROWS`` rows where they are larger."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_KEY)) <= BATCH_ROWS:
+        conf.set(_BATCH_KEY, str(BATCH_ROWS))
+    return df
+
+
 def add_columns(df: DataFrame, text: str, keep: Sequence[str], fields: Sequence[tuple[str, T.DataType]], make: Callable[[], Callable], also: Sequence[str] = ()) -> DataFrame:
     """``keep`` columns of every row and the ``fields`` that are made from its text.
 
@@ -35,7 +48,7 @@ def add_columns(df: DataFrame, text: str, keep: Sequence[str], fields: Sequence[
                 arrays += [m if isinstance(m, pa.Array) else pa.array(m, kind) for m, kind in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return selected.mapInArrow(run, schema)
+    return small_batches(selected).mapInArrow(run, schema)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .arrow import stored
+from .arrow import small_batches, stored
 
 ALPHA = 0.4
 LEAST = 2
@@ -241,7 +241,7 @@ def _unpacked(sums: DataFrame) -> DataFrame:
 def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = ALPHA, least: int = LEAST, part_bytes: int = PART_BYTES) -> DataFrame:
     """(id, n_words, log_score): words and the sum of the logarithms of their scores, of ids with words."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("text is not null")
-    total, heavy = _heavy_counts(rows)
+    total, heavy = _heavy_counts(small_batches(rows))
     parts = max(1, math.ceil(total * ENTRY_BYTES / part_bytes))
     shared = rows.sparkSession.sparkContext.broadcast(heavy)
     exploded = _explode(rows, shared, parts)

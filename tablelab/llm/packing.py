@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from .arrow import add_columns
+from .arrow import add_columns, small_batches
 
 SEQUENCE = 2048
 END_TOKEN = 1
@@ -202,7 +202,7 @@ def pack(
         if kind is not None and (out := packer.finish()):
             yield _batch(out, names, kind)
 
-    return ordered.mapInArrow(run, schema)
+    return small_batches(ordered).mapInArrow(run, schema)
 
 
 def _batch(rows: list[tuple], names: list[str], kind: pa.DataType) -> pa.RecordBatch:
