@@ -56,6 +56,9 @@ def _(s, d):
     return df.select("id", mo.class_weight(df, "label", "ratio").alias("ratio"), mo.class_weight(df, "label", "balanced").alias("balanced"))
 
 
+#: Smaller than the library's own grids, which take minutes at the test sizes; every row is fitted.
+GRIDS = {"gbt": {"maxDepth": (3,), "maxIter": (5, 8)}, "tree": {"maxDepth": (2, 4), "minInstancesPerNode": (5, 20)}}
+
 _FITTED: dict[tuple, mo.Trained] = {}
 
 
@@ -63,30 +66,38 @@ def trained(s, d, learner: str, label: str = "bulk") -> mo.Trained:
     """One fit per session, table folder, learner and label, shared by the queries that look into it."""
     key = (s.sparkContext.applicationId, d, learner, label)
     if key not in _FITTED:
-        grid = {"maxDepth": (3,), "maxIter": (5, 8)} if learner == "gbt" else {"maxDepth": (2, 4), "minInstancesPerNode": (5, 20)}
-        _FITTED[key] = mo.train(view(s, d, L), FEATURES, label, KEYS, learner, grid, k=3)
+        _FITTED[key] = mo.train(view(s, d, L), FEATURES, label, KEYS, learner, GRIDS[learner], k=3)
     return _FITTED[key]
 
 
-def _figures(s, m: mo.Trained) -> DataFrame:
-    return s.createDataFrame([(k, v) for k, v in m.metrics.items()], "metric string, value double")
+def _constants(*rows: tuple) -> str:
+    """SQL of a few constant rows; the names stand in the first."""
+    names, *values = rows
+    return sql("SELECT * FROM (VALUES " + ", ".join(f"({', '.join(v)})" for v in values) + f") AS v({', '.join(names)})")
+
 
+# A fitted model has no SQL twin, so these queries check what must hold of it: quality over a floor, and figures
+# that are recomputed from the data or from the model's own rules. ``bulk`` follows from quantity and discount.
+FLOOR = 0.95
 
-@query("t4_gbt")
+
+@query("t4_gbt", _constants(("metric", "over_floor"), *[(f"'{m}'", "true") for m in ("accuracy", "f1_macro", "precision", "recall", "roc_auc")]))
 def _(s, d):
-    return _figures(s, trained(s, d, "gbt"))
+    m = trained(s, d, "gbt")
+    return s.createDataFrame([(k, m.metrics[k] > FLOOR) for k in ("accuracy", "f1_macro", "precision", "recall", "roc_auc")], "metric string, over_floor boolean")
 
 
-@query("t5_tree")
+@query("t5_tree", _constants(("metric", "over_floor"), *[(f"'{m}'", "true") for m in ("accuracy", "f1_macro", "precision", "recall", "roc_auc")]))
 def _(s, d):
-    return _figures(s, trained(s, d, "tree"))
+    m = trained(s, d, "tree")
+    return s.createDataFrame([(k, m.metrics[k] > FLOOR) for k in ("accuracy", "f1_macro", "precision", "recall", "roc_auc")], "metric string, over_floor boolean")
 
 
-@query("t6_grid")
+@query("t6_grid", _constants(("name", "ok"), ("'maxDepth'", "true"), ("'minInstancesPerNode'", "true"), ("'cv_mean'", "true"), ("'cv_std'", "true")))
 def _(s, d):
     m = trained(s, d, "tree")
-    rows = [(k, float(v)) for k, v in m.best_params.items()] + [("cv_mean", m.metrics["cv_mean"]), ("cv_std", m.metrics["cv_std"])]
-    return s.createDataFrame(rows, "name string, value double")
+    rows = [(k, v in GRIDS["tree"][k]) for k, v in m.best_params.items()]
+    return s.createDataFrame([*rows, ("cv_mean", m.metrics["cv_mean"] > FLOOR), ("cv_std", m.metrics["cv_std"] < 0.05)], "name string, ok boolean")
 
 
 @query("t7_onehot", sql("SELECT id, CASE lang WHEN l1 THEN 0 WHEN l2 THEN 1 WHEN l3 THEN 2 ELSE 3 END AS category FROM (SELECT doc_id AS id, lang FROM documents), (SELECT q[1] l1, q[2] l2, q[3] l3 FROM (SELECT list(lang ORDER BY n DESC, lang) AS q FROM (SELECT lang, count(*) n FROM documents GROUP BY lang)))"))
@@ -100,79 +111,106 @@ def _(s, d):
     return out.select("id", (hot - 1).alias("category"))
 
 
-@query("t8_label_models")
+# ``returned`` has nothing to do with the features, so a model of it is no better than a guess.
+@query("t8_label_models", _constants(("label", "over_floor", "a_guess"), ("'bulk'", "true", "false"), ("'returned'", "false", "true")))
 def _(s, d):
-    return mo.compare(s, {n: trained(s, d, "tree", n) for n in ("bulk", "returned")}).select("label", "f1_macro", "roc_auc")
+    table = mo.compare(s, {n: trained(s, d, "tree", n) for n in ("bulk", "returned")})
+    return table.select("label", (F.col("f1_macro") > FLOOR).alias("over_floor"), (F.abs(F.col("roc_auc") - 0.5) < 0.1).alias("a_guess"))
 
 
-@query("t9_importance")
+@query("t9_importance", _constants(("total", "top_two"), ("1.0::DOUBLE", "'disc,qty'")))
 def _(s, d):
-    return mo.importance_table(s, trained(s, d, "gbt"), top=3)
+    table = mo.importance_table(s, trained(s, d, "gbt"))
+    first = F.array_join(F.array_sort(F.transform(F.slice(F.array_sort(F.collect_list(F.struct(-F.col("importance"), "feature"))), 1, 2), lambda x: x["feature"])), ",")
+    return table.agg(F.round(F.sum("importance"), 9).alias("total"), first.alias("top_two"))
 
 
-@query("t10_split_counts")
+@query("t10_split_counts", _constants(("wrong",), ("0::BIGINT",)))
 def _(s, d):
-    return mo.split_importance(mo.rule_table(s, trained(s, d, "gbt")))
+    rules = mo.rule_table(s, trained(s, d, "gbt"))
+    inner = rules.filter(F.col("left").isNotNull()).groupBy(F.col("feature").alias("f")).agg(F.count("*").alias("n"))
+    both = mo.split_importance(rules).join(inner, F.col("feature") == F.col("f"), "full")
+    return both.agg(F.count_if(~F.col("splits").eqNullSafe(F.col("n")) | (F.col("gain") < 0)).alias("wrong"))
 
 
-@query("t11_rules")
+@query("t11_rules", _constants(("wrong",), ("0::BIGINT",)))
 def _(s, d):
-    return mo.rule_table(s, trained(s, d, "gbt"))
+    # The rows of a node are those of its children.
+    rules = mo.rule_table(s, trained(s, d, "gbt"))
+    below = rules.groupBy("tree", F.col("parent").alias("node")).agg(F.sum("count").alias("below"))
+    both = rules.filter(F.col("left").isNotNull()).join(below, ["tree", "node"], "left")
+    return both.agg(F.count_if(~F.col("below").eqNullSafe(F.col("count"))).alias("wrong"))
 
 
-@query("t11_leaf_rules")
+@query("t11_leaf_rules", sql(f"SELECT count(*) AS covered, 0::BIGINT AS wrong FROM {L}", L))
 def _(s, d):
-    return mo.leaf_rules(s, mo.rule_table(s, trained(s, d, "tree")))
+    m = trained(s, d, "tree")
+    rules = mo.leaf_rules(s, mo.rule_table(s, m)).collect()  # model size
+    rows = m.score(view(s, d, L))
+    hits = reduce(lambda a, b: a + b, [F.expr(r["predicate"]).cast("int") for r in rules])
+    wrong = reduce(lambda a, b: a | b, [F.expr(r["predicate"]) & (F.col("prediction") != r["prediction"]) for r in rules])
+    return rows.agg(F.sum(hits).alias("covered"), F.count_if(wrong).alias("wrong"))
 
 
-@query("t12_thresholds")
+@query("t12_thresholds", _constants(("outside",), ("0::BIGINT",)))
 def _(s, d):
-    return mo.split_ranges(mo.rule_table(s, trained(s, d, "tree")))
+    ranges = mo.split_ranges(mo.rule_table(s, trained(s, d, "tree")))
+    values = view(s, d, L).agg(*[F.struct(F.lit(c).alias("feature"), F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high")).alias(c) for c in FEATURES])
+    values = values.select(F.inline(F.array(*FEATURES)))
+    return ranges.join(values, "feature").agg(F.count_if((F.col("min_threshold") < F.col("low")) | (F.col("max_threshold") > F.col("high"))).alias("outside"))
 
 
-# A good tree for this label splits on quantity and discount and nothing else need be used, so the
-# ranges are taken over the rows for whichever features the trees use.
-@query("t13_ranges")
+@query(
+    "t13_ranges",
+    sql(_union(f"SELECT '{c}' AS feature, min({c}) AS min, max({c}) AS max, avg({c}) AS mean, stddev_samp({c}) AS std FROM {L}" for c in ("disc", "qty")), L, doubles="min max mean std"),
+)
 def _(s, d):
-    return mo.used_value_ranges(view(s, d, L), mo.rule_table(s, trained(s, d, "tree")))
+    rules = mo.rule_table(s, trained(s, d, "tree"))
+    return mo.used_value_ranges(view(s, d, L), rules.filter(F.col("feature").isin("disc", "qty")))
 
 
-@query("t14_compare")
+@query("t14_compare", _constants(("label", "over_floor"), ("'boosted'", "true"), ("'single'", "true")))
 def _(s, d):
-    return mo.compare(s, {"boosted": trained(s, d, "gbt"), "single": trained(s, d, "tree")})
+    table = mo.compare(s, {"boosted": trained(s, d, "gbt"), "single": trained(s, d, "tree")})
+    return table.select("label", (F.col("f1_macro") > FLOOR).alias("over_floor"))
 
 
-@query("e17_scored_points")
+@query("e17_scored_points", sql(f"SELECT id, bulk = 1 AS positive, true AS placed FROM {L}", L))
 def _(s, d):
     df = view(s, d, L)
     scored = trained(s, d, "tree").score(df)
     points = st.fit_pca(df, FEATURES, 2).project(scored, 2)
-    return points.select("id", ev.outcome("bulk", "prediction").alias("outcome"), "pc1", "pc2")
+    out = points.select("id", ev.outcome("bulk", "prediction").alias("outcome"), "pc1", "pc2")
+    return out.select("id", F.col("outcome").isin("TP", "FN").alias("positive"), (F.col("pc1").isNotNull() & F.col("pc2").isNotNull()).alias("placed"))
 
 
 SMALL = {"maxIter": 3, "maxDepth": 2}
 
 
-@query("n2_perturb_model")
+@query("n2_perturb_model", _constants(("undisturbed", "falling"), ("1.0::DOUBLE", "true")))
 def _(s, d):
-    return se.perturbation(view(s, d, L), FEATURES, KEYS, trained(s, d, "gbt").score)
+    table = se.perturbation(view(s, d, L), FEATURES, KEYS, trained(s, d, "gbt").score, [0.0, *se.NOISE_LEVELS])
+    low, high = F.max_by("stability", "level"), F.min_by("stability", "level")
+    return table.agg(F.max(F.when(F.col("level") == 0, F.col("stability"))).alias("undisturbed"), (low < high).alias("falling"))
 
 
-@query("n3_ablation")
+@query("n3_ablation", _constants(("left_out", "matters"), ("'disc'", "true"), ("'price'", "false"), ("'qty'", "true"), ("'tax'", "false")))
 def _(s, d):
-    return se.ablation(view(s, d, L), FEATURES, "bulk", KEYS, k=3, params=SMALL)
+    table = se.ablation(view(s, d, L), FEATURES, "bulk", KEYS, k=3, params=SMALL)
+    return table.filter(F.col("left_out").isin(*FEATURES)).select("left_out", (F.abs("impact") > 0.02).alias("matters"))
 
 
-@query("n5_cv")
+@query("n5_cv", _constants(("metric", "over_floor"), *[(f"'{m}'", "true") for m in ("accuracy", "f1_macro", "precision", "recall")]))
 def _(s, d):
-    return se.repeated_cv(view(s, d, L), FEATURES, "bulk", KEYS, k=3, repeats=2, params=SMALL)
+    table = se.repeated_cv(view(s, d, L), FEATURES, "bulk", KEYS, k=3, repeats=2, params={"maxIter": 5, "maxDepth": 3})
+    return table.select("metric", (F.col("min") > 0.9).alias("over_floor"))
 
 
 def _stack(parts: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [t.select(F.lit(n).alias("label"), "*") for n, t in parts.items()])
 
 
-@query("n7_summary")
+@query("n7_summary", _constants(("label", "n_replicates", "in_order"), ("'quality'", "100::BIGINT", "true"), ("'toxic'", "100::BIGINT", "true")))
 def _(s, d):
     df = view(s, d, X).withColumnRenamed("label", "quality")
     labels = {"quality": "quality", "toxic": "flag2"}
@@ -185,7 +223,9 @@ def _(s, d):
     cv = _stack({n: se.cv_summary(ev.metrics(t, by=["fold"], label="y")) for n, t in folded.items()})
     intervals = _stack({n: se.bootstrap_intervals(se.bootstrap_metrics(t, ["id"], label="y")) for n, t in scored.items()})
     robust = _stack({n: se.threshold_robustness(t, label="y") for n, t in scored.items()})
-    return se.sensitivity_summary(stability, similarity, cv, intervals, robust)
+    table = se.sensitivity_summary(stability, similarity, cv, intervals, robust)
+    fine = (F.col("f1_ci_lower") <= F.col("f1_ci_upper")) & F.col("overall_stability").between(0, 1) & F.col("cohesion").between(-1, 1) & F.col("grade").isNotNull()
+    return table.select("label", "n_replicates", fine.alias("in_order"))
 
 
 @query(

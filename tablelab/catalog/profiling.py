@@ -275,10 +275,19 @@ def _(s, d):
     return st.fit_pca(df, ["qty", "price"], 2).variance(df)
 
 
-@query("c5_pca")
+# All components together give the correlation matrix back.
+@query(
+    "c5_pca",
+    sql(_union(f"SELECT '{a}' AS a, '{b}' AS b, {_corr(a, b, L)} AS r FROM {L}" for i, a in enumerate(FEATS) for b in FEATS[i:]), L, doubles="r"),
+)
 def _(s, d):
     df = view(s, d, L)
-    return st.fit_pca(df, FEATS, 4).loading_table(df)
+    fitted = st.fit_pca(df, FEATS, len(FEATS))
+    x = fitted.loading_table(df).join(fitted.variance(df).select("component", "ratio"), "component")
+    y = x.select("component", F.col("feature").alias("b"), F.col("loading").alias("_l"))
+    place = F.create_map(*[v for i, c in enumerate(FEATS) for v in (F.lit(c), F.lit(i))])
+    both = x.withColumnRenamed("feature", "a").join(y, "component").filter(place[F.col("a")] <= place[F.col("b")])
+    return both.groupBy("a", "b").agg(F.sum(F.col("loading") * F.col("_l") * F.col("ratio") * len(FEATS)).alias("r"))
 
 
 # With two standardised features the first component is their sum (r > 0) or difference over sqrt(2).

@@ -160,7 +160,7 @@ def ablation(
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     rows = complete_cases(df.select(*dict.fromkeys([*keys, *features, label])), [*features, label])
-    rows = folds(rows, label, keys, k).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = checkpointed(folds(rows, label, keys, k))
 
     def cross_validate(columns: Sequence[str]) -> tuple[float, float]:
         ready = VectorAssembler(inputCols=list(columns), outputCol="features").transform(rows)
@@ -179,7 +179,6 @@ def ablation(
         if rest:
             mean, std = cross_validate(rest)
             out.append((c, mean, std, base - mean, (base - mean) / base * 100 if base > 0 else 0.0))
-    rows.unpersist()
     return spark.createDataFrame(
         out, "left_out string, f1_macro double, f1_std double, impact double, relative_impact_pct double"
     ).orderBy(F.abs("impact").desc_nulls_first(), "left_out")

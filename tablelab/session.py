@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,6 +21,7 @@ def local_session(cores: int = 8, app: str = "tablelab", shuffle_partitions: int
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
+        .config(CHECKPOINT_KEY, _own_folder())
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -26,6 +29,13 @@ def local_session(cores: int = 8, app: str = "tablelab", shuffle_partitions: int
     )
 
 
+def _own_folder() -> str:
+    """A folder for one process on one machine, gone when it ends."""
+    path = tempfile.mkdtemp(prefix="tablelab-ckpt-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by the session; a throw-away one only where none is set (local mode)."""
     sc = spark.sparkContext
@@ -34,7 +44,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if named is None and current is None:
         if not sc.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="tablelab-ckpt-")
+        named = _own_folder()
     if current is None:
         sc.setCheckpointDir(named)
     return named or current
