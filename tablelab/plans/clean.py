@@ -165,18 +165,7 @@ def clean(
             run.result.fitted["outlier_bounds"] = bounds
             run.change("null_outliers", ops.null_outliers(run.df, bounds), ", ".join(bounds))
 
-    checks = config.get("row_validation", {})
-    filters = [
-        (f"invalid_{c['column']}", ops.is_valid(c["column"], F.expr(c["predicate"])))
-        for c in checks.get("rules", [])
-        if c.get("drop", True) and c["column"] in run.df.columns
-    ]
-    structures = config.get("chemical_validation", {})
-    separated = checks.get("separator_column")
-    if structures.get("enabled", False) and structures.get("remove_disconnected_structures", False):
-        separated = columns.get("smiles_column")
-    if separated and separated in run.df.columns:
-        filters.append(("separator", ops.without_text(separated, checks.get("separator", "."))))
+    filters = _validation_filters(run.df, config)
     if filters:
         run.section(filters)
 
@@ -203,20 +192,43 @@ def clean(
             run.result.fitted["correlated"] = twins
             run.change("correlated_columns", run.df.drop(*twins), ", ".join(twins))
 
-    ranges = config.get("filtering", {})
-    filters = []
-    if ranges.get("enabled", False):
-        wanted = {RANGE_COLUMNS[k]: v for k, v in ranges.items() if k in RANGE_COLUMNS and v}
-        wanted |= ranges.get("ranges", {})
-        filters = [
-            (f"range_{c}", ops.in_range(coerce(run.df, c), float(lo), float(hi)))
-            for c, (lo, hi) in wanted.items()
-            if c in run.df.columns
-        ]
-    run.section(filters)
+    run.section(_range_filters(run.df, config))
     return run.result
 
 
+def _validation_filters(df: DataFrame, config: Mapping[str, Any]) -> list[tuple[str, Column]]:
+    """Named conditions of the sections row_validation and chemical_validation."""
+    checks = config.get("row_validation", {})
+    filters = [
+        (f"invalid_{c['column']}", ops.is_valid(c["column"], F.expr(c["predicate"])))
+        for c in checks.get("rules", [])
+        if c.get("drop", True) and c["column"] in df.columns
+    ]
+    structures = config.get("chemical_validation", {})
+    separated = checks.get("separator_column")
+    if structures.get("enabled", False) and structures.get("remove_disconnected_structures", False):
+        separated = config.get("column_handling", {}).get("smiles_column")
+    if separated and separated in df.columns:
+        filters.append(("separator", ops.without_text(separated, checks.get("separator", "."))))
+    return filters
+
+
+def _range_filters(df: DataFrame, config: Mapping[str, Any]) -> list[tuple[str, Column]]:
+    """Named conditions of the section filtering."""
+    ranges = config.get("filtering", {})
+    if not ranges.get("enabled", False):
+        return []
+    wanted = {RANGE_COLUMNS[k]: v for k, v in ranges.items() if k in RANGE_COLUMNS and v}
+    wanted |= ranges.get("ranges", {})
+    return [(f"range_{c}", ops.in_range(coerce(df, c), float(lo), float(hi))) for c, (lo, hi) in wanted.items() if c in df.columns]
+
+
+def _kept(df: DataFrame, filters: list[tuple[str, Column]]) -> DataFrame:
+    for _, condition in filters:
+        df = df.filter(condition)
+    return df
+
+
 def apply_fitted(df: DataFrame, result: CleanResult, config: Mapping[str, Any]) -> DataFrame:
     """The row-wise part of a finished run on other rows, batch or streaming: same columns, bounds and types.
 
@@ -248,8 +260,10 @@ def apply_fitted(df: DataFrame, result: CleanResult, config: Mapping[str, Any])
         out = ops.null_negatives(out, numeric.get("remove_negative_values_columns", []))
         out = ops.null_zeros(out, numeric.get("remove_zero_values_columns", []))
     out = ops.null_outliers(out, {c: b for c, b in fitted.get("outlier_bounds", {}).items() if c in out.columns})
+    out = _kept(out, _validation_filters(out, config))
     if types.get("enabled", False):
         out = ops.enforce_types(out, fitted.get("integers", []), types.get("float_columns", []), types.get("string_columns", []))
-    return out.drop(*fitted.get("constant", []), *fitted.get("correlated", []))
+    out = out.drop(*fitted.get("constant", []), *fitted.get("correlated", []))
+    return _kept(out, _range_filters(out, config))
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +18,15 @@ class LabelResult:
     features: FittedFeatures
     labels: labeling.LabelPlan
     subsets: subsets.SubsetPlan
+    add_labels: Callable[[DataFrame], DataFrame] = field(repr=False, default=lambda df: df)
+    population: Column | None = field(repr=False, default=None)
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        """Derived columns, labels and flags of other rows, batch or streaming."""
+        out = self.add_labels(self.features.transform(df))
+        if self.population is not None:
+            out = out.filter(self.population)
+        return out.select("*", *[c.alias(n) for n, c in self.subsets.members.items()])
 
     @property
     def label_names(self) -> list[str]:
@@ -57,10 +66,13 @@ def derive_label_flag(
     )
     names = [labeling.Label.of(n, s) for n, s in section.get("domains", {}).items()]
     keep = "combined_text" if section.get("save_combined_text_column", False) else None
+    def add_labels(rows: DataFrame) -> DataFrame:
+        return labeling.label_rows(rows, names, section.get("text_columns", []), options, keep)[0]
+
     out, labels = labeling.label_rows(out, names, section.get("text_columns", []), options, keep)
 
     flags = config.get("domain_subsets", {})
     out, plan = subsets.flag_subsets(
         out, flags.get("subsets", []), flags.get("column_aliases"), on_invalid, population
     )
-    return LabelResult(out, fitted, labels, plan)
+    return LabelResult(out, fitted, labels, plan, add_labels, population)

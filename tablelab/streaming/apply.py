@@ -22,12 +22,9 @@ def read_arriving(spark: SparkSession, folder: str, schema: T.StructType) -> Dat
 
 
 def apply_run(df: DataFrame, cleaned: CleanResult, config: Mapping[str, Any], labelled: LabelResult | None = None) -> DataFrame:
-    """Clean arriving rows as the batch was cleaned, then derive and flag as the batch plan did."""
+    """Clean arriving rows as the batch was cleaned, then derive, label and flag as the batch plan did."""
     out = apply_fitted(df, cleaned, config)
-    if labelled is not None:
-        out = labelled.features.transform(out)
-        out = out.select("*", *[c.alias(n) for n, c in labelled.subsets.members.items()])
-    return out
+    return out if labelled is None else labelled.apply(out)
 
 
 def write_available(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -94,10 +94,21 @@ def test_label_run(raw):
     assert reports["label_coverage"].first()["unlabelled"] == 5
 
 
+def test_fitted_run_keeps_the_rows_that_the_batch_keeps(spark):
+    df = spark.createDataFrame([(1, 5.0, "a"), (2, 50.0, "a"), (3, 5.0, "a.b"), (4, -1.0, "a"), (5, 6.0, "c")], "id long, x double, s string")
+    settings = {
+        "row_validation": {"rules": [{"column": "x", "predicate": "x > 0"}], "separator_column": "s"},
+        "filtering": {"enabled": True, "ranges": {"x": [0, 10]}},
+    }
+    result = clean.clean(df, settings, ["id"])
+    ids = lambda t: sorted(r["id"] for r in t.collect())
+    assert ids(result.df) == ids(clean.apply_fitted(df, result, settings)) == [1, 5]
+
+
 def test_stream_repeats_the_batch(spark, raw, tmp_path):
-    settings = {**CONFIG, "duplicate_handling": {}, "chemical_validation": {}, "filtering": {}}
+    settings = {**CONFIG, "duplicate_handling": {}}
     result = clean.clean(raw, settings, ["id"])
-    labelled = label.derive_label_flag(result.df, {k: v for k, v in LABELS.items() if k != "domain_labeling"}, on_invalid="skip")
+    labelled = label.derive_label_flag(result.df, LABELS)
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     raw.write.parquet(source)
     arriving = stream.read_arriving(spark, source, raw.schema)
@@ -179,7 +190,7 @@ def test_analysis_run(spark):
     assert len(summary) == 1 and summary[0]["grade"] in ("high", "medium", "low") and summary[0]["n_replicates"] == 12
     assert out.tables["sweep"].count() == 50
     assert out.tables["split_ranges"].filter("feature = 'u'").first()["thresholds"]
-    assert out.tables["attribution"].columns == ["label", "feature", "contribution"]
+    assert out.tables["attribution"].columns == ["label", "feature", "contribution", "rank"]
     assert {r["width"] for r in out.tables["boundary"].collect()} == {0.1, 0.15, 0.2, 0.25}
 
 
