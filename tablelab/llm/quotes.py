@@ -68,26 +68,25 @@ def parse(text: str | None) -> tuple[str | None, list[tuple[int, str]]]:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip(), [(level, "\n".join(p)) for level, p in passages if p]
 
 
-def _units(passages: list[tuple[int, str]]) -> list[tuple[int, int, int]]:
-    """(level, hash, words) of the passages and of their sentences; the hash is of the words alone."""
-    texts, levels, whole = [], [], []
-    for level, passage in passages:
-        sentences = _SENTENCE.split(passage)
-        for part in [passage, *(sentences if len(sentences) > 1 else [])]:
-            texts.append(part)
-            levels.append(level)
-            whole.append(part is passage)
+def _units(messages: list[list[tuple[int, str]]]) -> list[list[dict]]:
+    """(level, hash, words) of the passages of each message and of their sentences; the hash is of the words alone."""
+    texts, of, levels, whole = [], [], [], []
+    for k, passages in enumerate(messages):
+        for level, passage in passages:
+            sentences = _SENTENCE.split(passage)
+            for i, part in enumerate([passage, *(sentences if len(sentences) > 1 else [])]):
+                texts.append(part)
+                of.append(k)
+                levels.append(level)
+                whole.append(i == 0)
+    out: list[list[dict]] = [[] for _ in messages]
     if not texts:
-        return []
+        return out
     hashes, _, _, offsets = words.word_hashes(*words.utf8(pa.array(texts, pa.string())))
-    out = []
-    for i, (level, passage) in enumerate(zip(levels, whole, strict=True)):
-        own = hashes[offsets[i] : offsets[i + 1]]
-        if len(own) >= (1 if passage else LEAST_WORDS):
-            value = np.zeros(1, np.uint64)
-            for h in own:
-                value = words.mix(value * np.uint64(31) + h)
-            out.append((level, int(value.view(np.int64)[0]), len(own)))
+    found, counts = words.sequence_hashes(hashes, offsets).view(np.int64).tolist(), np.diff(offsets).tolist()
+    for k, level, first, value, n in zip(of, levels, whole, found, counts, strict=True):
+        if n >= (1 if first else LEAST_WORDS):
+            out[k].append({"level": level, "hash": value, "words": n})
     return out
 
 
@@ -97,8 +96,7 @@ def parsed(messages: DataFrame, keep: list[str], text: str = "text") -> DataFram
     def make():
         def function(column: pa.Array):
             rows = [parse(x) for x in column.to_pylist()]
-            units = [[{"level": a, "hash": b, "words": c} for a, b, c in _units(p)] for _, p in rows]
-            return [o for o, _ in rows], [sum(level > 0 for level, _ in p) for _, p in rows], units
+            return [o for o, _ in rows], [sum(level > 0 for level, _ in p) for _, p in rows], _units([p for _, p in rows])
 
         return function
 

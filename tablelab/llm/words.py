@@ -104,6 +104,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, beginnings: Sequence[int]
     return whole, starts, ends, word_offsets, [upto(np.minimum(starts + k, ends), k) for k in beginnings]
 
 
+def sequence_hashes(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64-bit hash of the words of each row, in their order."""
+    n = len(hashes)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(hashes * _power_table(_BASE, n), out=sums[1:])
+    starts = offsets[:-1]
+    back = np.append(_power_table(_INVERSE, n), np.uint64(1))[starts]
+    return mix((sums[offsets[1:]] - sums[starts]) * back + np.diff(offsets).astype(np.uint64))
+
+
 def shingles(hashes: np.ndarray, word_offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of ``width`` consecutive words and their row offsets; a text of fewer words, but not none, is one shingle."""
     counts = np.diff(word_offsets)
