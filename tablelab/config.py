@@ -10,7 +10,7 @@ import json
 from collections.abc import Mapping
 from typing import Any
 
-# Keys each section reads. "*" stands for free names (labels, columns).
+# Keys each section reads. "*" stands for free names (labels, columns).
 READ: dict[str, Any] = {
     "column_handling": {"drop_columns", "keep_columns", "required_columns", "smiles_column"},
     "missing_value_handling": {
@@ -34,8 +34,8 @@ READ: dict[str, Any] = {
     "domain_labeling": {"domains", "text_columns", "labeling_options", "case_sensitive", "save_combined_text_column"},
     "domain_subsets": {"column_aliases", "subsets"},
     "processed_analysis": {"features", "pca_analysis"},
-    "domain_analysis": {"cv_folds", "test_size", "random_seed", "pca_analysis", "model_settings", "sensitivity_analysis"},
-    "subdomain_analysis": {"cv_folds", "test_size", "random_seed", "pca_analysis", "model_settings", "sensitivity_analysis"},
+    "domain_analysis": {"categorical_features", "cv_folds", "test_size", "random_seed", "pca_analysis", "model_settings", "sensitivity_analysis"},
+    "subdomain_analysis": {"categorical_features", "cv_folds", "test_size", "random_seed", "pca_analysis", "model_settings", "sensitivity_analysis"},
 }
 
 

@@ -22,7 +22,7 @@ from .nulls import as_column
 ROWS_PER_TASK = 500_000
 MAX_BUCKETS = 10_000
 SMALL_ROWS = 100_000
-DISTINCT_PER_GROUP = 1_500_000
+DISTINCT_PER_GROUP = 100_000
 WHEN_TREE_LIMIT = 128
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.conditions import complete_cases
 from ..functions.nulls import as_column
 from ..functions.order import stratified_rank
-from ..session import ensure_checkpoint_dir
+from ..session import checkpointed, ensure_checkpoint_dir
 from .evaluate import metrics, roc_auc
 from .profile import trainable
 
@@ -81,14 +81,17 @@ def assembler(numeric: Sequence[str], categorical: Sequence[str] = ()) -> Pipeli
 
 
 class MacroF1(Evaluator):
-    """Mean F1 of both classes (Spark's own 'f1' weights by class size)."""
+    """Mean F1 of both classes (Spark's own 'f1' weights by class size), or another figure of ``metrics`` or the AUC."""
 
-    def __init__(self, label: str = "label", prediction: str = "prediction"):
+    def __init__(self, label: str = "label", prediction: str = "prediction", metric: str = "f1_macro"):
         super().__init__()
-        self._label, self._prediction = label, prediction
+        self._label, self._prediction, self._metric = label, prediction, metric
 
     def _evaluate(self, dataset: DataFrame) -> float:
-        return float(metrics(dataset, label=self._label, prediction=self._prediction).first()["f1_macro"])
+        if self._metric == "roc_auc":
+            scored = dataset.withColumn("probability", vector_to_array("probability")[1])
+            return float(roc_auc(scored, label=self._label).first()["roc_auc"] or 0.0)
+        return float(metrics(dataset, label=self._label, prediction=self._prediction).first()[self._metric])
 
     def isLargerBetter(self) -> bool:
         return True
@@ -148,8 +151,12 @@ def train(
     weighting: str | None = None,
     parallelism: int = 4,
     categorical: Sequence[str] = (),
+    metric: str = "f1_macro",
 ) -> Trained:
-    """Split, grid search with stratified folds on macro F1, refit, score the test rows."""
+    """Split, grid search with stratified folds on ``metric``, refit, score the test rows.
+
+    The scored test rows are written once to the shared folder, as many tables are made from them.
+    """
     rows = complete_cases(df.select(*dict.fromkeys([*keys, *features, *categorical, label])), [*features, label])
     parts = split(rows, label, keys, test_share, seed).persist(StorageLevel.MEMORY_AND_DISK)
     train_rows, test_rows = parts.filter("is_test = 0"), parts.filter("is_test = 1")
@@ -168,13 +175,13 @@ def train(
         raise ValueError(f"unknown learner: {learner}")
     maps = _param_grid(estimator, grid or (GBT_GRID if learner == "gbt" else TREE_GRID))
     search = CrossValidator(
-        estimator=estimator, estimatorParamMaps=maps, evaluator=MacroF1(), numFolds=k, foldCol="fold", parallelism=parallelism
+        estimator=estimator, estimatorParamMaps=maps, evaluator=MacroF1(metric=metric), numFolds=k, foldCol="fold", parallelism=parallelism
     )
     fitted = search.fit(fit_rows)
     best = max(range(len(maps)), key=lambda i: fitted.avgMetrics[i])
     names = _vector_names(prepare.transform(train_rows.limit(1)), features, categorical)
     importances = dict(zip(names, (float(v) for v in fitted.bestModel.featureImportances.toArray())))
-    scored = score(test_rows, prepare, fitted.bestModel)
+    scored = checkpointed(score(test_rows, prepare, fitted.bestModel))
     figures = metrics(scored, label=label).first().asDict()
     figures["roc_auc"] = roc_auc(scored, label=label).first()["roc_auc"]
     figures["cv_mean"], figures["cv_std"] = float(fitted.avgMetrics[best]), float(fitted.stdMetrics[best])

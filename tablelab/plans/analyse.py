@@ -53,6 +53,8 @@ def analyse(
         k=config.get("cv_folds", 5),
         test_share=config.get("test_size", 0.3),
         seed=config.get("random_seed", 42),
+        categorical=[c for c in config.get("categorical_features", []) if c in df.columns],
+        metric=settings.get("tuning_metric", "f1_macro"),
     )
     out = Analysis(done, skipped)
     t = out.tables
@@ -84,6 +86,19 @@ def analyse(
         {n: models.split_ranges(t["rules"].filter(F.col("label") == n)) for n in done}
     )
 
+    t["split_counts"] = _stack({n: models.split_importance(t["rules"].filter(F.col("label") == n)) for n in done})
+    used = {n: t["rules"].filter((F.col("label") == n) & F.col("feature").isin(list(features))) for n in done}
+    t["value_ranges"] = _stack({n: models.used_value_ranges(rows, r) for n, r in used.items()})
+    t["outcomes"] = per(lambda s: evaluate.outcome_counts(s, label="y"))
+    t["uncertainty"] = per(lambda s: sensitivity.uncertainty(s))
+    if fitted is not None:
+        placed = ["pc1", "pc2"][: len(fitted.ratios)]
+        t["outcome_points"] = per(lambda s: fitted.project(s, 2).select(*keys, evaluate.outcome("y", "prediction").alias("outcome"), *placed))
+    members = reduce(
+        lambda a, n: a.join(done[n].score(rows).select(*keys, F.col("prediction").alias(f"_{n}")), list(keys)), done, rows.select(*keys, *done)
+    )
+    t["status"] = evaluate.status_counts(members, [(n, f"_{n}") for n in done])
+
     stress = config.get("sensitivity_analysis", {})
     if stress.get("enabled", False):
         t["stability"] = _stack(

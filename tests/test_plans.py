@@ -192,6 +192,14 @@ def test_analysis_run(spark):
     assert out.tables["split_ranges"].filter("feature = 'u'").first()["thresholds"]
     assert out.tables["attribution"].columns == ["label", "feature", "contribution", "rank"]
     assert {r["width"] for r in out.tables["boundary"].collect()} == {0.1, 0.15, 0.2, 0.25}
+    tested = out.models["y"].scored_test.count()
+    counts = out.tables["outcomes"].first()
+    assert sum(counts[k] for k in ("tn", "fp", "fn", "tp")) == tested == out.tables["outcome_points"].count()
+    assert out.tables["uncertainty"].agg(F.sum("n")).first()[0] == tested
+    status = out.tables["status"].first()
+    assert status["outside"] + status["passed"] + status["failed"] == df.count()
+    assert {r["feature"] for r in out.tables["value_ranges"].collect()} <= {"u", "v"}
+    assert out.tables["split_counts"].filter("feature = 'u'").first()["splits"] >= 1
 
 
 def test_profiles(raw):
