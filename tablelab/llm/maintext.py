@@ -52,7 +52,7 @@ NO_NAME = re.compile(
 )
 WEAK_NAME = re.compile(r"^(sidebar|side|aside|header|banner|widgets?|notices?|alerts?|toolbar|rail|top|bottom|form|search|teasers?|extra|legal|message)$")
 CONTENT = re.compile(r"^(content|article|main|body|story|text|entry|post|page|wrapper|container|layout)$")
-ROOTS = {"html", "body", "main", "article"}
+ROOTS = {"html", "body"}
 
 
 class _Tree:
@@ -135,7 +135,7 @@ class _Tree:
         content = any(map(CONTENT.match, words))
         strong, weak = any(map(NO_NAME.match, words)), any(map(WEAK_NAME.match, words))
         hidden = "hidden" in values or values.get("aria-hidden", "").lower() == "true" or "display:none" in values.get("style", "").lower().replace(" ", "")
-        named = (strong or weak and not content) and tag not in ROOTS
+        named = tag not in ROOTS and (strong or weak and not content and tag not in ("main", "article"))
         self.tag.append(tag)
         self.parent.append(parent)
         self.cut.append(self.cut[parent] or tag in NO_TEXT or role in NO_ROLE or named or hidden and tag not in ("html", "body"))
@@ -200,7 +200,9 @@ def main_text(page: str | None) -> str:
         if tree.parent[k] == tree.parent[top] and k != top and not tree.cut[k] and total[k]:
             bonus = 0.2 * score[best] if tree.name[k][0] and tree.name[k][0] == tree.name[top][0] else 0.0
             running = tree.tag[k] == "p" and (total[k] >= 80 and density[k] < 0.25 or density[k] == 0 and total[k] >= 25)
-            if score[k] + bonus >= max(5.0, 0.2 * score[best]) or running:
+            # Beside an element that calls itself the article, only others of the kind belong to it.
+            alike = tree.tag[k] == tree.tag[top] if tree.main[top] else True
+            if alike and score[k] + bonus >= max(5.0, 0.2 * score[best]) or running and not tree.main[top]:
                 kept.add(k)
 
     inside = [False] * n

@@ -166,6 +166,14 @@ def test_main_text_cases(spark):
     assert maintext.report(df.limit(0)).count() == 0
 
 
+def test_comments_and_notices_beside_an_article_go():
+    text = "<p>Some running text, with commas, in a longer sentence here.</p>"
+    page = f"""<body><p>We use cookies here, as we like them, and so do you.</p><article><h1>Head</h1>{text * 4}
+    <aside><p>Aside, with commas, and more.</p></aside></article><article class="comment"><p>Great, really great, thanks, all of you.</p></article>
+    <section id="comments"><ol><li><p>First, of course, as ever, I am.</p></li></ol></section></body>"""
+    assert maintext.main_text(page) == "\n\n".join(["Head", *["Some running text, with commas, in a longer sentence here."] * 4])
+
+
 def test_siblings_of_the_best_container_stay():
     part = "<div class='part'>" + "<p>Some running text, with commas, in a longer sentence here.</p>" * 3 + "</div>"
     page = f"<body><div class='menu'><a href=a>One</a><a href=b>Two</a></div>{part}{part}<div class='ad'><p>Buy, buy, buy, buy, buy, now, please.</p></div></body>"
