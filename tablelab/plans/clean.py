@@ -92,6 +92,7 @@ class _Run:
         self.rows = total
 
 
+# The names of sections and options in the configuration, here and below.
 def _fits_later(config: Mapping[str, Any]) -> bool:
     """Does any step after the removal of duplicates look at the data before the final count?"""
     on = lambda section, *keys: (
