@@ -247,8 +247,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """(id, class_id) of every id with a text: the smallest id that it is linked with, directly or by others."""
     sketches = stored(sketch(docs, key, text), "sketches")
     copies = sketches.groupBy("d1", "d2").agg(F.min("id").alias("node"))
-    members = sketches.select("id", "d1", "d2").join(copies, ["d1", "d2"]).groupBy("id").agg(F.min("node").alias("node"))
-    members = stored(members, "members")
+    # Written before it is grouped, so that Spark can split the join where a digest is hot.
+    members = stored(sketches.select("id", "d1", "d2").join(copies, ["d1", "d2"]).select("id", "node"), "members")
+    members = stored(members.groupBy("id").agg(F.min("node").alias("node")), "members")
     firsts = sketches.join(members.filter("id = node").select("id"), "id", "left_semi")
     nodes = stored(firsts.dropDuplicates(["id"]).filter("weight > 0").select("id", "weight", "bands", "slots"), "nodes")
     banded = nodes.select("id", F.explode("bands").alias("band"))
