@@ -3,7 +3,9 @@
 Paragraphs pass points for their length and commas to their parent, half of them to the next ancestor and a third
 to the one above, discounted by the share of text inside links. The container with most points is the article;
 siblings that score well or hold running text are kept with it. Parts that are no article text by their element,
-role or name (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts) are cut out first.
+role or name (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts) are cut out first. An
+article or main element is cut for its name only where that says comment or advert, a part with a word of
+``CONTENT`` not for names of a state, and none but comments and adverts if it holds most of the page's text.
 
 Defined cases: a null or empty page, and one without text, gives an empty text; unclosed and stray tags are read
 as browsers do, roughly; an unclosed comment or script runs to the end; repeated rows are extracted one by one;
@@ -52,6 +54,11 @@ NO_NAME = re.compile(
 )
 WEAK_NAME = re.compile(r"^(sidebar|side|aside|header|banner|widgets?|notices?|alerts?|toolbar|rail|top|bottom|form|search|teasers?|extra|legal|message)$")
 CONTENT = re.compile(r"^(content|article|main|body|story|text|entry|post|page|wrapper|container|layout)$")
+#: Comments and adverts: their name counts for articles and for the longest part of a page too.
+COMMENT_NAME = re.compile(r"^(ads?|advert\w*|adsense|sponsor\w*|promo\w*|comments?|commentlist|disqus|replies|respond|outbrain|taboola)$")
+#: First and last words of names that tell a state or a category and no part, as in has-related or comments-open.
+STATE_FIRST = {"has", "with", "without", "no", "is", "not", "show", "hide", "js", "category", "cat", "tag", "type", "format", "status"}
+STATE_LAST = {"open", "opened", "closed", "on", "off", "enabled", "disabled", "active", "visible", "free"}
 ROOTS = {"html", "body"}
 
 
@@ -61,6 +68,7 @@ class _Tree:
     def __init__(self, page: str):
         self.tag, self.parent, self.cut, self.name = ["html"], [-1], [False], [("", 0)]
         self.main = [False]
+        self.soft: set[int] = set()  # elements that are cut for their name, unless they hold most of the page
         self.pieces: list[tuple[int, str | None]] = []  # (element, text), or None where a block begins or ends
         self.stack = [0]
         at = 0
@@ -131,24 +139,55 @@ class _Tree:
         parent = self.stack[-1]
         values = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes.strip(" /") else {}
         role = values.get("role", "").lower()
-        words = [w.lower() for w in _NAME.findall(f"{values.get('class', '')} {values.get('id', '')}")]
+        names = [[w.lower() for w in _NAME.findall(x)] for x in f"{values.get('class', '')} {values.get('id', '')}".split()]
+        words = [w for x in names for w in x]
         content = any(map(CONTENT.match, words))
         strong, weak = any(map(NO_NAME.match, words)), any(map(WEAK_NAME.match, words))
+        said = [w for x in names if x and x[0] not in STATE_FIRST and x[-1] not in STATE_LAST for w in x] if strong else []
+        comment, part = any(map(COMMENT_NAME.match, said)), any(map(NO_NAME.match, said))
+        main = tag in ("article", "main") or role in ("main", "article") or values.get("itemprop", "").lower() == "articlebody"
         hidden = "hidden" in values or values.get("aria-hidden", "").lower() == "true" or "display:none" in values.get("style", "").lower().replace(" ", "")
-        named = tag not in ROOTS and (strong or weak and not content and tag not in ("main", "article"))
+        free = main or content and not part
+        named = tag not in ROOTS and (comment or not free and (strong or weak and not content))
         self.tag.append(tag)
         self.parent.append(parent)
-        self.cut.append(self.cut[parent] or tag in NO_TEXT or role in NO_ROLE or named or hidden and tag not in ("html", "body"))
+        if named and not comment:
+            self.soft.add(len(self.tag) - 1)
+        self.cut.append(self.cut[parent] or tag in NO_TEXT or role in NO_ROLE or named and comment or hidden and tag not in ("html", "body"))
         self.name.append((values.get("class", ""), (content or tag in ("article", "main")) - weak))
-        self.main.append(tag in ("article", "main") or role in ("main", "article") or values.get("itemprop", "").lower() == "articlebody")
+        self.main.append(main)
         return len(self.tag) - 1
 
 
+def _cut_by_name(tree: _Tree) -> None:
+    """Cut the parts named as no article text, but for those that hold most of the page's text outside links.
+
+    A part is not kept for its length where an article or main element stands outside all such parts.
+    """
+    if not tree.soft:
+        return
+    n = len(tree.tag)
+    linked, named, size = [False] * n, [False] * n, [0] * n
+    for k in range(1, n):
+        parent = tree.parent[k]
+        linked[k] = tree.tag[k] == "a" or linked[parent]
+        named[k] = k in tree.soft or named[parent]
+    for k, text in tree.pieces:
+        if text and not tree.cut[k] and not linked[k]:
+            size[k] += len(_SPACE.sub(" ", text).strip())
+    for k in range(n - 1, 0, -1):
+        size[tree.parent[k]] += size[k]
+    article = any(tree.main[k] and not named[k] and not tree.cut[k] and size[k] for k in range(n))
+    for k in range(1, n):
+        tree.cut[k] |= tree.cut[tree.parent[k]] or k in tree.soft and (article or 2 * size[k] <= size[0])
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the article, two line ends between them."""
     if not page:
         return ""
     tree = _Tree(page)
+    _cut_by_name(tree)
     n = len(tree.tag)
     block, linked = [0] * n, [False] * n
     for k in range(1, n):
@@ -199,10 +238,10 @@ def main_text(page: str | None) -> str:
     for k in range(1, n):
         if tree.parent[k] == tree.parent[top] and k != top and not tree.cut[k] and total[k]:
             bonus = 0.2 * score[best] if tree.name[k][0] and tree.name[k][0] == tree.name[top][0] else 0.0
-            running = tree.tag[k] == "p" and (total[k] >= 80 and density[k] < 0.25 or density[k] == 0 and total[k] >= 25)
-            # Beside an element that calls itself the article, only others of the kind belong to it.
+            # Beside an element that calls itself the article, only others of the kind and long paragraphs belong to it.
+            running = tree.tag[k] == "p" and (total[k] >= 80 and density[k] < 0.25 or density[k] == 0 and total[k] >= 25 and not tree.main[top])
             alike = tree.tag[k] == tree.tag[top] if tree.main[top] else True
-            if alike and score[k] + bonus >= max(5.0, 0.2 * score[best]) or running and not tree.main[top]:
+            if alike and score[k] + bonus >= max(5.0, 0.2 * score[best]) or running:
                 kept.add(k)
 
     inside = [False] * n

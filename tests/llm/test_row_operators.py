@@ -303,3 +303,20 @@ def test_edits_are_located(spark):
     df = spark.createDataFrame([(a, b)], "a string, b string").select(merkle.fingerprint(F.col("a")).alias("a"), merkle.fingerprint(F.col("b")).alias("b"))
     r = df.select(merkle.edited_paragraphs(F.col("a"), F.col("b")).alias("at"), merkle.likeness(F.col("a"), F.col("b")).alias("near")).head()
     assert r["at"] == [1] and 0.5 < r["near"] < 1
+
+
+def test_states_in_names_do_not_cut_an_article():
+    text = "<p>Some running text, with commas, in a longer sentence here.</p>" * 4
+    want = "\n\n".join(["Some running text, with commas, in a longer sentence here."] * 4)
+    for name in ("article class='post comments-open'", "div class='entry-content has-related'", "main class='page nav-open'", "article class='post category-social'", "div class='social-box'"):
+        tag = name.split()[0]
+        assert maintext.main_text(f"<body><div class='menu'><p>Home, and more.</p></div><{name}>{text}</{tag}></body>") == want, name
+    for name in ("article class='comment-body'", "div class='comments wrapper'", "div class='post-comments'", "div class='ad'"):
+        tag = name.split()[0]
+        assert maintext.main_text(f"<body><article>{text}</article><{name}>{text.replace('Some', 'Other')}</{tag}></body>") == want, name
+
+
+def test_long_paragraphs_beside_an_article_stay():
+    text = "<p>Some running text, with commas, in a longer sentence here.</p>" * 4
+    intro = "An introduction of the article that stands before it, and that is a long enough sentence to be running text."
+    assert maintext.main_text(f"<body><p>{intro}</p><article>{text}</article></body>").startswith(intro)
