@@ -9,8 +9,11 @@ phrases stay.
 Digests are counted with partial sums, and only repeated digests are joined back to the documents, so a passage
 that a third of all texts share is no group of its own anywhere.
 
-Defined cases: a null text stays null, an empty one empty; a text without blanks is cut where the hash is lower
-still; rows of one id count as one document and are treated alike; rows of a null id are compared with themselves
+Words are counted at blanks of any script; of scripts without blanks (Chinese, Japanese, Thai, Lao, Khmer and
+others) a chunk ends after any character with a chance of one in ten, and two characters count as a word. In other
+texts without blanks a chunk ends where the hash is lower still, and 40 characters count as a word in a run's length.
+
+Defined cases: a null text stays null, an empty one empty; rows of one id count as one document and are treated alike; rows of a null id are compared with themselves
 alone; ``text`` is replaced in place, other columns are not read.
 """
 
@@ -29,6 +32,10 @@ from .arrow import add_columns
 
 #: A blank ends a chunk with this chance; any other character that begins one, with the second.
 CHANCE, CHANCE_INSIDE = 1 / 5, 1 / 256
+#: The same for characters of scripts written without blanks, of which two count as a word.
+CHANCE_WIDE = 1 / 10
+#: Characters that count as a word at least in the length of a run, so that long texts without blanks have runs too.
+WORD_CHARS = 40
 MIN_WORDS = 15
 #: A text's own repeats are cut from longer runs on.
 MIN_OWN_WORDS = 50
@@ -38,12 +45,39 @@ GEAR = (words.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
+#: Blanks beyond ASCII in UTF-8.
+_WIDE_BLANKS = [c.encode() for c in "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
+
 FIELDS = [
     ("n_chunks", T.LongType()), ("n_repeated", T.LongType()), ("starts", T.ArrayType(T.LongType())), ("ends", T.ArrayType(T.LongType())),
     ("words_removed", T.LongType()), ("text", T.StringType()),
 ]
 
 
+def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of blanks, last bytes of blanks, and last bytes of characters of scripts without blanks."""
+    blank = _BLANK[data]
+    blank_ends = blank.copy()
+    wide = np.zeros(len(data), bool)
+    lead = np.flatnonzero(data >= 0xC2)  # a character beyond ASCII begins
+    a = data[lead].astype(np.int32)
+    b, c = (data[np.minimum(lead + k, len(data) - 1)].astype(np.int32) for k in (1, 2))
+    for code in _WIDE_BLANKS:
+        found = (a == code[0]) & (b == code[1])
+        if len(code) == 3:
+            found &= c == code[2]
+        at = lead[found]
+        for k in range(len(code)):
+            blank[at + k] = True
+        blank_ends[at + len(code) - 1] = True
+    # Thai, Lao, Tibetan; Myanmar; Khmer; Chinese, Japanese and Yi, with their marks; rarer Chinese.
+    three = (a == 0xE0) & (b >= 0xB8) | (a == 0xE1) & ((b <= 0x82) | (b == 0x9E) | (b == 0x9F)) | (a == 0xE2) & (b >= 0xBA) | (a >= 0xE3) & (a <= 0xE9)
+    three |= (a == 0xEA) & (b <= 0x93) | (a == 0xEF) & ((b >= 0xA4) & (b <= 0xAB) | (b >= 0xBC) & (b <= 0xBE))
+    wide[lead[three] + 2] = True
+    wide[lead[(a == 0xF0) & (b >= 0xA0)] + 3] = True
+    return blank, blank_ends, wide & ~blank
+
+
 def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end, digest and number of words of each chunk, in the order of the texts."""
     n = len(data)
@@ -62,17 +96,29 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     hashed = rolled[place]
     begins = np.ones(n, bool)  # where a character begins after the byte
     begins[:-1] = (data[1:] & 0xC0) != 0x80
-    last = (_BLANK[data] & (hashed < np.uint32(CHANCE * 2**32))) | (begins & (hashed < np.uint32(CHANCE_INSIDE * 2**32)))
+    blank, blank_ends, wide = _characters(data)
+    last = (blank_ends & (hashed < np.uint32(CHANCE * 2**32))) | (begins & (hashed < np.uint32(CHANCE_INSIDE * 2**32)))
+    last |= wide & (hashed < np.uint32(CHANCE_WIDE * 2**32))
     last[offsets[1:][lengths > 0] - 1] = True
     ends = np.flatnonzero(last) + 1
     starts = np.concatenate([[0], ends[:-1]])
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * words._power_table(words._BASE, n), out=sums[1:])
     digests = words.mix((sums[ends] - sums[starts]) * words._power_table(words._INVERSE, n)[starts] + (ends - starts).astype(np.uint64))
-    first = ~_BLANK[data]
-    first[1:] &= _BLANK[data[:-1]] | (row[1:] != row[:-1])
-    counts = np.concatenate([[0], np.cumsum(first)])
-    return starts, ends, digests, counts[ends] - counts[starts]
+    first = ~blank
+    first[1:] &= blank[:-1] | (row[1:] != row[:-1])
+    within = np.flatnonzero(wide)
+    for back in (2, 3):  # characters that count by themselves begin no other word
+        at = within[data[within - back] >= (0xE0 if back == 2 else 0xF0)]
+        first[at - back] = False
+    counts, wides = (np.concatenate([[0], np.cumsum(x)]) for x in (first, wide))
+    return starts, ends, digests, counts[ends] - counts[starts] + (wides[ends] - wides[starts] + 1) // 2
+
+
+def _sizes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Words of each chunk for the length of a run: ``WORD_CHARS`` characters are one at least."""
+    characters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return np.maximum(counts, (characters[ends] - characters[starts]) // WORD_CHARS)
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -139,11 +185,12 @@ def dedup(docs: DataFrame, keep: Sequence[str] = (), key: str = "doc_id", text:
         def function(column: pa.Array, earlier: pa.Array, later: pa.Array):
             data, offsets = words.utf8(column)
             starts, ends, found, counts = cut(data, offsets)
+            sizes = _sizes(data, starts, ends, counts)
             at = np.searchsorted(starts, offsets)
             raw, nulls = data.tobytes(), column.is_null().to_numpy(zero_copy_only=False)
             out: list[list] = [[] for _ in FIELDS]
             for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-                own, size = found[a:b], counts[a:b]
+                own, count, size = found[a:b], counts[a:b], sizes[a:b]
                 before = np.array(earlier[i].as_py() or [], np.int64).view(np.uint64)
                 after = np.array(later[i].as_py() or [], np.int64).view(np.uint64)
                 again = np.ones(len(own), bool)
@@ -160,7 +207,7 @@ def dedup(docs: DataFrame, keep: Sequence[str] = (), key: str = "doc_id", text:
                 parts.append(raw[from_ : int(offsets[i + 1])])
                 values = (
                     b - a, sum(y - x for x, y in shared), [x - base for x, _ in spans], [y - base for _, y in spans],
-                    int(sum(size[x:y].sum() for x, y in cuts)), None if nulls[i] else b"".join(parts).decode(),
+                    int(sum(count[x:y].sum() for x, y in cuts)), None if nulls[i] else b"".join(parts).decode(),
                 )
                 for to, value in zip(out, values, strict=True):
                     to.append(value)

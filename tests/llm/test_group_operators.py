@@ -176,6 +176,27 @@ def test_no_long_repeat_is_left(spark):
     assert before <= {r["doc_id"] for r in out if r["words_removed"]}
 
 
+def test_passages_without_blanks_are_cut(spark):
+    rng = random.Random(8)
+    scripts = {
+        "chinese": lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n)),
+        "thai": lambda n: "".join(chr(rng.randrange(0x0E01, 0x0E2F)) for _ in range(n)),
+        "rare": lambda n: "".join(chr(rng.randrange(0x20000, 0x2A000)) for _ in range(n)),
+        "latin": lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(10 * n)),
+        **{f"blank {ord(b):x}": lambda n, b=b: b.join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n // 4)) for b in "\u00a0\u3000"},
+    }
+    for name, text in scripts.items():
+        passage = text(400)
+        texts = [text(100) + passage + text(100) for _ in range(3)] + [passage, passage, text(400)]
+        out = {r["doc_id"]: r for r in chunks.report(docs(spark, texts)).collect()}
+        assert out[0]["text"] == texts[0] and out[0]["n_repeated"] > 0 and out[5]["text"] == texts[5], name
+        for i in (1, 2, 3, 4):
+            assert passage[len(passage) // 3 : -len(passage) // 3] not in out[i]["text"] and out[i]["starts"], name
+        if name != "latin":
+            assert all(out[i]["words_removed"] >= 50 for i in (1, 2, 4)), name
+        assert {r["doc_id"] for r in chunks.drop_repeats(docs(spark, texts)).collect()} >= {0, 1, 2, 5}
+
+
 def test_rows_of_one_or_no_id(spark):
     rng = random.Random(5)
     texts = [" ".join(str(rng.random()) for _ in range(80))] * 3
