@@ -1,15 +1,21 @@
 """Language-model scores of documents: stupid backoff over n-gram count tables.
 
-A word scores c(previous, word) / c(previous) if the pair stands in the table, and ALPHA * c(word) / N otherwise; a
-text's first word scores c(word) / N. Pairs that the corpus has once only are not in the table. A document's score is
-the sum of the logarithms, and its mean.
+A word scores c(n-gram) / c(n-gram without its last word) by the longest n-gram of up to ``order`` words that ends in
+it and that the corpus has ``least`` times; each order that fails costs a factor ALPHA, and a single word scores
+c(word) / N. With ``leave_out`` the word's own place counts nowhere (all counts and N are less by one), so that no text
+is scored by itself, and a word without another place scores 1 / N. No n-gram is left out of the counts. A document's
+score is the sum of the logarithms, and its mean.
 
-The n-grams of all texts are exploded into columns of hashes that are dealt out by the hash of the word, so a part
-holds the counts of its words and of the pairs that end in them, and joins its own n-grams to them. Counts of the
-previous words stand in other parts: hits are joined to them in a second step. Sums by document meet in the end.
+The defaults (order 2, pairs from twice on, own places counted) are those of ``op7_backoff`` and its SQL twin;
+``op7_backoff_orders`` takes orders up to 5 from one other occurrence on.
 
-Hot words and pairs (a share of 1/``HEAVY`` or more, so at most ``HEAVY`` of each) are counted beforehand and sent to
-all tasks. Hot words are dealt out by the pair, and hot pairs are scored where they are read.
+Words with their histories are dealt out by the hash of the word, so a part holds the counts of all n-grams that end
+in its words, and joins its own n-grams to them, order by order. Counts of contexts stand in other parts: hits are
+joined to them in a second step. Sums by document meet in the end.
+
+Hot n-grams (a share of 1/``HEAVY`` or more of the words, so at most ``2 * HEAVY`` of each order) are counted beforehand
+and sent to all tasks. A word is dealt out by the shortest n-gram before it that is not hot; if all are, it is
+scored where it is read.
 
 Defined cases: null and wordless texts have no words, the sum 0 and a null mean; rows of one id count as one
 document; rows of a null id count for the corpus and get a score together; the key is an integer; an empty table
@@ -31,31 +37,35 @@ from .arrow import small_batches, stored
 
 ALPHA = 0.4
 LEAST = 2
+#: Longest n-grams of ``op7_backoff_orders``.
+ORDER = 5
 HEAVY = 2000
 #: Bytes of a part's n-grams.
 PART_BYTES = 12 << 20
-ENTRY_BYTES = 10
+#: Of a word of an entry.
+ENTRY_BYTES = 5
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_LOW, _HIGH = np.uint64(0xFFFFFFFF), np.uint64(32)
 _NULL_ID = -(1 << 63)
 
 
-def _ngrams(column: pa.Array):
-    """Hash of each word (never 0), of the word before it (0 at a text's start), and the word offsets of the rows.
+def _ngrams(column: pa.Array, order: int):
+    """Words of a column and their histories: sorted distinct hashes after a 0, codes into them, word offsets of rows.
 
-    Hashes have 40 bits.
+    ``codes[k]`` has the word k places before each word, 0 before a text's start.
     """
     hashes, _, _, offsets = words.word_hashes(*words.utf8(column))
-    hashes = np.maximum(hashes >> np.uint64(24), np.uint64(1))
-    before = np.zeros_like(hashes)
-    before[1:] = hashes[:-1]
-    starts = offsets[:-1][np.diff(offsets) > 0]
-    before[starts] = 0
-    return hashes, before, offsets
+    found, inverse = np.unique(np.maximum(hashes, np.uint64(1)), return_inverse=True)
+    place = np.arange(len(hashes)) - np.repeat(offsets[:-1], np.diff(offsets))
+    codes = np.zeros((order, len(hashes)), np.int32)
+    for k in range(min(order, len(hashes))):
+        codes[k, k:] = inverse[: len(hashes) - k] + 1
+        codes[k, place < k] = 0
+    return np.concatenate([np.zeros(1, np.uint64), found]), codes, offsets
 
 
-def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return words.mix(words.mix(before) + word * _GOLDEN)
+def _longer(key: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Keys of n-grams with one word more in front; a word is its own key."""
+    return words.mix(key * _GOLDEN + words.mix(before))
 
 
 def _slices(batches: Iterator[pa.RecordBatch]):
@@ -65,45 +75,61 @@ def _slices(batches: Iterator[pa.RecordBatch]):
             yield batch.column("id").slice(start, end - start), column.slice(start, end - start)
 
 
-def _heavy_counts(docs: DataFrame) -> tuple[int, dict[int, np.ndarray]]:
-    """Number of words, and the hot words (kind 0) and pairs (kind 1) with their exact counts."""
+def _heavy_counts(docs: DataFrame, order: int) -> tuple[int, dict[str, np.ndarray]]:
+    """Number of words, and the keys of the hot n-grams of all orders (``words``: of one word) with their exact counts."""
+
+    def rows(kinds, keys, counts):
+        columns = [pa.array(np.concatenate(x)) for x in (kinds, keys, counts)]
+        return pa.RecordBatch.from_arrays(columns, ["kind", "ngram", "n"])
 
     def candidates(batches):
         for _, column in _slices(batches):
-            word, before, _ = _ngrams(column)
-            kinds, found, counts = [2], [0], [len(word)]
-            for kind, keys in ((0, word), (1, _pair(before, word)[before > 0])):
-                value, count = np.unique(keys, return_counts=True)
-                often = count * 2 * HEAVY >= len(word)
-                kinds += [kind] * int(often.sum())
-                found += value[often].view(np.int64).tolist()
-                counts += count[often].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(found, pa.int64()), pa.array(counts, pa.int64())], ["kind", "ngram", "n"])
+            table, codes, _ = _ngrams(column, order)
+            n = codes.shape[1]
+            kinds, found, counts = [np.array([-1], np.int32)], [np.zeros(1, np.int64)], [np.array([n], np.int64)]
+            at, key = np.arange(n), table[codes[0]]
+            for k in range(order):
+                if k:  # what is hot has a hot end
+                    at, key = at[codes[k, at] > 0], key[codes[k, at] > 0]
+                    key = _longer(key, table[codes[k, at]])
+                value, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+                often = count * 2 * HEAVY >= n
+                kinds.append(np.full(int(often.sum()), k, np.int32))
+                found.append(value[often].view(np.int64))
+                counts.append(count[often].astype(np.int64))
+                at, key = at[often[inverse]], key[often[inverse]]
+            yield rows(kinds, found, counts)
 
     sums = stored(docs.mapInArrow(candidates, "kind int, ngram long, n long").groupBy("kind", "ngram").agg(F.sum("n").alias("n")), "candidates")
-    total = sums.filter("kind = 2").head()
+    total = sums.filter("kind = -1").head()
     total = total["n"] if total else 0
     # What is hot overall is found in each slice where it is half as hot, so its sum is at least half its count.
-    rows = sums.filter((F.col("kind") < 2) & (F.col("n") * 2 * HEAVY >= total)).collect()  # at most 2 * HEAVY of each kind
-    hot = {k: np.sort(np.array([r["ngram"] for r in rows if r["kind"] == k], np.int64).view(np.uint64)) for k in (0, 1)}
+    often = sums.filter((F.col("kind") >= 0) & (F.col("n") * 2 * HEAVY >= total)).collect()  # at most 2 * HEAVY of each kind
+    array = lambda rows: np.sort(np.array([r["ngram"] for r in rows], np.int64).view(np.uint64))
+    hot, hot_words = array(often), array([r for r in often if r["kind"] == 0])
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def exact(batches):
         for _, column in _slices(batches):
-            word, before, _ = _ngrams(column)
-            for kind, keys in ((0, word), (1, _pair(before, word)[before > 0])):
-                at, known = _find(shared.value[kind], keys)
-                count = np.bincount(at[known], minlength=len(shared.value[kind]))
-                seen = np.flatnonzero(count)
-                columns = [pa.array(np.full(len(seen), kind, np.int32)), pa.array(shared.value[kind][seen].view(np.int64)), pa.array(count[seen].astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["kind", "ngram", "n"])
-
-    found = docs.mapInArrow(exact, "kind int, ngram long, n long").groupBy("kind", "ngram").agg(F.sum("n").alias("n")).collect()
-    counts = {k: np.zeros(len(v)) for k, v in hot.items()}
-    for r in found:
-        k = r["kind"]
-        counts[k][np.searchsorted(hot[k], np.array([r["ngram"]], np.int64).view(np.uint64))[0]] = r["n"]
-    return total, {"words": hot[0], "word_counts": counts[0], "pairs": hot[1], "pair_counts": counts[1]}
+            table, codes, _ = _ngrams(column, order)
+            at, key = np.arange(codes.shape[1]), table[codes[0]]
+            count = np.zeros(len(shared.value), np.int64)
+            for k in range(order):
+                if k:
+                    at, key = at[codes[k, at] > 0], key[codes[k, at] > 0]
+                    key = _longer(key, table[codes[k, at]])
+                place, known = _find(shared.value, key)
+                count += np.bincount(place[known], minlength=len(count))
+                at, key = at[known], key[known]
+            seen = np.flatnonzero(count)
+            yield rows([np.zeros(len(seen), np.int32)], [shared.value[seen].view(np.int64)], [count[seen]])
+
+    found = docs.mapInArrow(exact, "kind int, ngram long, n long").groupBy("ngram").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(len(hot))
+    if found:
+        keys, n = np.array([r["ngram"] for r in found], np.int64).view(np.uint64), [r["n"] for r in found]
+        counts[np.searchsorted(hot, keys)] = n
+    return total, {"words": hot_words, "keys": hot, "counts": counts}
 
 
 def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,8 +140,8 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, sorted_keys[at] == keys
 
 
-def _part(word: np.ndarray, parts: int) -> np.ndarray:
-    return (words.mix(word) % np.uint64(parts)).astype(np.int64)
+def _part(key: np.ndarray, parts: int) -> np.ndarray:
+    return (words.mix(key) % np.uint64(parts)).astype(np.int64)
 
 
 _SCHEMA = "kind int, part int, ids binary, a binary, b binary"
@@ -134,98 +160,159 @@ def _sums(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return found, np.bincount(inverse, values, len(found)), np.bincount(inverse, minlength=len(found)).astype(np.int32)
 
 
-def _explode(docs: DataFrame, heavy, parts: int) -> DataFrame:
-    """Rows of kind 0 (sums of hot pairs) and 3 (a part's n-grams of many documents).
+def _hot_depth(hot, history: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For word histories (the last word first, 0 for none): how many of the n-grams at their end are hot, the counts of
+    these by order, the key of the shortest one that is not hot, and the number of orders that there are."""
+    n = len(history[0])
+    depth, orders, counts, cold = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((len(history), n)), np.zeros(n, np.uint64)
+    at, key = np.arange(n), history[0]
+    for k, word in enumerate(history):
+        orders += word > 0
+        key, at = key[word[at] > 0], at[word[at] > 0]
+        if k:
+            key = _longer(key, word[at])
+        place, known = _find(hot["keys"], key)
+        cold[at[~known]] = key[~known]
+        at, key = at[known], key[known]
+        counts[k, at] = hot["counts"][place[known]]
+        depth[at] += 1
+    return depth, counts, cold, orders
+
+
+def _packed(table: np.ndarray, hot_code: np.ndarray, n_hot: int, codes: np.ndarray) -> np.ndarray:
+    """Bytes of word histories: the number of words that are not hot, their hashes, and a code for each place."""
+    used, inverse = np.unique(codes, return_inverse=True)
+    code, own = hot_code[used], (used > 0) & (hot_code[used] == 0)
+    code[own] = n_hot + 1 + np.arange(int(own.sum()))
+    places = code[inverse.ravel()].astype("<u2" if n_hot + own.sum() < 65535 else "<u4")
+    return np.concatenate([np.array([own.sum()], "<u4").view(np.uint8), table[used[own]].view(np.uint8), places.view(np.uint8)])
+
+
+def _histories(raw: bytes, hot_words: np.ndarray, order: int) -> np.ndarray:
+    own = int(np.frombuffer(raw, "<u4", 1)[0])
+    table = np.concatenate([np.zeros(1, np.uint64), hot_words, np.frombuffer(raw, np.uint64, own, 4)])
+    codes = np.frombuffer(raw, "<u2" if len(hot_words) + own < 65535 else "<u4", -1, 4 + 8 * own)
+    return table[codes].reshape(order, -1)
+
+
+class _Rule:
+    """Scores of words by the counts of the n-grams that end in them."""
+
+    def __init__(self, total: int, alpha: float, least: int, leave_out: bool):
+        self.own, self.least, self.alpha = int(leave_out), least, math.log(alpha)
+        self.total = math.log(max(total - self.own, 1))
 
-    Of kind 3: ids, a number of entries for each id (in ``a``), and the entries (in ``b``): 32 bits of the word's hash,
-    then 40 of the previous one's.
+    def hits(self, counts: np.ndarray) -> np.ndarray:
+        return counts - self.own >= self.least
+
+    def score(self, counts: np.ndarray, orders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Longest order that scores, and the logarithms without what the contexts of orders over 1 take off."""
+        longest = 1 + np.cumprod(self.hits(counts[1:]), axis=0).sum(axis=0, dtype=np.int64)
+        found = np.maximum(counts[longest - 1, np.arange(len(orders))] - self.own, 1)
+        return longest, np.log(found) + self.alpha * (orders - longest) - np.where(longest == 1, self.total, 0.0)
+
+
+def _explode(docs: DataFrame, heavy, parts: int, order: int, rule: _Rule) -> DataFrame:
+    """Rows of kind 0 (sums of words all whose n-grams are hot) and 3 (a part's n-grams of many documents).
+
+    Of kind 3: ids, a number of entries for each id (in ``a``), and the entries (in ``b``), words with their histories.
     """
 
     def run(batches):
         hot = heavy.value
         for ids, column in _slices(batches):
-            word, before, offsets = _ngrams(column)
+            table, codes, offsets = _ngrams(column, order)
             ids = ids.fill_null(_NULL_ID).to_numpy()
             doc = np.repeat(np.arange(len(ids)), np.diff(offsets))
-            pair = _pair(before, word)
-            at, hot_pair = _find(hot["pairs"], pair)
-            hot_pair &= before > 0
+            depth, counts, cold, orders = _hot_depth(hot, [table[c] for c in codes])
+            known = depth == orders
             rows = []
-            if hot_pair.any():
-                context = hot["word_counts"][_find(hot["words"], before[hot_pair])[0]]
-                rows.append((0, -1, *_sums(ids[doc[hot_pair]], np.log(hot["pair_counts"][at[hot_pair]] / context))))
-            _, hot_word = _find(hot["words"], word)
-            part = np.where(hot_word, _part(pair, parts), _part(word, parts))
-            rest = np.flatnonzero(~hot_pair)
+            if known.any():
+                longest, value = rule.score(counts[:, known], orders[known])
+                long = np.flatnonzero(longest > 1)
+                own = np.flatnonzero(known)[long]
+                # The context of a hot n-gram is hot too.
+                _, context, _, _ = _hot_depth(hot, [table[c] for c in codes[1:, own]]) if len(own) else (0, np.ones((1, 0)), 0, 0)
+                value[long] -= np.log(context[longest[long] - 2, np.arange(len(own))] - rule.own)
+                rows.append((0, -1, *_sums(ids[doc[known]], value)))
+            at, found = _find(hot["words"], table)
+            hot_code = np.where(found, at + 1, 0)
+            part = _part(cold, parts)
+            rest = np.flatnonzero(~known)
             rest = rest[np.argsort(part[rest], kind="stable")]
             cuts = np.searchsorted(part[rest], np.arange(parts + 1))
             for p in np.flatnonzero(np.diff(cuts)):
                 own = rest[cuts[p] : cuts[p + 1]]
                 present, numbers = np.unique(doc[own], return_counts=True)
-                entries = np.concatenate([(word[own] & _LOW).astype("<u4").view(np.uint8), (word[own] >> _HIGH).astype(np.uint8), (before[own] & _LOW).astype("<u4").view(np.uint8), (before[own] >> _HIGH).astype(np.uint8)])
-                rows.append((3, int(p), ids[present], numbers.astype("<u4"), entries))
+                rows.append((3, int(p), ids[present], numbers.astype("<u4"), _packed(table, hot_code, len(hot["words"]), codes[:, own])))
             yield from _rows(rows).to_batches()
 
     return docs.mapInArrow(run, _SCHEMA)
 
 
-def _entries(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(raw, np.uint8)
-    n = len(data) // 10
-    low = lambda a: data[a : a + 4 * n].view("<u4").astype(np.uint64)
-    high = lambda a: data[a : a + n].astype(np.uint64) << _HIGH
-    return low(0) | high(4 * n), low(5 * n) | high(9 * n)
-
-
-def _scorer(heavy, total: int, parts: int, alpha: float, least: int):
-    """Function from all n-grams of a part to sums (kind 0), open contexts (kind 1) and word counts (kind 2)."""
+def _scorer(heavy, parts: int, order: int, rule: _Rule):
+    """Function from all n-grams of a part to sums (kind 0), open contexts (kind 1) and n-gram counts (kind 2)."""
 
     def score(table: pa.Table) -> pa.Table:
         hot = heavy.value
         part = table.column("part")[0].as_py()
-        pairs = [_entries(x.as_buffer()) for x in table.column("b")]
-        word, before = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        counts = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("a")]
-        ids = np.repeat(np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("ids")]), np.concatenate(counts))
-        del pairs, counts
-        _, inverse, number = np.unique(_pair(before, word), return_inverse=True, return_counts=True)
-        both = number[inverse]
-        values, inverse, number = np.unique(word, return_inverse=True, return_counts=True)
-        at, is_hot = _find(hot["words"], word)
-        single = np.where(is_hot, hot["word_counts"][at] if len(hot["words"]) else 0, number[inverse])
-        hit = (both >= least) & (before > 0)
-        value = np.where(before > 0, math.log(alpha), 0.0) + np.log(single) - math.log(total)
-        at, known = _find(hot["words"], before)
-        value[hit] = np.log(both[hit])
-        done = hit & known
-        if done.any():
-            value[done] -= np.log(hot["word_counts"][at[done]])
-        rows = [(0, part, *_sums(ids, value))]
-        _, cold = _find(hot["words"], values)
-        rows.append((2, part, values[~cold], number[~cold].astype(np.int64), values[:0]))
-        open_ = np.flatnonzero(hit & ~known)
-        to = _part(before[open_], parts)
-        order = np.argsort(to, kind="stable")
-        open_, to = open_[order], to[order]
-        cuts = np.searchsorted(to, np.arange(parts + 1))
-        for p in np.flatnonzero(np.diff(cuts)):
-            own = open_[cuts[p] : cuts[p + 1]]
-            rows.append((1, int(p), ids[own], before[own], before[:0]))
+        history = list(np.concatenate([_histories(x.as_buffer(), hot["words"], order) for x in table.column("b")], axis=1))
+        numbers = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("a")]
+        ids = np.repeat(np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("ids")]), np.concatenate(numbers))
+        depth, counts, _, orders = _hot_depth(hot, history)
+        rows = []
+        at, key = np.arange(len(ids)), history[0]
+        for k in range(order):
+            if k:  # an n-gram is no more frequent than its end
+                more = (history[k][at] > 0) & rule.hits(counts[k - 1, at])
+                at, key = at[more], key[more]
+                key = _longer(key, history[k][at])
+            fresh = depth[at] <= k
+            value, inverse, number = np.unique(key[fresh], return_inverse=True, return_counts=True)
+            counts[k, at[fresh]] = number[inverse]
+            often = rule.hits(number)
+            if k < order - 1 and often.any():  # contexts of n-grams that score are as frequent
+                rows.append((2, part, value[often], number[often].astype(np.int64), value[:0]))
+        longest, value = rule.score(counts, orders)
+        del counts, at, key
+        long = np.flatnonzero(longest > 1)
+        behind = [np.where(longest[long] > k, history[k][long], np.uint64(0)) for k in range(1, order)]
+        del history
+        if len(long):
+            depth, context, cold, orders = _hot_depth(hot, behind)
+            known = depth == orders
+            value[long[known]] -= np.log(context[longest[long[known]] - 2, np.flatnonzero(known)] - rule.own)
+            key = behind[0]
+            for k in range(1, order - 1):
+                key = np.where(behind[k] > 0, _longer(key, behind[k]), key)
+            open_ = np.flatnonzero(~known)
+            to = _part(cold[open_], parts)
+            sorting = np.argsort(to, kind="stable")
+            open_, to = open_[sorting], to[sorting]
+            cuts = np.searchsorted(to, np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(cuts)):
+                own = open_[cuts[p] : cuts[p + 1]]
+                rows.append((1, int(p), ids[long[own]], key[own], key[:0]))
+        rows.append((0, part, *_sums(ids, value)))
         return _rows(rows)
 
     return score
 
 
-def _contexts(opened: pa.Table, counted: pa.Table) -> pa.Table:
-    """Sums of what the contexts of hits take off, of one part."""
-    if not opened.num_rows:
-        return _rows([])
-    join = lambda t, c, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t.column(c)] or [np.zeros(0, kind)])
-    words_, counts = join(counted, "ids", np.uint64), join(counted, "a", np.int64)
-    order = np.argsort(words_)
-    at, _ = _find(words_[order], join(opened, "a", np.uint64))
-    ids, sums, _ = _sums(join(opened, "ids", np.int64), -np.log(counts[order][at]))
-    return _rows([(0, -1, ids, sums, np.zeros(len(ids), np.int32))])
+def _closer(own: int):
+    """Function to the sums of what the contexts of hits take off, of one part."""
+
+    def contexts(opened: pa.Table, counted: pa.Table) -> pa.Table:
+        if not opened.num_rows:
+            return _rows([])
+        join = lambda t, c, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t.column(c)] or [np.zeros(0, kind)])
+        keys, counts = join(counted, "ids", np.uint64), join(counted, "a", np.int64)
+        order = np.argsort(keys)
+        at, _ = _find(keys[order], join(opened, "a", np.uint64))
+        ids, sums, _ = _sums(join(opened, "ids", np.int64), -np.log(counts[order][at] - own))
+        return _rows([(0, -1, ids, sums, np.zeros(len(ids), np.int32))])
+
+    return contexts
 
 
 def _unpacked(sums: DataFrame) -> DataFrame:
@@ -238,18 +325,22 @@ def _unpacked(sums: DataFrame) -> DataFrame:
     return sums.select("ids", "a", "b").mapInArrow(run, "id long, value double, n int")
 
 
-def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = ALPHA, least: int = LEAST, part_bytes: int = PART_BYTES) -> DataFrame:
+def scores(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = ALPHA, least: int = LEAST, part_bytes: int = PART_BYTES,
+    order: int = 2, leave_out: bool = False,
+) -> DataFrame:
     """(id, n_words, log_score): words and the sum of the logarithms of their scores, of ids with words."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("text is not null")
-    total, heavy = _heavy_counts(small_batches(rows))
-    parts = max(1, math.ceil(total * ENTRY_BYTES / part_bytes))
+    total, heavy = _heavy_counts(small_batches(rows), order)
+    parts = max(1, math.ceil(total * ENTRY_BYTES * order / part_bytes))
     shared = rows.sparkSession.sparkContext.broadcast(heavy)
-    exploded = _explode(rows, shared, parts)
-    # Hot pairs leave with part -1 beside the n-grams, so one pass over the texts makes both.
-    scorer = _scorer(shared, total, parts, alpha, least)
+    rule = _Rule(total, alpha, least, leave_out)
+    exploded = _explode(rows, shared, parts, order, rule)
+    # Sums of hot n-grams leave with part -1 beside the others, so one pass over the texts makes both.
+    scorer = _scorer(shared, parts, order, rule)
 
     def by_part(table: pa.Table) -> pa.Table:
-        # Sums of hot pairs come in groups of their own, a few to each.
+        # They come in groups of their own, a few to each.
         return table if table.column("kind")[0].as_py() == 0 else scorer(table)
 
     spread = F.when(F.col("kind") == 0, -1 - F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int")).otherwise(F.col("part"))
@@ -257,7 +348,7 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: floa
     # Both sides come from one table, so one gets columns of its own before they meet.
     opened = made.filter("kind = 1")
     counted = made.filter("kind = 2").select(*[F.col(c).alias(c) for c in _NAMES])
-    closed = opened.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(_contexts, _SCHEMA)
+    closed = opened.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(_closer(rule.own), _SCHEMA)
     sums = _unpacked(made.filter("kind = 0").unionByName(closed))
     return sums.groupBy("id").agg(F.sum("n").alias("n_words"), F.sum("value").alias("log_score"))
 

@@ -41,6 +41,11 @@ def op7_backoff(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 3).alias("mean_log_score"))
 
 
+def op7_backoff_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """All n-grams of up to five words, without the scored place; ``op7_backoff`` is what its SQL twin states."""
+    return backoff.report(_table(spark, sf, "documents"), order=backoff.ORDER, least=1, leave_out=True)
+
+
 def op8_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
@@ -63,6 +68,7 @@ QUERIES = {
         op5_fingerprints,
         op6_main_text,
         op7_backoff,
+        op7_backoff_orders,
         op8_decontaminate,
         op9_substrings,
         op10_toxicity,

@@ -237,6 +237,47 @@ def test_backoff_is_brute_force(spark, monkeypatch, size, heavy):
         assert (out[i]["mean_log_score"] is None) == (n == 0)
 
 
+def brute_orders(texts, order, least, own, alpha=0.4):
+    lists = {i: split(t) for i, t in texts.items()}
+    grams = Counter(tuple(w[j : j + n]) for w in lists.values() for n in range(1, order + 1) for j in range(len(w) - n + 1))
+    total = sum(map(len, lists.values()))
+    out = {}
+    for i, w in lists.items():
+        s = 0.0
+        for j in range(len(w)):
+            longest = min(order, j + 1)
+            for n in range(longest, 0, -1):
+                c = grams[tuple(w[j - n + 1 : j + 1])] - own
+                if n == 1:
+                    s += math.log(max(c, 1) / (total - own)) + (longest - 1) * math.log(alpha)
+                elif c >= least:
+                    s += math.log(c / (grams[tuple(w[j - n + 1 : j])] - own)) + (longest - n) * math.log(alpha)
+                    break
+        out[i] = (len(w), s)
+    return out
+
+
+@pytest.mark.parametrize("size,heavy,order,least,own", [(32 << 20, 2000, 5, 1, 1), (2000, 20, 5, 1, 1), (4000, 5, 3, 2, 0), (4000, 20, 4, 1, 0)])
+def test_backoff_of_long_orders_is_brute_force(spark, monkeypatch, size, heavy, order, least, own):
+    monkeypatch.setattr(backoff, "HEAVY", heavy)
+    rng = random.Random(9)
+    phrases = [" ".join(rng.choice(["the", "of", "x"] + [f"w{k}" for k in range(60)]) for _ in range(rng.randrange(1, 9))) for _ in range(80)]
+    texts = [" ".join(rng.choice(phrases) for _ in range(rng.randrange(12))) for _ in range(80)]
+    texts = dict(enumerate([*texts, None, "", "once", "the of x the of " * 300]))
+    found = backoff.report(docs(spark, list(texts.values())), part_bytes=size, order=order, least=least, leave_out=bool(own)).collect()
+    out = {r["doc_id"]: r for r in found}
+    for i, (n, s) in brute_orders(texts, order, least, own).items():
+        assert out[i]["n_words"] == n and out[i]["log_score"] == pytest.approx(s, rel=1e-9)
+
+
+def test_pairs_of_a_small_corpus_need_two_places(spark):
+    rng = random.Random(10)
+    texts = dict(enumerate(" ".join(rng.choice([f"w{k}" for k in range(30)]) for _ in range(20)) for _ in range(15)))
+    out = {r["doc_id"]: r["log_score"] for r in backoff.report(docs(spark, list(texts.values()))).collect()}
+    for i, (_, s) in brute_scores(texts).items():
+        assert out[i] == pytest.approx(s, rel=1e-9)
+
+
 def test_backoff_of_odd_tables(spark):
     df = docs(spark, ["a b a b"] * 2)
     assert backoff.report(df.limit(0)).count() == 0
