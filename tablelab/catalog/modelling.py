@@ -56,8 +56,8 @@ def _(s, d):
     return df.select("id", mo.class_weight(df, "label", "ratio").alias("ratio"), mo.class_weight(df, "label", "balanced").alias("balanced"))
 
 
-#: Smaller than the library's own grids, which take minutes at the test sizes; every row is fitted.
-GRIDS = {"gbt": {"maxDepth": (3,), "maxIter": (5, 8)}, "tree": {"maxDepth": (2, 4), "minInstancesPerNode": (5, 20)}}
+#: The library's own grids; every row is fitted.
+GRIDS = {"gbt": mo.GBT_GRID, "tree": mo.TREE_GRID}
 
 _FITTED: dict[tuple, mo.Trained] = {}
 
@@ -66,7 +66,7 @@ def trained(s, d, learner: str, label: str = "bulk") -> mo.Trained:
     """One fit per session, table folder, learner and label, shared by the queries that look into it."""
     key = (s.sparkContext.applicationId, d, learner, label)
     if key not in _FITTED:
-        _FITTED[key] = mo.train(view(s, d, L), FEATURES, label, KEYS, learner, GRIDS[learner], k=3)
+        _FITTED[key] = mo.train(view(s, d, L), FEATURES, label, KEYS, learner, GRIDS[learner])
     return _FITTED[key]
 
 
@@ -184,9 +184,6 @@ def _(s, d):
     return out.select("id", F.col("outcome").isin("TP", "FN").alias("positive"), (F.col("pc1").isNotNull() & F.col("pc2").isNotNull()).alias("placed"))
 
 
-SMALL = {"maxIter": 3, "maxDepth": 2}
-
-
 @query("n2_perturb_model", _constants(("undisturbed", "falling"), ("1.0::DOUBLE", "true")))
 def _(s, d):
     table = se.perturbation(view(s, d, L), FEATURES, KEYS, trained(s, d, "gbt").score, [0.0, *se.NOISE_LEVELS])
@@ -196,13 +193,13 @@ def _(s, d):
 
 @query("n3_ablation", _constants(("left_out", "matters"), ("'disc'", "true"), ("'price'", "false"), ("'qty'", "true"), ("'tax'", "false")))
 def _(s, d):
-    table = se.ablation(view(s, d, L), FEATURES, "bulk", KEYS, k=3, params=SMALL)
+    table = se.ablation(view(s, d, L), FEATURES, "bulk", KEYS)
     return table.filter(F.col("left_out").isin(*FEATURES)).select("left_out", (F.abs("impact") > 0.02).alias("matters"))
 
 
 @query("n5_cv", _constants(("metric", "over_floor"), *[(f"'{m}'", "true") for m in ("accuracy", "f1_macro", "precision", "recall")]))
 def _(s, d):
-    table = se.repeated_cv(view(s, d, L), FEATURES, "bulk", KEYS, k=3, repeats=2, params={"maxIter": 5, "maxDepth": 3})
+    table = se.repeated_cv(view(s, d, L), FEATURES, "bulk", KEYS)
     return table.select("metric", (F.col("min") > 0.9).alias("over_floor"))
 
 
