@@ -13,9 +13,11 @@ Rows of equal multisets collapse first, so copies are one node. Nodes that share
    pair by pair, while nodes that hang together by large ones are compared in blocks of like size, in which a
    task verifies what the signatures find likely and hands out at most one link a node.
 
-So a large group of near copies costs a link per member, no bucket is cut off, and no link between different
-texts that share a band is lost but for those that lie inside one component already. Every link is verified on
-the multisets themselves. At a similarity of 0.8 two texts share none of the 32 bands with a chance of 3e-6.
+So a large group of near copies costs a link per member, no bucket is cut off, and of the links between different
+texts that share a band only those inside one component already and those of unlikely signatures (fewer than 98
+of 160 slots equal, a chance of 1.4e-8 at a similarity of 0.8) are not looked at. Every link is verified on
+the multisets themselves. At a similarity of 0.8 two texts share none of the 32 bands with a chance of
+3.04e-6, so 3.1e-6 of the links at that similarity are missed in all.
 
 Defined cases: a null text or null id is alone; wordless texts form a class only with equal texts; a text of fewer
 than five words, but not none, is one shingle; rows of one id are one document; columns beyond the named ones are
@@ -41,8 +43,9 @@ WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
-#: Shared slots from which on a candidate is verified; four deviations below the expectation at SIMILARITY.
-LIKELY = 0.8 - 4 * (0.8 * 0.2 / SLOTS) ** 0.5
+#: Shared slots from which on a candidate is verified; six deviations below the expectation at SIMILARITY, of
+#: which a true link falls short with a chance of 1.4e-8.
+LIKELY = 0.8 - 6 * (0.8 * 0.2 / SLOTS) ** 0.5
 #: Nodes of a bucket up to which its pairs are rows; the nodes of larger ones are compared in blocks.
 SMALL_BUCKET, BLOCK = 24, 2048
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)

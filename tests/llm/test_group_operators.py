@@ -98,6 +98,12 @@ def test_near_duplicates_are_brute_force(spark, monkeypatch, small, block):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == set(brute_classes(texts).values())
 
 
+def test_candidates_lose_less_than_bands():
+    n, p = neardups.SLOTS, neardups.SIMILARITY
+    unlikely = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(math.ceil(neardups.LIKELY * n)))
+    assert unlikely < 0.01 * (1 - p**neardups.ROWS) ** neardups.BANDS
+
+
 def test_near_duplicates_of_odd_tables(spark):
     df = docs(spark, ["one two three four five six"] * 3)
     twice = df.union(df)
