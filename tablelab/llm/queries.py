@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, chunks, decontaminate, language, maintext, merkle, neardups, packing, quotes, toxicity
+from . import alignment, backoff, chunks, decontaminate, language, licences, maintext, merkle, neardups, packing, quotes, repetitions, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -58,6 +58,18 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.report(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return repetitions.report(_table(spark, sf, "documents"))
+
+
+def op12_licences(spark: SparkSession, sf: str) -> DataFrame:
+    return licences.report(_table(spark, sf, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.report(_table(spark, sf, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -72,6 +84,9 @@ QUERIES = {
         op8_decontaminate,
         op9_substrings,
         op10_toxicity,
+        op11_periodic_runs,
+        op12_licences,
+        op13_alignment,
     )
 }
 
@@ -81,7 +96,32 @@ _WORDS = (
     r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 )
 
+
+
+def _licence_sql() -> str:
+    """Every place where a template's key phrases stand, without the index."""
+    listed = [(t, x.label, x.base, *word) for t, x in enumerate(licences.TEMPLATES) for word in x.words()]
+    values = ", ".join(f"({t}, '{label}', {base}, {at}, '{w}', {key})" for t, label, base, at, w, key in listed)
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS.format("text")}, []) AS ws FROM documents),
+parts AS (SELECT * FROM (VALUES {values}) AS v(t, label, base, p, w, key)),
+words AS (SELECT * FROM (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM texts) WHERE w IN (SELECT w FROM parts)),
+idf AS (SELECT p.w, ln((any_value(t.n) + 1) / (count(d.r) + 1)) + 1 AS weight FROM (SELECT DISTINCT w FROM parts) p
+        LEFT JOIN (SELECT DISTINCT r, w FROM words) d USING (w), (SELECT count(*)::DOUBLE AS n FROM texts) t GROUP BY p.w),
+sizes AS (SELECT t, any_value(label) AS label, any_value(base) AS base, count_if(key) AS keys, sum(weight) AS whole FROM parts JOIN idf USING (w) GROUP BY t),
+found AS (SELECT r, t, i - p AS start, count_if(key) AS keys, sum(weight) AS weight FROM words JOIN parts USING (w) JOIN idf USING (w) GROUP BY ALL),
+places AS (SELECT r, start, label, base, f.weight / s.whole AS share FROM found f JOIN sizes s USING (t)
+           WHERE f.keys = s.keys AND start >= 0 AND f.weight / s.whole >= {licences.LEAST_SHARE}),
+sums AS (SELECT r, count_if(base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+         round(max(share), 6) AS score FROM places GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM texts LEFT JOIN sums USING (r)"""
+
+
 ORACLE: dict[str, str] = {
+    "op12_licences": _licence_sql(),
     "op7_backoff": f"""
 WITH texts AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS ws FROM documents),
 singles AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS place FROM texts),
