@@ -12,8 +12,9 @@ from ..operators import evaluate as ev
 from ..operators import models as mo
 from ..operators import sensitivity as se
 from ..operators import stats as st
+from ..operators import trees as tr
 from .base import query, sql, view
-from .evaluating import formula_scorer, md5_hash
+from .evaluating import _BOOT, _NOISE, _grid, _logit, _sweep, formula_scorer, md5_hash
 from .profiling import _union
 
 S, X, L = "scored", "scored_features", "line_features"
@@ -152,6 +153,18 @@ def _(s, d):
     return rows.agg(F.sum(hits).alias("covered"), F.count_if(wrong).alias("wrong"))
 
 
+@query("t11_tree_leaves", sql(f"SELECT count(*) AS rows, 0::BIGINT AS wrong FROM {L}", L))
+def _(s, d):
+    # The leaves that a row reaches in all trees of the boosted model add up to its probability.
+    m = trained(s, d, "gbt")
+    ready = m.prepare.transform(view(s, d, L)).withColumn("_row", F.struct(*KEYS))
+    margins = tr.tree_leaves(ready, tr.Forest.of(s, m.model), ["_row"]).groupBy("_row").agg(F.sum("value").alias("margin"), F.count_if(F.col("tree") == 0).alias("times"))
+    scored = m.score(view(s, d, L)).select(F.struct(*KEYS).alias("_row"), "probability").distinct()
+    p = 1.0 / (1.0 + F.exp(-2.0 * F.col("margin") / F.col("times")))
+    both = margins.join(scored, "_row")
+    return both.agg(F.sum("times").alias("rows"), F.count_if(F.abs(p - F.col("probability")) > 1e-9).alias("wrong"))
+
+
 @query("t12_thresholds", _constants(("outside",), ("0::BIGINT",)))
 def _(s, d):
     ranges = mo.split_ranges(mo.rule_table(s, trained(s, d, "tree")))
@@ -175,13 +188,26 @@ def _(s, d):
     return table.select("label", (F.col("f1_macro") > FLOOR).alias("over_floor"))
 
 
-@query("e17_scored_points", sql(f"SELECT id, bulk = 1 AS positive, true AS placed FROM {L}", L))
+@query(
+    "e17_scored_points",
+    sql(
+        f"""SELECT id, 0 AS wrong, qty, price, CASE WHEN r > 0 THEN (zq + zp) / sqrt(2) ELSE (zq - zp) / sqrt(2) END AS pc1
+        FROM (SELECT *, (qty - mq) / vq AS zq, (price - mp) / vp AS zp FROM {L},
+        (SELECT avg(qty) mq, stddev_pop(qty) vq, avg(price) mp, stddev_pop(price) vp, corr(qty, price) r FROM {L}))""",
+        L, doubles="qty price pc1",
+    ),
+)
 def _(s, d):
+    # The outcome of each row against its label and the prediction of the one leaf whose predicate holds.
     df = view(s, d, L)
-    scored = trained(s, d, "tree").score(df)
-    points = st.fit_pca(df, FEATURES, 2).project(scored, 2)
-    out = points.select("id", ev.outcome("bulk", "prediction").alias("outcome"), "pc1", "pc2")
-    return out.select("id", F.col("outcome").isin("TP", "FN").alias("positive"), (F.col("pc1").isNotNull() & F.col("pc2").isNotNull()).alias("placed"))
+    m = trained(s, d, "tree")
+    points = st.fit_pca(df, ["qty", "price"], 2).project(m.score(df), 2)
+    rules = mo.leaf_rules(s, mo.rule_table(s, m)).collect()  # model size
+    said = F.coalesce(*[F.when(F.expr(r["predicate"]), F.lit(int(r["prediction"]))) for r in rules])
+    y = F.col("bulk")
+    expected = F.concat(F.when(y == said, "T").otherwise("F"), F.when(said == 1, "P").otherwise("N"))
+    out = points.select("id", "qty", "price", "pc1", ev.outcome("bulk", "prediction").alias("outcome"), expected.alias("expected"))
+    return out.select("id", (~F.col("outcome").eqNullSafe(F.col("expected"))).cast("int").alias("wrong"), "qty", "price", "pc1")
 
 
 @query("n2_perturb_model", _constants(("undisturbed", "falling"), ("1.0::DOUBLE", "true")))
@@ -207,22 +233,54 @@ def _stack(parts: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [t.select(F.lit(n).alias("label"), "*") for n, t in parts.items()])
 
 
-@query("n7_summary", _constants(("label", "n_replicates", "in_order"), ("'quality'", "100::BIGINT", "true"), ("'toxic'", "100::BIGINT", "true")))
+def _summary_of(name: str, label: str) -> str:
+    """SQL of one label's row: the twins of the five analyses over the formula's scores, side by side."""
+    own = f"scored AS (SELECT id, {label} AS label, p0 AS probability, CAST(p0 >= 0.5 AS INTEGER) AS prediction FROM base)"
+    folds = """c AS (SELECT rank % 5 AS fold, count_if(label = 0 AND prediction = 0) AS tn, count_if(label = 0 AND prediction = 1) AS fp,
+    count_if(label = 1 AND prediction = 0) AS fn, count_if(label = 1 AND prediction = 1) AS tp FROM k GROUP BY 1)"""
+    return f"""SELECT '{name}' AS label, st.*, co.*, cv.*, bo.*, ro.* FROM
+    (SELECT max(stability) FILTER (level = 0.01) AS stability_1pct, max(stability) FILTER (level = 0.05) AS stability_5pct,
+     max(stability) FILTER (level = 0.1) AS stability_10pct, max(stability) FILTER (level = 0.2) AS stability_20pct, avg(stability) AS overall_stability,
+     CASE WHEN avg(stability) >= 0.9 THEN 'high' WHEN avg(stability) >= 0.7 THEN 'medium' ELSE 'low' END AS grade FROM levels) st,
+    (SELECT (sum(a) * sum(a) + sum(b) * sum(b) - count_if(l > 0)) / (count(*) * (count(*) - 1.0::DOUBLE)) AS cohesion FROM
+     (SELECT CASE WHEN l > 0 THEN zc / l ELSE 0 END AS a, CASE WHEN l > 0 THEN zb / l ELSE 0 END AS b, l FROM
+      (SELECT *, sqrt(zc * zc + zb * zb) AS l FROM unit WHERE name = '{name}'))) co,
+    (WITH {own}, {_RANKED}, {folds} SELECT CASE WHEN avg(f) > 0 THEN stddev_pop(f) / avg(f) ELSE 0 END AS cv_coefficient FROM
+     (SELECT (coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0) + coalesce(2.0::DOUBLE * tn / nullif(2 * tn + fp + fn, 0), 0)) / 2 AS f FROM c)) cv,
+    (WITH {own}, {_BOOT} SELECT quantile_cont(f1_macro, 0.025) AS f1_ci_lower, quantile_cont(f1_macro, 0.975) AS f1_ci_upper,
+     coalesce((1 - avg(f1_macro)) / nullif(stddev_pop(f1_macro), 0), 0) AS z_f1, coalesce((1 - avg(accuracy)) / nullif(stddev_pop(accuracy), 0), 0) AS z_accuracy,
+     count(f1_macro) AS n_replicates FROM boot) bo,
+    (WITH {own}, {_sweep(_grid(se.ROBUSTNESS))} SELECT (SELECT threshold FROM w ORDER BY f1 DESC, threshold LIMIT 1) AS optimal_threshold,
+     max(threshold) FILTER (f1 >= 0.95::DOUBLE * (SELECT max(f1) FROM w)) - min(threshold) FILTER (f1 >= 0.95::DOUBLE * (SELECT max(f1) FROM w)) AS robust_width FROM w) ro"""
+
+
+_SUMMARY_BASE = f"""base AS (SELECT id, label AS quality, flag2 AS toxic, n_chars, bucket, {_logit('n_chars', 'bucket')} AS p0 FROM {X}),
+members AS (SELECT 'quality' AS name, n_chars, bucket FROM base WHERE quality = 1 UNION ALL SELECT 'toxic', n_chars, bucket FROM base WHERE toxic = 1),
+unit AS (SELECT name, (n_chars - mc) / coalesce(nullif(sc, 0), 1) AS zc, (bucket - mb) / coalesce(nullif(sb, 0), 1) AS zb FROM members,
+(SELECT avg(n_chars) mc, stddev_pop(n_chars) sc, avg(bucket) mb, stddev_pop(bucket) sb FROM members)),
+{_NOISE}"""
+
+
+@query(
+    "n7_summary",
+    sql(
+        _union(_summary_of(n, n) for n in ("quality", "toxic")), X, ctes=_SUMMARY_BASE,
+        doubles="stability_1pct stability_5pct stability_10pct stability_20pct overall_stability cohesion cv_coefficient f1_ci_lower f1_ci_upper z_f1 z_accuracy optimal_threshold robust_width",
+    ),
+)
 def _(s, d):
     df = view(s, d, X).withColumnRenamed("label", "quality")
     labels = {"quality": "quality", "toxic": "flag2"}
     scored = {n: formula_scorer(df).withColumn("y", F.col(c)) for n, c in labels.items()}
-    stability = _stack({n: se.perturbation(df, ["n_chars", "bucket"], ["id"], formula_scorer) for n in labels})
+    stability = _stack({n: se.perturbation(df, ["n_chars", "bucket"], ["id"], formula_scorer, method="md5") for n in labels})
     similarity = st.cosine_similarity(
         by_label(df, list(labels.values()), name="label"), "label", ["n_chars", "bucket"]
     ).replace({"flag2": "toxic"}, subset=["label"])
-    folded = {n: mo.folds(t, "y", ["id"]) for n, t in scored.items()}
+    folded = {n: mo.folds(t, "y", ["id"], method="md5") for n, t in scored.items()}
     cv = _stack({n: se.cv_summary(ev.metrics(t, by=["fold"], label="y")) for n, t in folded.items()})
-    intervals = _stack({n: se.bootstrap_intervals(se.bootstrap_metrics(t, ["id"], label="y")) for n, t in scored.items()})
+    intervals = _stack({n: se.bootstrap_intervals(se.bootstrap_metrics(t, ["id"], label="y", method="md5")) for n, t in scored.items()})
     robust = _stack({n: se.threshold_robustness(t, label="y") for n, t in scored.items()})
-    table = se.sensitivity_summary(stability, similarity, cv, intervals, robust)
-    fine = (F.col("f1_ci_lower") <= F.col("f1_ci_upper")) & F.col("overall_stability").between(0, 1) & F.col("cohesion").between(-1, 1) & F.col("grade").isNotNull()
-    return table.select("label", "n_replicates", fine.alias("in_order"))
+    return se.sensitivity_summary(stability, similarity, cv, intervals, robust)
 
 
 @query(

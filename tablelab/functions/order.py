@@ -73,7 +73,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], small
     return left.join(renamed, on).drop(*[f"_r_{k}" for k in keys])
 
 
-def _value_edges(df: DataFrame, order: str, rows_per_task: int, rows: int | None = None) -> list[float]:
+def score_edges(df: DataFrame, order: str, rows_per_task: int, rows: int | None = None) -> list[float]:
     """Edges that cut the rows of ``df`` into buckets of about ``rows_per_task`` rows."""
     rows = df.count() if rows is None or rows > rows_per_task else rows
     n = min(MAX_BUCKETS, math.ceil(rows / rows_per_task))
@@ -102,7 +102,7 @@ def running_sums(
     from; a bucket then holds at most as many values of a group as rows. ``rows`` may bound the values
     of one group, which saves the count where they are few.
     """
-    edges = _value_edges(df if spread is None else spread, order, rows_per_task, rows)
+    edges = score_edges(df if spread is None else spread, order, rows_per_task, rows)
     by = list(by)
     key = as_column(order)
     direction = key.desc() if descending else key.asc()
@@ -251,6 +251,10 @@ def quantile_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     return {r["column"]: r["q"] for r in exact_quantiles(df, columns, probs, **kw).collect()}
 
 
+#: Hash buckets in which a ranking counts its rows first; they are merged to buckets of a task's size.
+FINE_BITS = 16
+
+
 def stratified_rank(
     df: DataFrame,
     label: str,
@@ -263,24 +267,20 @@ def stratified_rank(
     """Add ``_rank`` (0-based, by hash inside the label) and ``_size`` (rows of the label).
 
     The hash is uniform, so its leading bits cut even one dominating label into equal buckets;
-    ranks are taken inside a bucket and shifted by the sizes of the buckets before it.
+    ranks are taken inside a bucket and shifted by the sizes of the buckets before it. One pass counts rows by
+    label and fine bucket, which gives the number of buckets, the offsets and the sizes; a second one ranks.
     """
-    if bits is None:
-        bits = min(20, max(0, math.ceil(math.log2(max(1, df.count()) / rows_per_task))))
     h = df.withColumn("_hash", row_hash(keys, seed, method))
-    h = h.withColumn("_bucket", F.shiftright("_hash", HASH_BITS - bits).cast("int") if bits else F.lit(0))
-    inside = Window.partitionBy(label, "_bucket").orderBy("_hash", *keys)
-    if not bits:
-        whole = Window.partitionBy(label, "_bucket")
-        return h.select(
-            *[as_column(c) for c in df.columns],
-            (F.row_number().over(inside) - 1).cast("long").alias("_rank"),
-            F.count("*").over(whole).alias("_size"),
-        )
+    fine = F.shiftright("_hash", HASH_BITS - FINE_BITS).cast("int")
+    counted = _written_once(h.groupBy(label, fine.alias("_fine")).agg(F.count("*").alias("_n")))
+    if bits is None:
+        rows = counted.agg(F.sum("_n")).first()[0] or 0
+        bits = min(FINE_BITS, max(0, math.ceil(math.log2(max(1, rows) / rows_per_task))))
+    h = h.withColumn("_bucket", F.shiftright(fine, FINE_BITS - bits) if bits else F.lit(0))
     before = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = (
-        h.groupBy(label, "_bucket")
-        .agg(F.count("*").alias("_n"))
+        counted.groupBy(label, (F.shiftright("_fine", FINE_BITS - bits) if bits else F.lit(0)).alias("_bucket"))
+        .agg(F.sum("_n").alias("_n"))
         .select(
             label,
             "_bucket",
@@ -288,6 +288,7 @@ def stratified_rank(
             F.sum("_n").over(Window.partitionBy(label)).alias("_size"),
         )
     )
+    inside = Window.partitionBy(label, "_bucket").orderBy("_hash", *keys)
     ranked = h.withColumn("_in", F.row_number().over(inside) - 1)
     return null_safe_join(ranked, sizes, [label, "_bucket"], small=SMALL_ROWS).select(
         *[as_column(c) for c in df.columns], (F.col("_in") + F.col("_offset")).cast("long").alias("_rank"), "_size"

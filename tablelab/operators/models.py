@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
+import math
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
+import numpy as np
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ from ..functions.order import stratified_rank
 from ..session import checkpointed, ensure_checkpoint_dir
 from .evaluate import metrics, roc_auc
 from .profile import trainable
+from .trees import Forest, saved_nodes, staged_scores
 
 # --- rows -----------------------------------------------------------------------------------------
 
@@ -51,6 +54,18 @@ def folds(
     return ranked.withColumn(name, (F.col("_rank") % k).cast("int")).drop("_rank", "_size")
 
 
+def split_folds(
+    df: DataFrame, label: str, keys: Sequence[str], test_share: float = 0.3, k: int = 5, seed: int = 42, method: str = "xxhash64"
+) -> DataFrame:
+    """Add ``is_test`` as ``split`` does, and the ``fold`` of the other rows, both from one ranking."""
+    ranked = stratified_rank(df, label, keys, seed, method)
+    test = F.col("_rank") < F.lit(float(test_share)) * (F.col("_size") - 1)
+    # Ranks of the other rows go on from those of the test rows, so their remainders are as even.
+    return ranked.select(
+        *[as_column(c) for c in df.columns], test.cast("int").alias("is_test"), F.when(~test, F.col("_rank") % k).cast("int").alias("fold")
+    )
+
+
 def class_weight(df: DataFrame, label: str, kind: str = "ratio") -> Column:
     """'ratio': positives weigh negatives / positives; 'balanced': n / (2 * class size)."""
     counts = {r[0]: r[1] for r in df.groupBy(as_column(label)).count().collect()}
@@ -138,6 +153,63 @@ GBT_GRID = {"maxDepth": (3, 5, 7), "maxIter": (50, 100), "stepSize": (0.1, 0.3)}
 TREE_GRID = {"maxDepth": (2, 3, 4, 5), "minInstancesPerNode": (5, 10, 20)}
 
 
+#: The parameter of each learner whose smaller values are parts of the model of the largest.
+STAGED = {"gbt": "maxIter", "tree": "maxDepth"}
+#: Rows of a partition of the rows that are fitted: a fit is thousands of short jobs over all of them.
+FIT_ROWS = 100_000
+
+
+def staged_search(
+    rows: DataFrame, estimator, maps: Sequence[Mapping], staged: str, k: int, metric: str = "f1_macro", parallelism: int | None = None
+) -> np.ndarray:
+    """The metric of every grid point (first axis) on every fold.
+
+    ``rows`` have features, label, weight and fold. Points that differ in the ``staged`` parameter alone share one
+    fit a fold, at its largest value: the models of the smaller values are read from it.
+    """
+    spark = rows.sparkSession
+    boosted = staged == "maxIter"
+    param = getattr(estimator, staged)
+    groups: dict[tuple, list[int]] = {}
+    for i, point in enumerate(maps):
+        groups.setdefault(tuple(sorted((p.name, v) for p, v in point.items() if p != param)), []).append(i)
+    out = np.zeros((len(maps), k))
+
+    def run(task: tuple[list[int], int]) -> None:
+        points, fold = task
+        sizes = [maps[i].get(param, estimator.getOrDefault(param)) for i in points]
+        model = estimator.fit(rows.filter(F.col("fold") != fold), {**maps[points[0]], param: max(sizes)})
+        probability, prediction = staged_scores(Forest.of(spark, model), sizes, boosted)
+        held = rows.filter(F.col("fold") == fold).select(F.col("label").cast("int").alias("label"), F.arrays_zip(probability.alias("p"), prediction.alias("y")).alias("_stages"))
+        held = held.select("label", F.posexplode("_stages").alias("stage", "_s")).select("label", "stage", F.col("_s.p").alias("probability"), F.col("_s.y").alias("prediction"))
+        figures = roc_auc(held, by=["stage"]) if metric == "roc_auc" else metrics(held, by=["stage"])
+        for r in figures.collect():
+            out[points[r["stage"]], fold] = r[metric] or 0.0
+
+    # The largest models first, so that none is left for the end.
+    tasks = sorted(((g, f) for g in groups.values() for f in range(k)), key=lambda t: -max(maps[t[0][0]].get(estimator.maxDepth, 0), 0))
+    in_parallel(run, tasks, rows, parallelism)
+    return out
+
+
+#: Fits that run beside each other, over rows of one partition and of more. A fit of one partition keeps one core busy
+#: for a fraction of the time; one of many partitions holds its rows in memory.
+PARALLEL_FITS = (16, 4)
+
+
+def in_parallel(run, tasks: Sequence, rows: DataFrame, parallelism: int | None = None) -> list:
+    """``run`` for each task in threads of the driver, each of which waits for the jobs of its own fit."""
+    if parallelism is None:
+        parallelism = PARALLEL_FITS[rows.rdd.getNumPartitions() > 1]
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return list(pool.map(inheritable_thread_target(rows.sparkSession)(run), tasks))
+
+
+def few_partitions(df: DataFrame, rows: int) -> DataFrame:
+    """As few partitions as the rows ask for: a fit is thousands of jobs that each go over all of them."""
+    return df.coalesce(max(1, math.ceil(rows / FIT_ROWS)))
+
+
 def train(
     df: DataFrame,
     features: Sequence[str],
@@ -149,7 +221,7 @@ def train(
     test_share: float = 0.3,
     seed: int = 42,
     weighting: str | None = None,
-    parallelism: int = 4,
+    parallelism: int | None = None,
     categorical: Sequence[str] = (),
     metric: str = "f1_macro",
 ) -> Trained:
@@ -158,13 +230,13 @@ def train(
     The scored test rows are written once to the shared folder, as many tables are made from them.
     """
     rows = complete_cases(df.select(*dict.fromkeys([*keys, *features, *categorical, label])), [*features, label])
-    parts = split(rows, label, keys, test_share, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    parts = split_folds(rows, label, keys, test_share, k, seed).persist(StorageLevel.MEMORY_AND_DISK)
     train_rows, test_rows = parts.filter("is_test = 0"), parts.filter("is_test = 1")
     weighting = weighting or ("ratio" if learner == "gbt" else "balanced")
-    weighted = folds(train_rows, label, keys, k, seed + 1).withColumn("weight", class_weight(train_rows, label, weighting))
+    weighted = train_rows.withColumn("weight", class_weight(train_rows, label, weighting))
     prepare = assembler(features, categorical).fit(train_rows)
     fit_rows = prepare.transform(weighted).select("features", as_column(label).alias("label"), "weight", "fold")
-    fit_rows = fit_rows.persist(StorageLevel.MEMORY_AND_DISK)
+    fit_rows = few_partitions(fit_rows, train_rows.count()).persist(StorageLevel.MEMORY_AND_DISK)
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight", "seed": seed}
     if learner == "gbt":
         ensure_checkpoint_dir(df.sparkSession)
@@ -174,24 +246,23 @@ def train(
     else:
         raise ValueError(f"unknown learner: {learner}")
     maps = _param_grid(estimator, grid or (GBT_GRID if learner == "gbt" else TREE_GRID))
-    search = CrossValidator(
-        estimator=estimator, estimatorParamMaps=maps, evaluator=MacroF1(metric=metric), numFolds=k, foldCol="fold", parallelism=parallelism
-    )
-    fitted = search.fit(fit_rows)
-    best = max(range(len(maps)), key=lambda i: fitted.avgMetrics[i])
+    found = staged_search(fit_rows, estimator, maps, STAGED[learner], k, metric, parallelism)
+    means, spreads = found.mean(axis=1), found.std(axis=1)
+    best = int(np.argmax(means))
+    model = estimator.fit(fit_rows, maps[best])
     names = _vector_names(prepare.transform(train_rows.limit(1)), features, categorical)
-    importances = dict(zip(names, (float(v) for v in fitted.bestModel.featureImportances.toArray())))
-    scored = checkpointed(score(test_rows, prepare, fitted.bestModel))
+    importances = dict(zip(names, (float(v) for v in model.featureImportances.toArray())))
+    scored = checkpointed(score(test_rows, prepare, model))
     figures = metrics(scored, label=label).first().asDict()
     figures["roc_auc"] = roc_auc(scored, label=label).first()["roc_auc"]
-    figures["cv_mean"], figures["cv_std"] = float(fitted.avgMetrics[best]), float(fitted.stdMetrics[best])
+    figures["cv_mean"], figures["cv_std"] = float(means[best]), float(spreads[best])
     fit_rows.unpersist()
     parts.unpersist()
     return Trained(
         label,
         list(features),
         prepare,
-        fitted.bestModel,
+        model,
         figures,
         {p.name: v for p, v in maps[best].items()},
         dict(sorted(importances.items(), key=lambda x: -x[1])),
@@ -238,13 +309,7 @@ def rule_table(spark: SparkSession, trained: Trained) -> DataFrame:
 
     Read back from the model's saved node data in the shared folder.
     """
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
-    trained.model.save(folder)
-    nodes = spark.read.parquet(f"{folder}/data")
-    if "nodeData" in nodes.columns:
-        nodes = nodes.select(F.col("treeID").alias("tree"), "nodeData.*")
-    else:
-        nodes = nodes.select(F.lit(0).alias("tree"), "*")
+    nodes = saved_nodes(spark, trained.model)
     names = F.lit(trained.vector_names)
     leaf = F.col("leftChild") < 0
     by_category = F.col("split.numCategories") > 0

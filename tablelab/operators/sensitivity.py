@@ -3,23 +3,25 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.conditions import complete_cases
 from ..functions.groups import to_long
 from ..functions.hashing import standard_normal, uniform
 from ..functions.nulls import as_column, ratio, ratio_or_zero
-from ..functions.order import exact_quantiles, running_sums
+from ..functions.order import ROWS_PER_TASK, bucket_index, exact_quantiles, score_edges
 from ..session import checkpointed, ensure_checkpoint_dir
 from .evaluate import LABEL, PREDICTION, PROBABILITY, ROBUSTNESS, metric_columns, metrics, threshold_sweep
-from .models import MacroF1, folds
+from .models import few_partitions, folds, in_parallel
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -34,6 +36,62 @@ FIXED_MODEL = {"maxIter": 50, "maxDepth": 3, "stepSize": 0.1, "seed": 42}
 # --- bootstrap ---------------------------------------------------------------------------------------
 
 
+#: Rows of one score that a batch sends on as counts instead of one by one.
+SAME_SCORE = 64
+_DRAWN = "score double, code tinyint, drawn binary, counts binary"
+_BLOCK = "block int, replicate int, pos long, neg long, hit long, false long, other long, won double"
+
+
+def _packed_draws(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their draws as bits; rows of one score that stand together often become one row of counts."""
+    for batch in batches:
+        score, code = batch.column("score").to_numpy(), batch.column("code").to_numpy()
+        draws = batch.column("draws").flatten().to_numpy(zero_copy_only=False).reshape(len(score), -1)
+        _, group, size = np.unique(score, return_inverse=True, return_counts=True)
+        single = size[group] < SAME_SCORE
+        bits = [row.tobytes() for row in np.packbits(draws[single], axis=1)]
+        rows = [score[single], code[single]]
+        together = []
+        for g in np.flatnonzero(size >= SAME_SCORE):
+            own = group == g
+            counts = np.stack([draws[own & (code == c)].sum(axis=0) for c in range(5)]).astype("<i4")
+            together.append((float(score[own][0]), counts.tobytes()))
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate([rows[0], [t[0] for t in together]]), pa.float64()),
+            pa.array(np.concatenate([rows[1], [-1] * len(together)]), pa.int8()),
+            pa.array(bits + [None] * len(together), pa.binary()), pa.array([None] * len(bits) + [t[1] for t in together], pa.binary()),
+        ], ["score", "code", "drawn", "counts"])
+
+
+def _block_counts(replicates: int):
+    """Function from the rows of a block of scores to the counts of each replicate there."""
+
+    def count(table: pa.Table) -> pa.Table:
+        score, code = table.column("score").to_numpy(), table.column("code").to_numpy()
+        values, group = np.unique(score, return_inverse=True)
+        single = code >= 0
+        bits = np.frombuffer(b"".join(table.column("drawn").drop_null().to_pylist()), np.uint8).reshape(int(single.sum()), -1)
+        whole = [np.frombuffer(x, "<i4").reshape(5, replicates) for x in table.column("counts").drop_null().to_pylist()]
+        whole_at, group_at, code_at = group[~single], group[single], code[single]
+        out = []
+        for r in range(replicates):
+            own = (bits[:, r // 8] >> (7 - r % 8)) & 1 == 1
+            # Rows by score and by code: neither class, label 0 and 1, each without and with a positive prediction.
+            cells = np.bincount(group_at[own] * 5 + code_at[own], minlength=5 * len(values)).reshape(-1, 5)
+            for k, counts in zip(whole_at, whole, strict=True):
+                cells[k] += counts[:, r]
+            if not cells.any():
+                continue
+            pos, neg = cells[:, 3] + cells[:, 4], cells[:, 1] + cells[:, 2]
+            won = float((pos * (np.cumsum(neg) - neg / 2)).sum())
+            out.append((table.column("block")[0].as_py(), r, int(pos.sum()), int(neg.sum()), int(cells[:, 4].sum()), int(cells[:, 2].sum()), int(cells[:, 0].sum()), won))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 8
+        kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.float64()]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [c.split()[0] for c in _BLOCK.split(", ")])
+
+    return count
+
+
 def bootstrap_metrics(
     df: DataFrame,
     keys: Sequence[str],
@@ -43,31 +101,34 @@ def bootstrap_metrics(
     probability: str = PROBABILITY,
     prediction: str = PREDICTION,
     method: str = "xxhash64",
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Metrics of the fixed scores on the out-of-bag rows of each replicate.
 
     A row is out of the bag of a replicate with probability 1/e, decided by the hash of its key and
     the replicate (Poisson bootstrap). ``n`` is the number of its rows; a replicate without rows is absent.
+
+    Rows travel once, with a bit for each replicate, to blocks of neighbouring scores. A block counts all its
+    replicates; the area under the curve adds up from blocks and the counts of those below. Rows without a score
+    stand below all others.
     """
-    y, p = as_column(label), as_column(probability)
-    drawn = df.select(*keys, y.alias("y"), p.alias("score"), as_column(prediction).alias("pred")).withColumn(
-        "replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-    )
-    out = drawn.filter(uniform(keys, F.col("replicate") + F.lit(seed), method) < F.lit(math.exp(-1.0)))
-    cells = out.groupBy("replicate", "score").agg(
-        F.count_if(F.col("y") == 1).alias("pos"),
-        F.count_if(F.col("y") == 0).alias("neg"),
-        F.count_if((F.col("y") == 1) & (F.col("pred") == 1)).alias("hit"),
-        F.count_if((F.col("y") == 0) & (F.col("pred") == 1)).alias("false"),
-    )
-    run = running_sums(cells, "score", ["pos", "neg"], by=["replicate"], spread=df.select(p.alias("score")))
-    won = F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2)
-    per = run.groupBy("replicate").agg(
+    y, p = as_column(label), F.coalesce(as_column(probability).cast("double"), F.lit(float("-inf")))
+    positive = F.coalesce((as_column(prediction) == 1).cast("int"), F.lit(0))
+    code = F.when(y == 0, positive + 1).when(y == 1, positive + 3).otherwise(0)
+    out_of_bag = lambda r: uniform(keys, r + F.lit(seed), method) < F.lit(math.exp(-1.0))
+    draws = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), out_of_bag)
+    rows = df.select(p.alias("score"), code.cast("tinyint").alias("code"), draws.alias("draws")).mapInArrow(_packed_draws, _DRAWN)
+    edges = score_edges(df.select(p.alias("score")), "score", rows_per_task)
+    blocks = rows.withColumn("block", bucket_index(F.col("score"), edges)).groupBy("block").applyInArrow(_block_counts(replicates), _BLOCK)
+    # At most one row for each block and replicate.
+    below = Window.partitionBy("replicate").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("won", F.col("won") + F.col("pos") * F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    per = blocks.groupBy("replicate").agg(
         F.sum("hit").alias("tp"),
         F.sum("false").alias("fp"),
-        (F.max("total_pos") - F.sum("hit")).alias("fn"),
-        (F.max("total_neg") - F.sum("false")).alias("tn"),
-        F.try_divide(F.sum(won), F.max("total_pos").cast("double") * F.max("total_neg").cast("double")).alias("roc_auc"),
+        (F.sum("pos") - F.sum("hit")).alias("fn"),
+        (F.sum("neg") - F.sum("false")).alias("tn"),
+        F.try_divide(F.sum("won"), F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("roc_auc"),
     )
     figures = metric_columns()
     rows = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
@@ -154,31 +215,28 @@ def ablation(
     keys: Sequence[str],
     k: int = 5,
     params: dict | None = None,
-    parallelism: int = 4,
+    parallelism: int | None = None,
 ) -> DataFrame:
     """Macro F1 over k folds with all features and without each one: impact and relative impact (%)."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     rows = complete_cases(df.select(*dict.fromkeys([*keys, *features, label])), [*features, label])
     rows = checkpointed(folds(rows, label, keys, k))
-
-    def cross_validate(columns: Sequence[str]) -> tuple[float, float]:
-        ready = VectorAssembler(inputCols=list(columns), outputCol="features").transform(rows)
-        ready = ready.select("features", as_column(label).alias("label"), "fold")
-        search = CrossValidator(
-            estimator=_fixed_model(params), estimatorParamMaps=[{}], evaluator=MacroF1(), numFolds=k, foldCol="fold",
-            parallelism=parallelism,
-        )
-        fitted = search.fit(ready)
-        return float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0])
-
-    base, base_std = cross_validate(features)
-    out = [("(all)", base, base_std, None, None)]
-    for c in features:
-        rest = [f for f in features if f != c]
-        if rest:
-            mean, std = cross_validate(rest)
-            out.append((c, mean, std, base - mean, (base - mean) / base * 100 if base > 0 else 0.0))
+    rows = few_partitions(rows, rows.count())
+    sets = [list(features), *([f for f in features if f != c] for c in features if len(features) > 1)]
+
+    def run(task: tuple[int, int]) -> float:
+        which, fold = task
+        ready = VectorAssembler(inputCols=sets[which], outputCol="features").transform(rows).select("features", as_column(label).alias("label"), "fold")
+        return held_out_metrics(_fixed_model(params), ready, "fold", fold)["f1_macro"]
+
+    tasks = [(which, fold) for which in range(len(sets)) for fold in range(k)]
+    scores = np.array(in_parallel(run, tasks, rows, parallelism)).reshape(len(sets), k)
+    means, spreads = scores.mean(axis=1).tolist(), scores.std(axis=1).tolist()
+    base = means[0]
+    out = [("(all)", base, spreads[0], None, None)]
+    for c, mean, std in zip(features, means[1:], spreads[1:]):
+        out.append((c, mean, std, base - mean, (base - mean) / base * 100 if base > 0 else 0.0))
     return spark.createDataFrame(
         out, "left_out string, f1_macro double, f1_std double, impact double, relative_impact_pct double"
     ).orderBy(F.abs("impact").desc_nulls_first(), "left_out")
@@ -202,13 +260,19 @@ def repeated_cv(
     ready = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
     ready = ready.select("features", as_column(label).alias("label"), *[f"_fold{r}" for r in range(repeats)])
     ready = checkpointed(ready)
-    scored = []
-    for r in range(repeats):
-        for f in range(k):
-            model = _fixed_model(params).fit(ready.filter(F.col(f"_fold{r}") != f))
-            held = model.transform(ready.filter(F.col(f"_fold{r}") == f))
-            scored.append(held.select("label", F.col("prediction").cast("int").alias("prediction"), F.lit(r * k + f).alias("run")))
-    return cv_summary(metrics(reduce(DataFrame.unionByName, scored), by=["run"]))
+    ready = few_partitions(ready, ready.count())
+    tasks = [(r, f) for r in range(repeats) for f in range(k)]
+    found = in_parallel(lambda t: held_out_metrics(_fixed_model(params), ready, f"_fold{t[0]}", t[1]), tasks, ready)
+    names = METRICS[:-1]
+    per_run = [(r * k + f, *(float(m[c]) for c in names)) for (r, f), m in zip(tasks, found, strict=True)]
+    return cv_summary(df.sparkSession.createDataFrame(per_run, "run int, " + ", ".join(f"{c} double" for c in names)))
+
+
+def held_out_metrics(estimator, ready: DataFrame, fold: str, number: int) -> dict[str, float]:
+    """Figures of a fit on all folds but one, over the rows of that one."""
+    model = estimator.fit(ready.filter(F.col(fold) != number))
+    held = model.transform(ready.filter(F.col(fold) == number))
+    return metrics(held.select("label", F.col("prediction").cast("int").alias("prediction"))).first().asDict()
 
 
 def cv_summary(per_run: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Statistics and models against brute force, and properties that must hold for any input."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,8 +9,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tablelab.functions.hashing import standard_normal, uniform
+from tablelab.functions.order import stratified_rank
 from tablelab.operators import evaluate as ev
 from tablelab.operators import models as mo
+from tablelab.operators import profile as pr
 from tablelab.operators import sensitivity as se
 from tablelab.operators import stats as st
 
@@ -201,3 +205,42 @@ def test_splits_by_category_are_rules_over_categories(spark, learnable):
     for r in mo.leaf_rules(spark, rules).collect():
         assert wide.filter(r["predicate"]).filter(F.col("prediction") != r["prediction"]).count() == 0
     assert slots
+
+
+def test_bootstrap_in_blocks_is_one_block(spark):
+    """Blocks of scores, rows that stand together as counts, and rows one by one give the same figures."""
+    rows = spark.range(3000).select(
+        "id", (F.col("id") % 7 % 2).cast("int").alias("label"),
+        F.when(F.col("id") % 3 == 0, 0.5).when(F.col("id") % 100 == 1, None).otherwise((F.col("id") * 13 % 97) / 97.0).alias("probability"),
+        (F.col("id") % 5 % 2).cast("int").alias("prediction"),
+    )
+    figures = lambda **more: {r["replicate"]: tuple(r) for r in se.bootstrap_metrics(rows, ["id"], 12, **more).collect()}
+    one = figures()
+    assert len(one) == 12 and figures(rows_per_task=200) == {k: pytest.approx(v, nan_ok=True) for k, v in one.items()}
+    drawn = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("replicate"))
+    drawn = drawn.filter(uniform(["id"], F.col("replicate") + F.lit(42)) < math.exp(-1)).fillna(-1.0, ["probability"])
+    plain = {r["replicate"]: r for r in ev.metrics(drawn, by=["replicate"]).join(ev.roc_auc(drawn, by=["replicate"]), "replicate").collect()}
+    for k, found in one.items():
+        want = plain[k]
+        assert found[2:] == pytest.approx((want["accuracy"], want["f1_macro"], want["precision"], want["recall"], want["roc_auc"]))
+
+
+def test_bootstrap_shuffles_no_row_copies(spark):
+    rows = spark.range(100).select("id", F.lit(1).alias("label"), F.lit(0.5).alias("probability"), F.lit(1).alias("prediction"))
+    plan = se.bootstrap_metrics(rows, ["id"], 10)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Expand" not in plan
+
+
+def test_histograms_of_many_groups(spark):
+    rows = spark.range(4000).select((F.col("id") % 1500).alias("g"), (F.col("id") * 0.1).alias("x"))
+    table = pr.histograms(rows, ["x"], 4, ["g"])
+    assert table.count() == 6000 and table.agg(F.sum("n")).first()[0] == 4000
+    alone = pr.histograms(rows.filter("g = 7").drop("g"), ["x"], 4).orderBy("bin").collect()
+    assert [tuple(r) for r in table.filter("g = 7").orderBy("bin").drop("g").collect()] == [tuple(r) for r in alone]
+
+
+def test_ranks_in_buckets_are_those_of_one(spark):
+    rows = spark.range(2000).select("id", F.when(F.col("id") % 3 > 0, (F.col("id") % 2)).alias("y"))
+    one = {r["id"]: (r["_rank"], r["_size"]) for r in stratified_rank(rows, "y", ["id"]).collect()}
+    many = {r["id"]: (r["_rank"], r["_size"]) for r in stratified_rank(rows, "y", ["id"], rows_per_task=50).collect()}
+    assert one == many and len(one) == 2000
