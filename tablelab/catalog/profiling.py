@@ -128,6 +128,24 @@ def _(s, d):
     return pr.histograms(view(s, d, S), ["probability"], 20, ["label"])
 
 
+@query(
+    "a9_many_groups",
+    sql(
+        """SELECT supplier, 'price' AS feature, b::INTEGER AS bin, any_value(e0) AS lo, any_value(e1) AS hi, count(x) AS n FROM (
+        SELECT supplier, b, lo + b * ((hi - lo) / 10) AS e0, CASE WHEN b = 9 THEN hi ELSE lo + (b + 1) * ((hi - lo) / 10) END AS e1 FROM
+        (SELECT l_suppkey AS supplier, CASE WHEN min(l_extendedprice) = max(l_extendedprice) THEN min(l_extendedprice) - 0.5 ELSE min(l_extendedprice) END::DOUBLE AS lo,
+         CASE WHEN min(l_extendedprice) = max(l_extendedprice) THEN max(l_extendedprice) + 0.5 ELSE max(l_extendedprice) END::DOUBLE AS hi FROM lineitem GROUP BY l_suppkey),
+        (SELECT unnest(range(10)) AS b)) g
+        LEFT JOIN (SELECT l_suppkey, l_extendedprice::DOUBLE AS x FROM lineitem) v ON l_suppkey = supplier AND x >= e0 AND (x < e1 OR (b = 9 AND x <= e1))
+        GROUP BY supplier, b""",
+        doubles="lo hi",
+    ),
+)
+def _(s, d):
+    rows = table(s, d, "lineitem").select(F.col("l_suppkey").alias("supplier"), F.col("l_extendedprice").alias("price"))
+    return pr.histograms(rows, ["price"], 10, ["supplier"])
+
+
 _DOMAIN = """coalesce(nullif(concat_ws(' + ', CASE WHEN returned = 1 THEN 'Returned' END, CASE WHEN is_open = 1 THEN 'Is Open' END,
 CASE WHEN bulk = 1 THEN 'Bulk' END), ''), 'Unlabeled')"""
 

@@ -2,28 +2,50 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.groups import by_label, to_long
 from ..functions.nulls import as_column, coerce, is_numeric, ratio
-from ..functions.order import bucket_index, exact_quantiles
+from ..functions.order import bucket_index, exact_quantiles, null_safe_join
+from ..session import checkpointed
 from .features import z_score
 from .labeling import combination, unpivot
+from .values import column_figures, quantiles, value_counts
 
 
 def column_statistics(df: DataFrame, approximate_distinct: bool = False) -> DataFrame:
-    """Per column: type, non-null, null, null %, distinct; for numbers also min, max, mean, median, std."""
+    """Per column: type, non-null, null, null %, distinct; for numbers also min, max, mean, median, std.
+
+    All figures come from one table of value counts. With ``approximate_distinct`` no value travels: distinct values
+    are estimated and the others are one aggregate.
+    """
+    kinds = F.lit([f.dataType.simpleString() for f in df.schema.fields])
     numbers = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
-    distinct = F.approx_count_distinct if approximate_distinct else F.count_distinct
+    if approximate_distinct:
+        return _approximate_statistics(df, numbers)
+    counts = value_counts(df)
+    medians = quantiles(counts, [0.5]).select("column", F.col("q")[0].alias("median"))
+    table = column_figures(counts, df.columns).join(F.broadcast(medians), "column", "left")
+    place = F.array_position(F.lit(df.columns), F.col("column")).cast("int")
+    nulls = F.col("n_rows") - F.col("non_null")
+    return table.select(
+        "column", F.get(kinds, place - 1).alias("dtype"), "non_null", nulls.alias("nulls"), ratio(nulls * 100, F.col("n_rows")).alias("null_pct"),
+        "n_distinct", "min", "max", "mean", "std", "median",
+    )
+
+
+def _approximate_statistics(df: DataFrame, numbers: Sequence[str]) -> DataFrame:
     aggs: list[Column] = [F.count("*").alias("n")]
     per: dict[str, dict[str, Column]] = {}
     nothing = F.lit(None).cast("double")
     for i, f in enumerate(df.schema.fields):
         c = as_column(f.name)
-        aggs += [F.count(c).alias(f"c{i}"), distinct(c).alias(f"d{i}")]
+        aggs += [F.count(c).alias(f"c{i}"), F.approx_count_distinct(c).alias(f"d{i}")]
         if f.name in numbers:
             v = c.cast("double")
             aggs += [
@@ -50,27 +72,16 @@ def column_statistics(df: DataFrame, approximate_distinct: bool = False) -> Data
 
 def feature_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per feature: count, missing, missing %, mean, std, min, max and quartiles of the coerced values."""
-    values = df.select(*[coerce(df, c).alias(c) for c in columns])
-    aggs: list[Column] = [F.count("*").alias("n")]
-    for i, c in enumerate(columns):
-        v = as_column(c)
-        aggs.append(F.struct(F.count(v), F.avg(v), F.stddev_samp(v), F.min(v), F.max(v)).alias(f"s{i}"))
-    per = {
-        c: {
-            "count": F.col(f"s{i}.col1"),
-            "missing": F.col("n") - F.col(f"s{i}.col1"),
-            "missing_pct": ratio((F.col("n") - F.col(f"s{i}.col1")) * 100, F.col("n")),
-            "mean": F.col(f"s{i}.col2"),
-            "std": F.col(f"s{i}.col3"),
-            "min": F.col(f"s{i}.col4"),
-            "max": F.col(f"s{i}.col5"),
-        }
-        for i, c in enumerate(columns)
-    }
-    q = exact_quantiles(values, columns, [0.25, 0.5, 0.75]).select(
+    counts = value_counts(df, columns, coerced=True)
+    q = quantiles(counts, [0.25, 0.5, 0.75]).select(
         "column", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75")
     )
-    return to_long(values.agg(*aggs), [], per).join(q, "column", "left")
+    missing = F.col("n_rows") - F.col("non_null")
+    table = column_figures(counts, columns).select(
+        "column", F.col("non_null").alias("count"), missing.alias("missing"), ratio(missing * 100, F.col("n_rows")).alias("missing_pct"),
+        "mean", "std", "min", "max",
+    )
+    return table.join(F.broadcast(q), "column", "left")
 
 
 def missing_summary(df: DataFrame) -> DataFrame:
@@ -147,43 +158,48 @@ def _bin(value: Column, edges: Sequence[float]) -> Column:
     return F.when(inside, bucket_index(value, edges[1:-1]))
 
 
+#: Ranges (one row per group and feature) up to this number are sent to all tasks; beyond it they are joined by key.
+SMALL_RANGES = 100_000
+
+
 def histograms(df: DataFrame, columns: Sequence[str], bins: int = 50, groups: Sequence[str] = ()) -> DataFrame:
     """(feature, bin, lo, hi, n) with empty bins; with ``groups``, each group of a feature has its own range.
 
-    Two passes: ranges, then counts that combine on the map side to at most ``bins`` rows per feature.
+    Two passes: ranges, which stay a table, then counts that combine on the map side to at most ``bins`` rows per
+    range. A value finds its bin by arithmetic and is compared with the edges beside it, so edges are exact.
     """
     groups = list(groups)
-    values = df.select(*groups, *[coerce(df, c).alias(c) for c in columns])
-    ranges = values.groupBy(*groups).agg(
-        *[F.struct(F.min(as_column(c)), F.max(as_column(c))).alias(f"r{i}") for i, c in enumerate(columns)]
-    ).collect()  # one row per group of a label column
-    grid, cells = [], []
-    for i, c in enumerate(columns):
-        chosen: Column | None = None
-        for r in ranges:
-            lo, hi = r[f"r{i}"]
-            if lo is None:
-                continue
-            edges = histogram_edges(lo, hi, bins)
-            grid += [(*[r[g] for g in groups], c, k, edges[k], edges[k + 1]) for k in range(bins)]
-            here = F.lit(True)
-            for g in groups:
-                here = here & as_column(g).eqNullSafe(F.lit(r[g]))
-            chosen = (chosen if chosen is not None else F).when(here, _bin(as_column(c), edges))
-        if chosen is not None:
-            cells.append(F.struct(F.lit(c).alias("feature"), chosen.alias("bin")))
-    kinds = [f"{g} {values.schema[g].dataType.simpleString()}" for g in groups]
-    schema = ", ".join([*kinds, "feature string", "bin int", "lo double", "hi double"])
-    table = df.sparkSession.createDataFrame(grid, schema)
-    if not cells:
-        return table.withColumn("n", F.lit(0).cast("long"))
-    counted = (
-        values.select(*groups, F.inline(F.array(*cells)))
-        .filter(F.col("bin").isNotNull())
-        .groupBy(*groups, "feature", "bin")
-        .agg(F.count("*").alias("n"))
+    values = df.select(*[as_column(g) for g in groups], *[coerce(df, c).alias(c) for c in columns])
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), as_column(c).alias("_value")) for c in columns])
+    keys = [*groups, "feature"]
+    spans = values.groupBy(*[as_column(g) for g in groups]).agg(
+        *[F.struct(F.lit(c).alias("feature"), F.min(as_column(c)).alias("_low"), F.max(as_column(c)).alias("_high")).alias(f"_s{i}") for i, c in enumerate(columns)]
+    )
+    spans = spans.select(*[as_column(g) for g in groups], F.inline(F.array(*[f"_s{i}" for i in range(len(columns))]))).filter(F.col("_low").isNotNull())
+    single = F.col("_low") == F.col("_high")
+    ranges = checkpointed(
+        spans.select(*keys, F.when(single, F.col("_low") - 0.5).otherwise(F.col("_low")).alias("_lo"), F.when(single, F.col("_high") + 0.5).otherwise(F.col("_high")).alias("_hi"))
+    )
+    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
+
+    def edge(k: Column) -> Column:
+        return F.when(k >= bins, F.col("_hi")).otherwise(F.col("_lo") + k * width)
+
+    long = values.select(*[as_column(g) for g in groups], F.inline(cells)).filter(F.col("_value").isNotNull())
+    guess = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col("_value") - F.col("_lo")) / width))).cast("int")
+    placed = null_safe_join(long, ranges, keys, small=SMALL_RANGES).withColumn("_k", guess)
+    k = F.col("_k")
+    exact = (
+        F.when((k > 0) & (F.col("_value") < edge(k)), k - 1)
+        .when((k < bins - 1) & (F.col("_value") >= edge(k + 1)), k + 1)
+        .otherwise(k)
     )
-    return table.join(counted, [*groups, "feature", "bin"], "left").fillna(0, ["n"])
+    counted = placed.groupBy(*keys, exact.alias("bin")).agg(F.count("*").alias("n"))
+    grid = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    grid = grid.select(*keys, "bin", edge(F.col("bin")).alias("lo"), edge(F.col("bin") + 1).alias("hi"))
+    counted = counted.select(*[as_column(c).alias(f"_c_{c}") for c in [*keys, "bin"]], "n")
+    same = reduce(operator.and_, [as_column(c).eqNullSafe(as_column(f"_c_{c}")) for c in [*keys, "bin"]])
+    return grid.join(counted, same, "left").select(*keys, "bin", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 # Range and bin count of the log10 histogram by provenance, and the floor before the log.
