@@ -186,6 +186,39 @@ def _(s, d):
     return labelled(s, d, lab.MatchOptions(minimum_keyword_matches=2)).select("id", "tech")
 
 
+#: 400 keywords, by rule: a consonant-vowel pair with a letter behind it.
+MANY = [a + b + c for a in "bcdlmnprst" for b in "aeiou" for c in "aelnorst"]
+_MANY_SQL = "(SELECT unnest([" + ", ".join(f"'{w}'" for w in MANY) + "]) AS keyword)"
+_TEXTS = f"(SELECT id, {TEXT_SQL} AS t FROM {D})"
+
+
+@query("l7_many_keywords", sql(f"SELECT keyword, sum((length(t) - length(replace(t, keyword, ''))) // 3)::BIGINT AS occurrences FROM {_TEXTS}, {_MANY_SQL} GROUP BY keyword", D))
+def _(s, d):
+    df = view(s, d, D)
+    return lab.keyword_counts(df, lab.combined_text(df, TEXT), MANY)
+
+
+@query("l8_many_keywords", sql(f"SELECT substr(keyword, 1, 1) AS label, keyword, count_if(contains(t, keyword)) AS rows FROM {_TEXTS}, {_MANY_SQL} GROUP BY keyword", D))
+def _(s, d):
+    df = view(s, d, D)
+    labels = [lab.Label(a, tuple(w for w in MANY if w[0] == a)) for a in "bcdlmnprst"]
+    return lab.keyword_statistics(df, lab.combined_text(df, TEXT), labels)
+
+
+@query(
+    "l6_many_keywords",
+    sql(
+        "SELECT id, " + ", ".join(f"CAST(count_if(substr(keyword, 1, 1) = '{a}' AND contains(t, keyword)) >= 20 AS INTEGER) AS with_{a}" for a in "bcdlmnprst")
+        + f" FROM {_TEXTS}, {_MANY_SQL} GROUP BY id",
+        D,
+    ),
+)
+def _(s, d):
+    labels = [lab.Label(f"with_{a}", tuple(w for w in MANY if w[0] == a)) for a in "bcdlmnprst"]
+    out, _ = lab.label_rows(view(s, d, D), labels, TEXT, lab.MatchOptions(minimum_keyword_matches=20))
+    return out.select("id", *[lb.name for lb in labels])
+
+
 def _n_hits(w: str) -> str:
     return f"SELECT '{w}' AS keyword, sum((length(t) - length(replace(t, '{w}', ''))) // {len(w)})::BIGINT AS occurrences FROM labelled"
 

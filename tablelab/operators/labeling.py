@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import operator
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.groups import to_long
+from ..functions.keywords import FEW_KEYWORDS, keyword_hits, keyword_occurrences
 from ..functions.nulls import as_column
 
 
@@ -78,6 +79,17 @@ def keyword_test(text: Column, keyword: str, options: MatchOptions) -> Column:
     return text.contains(keyword if options.case_sensitive else keyword.lower())
 
 
+def _written(keywords: Iterable[str], options: MatchOptions, each: bool = False) -> list[str]:
+    """Keywords as they stand in the text, each once, or ``each`` of them."""
+    found = [k if options.case_sensitive else k.lower() for k in keywords]
+    return found if each else list(dict.fromkeys(found))
+
+
+def _in_one_pass(keywords: Sequence[str], options: MatchOptions) -> bool:
+    """Whether one automaton of all keywords takes the place of a search for each."""
+    return len(keywords) > FEW_KEYWORDS and all(keywords) and not (options.use_regex or options.match_whole_word)
+
+
 def match(text: Column, keywords: Sequence[str], options: MatchOptions = MatchOptions()) -> Column:
     """0/1: at least ``minimum_keyword_matches`` distinct keywords occur. Null text gives 0."""
     keywords = list(dict.fromkeys(keywords))
@@ -99,6 +111,21 @@ def plan_labels(
     df: DataFrame, labels: Sequence[Label], text: Column, options: MatchOptions = MatchOptions()
 ) -> LabelPlan:
     plan = LabelPlan([lab for lab in labels if lab.enabled])
+    every = _written([w for lab in plan.labels for w in lab.keywords], options)
+    if _in_one_pass(every, options):
+        # The same search for all labels, so it runs once a row.
+        hits, number = keyword_hits(text, every), {w: k for k, w in enumerate(every)}
+        for lab in plan.labels:
+            if not lab.keywords:
+                plan.columns[lab.name] = F.lit(0)
+                continue
+            # Keywords that differ in case alone count one by one, as they do where each is searched.
+            own = [number[w] for w in _written(dict.fromkeys(lab.keywords), options, each=True)]
+            found = F.size(F.array_intersect(hits, F.lit(sorted(set(own)))))
+            for k in (k for i, k in enumerate(own) if k in own[:i]):
+                found = found + F.array_contains(hits, k).cast("int")
+            plan.columns[lab.name] = F.coalesce((found >= max(options.minimum_keyword_matches, 1)).cast("int"), F.lit(0))
+        return plan
     for lab in plan.labels:
         words = list(lab.keywords)
         if options.use_regex:
@@ -132,6 +159,9 @@ def occurrences(text: Column, keyword: str) -> Column:
 def keyword_counts(df: DataFrame, text: Column, keywords: Sequence[str]) -> DataFrame:
     """Total occurrences of every keyword over all rows."""
     words = list(dict.fromkeys(keywords))
+    if len(words) > FEW_KEYWORDS and all(words):
+        found = df.select(F.inline(keyword_occurrences(text, words))).groupBy("k").agg(F.sum("n").alias("n"))
+        return _named(df.sparkSession, [(k, w) for k, w in enumerate(words)], "k int, keyword string", found, "keyword", "occurrences")
     wide = df.agg(*[F.sum(occurrences(text, w)).alias(f"k{i}") for i, w in enumerate(words)])
     return to_long(wide, [], {w: {"occurrences": F.coalesce(F.col(f"k{i}"), F.lit(0))} for i, w in enumerate(words)}, "keyword")
 
@@ -141,6 +171,12 @@ def keyword_statistics(
 ) -> DataFrame:
     """Rows containing each keyword of each label, over the whole table in one aggregate."""
     pairs = [(lab.name, w) for lab in labels if lab.enabled for w in dict.fromkeys(lab.keywords)]
+    every = _written([w for _, w in pairs], options)
+    if _in_one_pass(every, options):
+        number = {w: k for k, w in enumerate(every)}
+        found = df.select(F.explode(keyword_hits(text, every)).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+        listed = [(number[v], n, w) for (n, w), v in zip(pairs, _written([w for _, w in pairs], options, each=True), strict=True)]
+        return _named(df.sparkSession, listed, "k int, label string, keyword string", found, "label keyword", "rows")
     wide = df.agg(*[F.count_if(keyword_test(text, w, options)).alias(f"k{i}") for i, (_, w) in enumerate(pairs)])
     rows = [
         F.struct(F.lit(n).alias("label"), F.lit(w).alias("keyword"), F.col(f"k{i}").alias("rows"))
@@ -149,6 +185,12 @@ def keyword_statistics(
     return wide.select(F.inline(F.array(*rows)))
 
 
+def _named(spark: SparkSession, listed: list[tuple], schema: str, found: DataFrame, names: str, count: str) -> DataFrame:
+    """The figures of numbered keywords with their names; a keyword that no row holds has 0."""
+    table = spark.createDataFrame(listed, schema).join(found, "k", "left")
+    return table.select(*names.split(), F.coalesce("n", F.lit(0)).alias(count))
+
+
 def label_counts(df: DataFrame, labels: Sequence[str]) -> DataFrame:
     """Members and share (%, 2 places) of each label."""
     wide = df.agg(
