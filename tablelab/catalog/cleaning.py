@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import conditions as cond
 from ..operators import clean as c
 from ..plans.clean import clean
-from .base import query, sql, view
+from .base import query, sql, table, view
 
 V = "dirty_part"
 TEXTS = ("brand", "size_txt", "name", "kind", "quasi", "sparse")
@@ -179,6 +179,38 @@ def _(s, d):
     return c.null_outliers(df, c.fit_outlier_bounds(df, ["price"], "zscore", 1.5)).select("id", "price")
 
 
+# Keys beyond 2**53 keep their digits; every 50th line has one far away.
+_LONG_KEYS = "SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_orderkey % 50 = 0 THEN 8000000000000000001 ELSE 9007199254740993 + l_orderkey END AS big FROM {lineitem}"
+
+
+def _long_keys(s, d):
+    return s.sql(_LONG_KEYS, lineitem=table(s, d, "lineitem"))
+
+
+@query(
+    "m11_long_keys",
+    sql(
+        f"""SELECT id, CASE WHEN big < q1 - 3 * (q3 - q1) OR big > q3 + 3 * (q3 - q1) THEN NULL ELSE big END AS big
+        FROM ({_LONG_KEYS.format(lineitem='lineitem')}), (SELECT quantile_cont(big::DOUBLE, 0.25) q1, quantile_cont(big::DOUBLE, 0.75) q3 FROM ({_LONG_KEYS.format(lineitem='lineitem')}))"""
+    ),
+)
+def _(s, d):
+    df = _long_keys(s, d)
+    return c.null_outliers(df, c.fit_outlier_bounds(df, ["big"], "iqr", 3.0))
+
+
+@query(
+    "m12_long_keys",
+    sql(
+        f"""SELECT id, CASE WHEN big < m - 3 * v OR big > m + 3 * v THEN NULL ELSE big END AS big
+        FROM ({_LONG_KEYS.format(lineitem='lineitem')}), (SELECT avg(big::DOUBLE) m, stddev_samp(big::DOUBLE) v FROM ({_LONG_KEYS.format(lineitem='lineitem')}))"""
+    ),
+)
+def _(s, d):
+    df = _long_keys(s, d)
+    return c.null_outliers(df, c.fit_outlier_bounds(df, ["big"], "zscore", 3.0))
+
+
 @query("m13_integer", sql(f"SELECT id, CAST(size AS BIGINT) AS size, price2, size_txt FROM {V}", V, doubles="price2"))
 def _(s, d):
     df = view(s, d, V)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from ..operators import labeling as lab
 from ..session import ensure_checkpoint_dir
 from ..sources import io
-from .base import query, sql, view
+from .base import query, sql, table, view
 from .deriving import LABEL_CTE, NAMES, labelled
 from .profiling import _union
 
@@ -51,6 +51,23 @@ def _(s, d):
     return _csv(s, d)[1].agg(F.count("*").alias("n"))
 
 
+# Keys beyond 2**53, which a double does not tell apart, and amounts of more digits than it has.
+_KEY = "9007199254740993 + 2 * l_orderkey + l_linenumber"
+_AMOUNT = "CAST(90071992547409 AS DECIMAL(18,4)) + CAST(l_linenumber AS DECIMAL(9,0)) * CAST(0.125 AS DECIMAL(4,3))"
+
+
+@query(
+    "s1_exact_numbers",
+    sql(f"SELECT k AS key, count(*) AS n, sum(CAST(a AS DECIMAL(20,4)))::VARCHAR AS amount FROM (SELECT {_KEY} AS k, CAST({_AMOUNT} AS DECIMAL(20,4)) AS a FROM lineitem) GROUP BY k"),
+)
+def _(s, d):
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("amount", T.DecimalType(20, 4))])
+    path = folder(s)
+    table(s, d, "lineitem").select(F.concat_ws(",", F.expr(_KEY).cast("string"), F.expr(f"CAST({_AMOUNT} AS DECIMAL(20,4))").cast("string")).alias("value")).write.text(path)
+    rows, _ = io.read_csv_tolerant(s, path, schema, header=False)
+    return rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("amount").cast("decimal(38,4)").cast("string").alias("amount"))
+
+
 @query("s3_table", sql(f"SELECT * FROM {V}", V, doubles="price size const price2"))
 def _(s, d):
     path = folder(s)

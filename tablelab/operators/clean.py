@@ -272,14 +272,21 @@ def fit_outlier_bounds(
 
 
 def null_outliers(df: DataFrame, bounds: Mapping[str, tuple[float, float]]) -> DataFrame:
-    """Values strictly outside their bounds become null; the rows stay."""
+    """Values strictly outside their bounds become null; the rows stay, and whole and decimal numbers keep their type."""
     changed = {}
     for c, (lo, hi) in bounds.items():
         v = coerce(df, c)
-        changed[c] = F.when(~((v < lo) | (v > hi)), v)
+        changed[c] = F.when(~((v < lo) | (v > hi)), exact_number(df, c))
     return df.withColumns(changed) if changed else df
 
 
+def outlier_counts(df: DataFrame, bounds: Mapping[str, tuple[float, float]]) -> DataFrame:
+    """Per column: number of coerced values strictly outside their bounds."""
+    outside = {c: (coerce(df, c) < lo) | (coerce(df, c) > hi) for c, (lo, hi) in bounds.items()}
+    wide = df.agg(*[F.count_if(test).alias(f"c{i}") for i, test in enumerate(outside.values())])
+    return to_long(wide, [], {c: {"n": F.col(f"c{i}")} for i, c in enumerate(outside)})
+
+
 def fit_integers(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], list[str]]:
     """(columns whose values are all whole, columns with a fractional value)."""
     names = existing(df, columns)

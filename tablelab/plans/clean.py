@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import MISSING_TEXTS, coerce
 from ..operators import clean as ops
+from ..operators.profile import column_statistics
 from ..session import checkpointed
 
 # Range options and the column each one filters.
@@ -28,6 +30,12 @@ class CleanResult:
     steps: list[dict[str, Any]] = field(default_factory=list)
     fitted: dict[str, Any] = field(default_factory=dict)
     warnings: list[str] = field(default_factory=list)
+    #: What the steps met: ``required_columns``, ``dropped_rows`` and ``nulled_values``. They are counted when asked for.
+    tables: dict[str, DataFrame] = field(default_factory=dict)
+
+    def column_statistics(self) -> DataFrame:
+        """Type, values, nulls, distinct values and for numbers the distribution of each column that is left."""
+        return column_statistics(self.df)
 
     def report(self) -> DataFrame:
         """One row per step: rows before, after, removed, retention % of the first count, columns after."""
@@ -128,6 +136,8 @@ def clean(
 
     types = config.get("data_type_enforcement", {})
     required = ops.existing(run.df, columns.get("required_columns", []))
+    run.result.tables["required_columns"] = ops.missing_breakdown(run.df, columns.get("required_columns", []))
+    run.result.tables["dropped_rows"] = ops.dropped_row_stats(run.df, missing.get("missing_threshold_rows", 0.5))
     filters = [("high_missing_rows", ops.enough_values(run.df.columns, missing.get("missing_threshold_rows", 0.5)))]
     if missing.get("drop_rows_with_missing_required", False) and required:
         filters.append(("missing_required", ops.has_all(required)))
@@ -154,8 +164,15 @@ def clean(
 
     numeric = config.get("numeric_cleaning", {})
     if numeric.get("enabled", False):
-        run.change("null_negatives", ops.null_negatives(run.df, numeric.get("remove_negative_values_columns", [])))
-        run.change("null_zeros", ops.null_zeros(run.df, numeric.get("remove_zero_values_columns", [])))
+        nulled = []
+        for step, key, test, change in (
+            ("null_negatives", "remove_negative_values_columns", lambda v: v < 0, ops.null_negatives),
+            ("null_zeros", "remove_zero_values_columns", lambda v: v == 0, ops.null_zeros),
+        ):
+            listed = ops.existing(run.df, numeric.get(key, []))
+            if listed:
+                nulled.append(ops.count_where(run.df, listed, test).withColumn("step", F.lit(step)))
+            run.change(step, change(run.df, listed))
         if numeric.get("clip_outliers", False):
             bounds = ops.fit_outlier_bounds(
                 run.df,
@@ -164,8 +181,13 @@ def clean(
                 numeric.get("outlier_multiplier", 3.0),
             )
             run.result.fitted["outlier_bounds"] = bounds
+            if bounds:
+                nulled.append(ops.outlier_counts(run.df, bounds).withColumn("step", F.lit("null_outliers")))
             run.change("null_outliers", ops.null_outliers(run.df, bounds), ", ".join(bounds))
 
+        if nulled:
+            run.result.tables["nulled_values"] = reduce(DataFrame.unionByName, nulled).select("step", "column", "n")
+
     filters = _validation_filters(run.df, config)
     if filters:
         run.section(filters)

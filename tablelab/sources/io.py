@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.groups import by_label
-from ..functions.nulls import is_numeric, nan_to_null, to_number
+from ..functions.nulls import NUMBER_PATTERN, as_column, is_numeric, nan_to_null, to_number, whole_number
 from ..operators.labeling import set_count
 
 CORRUPT = "_corrupt_record"
@@ -47,13 +47,20 @@ def read_csv_tolerant(spark: SparkSession, path: str, schema: T.StructType, **op
     some = F.coalesce(F.length(F.col(f"`{schema.fields[-1].name}`")), F.lit(0)) >= 0
     too_long = F.col(CORRUPT).isNotNull() & some & (_fields(F.col(CORRUPT), options) > len(schema.fields))
 
-    typed = [
-        (to_number(f.name).try_cast(f.dataType) if is_numeric(f.dataType) else F.col(f"`{f.name}`").try_cast(f.dataType)).alias(f.name)
-        for f in schema.fields
-    ]
+    typed = [_typed(raw, f).alias(f.name) for f in schema.fields]
     return raw.filter(~too_long).select(*typed), raw.filter(too_long).select(CORRUPT)
 
 
+def _typed(raw: DataFrame, field: T.StructField) -> Column:
+    """The text of a field in its type, null where it does not fit. Whole and decimal numbers don't pass through double."""
+    text = as_column(field.name)
+    if isinstance(field.dataType, T.IntegralType):
+        return whole_number(raw, field.name).try_cast(field.dataType)
+    if isinstance(field.dataType, T.DecimalType):
+        return F.when(text.rlike(NUMBER_PATTERN), F.trim(text).try_cast(field.dataType))
+    return (to_number(text) if is_numeric(field.dataType) else text).try_cast(field.dataType)
+
+
 def _fields(line: Column, options: Mapping[str, str]) -> Column:
     """Number of fields of a CSV line."""
     quote, escape, separator = (options.get(k, v) for k, v in (("quote", '"'), ("escape", "\\"), ("sep", options.get("delimiter", ","))))

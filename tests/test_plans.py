@@ -49,6 +49,18 @@ def test_clean_run_accounts_for_every_row(raw):
     assert "extra" not in result.df.columns
 
 
+def test_clean_run_has_tables_of_what_it_met(raw):
+    result = clean.clean(raw, CONFIG, ["id"])
+    required = {r["column"]: r for r in result.tables["required_columns"].collect()}
+    assert required["smiles"]["missing"] == 1 and required["smiles"]["with_value"] == 44
+    dropped = result.tables["dropped_rows"].first()
+    assert dropped["n_rows"] == 45 and dropped["dropped"] == 1
+    nulled = {(r["step"], r["column"]): r["n"] for r in result.tables["nulled_values"].collect()}
+    assert nulled == {("null_negatives", "mw"): 1, ("null_outliers", "xlogp"): 1}
+    left = {r["column"]: r for r in result.column_statistics().collect()}
+    assert set(left) == set(result.df.columns) and left["id"]["non_null"] == result.df.count()
+
+
 def test_checkpointed_run_gives_the_same(raw):
     a = clean.clean(raw, CONFIG, ["id"], checkpoint=False).df.orderBy("id").collect()
     assert a == clean.clean(raw, CONFIG, ["id"], checkpoint=True).df.orderBy("id").collect()

@@ -45,3 +45,13 @@ def test_label_subsets(spark, tmp_path):
 def test_reports(spark, tmp_path):
     io.write_report({"counts": spark.createDataFrame([("a", 1)], "k string, n int")}, str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r" / "counts")).first().asDict() == {"k": "a", "n": 1}
+
+
+def test_whole_and_decimal_numbers_keep_their_digits(spark, tmp_path):
+    path = tmp_path / "rows.csv"
+    path.write_text("9007199254740993,12345678901234567.89,7\n9.0e3,1e2,99999999999\n3.7,x,\n 8 , 2.5 ,1.0\n")
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("amount", T.DecimalType(20, 2)), T.StructField("small", T.IntegerType())])
+    rows, bad = io.read_csv_tolerant(spark, str(path), schema, header=False)
+    found = [(r["key"], None if r["amount"] is None else str(r["amount"]), r["small"]) for r in rows.collect()]
+    assert found == [(9007199254740993, "12345678901234567.89", 7), (9000, "100.00", None), (3, None, None), (8, "2.50", 1)]
+    assert bad.count() == 0
