@@ -2,8 +2,8 @@
 
 Lines carry the few lines after them, so every search is a test on one row; the first hit of each
 (document, endpoint) is a min aggregate that combines on the map side. Documents of one row need no
-shuffle before it; of documents of many pages only the first lines of each page are shuffled, in
-overlapping blocks of pages.
+shuffle before it. Of documents of many pages the lines whose look-ahead leaves their page are shuffled,
+and the first lines of each page, in overlapping blocks of pages.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions.nulls import as_column, strip
 from ..functions.order import SMALL_ROWS, null_safe_join, running_sums
+from ..session import checkpointed
 
 # Line ends, number, quality code, search distances and key words.
 LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85  ]"
@@ -110,11 +111,6 @@ def lines_with_following(
     rows = rows.withColumn("_lines", split_lines(F.col("_t"))).drop("_t")
     own = F.transform("_lines", lambda x, i: F.struct(F.col("page").alias("page"), (i + 1).alias("line_no"), x.alias("text")))
     rows = rows.withColumn("_own", own)
-    if page is None:
-        rows = rows.withColumn("_all", F.col("_own"))
-    else:
-        rows = null_safe_join(rows, _following_heads(pages, after), ["doc_id", "page"])
-        rows = rows.withColumn("_all", F.concat("_own", "_next"))
     hits = F.filter("_own", lambda x: x["text"].rlike(wanted)) if wanted else F.col("_own")
     placed = F.transform(
         hits,
@@ -122,10 +118,19 @@ def lines_with_following(
             x["page"].alias("page"),
             x["line_no"].alias("line_no"),
             x["text"].alias("text"),
-            F.slice("_all", x["line_no"] + 1, F.lit(after)).alias("following"),
+            F.slice("_own", x["line_no"] + 1, F.lit(after)).alias("following"),
         ),
     )
-    return rows.select("doc_id", F.inline(placed))
+    found = rows.select("doc_id", F.inline(placed))
+    if page is None:
+        return found
+    # A line whose look-ahead ends on its own page is done. Of the others only the line and what follows it there
+    # travel, to meet the first lines of the next pages.
+    found = checkpointed(found)
+    short = F.size("following") < after
+    opened = null_safe_join(found.filter(short), _following_heads(pages, after), ["doc_id", "page"])
+    closed_now = F.concat("following", F.slice("_next", 1, F.lit(after) - F.size("following")))
+    return found.filter(~short).unionByName(opened.withColumn("following", closed_now).drop("_next"))
 
 
 def _following_heads(pages: DataFrame, after: int) -> DataFrame:
