@@ -5,7 +5,10 @@ to the one above, discounted by the share of text inside links. The container wi
 siblings that score well or hold running text are kept with it. Parts that are no article text by their element,
 role or name (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts) are cut out first. An
 article or main element is cut for its name only where that says comment or advert, a part with a word of
-``CONTENT`` not for names of a state, and none but comments and adverts if it holds most of the page's text.
+``CONTENT`` not for names of a state, and none but comments and adverts if it holds most of the page's text. Inside an
+article or main element a part is cut for its name only if the whole name says so (``share``, ``related-links``, but
+not ``market share`` or ``related-work``), lists of links stay, and of its own header the headings do. A headline just
+before the container belongs to it.
 
 Defined cases: a null or empty page, and one without text, gives an empty text; unclosed and stray tags are read
 as browsers do, roughly; an unclosed comment or script runs to the end; repeated rows are extracted one by one;
@@ -29,7 +32,7 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _SPACE = re.compile(r"\s+")
 
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "select", "option"}
+RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "canvas", "object", "select", "option"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -60,6 +63,8 @@ COMMENT_NAME = re.compile(r"^(ads?|advert\w*|adsense|sponsor\w*|promo\w*|comment
 STATE_FIRST = {"has", "with", "without", "no", "is", "not", "show", "hide", "js", "category", "cat", "tag", "type", "format", "status"}
 STATE_LAST = {"open", "opened", "closed", "on", "off", "enabled", "disabled", "active", "visible", "free"}
 ROOTS = {"html", "body"}
+#: Words that go with those of NO_NAME in the name of a part and say no more.
+COMPANIONS = set("bar box block list links link items item section area widget wrapper container panel buttons button icons unit slot inner outer posts stories articles module row".split())
 
 
 class _Tree:
@@ -67,7 +72,9 @@ class _Tree:
 
     def __init__(self, page: str):
         self.tag, self.parent, self.cut, self.name = ["html"], [-1], [False], [("", 0)]
-        self.main = [False]
+        self.main, self.within = [False], [False]  # an article or main element; an element inside one
+        self.mute, self.title = [False], [False]  # text of an article's header that is no heading; part of a heading
+        self.whole: set[int] = set()  # elements whose whole name says that they are no article text
         self.soft: set[int] = set()  # elements that are cut for their name, unless they hold most of the page
         self.pieces: list[tuple[int, str | None]] = []  # (element, text), or None where a block begins or ends
         self.stack = [0]
@@ -149,11 +156,18 @@ class _Tree:
         hidden = "hidden" in values or values.get("aria-hidden", "").lower() == "true" or "display:none" in values.get("style", "").lower().replace(" ", "")
         free = main or content and not part
         named = tag not in ROOTS and (comment or not free and (strong or weak and not content))
+        within = self.within[parent] or self.main[parent]
+        own_header = tag == "header" and within and role in ("", "presentation", "none")
         self.tag.append(tag)
         self.parent.append(parent)
+        self.within.append(within)
+        self.title.append(self.title[parent] or tag in HEADING)
+        self.mute.append((self.mute[parent] or own_header) and not self.title[-1])
         if named and not comment:
             self.soft.add(len(self.tag) - 1)
-        self.cut.append(self.cut[parent] or tag in NO_TEXT or role in NO_ROLE or named and comment or hidden and tag not in ("html", "body"))
+        if strong and all(NO_NAME.match(w) or w in COMPANIONS or w.isdigit() for w in words):
+            self.whole.add(len(self.tag) - 1)
+        self.cut.append(self.cut[parent] or tag in NO_TEXT and not own_header or role in NO_ROLE or named and comment or hidden and tag not in ("html", "body"))
         self.name.append((values.get("class", ""), (content or tag in ("article", "main")) - weak))
         self.main.append(main)
         return len(self.tag) - 1
@@ -162,8 +176,10 @@ class _Tree:
 def _cut_by_name(tree: _Tree) -> None:
     """Cut the parts named as no article text, but for those that hold most of the page's text outside links.
 
-    A part is not kept for its length where an article or main element stands outside all such parts.
+    A part is not kept for its length where an article or main element stands outside all such parts. Inside an
+    article or main element only whole names count.
     """
+    tree.soft = {k for k in tree.soft if not tree.within[k] or k in tree.whole}
     if not tree.soft:
         return
     n = len(tree.tag)
@@ -173,7 +189,7 @@ def _cut_by_name(tree: _Tree) -> None:
         linked[k] = tree.tag[k] == "a" or linked[parent]
         named[k] = k in tree.soft or named[parent]
     for k, text in tree.pieces:
-        if text and not tree.cut[k] and not linked[k]:
+        if text and not tree.cut[k] and not tree.mute[k] and not linked[k]:
             size[k] += len(_SPACE.sub(" ", text).strip())
     for k in range(n - 1, 0, -1):
         size[tree.parent[k]] += size[k]
@@ -182,6 +198,23 @@ def _cut_by_name(tree: _Tree) -> None:
         tree.cut[k] |= tree.cut[tree.parent[k]] or k in tree.soft and (article or 2 * size[k] <= size[0])
 
 
+def _headline(tree: _Tree, top: int, total: Sequence[int]) -> set[int]:
+    """The heading just before the container, if the container has none of the first level."""
+    if any(tree.tag[k] == "h1" and not tree.cut[k] and total[k] for k in range(top + 1, _end(tree, top))):
+        return set()
+    before = [k for k in range(1, top) if tree.parent[k] == tree.parent[top] and not tree.cut[k] and total[k]]
+    return {before[-1]} if before and tree.tag[before[-1]] in ("h1", "h2") else set()
+
+
+def _end(tree: _Tree, k: int) -> int:
+    """The number after the last element inside element k."""
+    n, inside = k + 1, {k}
+    while n < len(tree.tag) and tree.parent[n] in inside:
+        inside.add(n)
+        n += 1
+    return n
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the article, two line ends between them."""
     if not page:
@@ -196,7 +229,7 @@ def main_text(page: str | None) -> str:
         linked[k] = tree.tag[k] == "a" or linked[parent]
     own, own_links, commas, total, links, n_links = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
     for k, text in tree.pieces:
-        if text and not tree.cut[k]:
+        if text and not tree.cut[k] and not tree.mute[k]:
             size, b = len(_SPACE.sub(" ", text).strip()), block[k]
             own[b] += size
             commas[b] += text.count(",") + text.count("，") + text.count("、")
@@ -241,12 +274,15 @@ def main_text(page: str | None) -> str:
             # Beside an element that calls itself the article, only others of the kind and long paragraphs belong to it.
             running = tree.tag[k] == "p" and (total[k] >= 80 and density[k] < 0.25 or density[k] == 0 and total[k] >= 25 and not tree.main[top])
             alike = tree.tag[k] == tree.tag[top] if tree.main[top] else True
-            if alike and score[k] + bonus >= max(5.0, 0.2 * score[best]) or running:
+            # A short part of the same element and class goes on with the text, as a closing section does.
+            twin = tree.tag[k] == tree.tag[top] != "p" and tree.name[k][0] == tree.name[top][0] and density[k] < 0.25 and total[k] >= 25 and k > top
+            if alike and score[k] + bonus >= max(5.0, 0.2 * score[best]) or running or twin:
                 kept.add(k)
+    kept |= _headline(tree, top, total)
 
     inside = [False] * n
     for k in range(n):
-        menu = tree.tag[k] in ("ul", "ol", "dl", "table", "div", "section") and n_links[k] >= 2 and density[k] > 0.6 and k not in kept
+        menu = tree.tag[k] in ("ul", "ol", "dl", "table", "div", "section") and n_links[k] >= 2 and density[k] > 0.6 and k not in kept and not tree.within[k]
         tree.cut[k] |= menu or k > 0 and tree.cut[tree.parent[k]]
         inside[k] = not tree.cut[k] and (k in kept or k > 0 and inside[tree.parent[k]])
     blocks, now = [], []
@@ -255,7 +291,7 @@ def main_text(page: str | None) -> str:
             if joined := _SPACE.sub(" ", "".join(now)).strip():
                 blocks.append(joined)
             now = []
-        elif inside[k]:
+        elif inside[k] and not tree.mute[k]:
             now.append(text)
     return "\n\n".join(blocks)
 

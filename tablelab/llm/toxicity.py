@@ -1,12 +1,14 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. Each sentence has a logistic score over its words and word beginnings, and the
-bag's score is their noisy-or, 1 - prod(1 - p). Weights are learned from document labels alone, by gradient ascent
+bag's score is their noisy-or, 1 - prod(1 - p). A sentence without a learned feature has the score 0, and one under
+``LEAST_SCORE`` does not count in the noisy-or, so that length alone makes no text toxic. Weights are learned from document labels alone, by gradient ascent
 of the bag likelihood over the features that stand out in documents of label 1; the sentence scores then show
 which sentences offend.
 
-Learning is bounded: about ``docs_per_label`` labelled documents of each label, chosen by a hash of the key, none
-of them longer than ``SAMPLE_BYTES``, and at most ``FEATURES`` features. Scoring covers whole texts of all rows.
+Learning is bounded: of each label about ``docs_per_label`` labelled documents, whatever their length, in the order
+of a hash of the key as long as they fit ``SAMPLE_BYTES`` bytes together (one that does not fit any more is passed
+over), and at most ``FEATURES`` features. Scoring covers whole texts of all rows.
 
 Defined cases: null and wordless texts have no sentence and get the score of the empty bag (0); a label other than
 0 and 1 and rows without a text are not learned from; without both labels every score is 0; repeated label rows
@@ -28,8 +30,10 @@ from . import words
 from .arrow import add_columns
 
 DOCS_PER_LABEL = 2500
-#: Longer texts (in bytes) are not learned from.
-SAMPLE_BYTES = 1 << 16
+#: Bytes of the texts of a label that are learned from, together.
+SAMPLE_BYTES = 16 << 20
+#: Sentences of a lower score don't count.
+LEAST_SCORE = 0.05
 #: Features are hashed into so many bits.
 BITS = 20
 #: Lengths in bytes of the word beginnings that count as features beside the whole word.
@@ -115,6 +119,9 @@ def fit(texts: Sequence[str], labels: Sequence[int], rounds: int = ROUNDS) -> Mo
     used = number[column] >= 0
     column, sentence = number[column[used]], sentence[used]
     k = len(chosen)
+    # Sentences without a feature that is used have no part in any bag.
+    held, sentence = np.unique(sentence, return_inverse=True)
+    doc, n = doc[held], len(held)
     weights, bias = np.zeros(k), -5.0
     balance = 1 / len(labels)
     first, second = np.zeros(k + 1), np.zeros(k + 1)
@@ -134,7 +141,10 @@ def fit(texts: Sequence[str], labels: Sequence[int], rounds: int = ROUNDS) -> Mo
 RIDGE = 1e-4
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", docs_per_label: int = DOCS_PER_LABEL) -> Model:
+def learn(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", docs_per_label: int = DOCS_PER_LABEL,
+    sample_bytes: int = SAMPLE_BYTES,
+) -> Model:
     """Fit on a bounded sample of the labelled documents."""
     marks = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_label"))
     counts = {r["_label"]: r["count"] for r in marks.groupBy("_label").count().collect()}
@@ -145,8 +155,16 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     chosen = F.broadcast(marks.filter(draw < chance))  # about docs_per_label rows a label
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).filter(F.col("text").isNotNull()).join(chosen, "_key")
 
-    short = rows.filter(F.octet_length("text") <= SAMPLE_BYTES).select("text", "_label")
-    sample = sorted((r["_label"], r["text"]) for r in short.toLocalIterator())  # about docs_per_label rows a label
+    sizes = rows.select("_key", "_label", draw.alias("_draw"), F.octet_length("text").alias("_size"), F.xxhash64("text").alias("_text"))
+    taken, used = [], {0: 0, 1: 0}
+    for r in sorted(sizes.collect(), key=lambda r: (r["_draw"], r["_key"], r["_text"])):  # about docs_per_label rows a label
+        if used[r["_label"]] + r["_size"] <= sample_bytes:
+            used[r["_label"]] += r["_size"]
+            taken.append(r["_key"])
+    if not taken:
+        return NO_MODEL
+    kept = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in sorted(set(taken))], T.StructType([T.StructField("_key", docs.schema[key].dataType)])))
+    sample = sorted((r["_label"], r["text"]) for r in rows.join(kept, "_key").select("text", "_label").toLocalIterator())
     return fit([x[1] for x in sample], [x[0] for x in sample])
 
 
@@ -160,11 +178,15 @@ def score(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), text
     def make():
         model = shared.value
         table = np.append(model.table(), 0.0)  # the last one is of features that a word lacks
+        used = np.zeros(len(table))
+        used[model.features] = 1.0
 
         def function(column: pa.Array):
             found, starts, ends, sentence, row_sentences = features(*(both := words.utf8(column)))
             n = int(row_sentences[-1])
             p = _logistic(model.bias + np.bincount(sentence, table[found].sum(0), n))
+            p[np.bincount(sentence, used[found].sum(0), n) == 0] = 0.0
+            p[p < LEAST_SCORE] = 0.0
             clear = np.concatenate([[0], np.cumsum(np.log1p(-np.minimum(p, 1 - 1e-12)))])
             total = -np.expm1(clear[row_sentences[1:]] - clear[row_sentences[:-1]])
             begin, end = np.searchsorted(sentence, np.arange(n)), np.searchsorted(sentence, np.arange(n), "right") - 1

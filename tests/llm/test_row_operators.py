@@ -78,9 +78,45 @@ def test_language_cases(spark):
     assert {r["lang_pred"] for r in unlabelled} == {"und"}
 
 
-def test_too_many_labels(spark):
-    with pytest.raises(ValueError):
-        language.learn(docs(spark, ["a b", "c d"]).withColumn("lang", F.col("doc_id").cast("string")), max_languages=1)
+def test_many_labels_give_results(spark):
+    """600 label values, each with words of its own; every text goes to its own value."""
+    rng = random.Random(4)
+    words_of = {f"l{k:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for k in range(600)}
+    rows = [(i, " ".join(rng.choice(words_of[lang]) for _ in range(30)), lang, "s", 1) for lang in words_of for i in range(2)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    dictionaries = language.learn(table)
+    assert set(dictionaries) == set(words_of)
+    sample = table.filter("doc_id = 0 AND lang < 'l040'")
+    found = language.identify(sample, dictionaries, keep=["lang"]).collect()
+    assert len(found) == 40 and all(r["lang"] == r["lang_pred"] for r in found)
+
+
+def test_language_is_the_smallest_of_plain_compressions(spark):
+    import zstandard
+
+    table = spark.read.parquet(f"{SF}/documents.parquet").limit(80)
+    dictionaries = language.learn(table)
+    found = {r["doc_id"]: r for r in language.identify(table, dictionaries).collect()}
+    for row in table.collect():
+        letters = "".join(c if c.isalpha() or ord(c) > 127 else " " for c in (row["text"] or "").lower())
+        data = (" " + " ".join(letters.split(" ")) + " ").encode()
+        data = b" " + b" ".join(data.split()) + b" "
+        if not any(map(str.isalpha, row["text"] or "")):
+            assert found[row["doc_id"]]["lang_pred"] == "und"
+            continue
+        sizes = []
+        for strategy in (zstandard.STRATEGY_FAST, zstandard.STRATEGY_LAZY2):
+            of = {}
+            for k, (name, raw) in enumerate(dictionaries.items()):
+                parameters = zstandard.ZstdCompressionParameters(
+                    window_log=18, chain_log=16, hash_log=16, search_log=4, min_match=4, target_length=16, strategy=strategy, write_content_size=0, write_checksum=0, write_dict_id=0
+                )
+                made = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=parameters)
+                of[name] = (sum(len(made.compress(data[a : a + 4096])) for a in range(0, len(data), 4096)), k)
+            sizes.append(sorted((v, n) for n, v in of.items()))
+        margin = lambda s: (s[1][0][0] - s[0][0][0]) / s[1][0][0]
+        best = sizes[0] if margin(sizes[0]) >= language.NARROW else sizes[1]
+        assert found[row["doc_id"]]["lang_pred"] == best[0][1] and found[row["doc_id"]]["margin"] == pytest.approx(margin(best))
 
 
 # --- packing --------------------------------------------------------------------------------------------------
@@ -247,6 +283,39 @@ def test_toxicity_finds_documents_and_sentences(spark):
         assert all("." not in s for s in marked)
 
 
+def test_toxicity_is_the_noisy_or_of_its_sentences(spark):
+    table, labels = toxic_table(spark, 200)
+    model = toxicity.learn(table, labels)
+    weight, used = model.table(), set(model.features.tolist())
+    for row in toxicity.score(table, model, keep=["text"]).collect():
+        clear = 1.0
+        for sentence in re.split("[.!?\n]", row["text"]):
+            found = toxicity.features(*words.utf8(pa.array([sentence])))[0].ravel()
+            own = [f for f in found.tolist() if f in used]
+            p = 1 / (1 + np.exp(-(model.bias + sum(weight[f] for f in own)))) if own else 0.0
+            clear *= 1 - (p if p >= toxicity.LEAST_SCORE else 0.0)
+        assert row["score"] == pytest.approx(1 - clear, abs=1e-9)
+
+
+def test_long_clean_texts_are_not_toxic(spark):
+    table, labels = toxic_table(spark)
+    model = toxicity.learn(table, labels)
+    clean = [r["text"] for r in table.filter("doc_id % 4 <> 0").collect()]
+    joined = " ".join(clean * (3_000_000 // sum(map(len, clean)) + 1))
+    assert len(joined) >= 3_000_000
+    found = toxicity.score(docs(spark, [joined, joined + " grubbela grubbelb."]), model).orderBy("doc_id").collect()
+    assert found[0]["score"] < 0.1 and found[0]["starts"] == []
+    assert found[1]["score"] > 0.5 and len(found[1]["starts"]) == 1
+
+
+def test_toxicity_sample_is_bounded_by_bytes_alone(spark):
+    table, labels = toxic_table(spark, 200)
+    # Texts of any length are learned from as long as they fit together.
+    long = table.withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat(F.repeat(F.lit("alpha1 beta2. "), 8000), "text")).otherwise(F.col("text")))
+    assert len(toxicity.learn(long, labels).features)
+    assert not len(toxicity.learn(table, labels, sample_bytes=10).features)
+
+
 def test_toxicity_learns_nothing_from_held_out_rows(spark):
     table, labels = toxic_table(spark, 200)
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
@@ -320,3 +389,31 @@ def test_long_paragraphs_beside_an_article_stay():
     text = "<p>Some running text, with commas, in a longer sentence here.</p>" * 4
     intro = "An introduction of the article that stands before it, and that is a long enough sentence to be running text."
     assert maintext.main_text(f"<body><p>{intro}</p><article>{text}</article></body>").startswith(intro)
+
+
+LONG = "Some running text, with commas, in a longer sentence here."
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        # a short closing section beside a long one
+        (f"<body><section>{f'<p>{LONG}</p>' * 6}</section><section><p>A short closing word, to end with.</p></section></body>", [LONG] * 6 + ["A short closing word, to end with."]),
+        # a list of two linked references in the article
+        (f"<article>{f'<p>{LONG}</p>' * 4}<ul><li><a href=a>First reference</a></li><li><a href=b>Second reference</a></li></ul></article>", [LONG] * 4 + ["First reference", "Second reference"]),
+        # names that only hold a word of such parts
+        (f"<article>{f'<p>{LONG}</p>' * 4}<p class='market share'>Of the market, a half.</p><div class='related-work'><p>Work of others.</p></div><p class='top-note'>A note.</p></article>",
+         [LONG] * 4 + ["Of the market, a half.", "Work of others.", "A note."]),
+        # whole names of such parts
+        (f"<article>{f'<p>{LONG}</p>' * 4}<div class='share-buttons'><p>Tell your friends.</p></div><div id='related'><p>Read this.</p></div><div class='newsletter'>Mail me</div></article>", [LONG] * 4),
+        # formulas
+        (f"<article>{f'<p>{LONG}</p>' * 3}<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>", [LONG] * 3 + ["So x=2 holds."]),
+        # a headline before the container, and one in the article's own header
+        (f"<body><nav><a href=a>Menu</a></nav><h1>The headline</h1><article>{f'<p>{LONG}</p>' * 3}</article></body>", ["The headline"] + [LONG] * 3),
+        (f"<body><header><h1>Site</h1></header><article><header><h1>The headline</h1><p>By someone</p></header>{f'<p>{LONG}</p>' * 3}</article></body>", ["The headline"] + [LONG] * 3),
+        # a second, short article in main
+        (f"<main><article>{f'<p>{LONG}</p>' * 5}</article><article><p>A second article, short as it is.</p></article></main>", [LONG] * 5 + ["A second article, short as it is."]),
+    ],
+)
+def test_what_belongs_to_the_article_stays(page, want):
+    assert maintext.main_text(page) == "\n\n".join(want)
