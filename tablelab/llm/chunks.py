@@ -177,9 +177,10 @@ def dedup(docs: DataFrame, keep: Sequence[str] = (), key: str = "doc_id", text:
     ``n_repeated`` counts the chunks in runs that stand in other texts too, the first text that has them included.
     """
     hits = repeated(docs, key, text)
-    columns = list(dict.fromkeys([key, *keep]))
-    rows = docs.select(*[F.col(c) for c in dict.fromkeys([*columns, text])]).withColumnRenamed(text, "_text")
-    joined = rows.join(hits.withColumnRenamed("id", "_id"), rows[key] == F.col("_id"), "left")
+    columns = [c for c in dict.fromkeys([key, *keep]) if c != text]
+    # What is kept travels in one column, so that no name of it can clash with those made here.
+    rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("_kept"), docs[key].alias("_key"), docs[text].alias("_text"))
+    joined = rows.join(hits.select(F.col("id").alias("_id"), "earlier", "later"), F.col("_key") == F.col("_id"), "left")
 
     def make():
         def function(column: pa.Array, earlier: pa.Array, later: pa.Array):
@@ -215,9 +216,8 @@ def dedup(docs: DataFrame, keep: Sequence[str] = (), key: str = "doc_id", text:
 
         return function
 
-    fields = [(n if n != "text" else text, t) for n, t in FIELDS]
-    kept = [c for c in columns if c != text]
-    return add_columns(joined, "_text", kept, fields, make, also=["earlier", "later"])
+    made = add_columns(joined, "_text", ["_kept"], FIELDS, make, also=["earlier", "later"])
+    return made.select(*[F.col("_kept")[c].alias(c) for c in columns], *[F.col(n).alias(n if n != "text" else text) for n, _ in FIELDS])
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -231,16 +231,10 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     ``length``, where the table has it, is brought up to date.
     """
     columns = docs.columns
-    found = dedup(docs, [c for c in columns if c not in (text, key)], key, text) if not {n for n, _ in FIELDS} & {*columns} - {text} else _wrapped(docs, key, text)
-    found = found.filter((F.col("words_removed") == 0) | F.col(text).rlike(r"\S"))
+    others = [c for c in columns if c != text] or [key]
+    inner = docs.select(docs[key].alias("_id"), docs[text].alias("_left"), F.struct(*[docs[c] for c in others]).alias("_others"))
+    found = dedup(inner, ["_others"], "_id", "_left").filter((F.col("words_removed") == 0) | F.col("_left").rlike(r"\S"))
+    now = {text: F.col("_left")}
     if length in columns:
-        found = found.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
-    return found.select(*columns)
-
-
-def _wrapped(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """As ``dedup``, where columns of the table have the names of its results."""
-    others = [c for c in docs.columns if c not in (key, text)]
-    inner = docs.select(docs[key], docs[text], F.struct(*[docs[c] for c in others]).alias("_others"))
-    found = dedup(inner, ["_others"], key, text)
-    return found.select(F.col(key), F.col(text), F.col("words_removed").alias("_removed"), "_others.*").withColumn("words_removed", F.col("_removed"))
+        now[length] = F.length("_left").cast(docs.schema[length].dataType)
+    return found.select(*[now.get(c, F.col("_others")[c]).alias(c) for c in columns])

@@ -5,6 +5,11 @@ are reduced to their words and hashed, and joined by hash to the message of the
 first in its own words. A message replies to the message that it quotes most, by words, at its lowest quote level.
 Its text is what is left without quotes and without the line that introduces one.
 
+A thread is a tree of replies. Its order is that of a walk that goes into the replies of a message, the earliest
+first, before it goes on beside it: messages get their place from the lists that such a walk links, whose sums are
+taken over twice the distance in every round. A conversation is written in that order, in pieces of at most ``PIECE``
+messages.
+
 Defined cases: a null text is a message without text; a message that quotes nothing known has no ``reply_to`` and
 begins a thread; passages that the quoting message says itself or that are said first in a later turn link nothing;
 ties go to the earliest turn; rows of one conversation and turn are one message for the links and keep their own
@@ -18,7 +23,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +38,8 @@ _INTRODUCTION = re.compile(
     r"|.{1,80}\b(?:wrote|said|schrieb|escribió)\s*:|-{2,}\s*(?:original message|forwarded message|ursprüngliche nachricht|message d'origine)\s*-{2,})\s*$",
     re.I,
 )
+#: Messages of a written piece of a conversation.
+PIECE = 64
 #: Sentences of fewer words link nothing by themselves; a whole paragraph does.
 LEAST_WORDS = 3
 
@@ -132,22 +139,65 @@ def threads(links: DataFrame) -> DataFrame:
         now = now.drop("moved")
 
 
+def positions(links: DataFrame, tops: DataFrame) -> DataFrame:
+    """(c, t, position): the place of each linked message in the walk through its thread; the first message has 0.
+
+    ``links`` has (c, t, reply_to), ``tops`` (c, t, thread). Replies to one message are ordered in one task.
+    """
+    siblings = Window.partitionBy("c", "reply_to").orderBy("t")
+    edges = stored(links.select("c", "t", "reply_to", F.lead("t").over(siblings).alias("_beside"), F.row_number().over(siblings).alias("_nth")), "edges")
+    # The walk enters a message and leaves it again: entering goes on to the first reply, or leaves; leaving goes on to
+    # the next reply of the same message, or leaves that message.
+    first = edges.filter("_nth = 1").select("c", F.col("reply_to").alias("t"), F.col("t").alias("_first"))
+    roots = tops.select("c", F.col("thread").alias("t")).distinct()
+    nodes = edges.select("c", "t").unionByName(roots).join(first, ["c", "t"], "left")
+    into = nodes.select("c", "t", F.lit(True).alias("entering"), F.coalesce("_first", "t").alias("_to"), F.col("_first").isNotNull().alias("_into"))
+    out_of = edges.select("c", "t", F.lit(False).alias("entering"), F.coalesce("_beside", "reply_to").alias("_to"), F.col("_beside").isNotNull().alias("_into"))
+    ends = roots.select("c", "t", F.lit(False).alias("entering"), F.lit(None).cast(roots.schema["t"].dataType).alias("_to"), F.lit(False).alias("_into"))
+    steps = into.unionByName(out_of).unionByName(ends)
+    now = stored(steps.withColumn("left", F.col("entering").cast("long")), "walk")  # messages entered from here on
+    while now.filter("_to IS NOT NULL").limit(1).count():
+        ahead = now.select("c", F.col("t").alias("_to"), F.col("entering").alias("_into"), F.col("_to").alias("_far"), F.col("_into").alias("_far_into"), F.col("left").alias("_more"))
+        joined = now.join(ahead, ["c", "_to", "_into"], "left")
+        now = stored(joined.select("c", "t", "entering", F.col("_far").alias("_to"), F.coalesce("_far_into", F.lit(False)).alias("_into"), (F.col("left") + F.coalesce("_more", F.lit(0))).alias("left")), "walk")
+    entered = now.filter("entering").select("c", "t", "left")
+    whole = entered.join(roots, ["c", "t"]).select("c", F.col("t").alias("thread"), F.col("left").alias("_size"))
+    return entered.join(tops.select("c", "t", "thread"), ["c", "t"]).join(whole, ["c", "thread"]).select("c", "t", (F.col("_size") - F.col("left")).alias("position"))
+
+
 def link_quotes(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Every message without its quotes, with the message it replies to, its thread, depth and chat form.
+    """Every message without its quotes, with the message it replies to, its thread, depth, position and chat form.
 
-    A conversation in reply order is sorted by thread and turn: a message always follows the one it replies to.
+    A conversation in reply order is sorted by thread, position and turn: a message always follows the one it replies
+    to, and no message of another branch stands between a reply and what it is a reply to but earlier replies to it.
     """
-    found = stored(parsed(messages.withColumnRenamed(text, "_text"), [conversation, turn, role], "_text"), "messages")
-    links = stored(replies(found, conversation, turn), "links")
+    named = messages.select(F.col(conversation).alias("_c"), F.col(turn).alias("_t"), F.col(role).alias("_role"), F.col(text).alias("_text"))
+    found = stored(parsed(named, ["_c", "_t", "_role"], "_text"), "messages")
+    links = stored(replies(found, "_c", "_t"), "links")
     tops = threads(links).join(links, ["c", "t"])
-    joined = found.join(tops, (F.col(conversation) == F.col("c")) & (F.col(turn) == F.col("t")), "left")
+    if links.limit(1).count():
+        tops = tops.join(positions(links, tops), ["c", "t"])
+    else:
+        tops = tops.withColumn("position", F.lit(0).cast("long"))
+    joined = found.join(tops, (F.col("_c") == F.col("c")) & (F.col("_t") == F.col("t")), "left")
     return joined.select(
-        conversation, turn, role, F.col("own").alias("text"), "reply_to", F.coalesce("thread", turn).alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"),
+        F.col("_c").alias(conversation), F.col("_t").alias(turn), F.col("_role").alias(role), F.col("own").alias("text"), "reply_to",
+        F.coalesce("thread", "_t").alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("position", F.lit(0)).alias("position"),
         "n_quotes", F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
-        F.concat(F.lit("<|"), F.coalesce(role, F.lit("user")), F.lit("|>\n"), F.coalesce("own", F.lit("")), F.lit("<|end|>\n")).alias("chat"),
+        F.concat(F.lit("<|"), F.coalesce("_role", F.lit("user")), F.lit("|>\n"), F.coalesce("own", F.lit("")), F.lit("<|end|>\n")).alias("chat"),
     )
 
 
+def conversations(linked: DataFrame, conversation: str = "conv_id", turn: str = "turn", piece: int = PIECE) -> DataFrame:
+    """(conversation, thread, piece, n_messages, chat): the threads of linked messages, written in reply order.
+
+    A piece has the messages of ``piece`` places; rows of one turn share a place, in the order of their texts.
+    """
+    row = F.struct("position", F.col(turn).alias("turn"), "chat")
+    grouped = linked.groupBy(conversation, "thread", F.floor(F.col("position") / piece).alias("piece"))
+    return grouped.agg(F.count("*").alias("n_messages"), F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["chat"]), "").alias("chat"))
+
+
 def report(messages: DataFrame) -> DataFrame:
     """One row per message."""
     return link_quotes(messages)

@@ -324,11 +324,58 @@ def test_long_chain_of_replies(spark):
     assert sorted((r["turn"], r["depth"], r["thread"]) for r in out) == [(i, i, 0) for i in range(40)]
 
 
+def test_replies_stand_in_the_order_of_the_tree(spark):
+    """Random trees of replies against a recursive walk; several turns quote the same message."""
+    rng = random.Random(8)
+    rows, order = [], {}
+    for conv in range(6):
+        parent = {i: rng.randrange(i) if i and rng.random() < 0.85 else None for i in range(40)}
+        says = lambda i, conv=conv: f"conversation {conv} message number {i} here"
+        rows += [(conv, i, "user", (f"> {says(p)}\n" if (p := parent[i]) is not None else "") + says(i)) for i in range(40)]
+        children = defaultdict(list)
+        for i, p in parent.items():
+            children[p].append(i)
+
+        def walk(i):
+            return [i, *(x for c in sorted(children[i]) for x in walk(c))]
+
+        for top in children[None]:
+            order[conv, top] = walk(top)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("_text", F.lit("x")).withColumn("_c", F.lit("x"))
+    linked = quotes.link_quotes(df)
+    found = defaultdict(list)
+    for r in linked.collect():
+        found[r["conv_id"], r["thread"]].append((r["position"], r["turn"]))
+    assert {k: sorted(v) for k, v in found.items()} == {k: list(enumerate(v)) for k, v in order.items()}
+    pieces = defaultdict(str)
+    for r in quotes.conversations(linked, piece=5).orderBy("conv_id", "thread", "piece").collect():
+        assert r["n_messages"] <= 5
+        pieces[r["conv_id"], r["thread"]] += r["chat"]
+    for (conv, top), turns in order.items():
+        assert pieces[conv, top] == "".join(f"<|user|>\nconversation {conv} message number {i} here<|end|>\n" for i in turns)
+
+
 def test_every_conversation_keeps_its_messages(spark):
     table = spark.read.parquet(f"{SF}/conversations.parquet")
     assert quotes.report(table).count() == table.count()
 
 
+@pytest.mark.parametrize("names", [("earlier", "later", "_id", "_text"), ("id", "words_removed", "starts", "_key", "_kept", "_others", "_left")])
+def test_repeats_are_cut_whatever_other_columns_are_called(spark, names):
+    passage = " ".join(f"word{i}" for i in range(80))
+    texts = [f"first of all {passage} and an end", f"second to begin {passage} with another", "short", None]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    plain = {r["doc_id"]: r["text"] for r in chunks.drop_repeats(df).collect()}
+    for name in names:
+        df = df.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    found = chunks.drop_repeats(df)
+    assert found.columns == df.columns
+    for r in found.collect():
+        assert r["text"] == plain[r["doc_id"]] and all(r[n] == f"{n}{r['doc_id']}" for n in names)
+        assert r["n_chars"] == (None if r["text"] is None else len(r["text"]))
+    assert "word40" in plain[0] and "word40" not in plain[1]
+
+
 # --- pipeline -------------------------------------------------------------------------------------------------
 
 
