@@ -136,7 +136,8 @@ def clean(
 
     types = config.get("data_type_enforcement", {})
     required = ops.existing(run.df, columns.get("required_columns", []))
-    run.result.tables["required_columns"] = ops.missing_breakdown(run.df, columns.get("required_columns", []))
+    if columns.get("required_columns"):
+        run.result.tables["required_columns"] = ops.missing_breakdown(run.df, columns["required_columns"])
     run.result.tables["dropped_rows"] = ops.dropped_row_stats(run.df, missing.get("missing_threshold_rows", 0.5))
     filters = [("high_missing_rows", ops.enough_values(run.df.columns, missing.get("missing_threshold_rows", 0.5)))]
     if missing.get("drop_rows_with_missing_required", False) and required:
