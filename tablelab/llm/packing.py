@@ -8,6 +8,9 @@ two, which need no padding.
 
 Ties on the curve (copies) are spread by a hash of the document key, so one hot text fills many partitions.
 
+The bounds of the ranges are placed by a hash sample of about ``BOUND_ROWS`` rows a partition; every row is placed
+by them, so a sample that is off makes ranges uneven and loses nothing.
+
 Defined cases: a null or empty text has the end token alone; repeated rows are packed one by one; an empty table
 gives an empty result; a text of any length is cut into as many pieces as it needs; columns beyond the named ones
 are not read.
@@ -19,6 +22,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +36,10 @@ from .arrow import add_columns, small_batches
 SEQUENCE = 2048
 END_TOKEN = 1
 DIMENSIONS, BITS = 3, 10
-#: Distinct pieces whose tokens a task remembers; the rest is tokenised anew.
+#: Distinct pieces whose tokens a Python worker remembers, from task to task; the rest is tokenised anew.
 CACHE = 400_000
+#: Rows of a partition that place its bounds.
+BOUND_ROWS = 500
 _STOP = re.compile(r"(?<=[a-zA-Zà-öø-ÿ])([.,])(?=\s|\Z)")
 #: Sequence numbers of one range start at range * RANGE_SEQUENCES.
 RANGE_SEQUENCES = 1 << 40
@@ -88,7 +94,8 @@ class CachedTokenizer:
         for piece in pieces:
             # Letters up to Latin Extended-A: lower-casing is all that the tokenizer does to them before its merges.
             if piece.isalpha() and max(piece) < "\u0180" and "\u0130" not in piece:
-                written = piece.lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
+                low = piece.lower()
+                written = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTE_LETTERS)
                 cache[piece] = array(kind, [t.id for t in tokenize(written)]).tobytes()
             else:
                 rest.append(piece)
@@ -98,6 +105,12 @@ class CachedTokenizer:
                 cache[piece] = array(kind, made.ids).tobytes()
 
 
+@cache
+def _remembered(file: str) -> CachedTokenizer:
+    """One tokenizer a worker process, so that its next task finds the pieces of the last."""
+    return CachedTokenizer(file)
+
+
 def project(column: pa.Array, dimensions: int = DIMENSIONS, bits: int = BITS) -> np.ndarray:
     """Cells (row, dimension) of the projected word vectors of texts."""
     hashes, _, _, word_offsets = words.word_hashes(*words.utf8(column))
@@ -154,13 +167,15 @@ def pack(
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The key is a place on the curve with a hash below it, so that ties have an even spread.
     key = F.shiftleft("curve", 32) + F.shiftrightunsigned(F.xxhash64(F.col(id_column)), 33)
-    keyed = curve_keys(docs, [id_column], text).select(key.alias("key"))
+    share = min(1.0, BOUND_ROWS * partitions / max(docs.count(), 1))
+    drawn = F.shiftrightunsigned(F.xxhash64(F.lit("bounds"), F.col(id_column), F.col(text)), 11).cast("double") < share * float(1 << 53)
+    keyed = curve_keys(docs.select(id_column, text).filter(drawn), [id_column], text).select(key.alias("key"))
     found = keyed.agg(F.percentile_approx("key", [i / partitions for i in range(1, partitions)] or [0.5], 10 * partitions)).head()[0] or []
     bounds = np.array(sorted(set(found))[: partitions - 1], np.int64)
     itemsize = CachedTokenizer(tokenizer).dtype.itemsize
 
     def tokenised():
-        encode = CachedTokenizer(tokenizer)
+        encode = _remembered(tokenizer)
 
         def function(column: pa.Array):
             return hilbert(project(column)), encode(column.to_pylist())
