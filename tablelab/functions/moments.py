@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from .nulls import as_column
 
 #: Sums that a task holds before it hands them out.
-HELD = 2_000_000
+HELD = 100_000
 
 
 def group_sums(

@@ -8,8 +8,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.groups import by_label, to_long
+from ..functions.groups import set_labels, to_long
 from ..functions.nulls import as_column, coerce, is_numeric, ratio
 from ..functions.order import bucket_index, exact_quantiles, null_safe_join
 from ..session import checkpointed
@@ -98,24 +99,34 @@ def missing_summary(df: DataFrame) -> DataFrame:
 
 
 def statistics_by_label(df: DataFrame, columns: Sequence[str], labels: Sequence[str]) -> DataFrame:
-    """Per feature and label (and 'overall'): count, mean, std (0 for one value), min, max, median."""
-    values = df.select(*[coerce(df, c).alias(c) for c in columns], *[as_column(n) for n in labels])
-    grouped = by_label(values, labels, overall=True)
-    aggs = []
-    for i, c in enumerate(columns):
-        v = as_column(c)
-        aggs.append(
-            F.struct(F.count(v), F.avg(v), F.coalesce(F.stddev_samp(v), F.lit(0.0)), F.min(v), F.max(v)).alias(f"s{i}")
-        )
-    per = {
-        c: {k: F.col(f"s{i}.col{n}") for n, k in enumerate(("count", "mean", "std", "min", "max"), start=1)}
-        for i, c in enumerate(columns)
-    }
-    medians = exact_quantiles(grouped, columns, [0.5], by=["label"]).select(
-        "label", "column", F.col("q")[0].alias("median")
+    """Per feature and label (and 'overall'): count, mean, std (0 for one value), min, max, median.
+
+    Rows are read once and counted by label combination and value; the counts are added up to labels, so no row is
+    copied for the labels that it has.
+    """
+    combination = F.array_sort(set_labels(labels, overall=True))
+    cells = [F.struct(F.lit(c).alias("column"), (coerce(df, c) + 0.0).alias("number")) for c in columns]
+    counts = df.select(combination.alias("_labels"), F.inline(F.array(*cells))).filter(F.col("number").isNotNull())
+    counts = checkpointed(counts.groupBy("_labels", "column", "number").agg(F.count("*").alias("n")))
+    # Sums by combination first: there are few combinations, and their moments add up.
+    of = counts.groupBy("_labels", "column").agg(
+        F.sum("n").alias("n"), (F.sum(F.col("number") * F.col("n")) / F.sum("n")).alias("mean"), F.min("number").alias("min"), F.max("number").alias("max")
+    )
+    away = F.col("number") - F.col("mean")
+    joined = counts.join(F.broadcast(of.select("_labels", "column", "mean")), ["_labels", "column"])
+    squares = joined.groupBy("_labels", "column").agg(F.sum(away * away * F.col("n")).alias("squares"))
+    parts = of.join(squares, ["_labels", "column"]).withColumn("label", F.explode("_labels"))
+    whole = Window.partitionBy("label", "column")
+    parts = parts.withColumn("_mean", F.sum(F.col("mean") * F.col("n")).over(whole) / F.sum("n").over(whole))
+    apart = F.col("mean") - F.col("_mean")
+    table = parts.groupBy("label", "column").agg(
+        F.sum("n").alias("count"), F.first("_mean").alias("mean"),
+        F.coalesce(F.sqrt(F.try_divide(F.sum(F.col("squares") + F.col("n") * apart * apart), F.sum("n") - 1)), F.lit(0.0)).alias("std"),
+        F.min("min").alias("min"), F.max("max").alias("max"),
     )
-    table = to_long(grouped.groupBy("label").agg(*aggs), ["label"], per)
-    return table.join(medians, ["label", "column"], "left").filter(F.col("count") > 0)
+    by_label = counts.select(F.explode("_labels").alias("label"), "column", "number", "n")
+    medians = quantiles(by_label, [0.5], by=["label", "column"], rows=counts.count()).select("label", "column", F.col("q")[0].alias("median"))
+    return table.join(medians, ["label", "column"], "left")
 
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:

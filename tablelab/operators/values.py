@@ -66,7 +66,6 @@ def column_figures(counts: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.max("number").alias("max"),
         ratio(F.sum(F.col("number") * F.col("n")), F.sum(numbers)).alias("mean"),
     )
-    first = checkpointed(first)  # one row per column
     away = F.col("number") - F.col("mean")
     second = counts.join(F.broadcast(first.select("column", "mean")), "column").groupBy("column").agg(F.sum(away * away * F.col("n")).alias("_squares"))
     listed = spark.createDataFrame([(c,) for c in columns], "column string")
@@ -80,11 +79,15 @@ def column_figures(counts: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def quantiles(counts: DataFrame, probs: Sequence[float], by: Sequence[str] = ("column",)) -> DataFrame:
-    """Linear-interpolated quantiles of the numbers of each group: ``q`` is the array; groups without numbers are absent."""
+def quantiles(counts: DataFrame, probs: Sequence[float], by: Sequence[str] = ("column",), rows: int | None = None) -> DataFrame:
+    """Linear-interpolated quantiles of the numbers of each group: ``q`` is the array; groups without numbers are absent.
+
+    ``rows`` is a bound of the values of one group; by default the rows of ``counts``.
+    """
     by = list(by)
+    rows = counts.count() if rows is None else rows
     numbers = counts.filter(F.col("number").isNotNull()).groupBy(*by, "number").agg(F.sum("n").alias("n"))
-    run = running_sums(numbers, "number", ["n"], by=by)
+    run = running_sums(numbers, "number", ["n"], by=by, rows=rows)
     last, before = F.col("cum_n") - 1, F.col("cum_n") - F.col("n")
     ranks = [(F.col("total_n") - 1).cast("double") * F.lit(float(p)) for p in probs]
     at = lambda place: F.max(F.when(place.between(before, last), F.col("number")))
