@@ -1,8 +1,8 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. Each sentence has a logistic score over its words and word beginnings, and the
-bag's score is their noisy-or, 1 - prod(1 - p). A sentence without a learned feature has the score 0, and one under
-``LEAST_SCORE`` does not count in the noisy-or, so that length alone makes no text toxic. Weights are learned from document labels alone, by gradient ascent
+bag's score is their noisy-or, 1 - prod(1 - p). A sentence without a learned feature has the score 0, and of
+those under ``LEAST_SCORE`` the strongest alone counts, so that length alone makes no text toxic. Weights are learned from document labels alone, by gradient ascent
 of the bag likelihood over the features that stand out in documents of label 1; the sentence scores then show
 which sentences offend.
 
@@ -32,7 +32,7 @@ from .arrow import add_columns
 DOCS_PER_LABEL = 2500
 #: Bytes of the texts of a label that are learned from, together.
 SAMPLE_BYTES = 16 << 20
-#: Sentences of a lower score don't count.
+#: Of sentences of a lower score only the strongest counts.
 LEAST_SCORE = 0.05
 #: Features are hashed into so many bits.
 BITS = 20
@@ -186,11 +186,13 @@ def score(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), text
             n = int(row_sentences[-1])
             p = _logistic(model.bias + np.bincount(sentence, table[found].sum(0), n))
             p[np.bincount(sentence, used[found].sum(0), n) == 0] = 0.0
+            row = np.repeat(np.arange(len(row_sentences) - 1), np.diff(row_sentences))
+            weak = np.zeros(len(row_sentences) - 1)
+            np.maximum.at(weak, row, np.where(p < LEAST_SCORE, p, 0.0))
             p[p < LEAST_SCORE] = 0.0
             clear = np.concatenate([[0], np.cumsum(np.log1p(-np.minimum(p, 1 - 1e-12)))])
-            total = -np.expm1(clear[row_sentences[1:]] - clear[row_sentences[:-1]])
+            total = 1 - np.exp(clear[row_sentences[1:]] - clear[row_sentences[:-1]]) * (1 - weak)
             begin, end = np.searchsorted(sentence, np.arange(n)), np.searchsorted(sentence, np.arange(n), "right") - 1
-            row = np.repeat(np.arange(len(row_sentences) - 1), np.diff(row_sentences))
             high = np.flatnonzero(p >= least)
             base = both[1][row[high]]
             cut = np.searchsorted(row[high], np.arange(len(row_sentences)))
@@ -198,7 +200,7 @@ def score(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), text
                 pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(v, k))
                 for v, k in ((starts[begin[high]] - base, pa.int64()), (ends[end[high]] - base, pa.int64()), (p[high], pa.float64()))
             ]
-            return [np.clip(total, 0, 1), *lists]
+            return [np.clip(total, 0, 1) + 0.0, *lists]
 
         return function
 
