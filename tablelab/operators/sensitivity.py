@@ -9,7 +9,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,7 +21,9 @@ from ..functions.nulls import as_column, ratio, ratio_or_zero
 from ..functions.order import ROWS_PER_TASK, bucket_index, exact_quantiles, score_edges
 from ..session import checkpointed, ensure_checkpoint_dir
 from .evaluate import LABEL, PREDICTION, PROBABILITY, ROBUSTNESS, metric_columns, metrics, threshold_sweep
+from .growth import grow, planned, two_classes
 from .models import few_partitions, folds, in_parallel
+from .trees import Forest, staged_scores
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -225,13 +227,10 @@ def ablation(
     rows = few_partitions(rows, rows.count())
     sets = [list(features), *([f for f in features if f != c] for c in features if len(features) > 1)]
 
-    def run(task: tuple[int, int]) -> float:
-        which, fold = task
-        ready = VectorAssembler(inputCols=sets[which], outputCol="features").transform(rows).select("features", as_column(label).alias("label"), "fold")
-        return held_out_metrics(_fixed_model(params), ready, "fold", fold)["f1_macro"]
-
-    tasks = [(which, fold) for which in range(len(sets)) for fold in range(k)]
-    scores = np.array(in_parallel(run, tasks, rows, parallelism)).reshape(len(sets), k)
+    ready = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows).select("features", as_column(label).alias("label"), "fold")
+    tasks = [("fold", fold, [features.index(c) for c in s]) for s in sets for fold in range(k)]
+    found = refits(ready, _fixed_model(params), tasks, parallelism)
+    scores = np.array([m["f1_macro"] for m in found]).reshape(len(sets), k)
     means, spreads = scores.mean(axis=1).tolist(), scores.std(axis=1).tolist()
     base = means[0]
     out = [("(all)", base, spreads[0], None, None)]
@@ -261,18 +260,34 @@ def repeated_cv(
     ready = ready.select("features", as_column(label).alias("label"), *[f"_fold{r}" for r in range(repeats)])
     ready = checkpointed(ready)
     ready = few_partitions(ready, ready.count())
-    tasks = [(r, f) for r in range(repeats) for f in range(k)]
-    found = in_parallel(lambda t: held_out_metrics(_fixed_model(params), ready, f"_fold{t[0]}", t[1]), tasks, ready)
+    tasks = [(f"_fold{r}", f, list(range(len(features)))) for r in range(repeats) for f in range(k)]
+    found = refits(ready, _fixed_model(params), tasks)
     names = METRICS[:-1]
-    per_run = [(r * k + f, *(float(m[c]) for c in names)) for (r, f), m in zip(tasks, found, strict=True)]
+    per_run = [(i, *(float(m[c]) for c in names)) for i, m in enumerate(found)]
     return cv_summary(df.sparkSession.createDataFrame(per_run, "run int, " + ", ".join(f"{c} double" for c in names)))
 
 
-def held_out_metrics(estimator, ready: DataFrame, fold: str, number: int) -> dict[str, float]:
-    """Figures of a fit on all folds but one, over the rows of that one."""
-    model = estimator.fit(ready.filter(F.col(fold) != number))
-    held = model.transform(ready.filter(F.col(fold) == number))
-    return metrics(held.select("label", F.col("prediction").cast("int").alias("prediction"))).first().asDict()
+def refits(ready: DataFrame, estimator, tasks: Sequence[tuple[str, int, list[int]]], parallelism: int | None = None) -> list[dict[str, float]]:
+    """Figures of a fit on all folds but one, over the rows of that one, for each (fold column, fold, features).
+
+    The fits go on together (``growth``); those with settings that it does not know are Spark's, one by one.
+    """
+    plans = [planned(estimator, {}, fold, column, tuple(among)) for column, fold, among in tasks]
+    together = all(plans) and two_classes(ready)
+    forests = grow(ready.withColumn("weight", F.lit(1.0)), plans, True) if together else [None] * len(tasks)
+
+    def run(task: tuple[tuple[str, int, list[int]], Forest | None]) -> dict[str, float]:
+        (column, fold, among), forest = task
+        held = ready.filter(F.col(column) == fold)
+        if forest is None:
+            some = VectorSlicer(inputCol="features", outputCol="_some", indices=among)
+            model = estimator.copy({estimator.featuresCol: "_some"}).fit(some.transform(ready.filter(F.col(column) != fold)))
+            prediction, held = F.col("prediction").cast("int"), model.transform(some.transform(held))
+        else:
+            prediction = staged_scores(forest, [len(forest.roots)], True)[1][0]
+        return metrics(held.select("label", prediction.alias("prediction"))).first().asDict()
+
+    return in_parallel(run, list(zip(tasks, forests, strict=True)), ready, parallelism)
 
 
 def cv_summary(per_run: DataFrame) -> DataFrame:
