@@ -274,18 +274,18 @@ def refits(ready: DataFrame, estimator, tasks: Sequence[tuple[str, int, list[int
     """
     plans = [planned(estimator, {}, fold, column, tuple(among)) for column, fold, among in tasks]
     together = all(plans) and two_classes(ready)
-    forests = grow(ready.withColumn("weight", F.lit(1.0)), plans, True) if together else [None] * len(tasks)
+    forests, counted = grow(ready.withColumn("weight", F.lit(1.0)), plans, True) if together else ([None] * len(tasks), {})
 
     def run(task: tuple[tuple[str, int, list[int]], Forest | None]) -> dict[str, float]:
         (column, fold, among), forest = task
-        held = ready.filter(F.col(column) == fold)
         if forest is None:
             some = VectorSlicer(inputCol="features", outputCol="_some", indices=among)
             model = estimator.copy({estimator.featuresCol: "_some"}).fit(some.transform(ready.filter(F.col(column) != fold)))
-            prediction, held = F.col("prediction").cast("int"), model.transform(some.transform(held))
-        else:
-            prediction = staged_scores(forest, [len(forest.roots)], True)[1][0]
-        return metrics(held.select("label", prediction.alias("prediction"))).first().asDict()
+            held = model.transform(some.transform(ready.filter(F.col(column) == fold)))
+            return metrics(held.select("label", F.col("prediction").cast("int").alias("prediction"))).first().asDict()
+        prediction = staged_scores(forest, [len(forest.roots)], True, F.col("features"))[1][0]
+        held = counted[column].filter(F.col(column) == fold).select("label", "n", prediction.alias("prediction"))
+        return metrics(held, n="n").first().asDict()
 
     return in_parallel(run, list(zip(tasks, forests, strict=True)), ready, parallelism)
 

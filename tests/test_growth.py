@@ -37,14 +37,14 @@ def test_jobs_follow_levels_and_not_models(spark, rows):
     few = [growth.Plan(f, 2, 3, column="_fold0") for f in range(2)]
     many = [growth.Plan(f, 2, 3, step=s, column="_fold0") for f in range(2) for s in (0.1, 0.2, 0.3, 0.4)]
     _, one = jobs(spark, "few", lambda: growth.grow(rows, few, True))
-    forests, other = jobs(spark, "many", lambda: growth.grow(rows, many, True))
+    (forests, _), other = jobs(spark, "many", lambda: growth.grow(rows, many, True))
     assert len(forests) == 8 and other < 2 * one
 
 
 @pytest.mark.parametrize("least", [1, 40])
 def test_rows_that_are_counted_together_keep_their_number(spark, rows, least):
     estimator = DecisionTreeClassifier(impurity="gini", maxDepth=4, minInstancesPerNode=least, seed=42, weightCol="weight")
-    (forest,) = growth.grow(rows, [growth.planned(estimator, {}, 1, "_fold0")], False)
+    (forest,), _ = growth.grow(rows, [growth.planned(estimator, {}, 1, "_fold0")], False)
     probability, prediction = staged_scores(forest, [4], False)
     want = Forest.of(spark, estimator.fit(rows.filter("_fold0 <> 1")))
     share, said = staged_scores(want, [4], False)
@@ -75,5 +75,6 @@ def test_settings_that_only_spark_knows_are_fitted_by_spark(rows):
 
 def test_no_row_is_seen(spark, rows):
     """All rows stand in the held-out fold."""
-    forests = growth.grow(rows.withColumn("fold", F.lit(0)), [growth.Plan(0, 2, 2)], True)
+    forests, counted = growth.grow(rows.withColumn("fold", F.lit(0)), [growth.Plan(0, 2, 2)], True)
     assert len(forests[0].roots) == 2 and np.all(forests[0].prediction == 0)
+    assert counted["fold"].agg(F.sum("n")).first()[0] == rows.count()
