@@ -8,6 +8,7 @@ and the first lines of each page, in overlapping blocks of pages.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -32,6 +33,8 @@ SCIENTIFIC = r"-?\d+(?:\.\d+)?\s*X\s*10\S*"
 
 _LOOKAHEAD = max(NEXT_LINES, BLOCK_LINES - 1)
 _BLOCK = 1000
+#: Texts of a task. What is found in them is sorted by document before it is sent on, which holds it in memory.
+TEXTS_PER_TASK = 50_000
 
 
 @dataclass(frozen=True)
@@ -128,7 +131,7 @@ def lines_with_following(
     # travel, to meet the first lines of the next pages.
     found = checkpointed(found)
     short = F.size("following") < after
-    opened = null_safe_join(found.filter(short), _following_heads(pages, after), ["doc_id", "page"])
+    opened = null_safe_join(found.filter(short), _following_heads(pages, after), ["doc_id", "page"], large=True)
     closed_now = F.concat("following", F.slice("_next", 1, F.lit(after) - F.size("following")))
     return found.filter(~short).unionByName(opened.withColumn("following", closed_now).drop("_next"))
 
@@ -147,7 +150,7 @@ def _following_heads(pages: DataFrame, after: int) -> DataFrame:
         heads.groupBy("doc_id", "page").agg(F.count("*").alias("one")), "page", ["one"], by=["doc_id"], spread=heads
     ).select("doc_id", "page", (F.col("cum_one") - 1).alias("_i"))
     head = F.transform("_head", lambda x, i: F.struct(F.col("page").alias("page"), (i + 1).alias("line_no"), x.alias("text")))
-    placed = null_safe_join(heads.select("doc_id", "page", head.alias("_head")), index, ["doc_id", "page"])
+    placed = null_safe_join(heads.select("doc_id", "page", head.alias("_head")), index, ["doc_id", "page"], large=True)
     block = F.floor(F.col("_i") / _BLOCK)
     copies = F.when((F.col("_i") % _BLOCK < after) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
     window = Window.partitionBy("doc_id", "_block").orderBy("_i").rowsBetween(1, after)
@@ -286,12 +289,19 @@ def _wanted_pattern(endpoints: Sequence[Endpoint]) -> str:
     return "|".join(f"(?:{p})" for p in parts)
 
 
+def _spread(df: DataFrame, doc: str, text: str, page: str | None) -> DataFrame:
+    """The texts in tasks of a bounded number, however the files were cut; pages of one document go apart."""
+    tasks = math.ceil(df.count() / TEXTS_PER_TASK)
+    columns = [as_column(c) for c in (doc, page, text) if c]
+    return df.select(*columns).repartition(tasks, *columns) if tasks > 1 else df
+
+
 def extract(df: DataFrame, doc: str, text: str, endpoints: Sequence[Endpoint], page: str | None = None) -> DataFrame:
     """One record per document and endpoint that occurs: value, qc, page, line, raw, nodata.
 
     ``df`` has one row per document, or per page with ``page``.
     """
-    lines = lines_with_following(df, doc, text, page, _wanted_pattern(endpoints))
+    lines = lines_with_following(_spread(df, doc, text, page), doc, text, page, _wanted_pattern(endpoints))
     hits = lines.select("doc_id", "page", "line_no", "text", "following", F.inline(_hits(endpoints)))
     rank = F.col("c.rank")
     best = _records(hits).groupBy("doc_id", "endpoint").agg(
