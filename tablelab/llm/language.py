@@ -12,9 +12,9 @@ the language with more labelled texts; without labelled texts every text is ``un
 answer; columns other than the named ones are not read.
 
 Learning is bounded: at most about ``4 * docs_per_language`` whole texts a language are read for pieces, chosen by a
-hash of the text, and a dictionary has at most ``DICTIONARY_BYTES``; any number of label values is taken. Where there
-are more than ``PICKED`` languages, a text is compressed with those whose dictionaries share most of its runs of three
-letters, so its cost does not grow with their number.
+hash of the text, and a dictionary has at most ``DICTIONARY_BYTES``; any number of label values is taken. A text is
+compressed with every language, so its cost grows with their number; a task keeps ``READY`` of them ready and goes
+through further ones once for many texts.
 """
 
 from __future__ import annotations
@@ -40,8 +40,8 @@ DICTIONARY_BYTES = 64 << 10
 STRETCH_BYTES = 4096
 #: Relative size margins: below the first the thorough strategy decides, below the second the text is rejected.
 NARROW, REJECT = 0.06, 0.004
-#: Languages that a text is compressed with, and the compressors that a task keeps ready.
-PICKED, READY = 8, 32
+#: Languages whose compressors a task keeps ready.
+READY = 32
 UNKNOWN = "und"
 
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -112,50 +112,32 @@ def _size(compressor, data: bytes) -> int:
     return sum(len(compressor.compress(data[a : a + STRETCH_BYTES])) for a in range(0, len(data), STRETCH_BYTES))
 
 
-def _runs(data: bytes) -> np.ndarray:
-    """Runs of three bytes as hashes of 16 bits."""
-    x = np.frombuffer(data, np.uint8).astype(np.uint32)
-    return ((x[:-2] * 0x9E3779B1 ^ x[1:-1] * 0x85EBCA6B ^ x[2:] * 0xC2B2AE35) >> np.uint32(16)).astype(np.int64) if len(x) > 2 else np.zeros(0, np.int64)
-
-
-def _run_table(dictionaries: Sequence[bytes]) -> np.ndarray:
-    """Bits (run, language): whether a dictionary has the run."""
-    held = np.zeros((1 << 16, len(dictionaries)), bool)
-    for k, data in enumerate(dictionaries):
-        held[_runs(data), k] = True
-    return np.packbits(held, axis=1)
-
-
-def _picked(data: bytes, table: np.ndarray, languages: int) -> list[int]:
-    """The languages that have most of a text's runs, ties by their order."""
-    runs, times = np.unique(_runs(data), return_counts=True)
-    found = np.zeros(8 * table.shape[1], np.int64)
-    for at in range(0, len(runs), 1024):
-        found += times[at : at + 1024] @ np.unpackbits(table[runs[at : at + 1024]], axis=1).astype(np.int64)
-    return np.sort(np.argsort(-found[:languages], kind="stable")[:PICKED]).tolist()
-
-
 def classifier(dictionaries: dict[str, bytes], narrow: float = NARROW, reject: float = REJECT):
-    """Function from a text to (language, score, margin, rejected)."""
+    """Function from texts to (language, score, margin, rejected) of each."""
     names = list(dictionaries)
     compressors = lru_cache(READY)(lambda i: _compressors(dictionaries[names[i]]))
-    shares = _run_table(list(dictionaries.values())) if len(names) > PICKED else None
-
-    def ranked(data: bytes, which: int, among: Sequence[int]) -> tuple[str, float]:
-        sizes = {i: _size(compressors(i)[which], data) for i in among}
-        best, second = sorted(among, key=lambda i: (sizes[i], i))[:2] if len(among) > 1 else (among[0], None)
-        margin = 1.0 if second is None else (sizes[second] - sizes[best]) / sizes[second]
-        return names[best], margin
-
-    def classify(text: str | None) -> tuple[str, float, float, bool]:
-        data = normalise(text)
-        if not data or not names:
-            return UNKNOWN, 0.0, 0.0, True
-        among = range(len(names)) if shares is None else _picked(data, shares, len(names))
-        name, margin = ranked(data, 0, among)
-        if margin < narrow:
-            name, margin = ranked(data, 1, among)
-        return name, 1.0 - 0.5 * math.exp(-40.0 * margin), margin, margin < reject
+
+    def ranked(texts: Sequence[bytes], which: int) -> list[tuple[str, float]]:
+        sizes = np.empty((len(texts), len(names)), np.int64)
+        for i in range(len(names)):
+            compressor = compressors(i)[which]
+            sizes[:, i] = [_size(compressor, data) for data in texts]
+        order = np.argsort(sizes, axis=1, kind="stable")[:, :2].tolist()
+        margins = [float((own[o[1]] - own[o[0]]) / own[o[1]]) if len(o) > 1 else 1.0 for own, o in zip(sizes, order, strict=True)]
+        return [(names[o[0]], margin) for o, margin in zip(order, margins, strict=True)]
+
+    def classify(texts: Sequence[str | None]) -> list[tuple[str, float, float, bool]]:
+        data = [normalise(text) for text in texts]
+        known = [k for k, d in enumerate(data) if d and names]
+        found = dict(zip(known, ranked([data[k] for k in known], 0), strict=True)) if known else {}
+        close = [k for k in known if found[k][1] < narrow]
+        if close:
+            found |= zip(close, ranked([data[k] for k in close], 1), strict=True)
+        out = []
+        for k in range(len(data)):
+            name, margin = found.get(k, (UNKNOWN, 0.0))
+            out.append((name, 1.0 - 0.5 * math.exp(-40.0 * margin), margin, margin < reject) if k in found else (UNKNOWN, 0.0, 0.0, True))
+        return out
 
     return classify
 
@@ -168,7 +150,7 @@ def identify(
 
     def make():
         classify = classifier(shared.value, narrow, reject)
-        return lambda column: list(zip(*map(classify, column.to_pylist()), strict=True))
+        return lambda column: list(zip(*classify(column.to_pylist()), strict=True))
 
     return add_columns(docs, text, keep, FIELDS, make)
 
