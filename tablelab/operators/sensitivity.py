@@ -22,7 +22,7 @@ from ..functions.order import ROWS_PER_TASK, bucket_index, exact_quantiles, scor
 from ..session import checkpointed, ensure_checkpoint_dir
 from .evaluate import LABEL, PREDICTION, PROBABILITY, ROBUSTNESS, metric_columns, metrics, threshold_sweep
 from .growth import grow, planned, two_classes
-from .models import few_partitions, folds, in_parallel
+from .models import PARALLEL_FITS, few_partitions, folds, in_parallel
 from .trees import Forest, staged_scores
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -287,7 +287,7 @@ def refits(ready: DataFrame, estimator, tasks: Sequence[tuple[str, int, list[int
         held = counted[column].filter(F.col(column) == fold).select("label", "n", prediction.alias("prediction"))
         return metrics(held, n="n").first().asDict()
 
-    return in_parallel(run, list(zip(tasks, forests, strict=True)), ready, parallelism)
+    return in_parallel(run, list(zip(tasks, forests, strict=True)), ready, parallelism or (PARALLEL_FITS[0] if together else None))
 
 
 def cv_summary(per_run: DataFrame) -> DataFrame:

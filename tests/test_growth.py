@@ -33,6 +33,41 @@ def jobs(spark, group, run):
     return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
 
 
+def test_few_cells_cost_a_fixed_number_of_jobs(spark, rows):
+    """However many rounds and levels a search has."""
+    counts = []
+    for depth, rounds in ((2, 3), (4, 12)):
+        plans = [growth.Plan(f, depth, rounds, column="_fold0") for f in range(2)]
+        counts.append(jobs(spark, f"depth{depth}", lambda plans=plans: growth.grow(rows, plans, True))[1])
+    assert counts[1] <= counts[0]  # the first caches the rows
+
+
+@pytest.mark.parametrize("boosted", [True, False])
+def test_models_grown_alone_and_spread_are_the_same(monkeypatch, rows, boosted):
+    plans = [growth.Plan(f, d, 4 if boosted else 1, least=n, column="_fold0") for f in range(2) for d, n in ((2, 1), (4, 20))]
+    alone, _ = growth.grow(rows, plans, boosted)
+    monkeypatch.setattr(growth, "ALONE", 0)
+    spread, _ = growth.grow(rows, plans, boosted)
+    for a, b in zip(alone, spread, strict=True):
+        assert (a.feature == b.feature).all() and (a.threshold == b.threshold).all() and (a.left == b.left).all()
+        np.testing.assert_allclose(a.prediction, b.prediction, atol=1e-12)
+
+
+def test_kept_model_equals_the_fit_on_all_rows(spark, rows):
+    estimator = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", **BOOSTED)
+    ready = rows.withColumn("fold", F.col("_fold0")).withColumn("weight", F.when(F.col("label") == 1, 2.5).otherwise(1.0))
+    got, want = mo.fitted(ready, estimator, {estimator.maxIter: 5}), estimator.fit(ready, {estimator.maxIter: 5})
+    assert not isinstance(got, type(want))
+    np.testing.assert_allclose(got.featureImportances.toArray(), want.featureImportances.toArray(), atol=1e-9)
+    read = lambda m: [(r[0].toArray().tolist(), r[1].toArray().tolist(), r[2]) for r in m.transform(rows).select("rawPrediction", "probability", "prediction").collect()]
+    for a, b in zip(read(got), read(want), strict=True):
+        assert a[0] == pytest.approx(b[0]) and a[1] == pytest.approx(b[1]) and a[2] == b[2]
+    names = ["x", "z", "other"]
+    rules = [mo.rule_table(spark, mo.Trained("y", names, None, m, {}, {}, {}, names)).orderBy("tree", "node").collect() for m in (got, want)]
+    for a, b in zip(*rules, strict=True):
+        assert {k: pytest.approx(v) if isinstance(v, float) else v for k, v in a.asDict().items()} == b.asDict()
+
+
 def test_jobs_follow_levels_and_not_models(spark, rows):
     few = [growth.Plan(f, 2, 3, column="_fold0") for f in range(2)]
     many = [growth.Plan(f, 2, 3, step=s, column="_fold0") for f in range(2) for s in (0.1, 0.2, 0.3, 0.4)]
