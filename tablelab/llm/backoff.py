@@ -42,6 +42,8 @@ ORDER = 5
 HEAVY = 2000
 #: Bytes of a part's n-grams. Its counts and open contexts have three times as much, which a task holds beside them.
 PART_BYTES = 8 << 20
+#: Words of a part that are counted at once, about; sorting them takes about 150 bytes for each.
+SHARE_WORDS = 150_000
 #: Of a word of an entry.
 ENTRY_BYTES = 5
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -253,14 +255,12 @@ def _explode(docs: DataFrame, heavy, parts: int, order: int, rule: _Rule) -> Dat
 def _scorer(heavy, parts: int, order: int, rule: _Rule):
     """Function from all n-grams of a part to sums (kind 0), open contexts (kind 1) and n-gram counts (kind 2)."""
 
-    def score(table: pa.Table) -> pa.Table:
-        hot = heavy.value
-        part = table.column("part")[0].as_py()
-        history = list(np.concatenate([_histories(x.as_buffer(), hot["words"], order) for x in table.column("b")], axis=1))
-        numbers = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("a")]
-        ids = np.repeat(np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("ids")]), np.concatenate(numbers))
-        depth, counts, _, orders = _hot_depth(hot, history)
-        rows = []
+    def counted(ids: np.ndarray, history: list[np.ndarray], depth: np.ndarray, counts: np.ndarray, orders: np.ndarray):
+        """Words' ids and logarithms, n-grams that can be contexts with their counts, and (part, id, context) of open ones.
+
+        No other words have an n-gram of these that is not hot.
+        """
+        often_keys, often_counts = [], []
         at, key = np.arange(len(ids)), history[0]
         for k in range(order):
             if k:  # an n-gram is no more frequent than its end
@@ -272,28 +272,54 @@ def _scorer(heavy, parts: int, order: int, rule: _Rule):
             counts[k, at[fresh]] = number[inverse]
             often = rule.hits(number)
             if k < order - 1 and often.any():  # contexts of n-grams that score are as frequent
-                rows.append((2, part, value[often], number[often].astype(np.int64), value[:0]))
+                often_keys.append(value[often])
+                often_counts.append(number[often].astype(np.int64))
         longest, value = rule.score(counts, orders)
         del counts, at, key
         long = np.flatnonzero(longest > 1)
         behind = [np.where(longest[long] > k, history[k][long], np.uint64(0)) for k in range(1, order)]
-        del history
+        opened = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         if len(long):
-            depth, context, cold, orders = _hot_depth(hot, behind)
+            depth, context, cold, orders = _hot_depth(heavy.value, behind)
             known = depth == orders
             value[long[known]] -= np.log(context[longest[long[known]] - 2, np.flatnonzero(known)] - rule.own)
             key = behind[0]
             for k in range(1, order - 1):
                 key = np.where(behind[k] > 0, _longer(key, behind[k]), key)
             open_ = np.flatnonzero(~known)
-            to = _part(cold[open_], parts)
-            sorting = np.argsort(to, kind="stable")
-            open_, to = open_[sorting], to[sorting]
-            cuts = np.searchsorted(to, np.arange(parts + 1))
-            for p in np.flatnonzero(np.diff(cuts)):
-                own = open_[cuts[p] : cuts[p + 1]]
-                rows.append((1, int(p), ids[long[own]], key[own], key[:0]))
-        rows.append((0, part, *_sums(ids, value)))
+            opened = _part(cold[open_], parts), ids[long[open_]], key[open_]
+        return (ids, value), (often_keys, often_counts), opened
+
+    def score(table: pa.Table) -> pa.Table:
+        hot = heavy.value
+        part = table.column("part")[0].as_py()
+        history = list(np.concatenate([_histories(x.as_buffer(), hot["words"], order) for x in table.column("b")], axis=1))
+        numbers = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("a")]
+        ids = np.repeat(np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("ids")]), np.concatenate(numbers))
+        # Words of one cold n-gram stand in one share, so the shares are counted one after another.
+        shares = max(1, math.ceil(len(ids) / SHARE_WORDS))
+        share = np.empty(len(ids), np.int32)
+        for i in range(0, len(ids), SHARE_WORDS):
+            cold = _hot_depth(hot, [h[i : i + SHARE_WORDS] for h in history])[2]
+            share[i : i + SHARE_WORDS] = words.mix(cold) // np.uint64(parts) % np.uint64(shares)
+        rows, sums, opened = [], [], []
+        for s in range(shares):
+            own = np.flatnonzero(share == s)
+            some = [h[own] for h in history]
+            depth, counts, _, orders = _hot_depth(hot, some)
+            (found, value), often, more = counted(ids[own], some, depth, counts, orders)
+            sums.append(_sums(found, value))
+            rows += [(2, part, keys, n, keys[:0]) for keys, n in zip(*often, strict=True)]
+            opened.append(more)
+        to, of, keys = (np.concatenate(x) for x in zip(*opened, strict=True))
+        sorting = np.argsort(to, kind="stable")
+        cuts = np.searchsorted(to[sorting], np.arange(parts + 1))
+        for p in np.flatnonzero(np.diff(cuts)):
+            own = sorting[cuts[p] : cuts[p + 1]]
+            rows.append((1, int(p), of[own], keys[own], keys[:0]))
+        present, inverse = np.unique(np.concatenate([x[0] for x in sums]), return_inverse=True)
+        totals, places = (np.bincount(inverse, np.concatenate([x[i] for x in sums]), len(present)) for i in (1, 2))
+        rows.append((0, part, present, totals, places.astype(np.int32)))
         return _rows(rows)
 
     return score

@@ -276,6 +276,39 @@ def test_backoff_of_long_orders_is_brute_force(spark, monkeypatch, size, heavy,
         assert out[i]["n_words"] == n and out[i]["log_score"] == pytest.approx(s, rel=1e-9)
 
 
+@pytest.mark.parametrize("heavy", [2000, 5])
+def test_shares_of_a_part_are_brute_force(spark, monkeypatch, heavy):
+    monkeypatch.setattr(backoff, "HEAVY", heavy)
+    monkeypatch.setattr(backoff, "SHARE_WORDS", 40)
+    rng = random.Random(11)
+    texts = dict(enumerate(" ".join(rng.choice(["the", "of"] + [f"w{k}" for k in range(40)]) for _ in range(30)) for _ in range(40)))
+    for order, least, own in ((2, 2, 0), (4, 1, 1)):
+        found = backoff.report(docs(spark, list(texts.values())), order=order, least=least, leave_out=bool(own)).collect()
+        out = {r["doc_id"]: r["log_score"] for r in found}
+        for i, (_, s) in brute_orders(texts, order, least, own).items():
+            assert out[i] == pytest.approx(s, rel=1e-9)
+
+
+def test_memory_of_a_part(spark):
+    """A part of 800,000 words is not sorted in memory at once."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    rng = random.Random(12)
+    text = pa.array([" ".join(f"w{rng.randrange(100_000)}" for _ in range(20_000)) for _ in range(40)])
+    table, codes, offsets = backoff._ngrams(text, 2)
+    none = np.zeros(0, np.uint64)
+    heavy = SimpleNamespace(value={"words": none, "keys": none, "counts": np.zeros(0)})
+    packed = backoff._packed(table, np.zeros(len(table), np.int64), 0, codes)
+    part = backoff._rows([(3, 0, np.arange(40), np.diff(offsets).astype("<u4"), packed)])
+    score = backoff._scorer(heavy, 1, 2, backoff._Rule(800_000, backoff.ALPHA, 2, False))
+    tracemalloc.start()
+    out = score(part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows and peak < 90 * 800_000, peak
+
+
 def test_pairs_of_a_small_corpus_need_two_places(spark):
     rng = random.Random(10)
     texts = dict(enumerate(" ".join(rng.choice([f"w{k}" for k in range(30)]) for _ in range(20)) for _ in range(15)))
