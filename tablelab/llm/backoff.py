@@ -46,6 +46,12 @@ PART_BYTES = 8 << 20
 SHARE_WORDS = 150_000
 #: Of a word of an entry.
 ENTRY_BYTES = 5
+#: Frequent words that travel as short codes instead of hashes, at most; they come from the first slice of each task.
+CODED = 30_000
+#: Bytes of text whose words are hashed at once.
+HASH_BYTES = 1 << 18
+#: Entries of a row that a part makes, at most, so that rows stay small where they are written and read.
+ROW_ENTRIES = 1 << 15
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _NULL_ID = -(1 << 63)
 
@@ -55,7 +61,10 @@ def _ngrams(column: pa.Array, order: int):
 
     ``codes[k]`` has the word k places before each word, 0 before a text's start.
     """
-    hashes, _, _, offsets = words.word_hashes(*words.utf8(column))
+    pieces = [words.word_hashes(*words.utf8(column.slice(i, j - i))) for i, j in words.steps(column, HASH_BYTES)]
+    hashes = np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in pieces)])
+    offsets = np.cumsum(np.concatenate([np.zeros(1, np.int64), *(np.diff(p[3]) for p in pieces)]))
+    del pieces
     found, inverse = np.unique(np.maximum(hashes, np.uint64(1)), return_inverse=True)
     place = np.arange(len(hashes)) - np.repeat(offsets[:-1], np.diff(offsets))
     codes = np.zeros((order, len(hashes)), np.int32)
@@ -78,14 +87,17 @@ def _slices(batches: Iterator[pa.RecordBatch]):
 
 
 def _heavy_counts(docs: DataFrame, order: int) -> tuple[int, dict[str, np.ndarray]]:
-    """Number of words, and the keys of the hot n-grams of all orders (``words``: of one word) with their exact counts."""
+    """Number of words, and the keys of the hot n-grams of all orders with their exact counts.
+
+    ``words`` are those that travel as codes: the hot ones, and others that are frequent in a sample.
+    """
 
     def rows(kinds, keys, counts):
         columns = [pa.array(np.concatenate(x)) for x in (kinds, keys, counts)]
         return pa.RecordBatch.from_arrays(columns, ["kind", "ngram", "n"])
 
     def candidates(batches):
-        for _, column in _slices(batches):
+        for number, (_, column) in enumerate(_slices(batches)):
             table, codes, _ = _ngrams(column, order)
             n = codes.shape[1]
             kinds, found, counts = [np.array([-1], np.int32)], [np.zeros(1, np.int64)], [np.array([n], np.int64)]
@@ -95,6 +107,10 @@ def _heavy_counts(docs: DataFrame, order: int) -> tuple[int, dict[str, np.ndarra
                     at, key = at[codes[k, at] > 0], key[codes[k, at] > 0]
                     key = _longer(key, table[codes[k, at]])
                 value, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+                if not k and not number:
+                    kinds.append(np.full(int((count > 1).sum()), -2, np.int32))
+                    found.append(value[count > 1].view(np.int64))
+                    counts.append(count[count > 1].astype(np.int64))
                 often = count * 2 * HEAVY >= n
                 kinds.append(np.full(int(often.sum()), k, np.int32))
                 found.append(value[often].view(np.int64))
@@ -108,7 +124,8 @@ def _heavy_counts(docs: DataFrame, order: int) -> tuple[int, dict[str, np.ndarra
     # What is hot overall is found in each slice where it is half as hot, so its sum is at least half its count.
     often = sums.filter((F.col("kind") >= 0) & (F.col("n") * 2 * HEAVY >= total)).collect()  # at most 2 * HEAVY of each kind
     array = lambda rows: np.sort(np.array([r["ngram"] for r in rows], np.int64).view(np.uint64))
-    hot, hot_words = array(often), array([r for r in often if r["kind"] == 0])
+    coded = sums.filter("kind = -2").orderBy(F.desc("n"), "ngram").limit(CODED).collect()
+    hot, codes = array(often), np.union1d(array(coded), array([r for r in often if r["kind"] == 0]))
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def exact(batches):
@@ -131,7 +148,7 @@ def _heavy_counts(docs: DataFrame, order: int) -> tuple[int, dict[str, np.ndarra
     if found:
         keys, n = np.array([r["ngram"] for r in found], np.int64).view(np.uint64), [r["n"] for r in found]
         counts[np.searchsorted(hot, keys)] = n
-    return total, {"words": hot_words, "keys": hot, "counts": counts}
+    return total, {"words": codes, "keys": hot, "counts": counts}
 
 
 def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,9 +167,45 @@ _SCHEMA = "kind int, part int, ids binary, a binary, b binary"
 _NAMES = ["kind", "part", "ids", "a", "b"]
 
 
+def _bytes(values: np.ndarray) -> bytes:
+    """Bytes of a column. Ids and numbers are steps (where they rise) or offsets from the least, as short as they can be."""
+    if values.dtype.kind == "f" or values.dtype.itemsize == 1 or values.dtype == np.uint64 or not len(values):
+        return values.tobytes()
+    values = values.astype(np.int64)
+    rising = bool((values[1:] >= values[:-1]).all())
+    low = values[:1] if rising else values.min(keepdims=True)
+    rest = values.view(np.uint64) - low.view(np.uint64)  # modulo 2 ** 64, as the range may be
+    if rising:
+        rest[1:] -= rest[:-1].copy()
+    width = next(w for w in (1, 2, 4, 8) if int(rest.max()) < 1 << 8 * w)
+    return bytes([width + 16 * rising]) + low.tobytes() + rest.astype(f"<u{width}").tobytes()
+
+
+def _numbers(raw: pa.Scalar) -> np.ndarray:
+    """Ids and numbers of a row, from ``_bytes``."""
+    raw = raw.as_buffer()
+    if not len(raw):
+        return np.zeros(0, np.int64)
+    head = int(np.frombuffer(raw, np.uint8, 1)[0])
+    rest = np.frombuffer(raw, f"<u{head % 16}", -1, 9).astype(np.uint64)
+    if head > 16:
+        rest = np.cumsum(rest, dtype=np.uint64)
+    return (rest + np.frombuffer(raw, np.uint64, 1, 1)).view(np.int64)
+
+
+def _keys(raw: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(raw.as_buffer(), np.uint64)
+
+
+def _cut(kind: int, part: int, *columns: np.ndarray):
+    """Rows of at most ``ROW_ENTRIES`` entries."""
+    for i in range(0, len(columns[0]), ROW_ENTRIES):
+        yield kind, part, *(c[i : i + ROW_ENTRIES] for c in columns)
+
+
 def _rows(rows: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
     kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    columns = list(zip(*[(k, p, *(x.tobytes() for x in rest)) for k, p, *rest in rows], strict=True)) if rows else [[]] * 5
+    columns = list(zip(*[(k, p, *(_bytes(x) for x in rest)) for k, p, *rest in rows], strict=True)) if rows else [[]] * 5
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], _NAMES)
 
 
@@ -181,19 +234,19 @@ def _hot_depth(hot, history: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray,
     return depth, counts, cold, orders
 
 
-def _packed(table: np.ndarray, hot_code: np.ndarray, n_hot: int, codes: np.ndarray) -> np.ndarray:
-    """Bytes of word histories: the number of words that are not hot, their hashes, and a code for each place."""
+def _packed(table: np.ndarray, word_code: np.ndarray, n_coded: int, codes: np.ndarray) -> np.ndarray:
+    """Bytes of word histories: the number of words without a code of all tasks, their hashes, and a code for each place."""
     used, inverse = np.unique(codes, return_inverse=True)
-    code, own = hot_code[used], (used > 0) & (hot_code[used] == 0)
-    code[own] = n_hot + 1 + np.arange(int(own.sum()))
-    places = code[inverse.ravel()].astype("<u2" if n_hot + own.sum() < 65535 else "<u4")
+    code, own = word_code[used], (used > 0) & (word_code[used] == 0)
+    code[own] = n_coded + 1 + np.arange(int(own.sum()))
+    places = code[inverse.ravel()].astype("<u2" if n_coded + own.sum() < 65535 else "<u4")
     return np.concatenate([np.array([own.sum()], "<u4").view(np.uint8), table[used[own]].view(np.uint8), places.view(np.uint8)])
 
 
-def _histories(raw: bytes, hot_words: np.ndarray, order: int) -> np.ndarray:
+def _histories(raw: pa.Buffer, coded: np.ndarray, order: int) -> np.ndarray:
     own = int(np.frombuffer(raw, "<u4", 1)[0])
-    table = np.concatenate([np.zeros(1, np.uint64), hot_words, np.frombuffer(raw, np.uint64, own, 4)])
-    codes = np.frombuffer(raw, "<u2" if len(hot_words) + own < 65535 else "<u4", -1, 4 + 8 * own)
+    table = np.concatenate([np.zeros(1, np.uint64), coded, np.frombuffer(raw, np.uint64, own, 4)])
+    codes = np.frombuffer(raw, "<u2" if len(coded) + own < 65535 else "<u4", -1, 4 + 8 * own)
     return table[codes].reshape(order, -1)
 
 
@@ -238,7 +291,7 @@ def _explode(docs: DataFrame, heavy, parts: int, order: int, rule: _Rule) -> Dat
                 value[long] -= np.log(context[longest[long] - 2, np.arange(len(own))] - rule.own)
                 rows.append((0, -1, *_sums(ids[doc[known]], value)))
             at, found = _find(hot["words"], table)
-            hot_code = np.where(found, at + 1, 0)
+            word_code = np.where(found, at + 1, 0)
             part = _part(cold, parts)
             rest = np.flatnonzero(~known)
             rest = rest[np.argsort(part[rest], kind="stable")]
@@ -246,7 +299,7 @@ def _explode(docs: DataFrame, heavy, parts: int, order: int, rule: _Rule) -> Dat
             for p in np.flatnonzero(np.diff(cuts)):
                 own = rest[cuts[p] : cuts[p + 1]]
                 present, numbers = np.unique(doc[own], return_counts=True)
-                rows.append((3, int(p), ids[present], numbers.astype("<u4"), _packed(table, hot_code, len(hot["words"]), codes[:, own])))
+                rows.append((3, int(p), ids[present], numbers.astype("<u4"), _packed(table, word_code, len(hot["words"]), codes[:, own])))
             yield from _rows(rows).to_batches()
 
     return docs.mapInArrow(run, _SCHEMA)
@@ -293,9 +346,13 @@ def _scorer(heavy, parts: int, order: int, rule: _Rule):
     def score(table: pa.Table) -> pa.Table:
         hot = heavy.value
         part = table.column("part")[0].as_py()
-        history = list(np.concatenate([_histories(x.as_buffer(), hot["words"], order) for x in table.column("b")], axis=1))
-        numbers = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("a")]
-        ids = np.repeat(np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("ids")]), np.concatenate(numbers))
+        numbers = [_numbers(x) for x in table.column("a")]
+        cuts = np.cumsum([0, *(int(x.sum()) for x in numbers)])
+        ids, history = np.empty(cuts[-1], np.int64), np.empty((order, cuts[-1]), np.uint64)
+        for i, j, number, of, raw in zip(cuts, cuts[1:], numbers, table.column("ids"), table.column("b"), strict=False):
+            ids[i:j] = np.repeat(_numbers(of), number)
+            history[:, i:j] = _histories(raw.as_buffer(), hot["words"], order)
+        del numbers
         # Words of one cold n-gram stand in one share, so the shares are counted one after another.
         shares = max(1, math.ceil(len(ids) / SHARE_WORDS))
         share = np.empty(len(ids), np.int32)
@@ -309,17 +366,18 @@ def _scorer(heavy, parts: int, order: int, rule: _Rule):
             depth, counts, _, orders = _hot_depth(hot, some)
             (found, value), often, more = counted(ids[own], some, depth, counts, orders)
             sums.append(_sums(found, value))
-            rows += [(2, part, keys, n, keys[:0]) for keys, n in zip(*often, strict=True)]
+            for keys, n in zip(*often, strict=True):
+                rows += _cut(2, part, keys, n, keys[:0])
             opened.append(more)
         to, of, keys = (np.concatenate(x) for x in zip(*opened, strict=True))
         sorting = np.argsort(to, kind="stable")
         cuts = np.searchsorted(to[sorting], np.arange(parts + 1))
         for p in np.flatnonzero(np.diff(cuts)):
             own = sorting[cuts[p] : cuts[p + 1]]
-            rows.append((1, int(p), of[own], keys[own], keys[:0]))
+            rows += _cut(1, int(p), of[own], keys[own], keys[:0])
         present, inverse = np.unique(np.concatenate([x[0] for x in sums]), return_inverse=True)
         totals, places = (np.bincount(inverse, np.concatenate([x[i] for x in sums]), len(present)) for i in (1, 2))
-        rows.append((0, part, present, totals, places.astype(np.int32)))
+        rows += _cut(0, part, present, totals, places.astype(np.int32))
         return _rows(rows)
 
     return score
@@ -331,12 +389,12 @@ def _closer(own: int):
     def contexts(opened: pa.Table, counted: pa.Table) -> pa.Table:
         if not opened.num_rows:
             return _rows([])
-        join = lambda t, c, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t.column(c)] or [np.zeros(0, kind)])
-        keys, counts = join(counted, "ids", np.uint64), join(counted, "a", np.int64)
+        join = lambda column, read: np.concatenate([read(x) for x in column] or [np.zeros(0, np.uint64)])
+        keys, counts = join(counted.column("ids"), _keys), join(counted.column("a"), _numbers)
         order = np.argsort(keys)
-        at, _ = _find(keys[order], join(opened, "a", np.uint64))
-        ids, sums, _ = _sums(join(opened, "ids", np.int64), -np.log(counts[order][at] - own))
-        return _rows([(0, -1, ids, sums, np.zeros(len(ids), np.int32))])
+        at, _ = _find(keys[order], join(opened.column("a"), _keys))
+        ids, sums, _ = _sums(join(opened.column("ids"), _numbers), -np.log(counts[order][at] - own))
+        return _rows(list(_cut(0, -1, ids, sums, np.zeros(len(ids), np.int32))))
 
     return contexts
 
@@ -345,7 +403,7 @@ def _unpacked(sums: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for ids, a, b in zip(batch.column("ids"), batch.column("a"), batch.column("b"), strict=True):
-                columns = [np.frombuffer(x.as_buffer(), k) for x, k in ((ids, np.int64), (a, np.float64), (b, np.int32))]
+                columns = _numbers(ids), np.frombuffer(a.as_buffer(), np.float64), _numbers(b).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "value", "n"])
 
     return sums.select("ids", "a", "b").mapInArrow(run, "id long, value double, n int")
@@ -365,9 +423,13 @@ def scores(
     # Sums of hot n-grams leave with part -1 beside the others, so one pass over the texts makes both.
     scorer = _scorer(shared, parts, order, rule)
 
-    def by_part(table: pa.Table) -> pa.Table:
-        # They come in groups of their own, a few to each.
-        return table if table.column("kind")[0].as_py() == 0 else scorer(table)
+    def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches)
+        if first.column("kind")[0].as_py() == 0:  # they come in groups of their own, a few to each
+            yield first
+            yield from batches
+        else:
+            yield from scorer(pa.Table.from_batches([first, *batches])).to_batches(max_chunksize=1)
 
     spread = F.when(F.col("kind") == 0, -1 - F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int")).otherwise(F.col("part"))
     made = stored(exploded.withColumn("part", spread).groupBy("part").applyInArrow(by_part, _SCHEMA), "scored")

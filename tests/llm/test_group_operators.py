@@ -309,6 +309,34 @@ def test_memory_of_a_part(spark):
     assert out.num_rows and peak < 90 * 800_000, peak
 
 
+def test_columns_of_a_part_are_short(spark):
+    """Ids and numbers come back as they were, near ones in a byte or two each."""
+    least, most = -(1 << 63), (1 << 63) - 1
+    rng = np.random.default_rng(13)
+    for values in ([], [7], [least, most], [most, least, 0, -1], [5, 5, 5], range(40), rng.integers(least, most, 50), np.sort(rng.integers(0, 10**6, 5000))):
+        for kind in (np.int64, np.int32, np.uint32):
+            column = np.array(list(values), np.int64).astype(kind)
+            raw = backoff._bytes(column)
+            assert (backoff._numbers(pa.scalar(raw)) == column).all()
+    assert len(raw) < 2.1 * 5000 + 9
+
+
+def test_rows_of_a_part_are_small(spark):
+    """Frequent words travel as codes, and what a part makes leaves in rows of at most 512 KB."""
+    rng = random.Random(14)
+    texts = [" ".join(f"w{int(3000 * rng.random() ** 2)}" for _ in range(60)) for _ in range(4000)]
+    df = docs(spark, texts).select(F.col("doc_id").alias("id"), "text").repartition(2)
+    total, heavy = backoff._heavy_counts(df, 2)
+    shared, rule = spark.sparkContext.broadcast(heavy), backoff._Rule(240_000, backoff.ALPHA, 2, False)
+    assert total == 240_000 and len(heavy["keys"]) <= 2 * 2 * backoff.HEAVY and len(heavy["words"]) <= backoff.CODED + 2 * backoff.HEAVY
+    made = backoff._explode(df, shared, 20, 2, rule).filter("kind = 3").toArrow()
+    size = sum(pa.compute.sum(pa.compute.binary_length(made.column(c))).as_py() for c in ("ids", "a", "b"))
+    assert size < 10 * 240_000, size
+    part = backoff._rows([(0, 0, *[np.zeros(0)] * 3)]).slice(0, 0)
+    out = backoff._scorer(shared, 20, 2, rule)(pa.concat_tables([part, made]))
+    assert max(len(x[c].as_buffer()) for x in out.to_struct_array() for c in ("ids", "a", "b")) <= 1 << 19
+
+
 def test_pairs_of_a_small_corpus_need_two_places(spark):
     rng = random.Random(10)
     texts = dict(enumerate(" ".join(rng.choice([f"w{k}" for k in range(30)]) for _ in range(20)) for _ in range(15)))
