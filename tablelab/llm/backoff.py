@@ -11,7 +11,7 @@ The defaults (order 2, pairs from twice on, own places counted) are those of ``o
 
 Words with their histories are dealt out by the hash of the word, so a part holds the counts of all n-grams that end
 in its words, and joins its own n-grams to them, order by order. Counts of contexts stand in other parts: hits are
-joined to them in a second step. Sums by document meet in the end.
+joined to them in a second step. Sums by document meet in the end, in blocks of documents.
 
 Hot n-grams (a share of 1/``HEAVY`` or more of the words, so at most ``2 * HEAVY`` of each order) are counted beforehand
 and sent to all tasks. A word is dealt out by the shortest n-gram before it that is not hot; if all are, it is
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .arrow import small_batches, stored
+from .arrow import give_back, small_batches, stored
 
 ALPHA = 0.4
 LEAST = 2
@@ -50,6 +51,8 @@ ENTRY_BYTES = 5
 CODED = 30_000
 #: Bytes of text whose words are hashed at once.
 HASH_BYTES = 1 << 18
+#: Words of the documents whose sums are added up together, about.
+BLOCK_WORDS = 2_000_000
 #: Entries of a row that a part makes, at most, so that rows stay small where they are written and read.
 ROW_ENTRIES = 1 << 15
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -89,7 +92,7 @@ def _slices(batches: Iterator[pa.RecordBatch]):
 def _heavy_counts(docs: DataFrame, order: int) -> tuple[int, dict[str, np.ndarray]]:
     """Number of words, and the keys of the hot n-grams of all orders with their exact counts.
 
-    ``words`` are those that travel as codes: the hot ones, and others that are frequent in a sample.
+    ``words`` are those that travel as codes, the most frequent first: hot ones, and others that are frequent in a sample.
     """
 
     def rows(kinds, keys, counts):
@@ -117,15 +120,17 @@ def _heavy_counts(docs: DataFrame, order: int) -> tuple[int, dict[str, np.ndarra
                 counts.append(count[often].astype(np.int64))
                 at, key = at[often[inverse]], key[often[inverse]]
             yield rows(kinds, found, counts)
+        give_back()
 
     sums = stored(docs.mapInArrow(candidates, "kind int, ngram long, n long").groupBy("kind", "ngram").agg(F.sum("n").alias("n")), "candidates")
     total = sums.filter("kind = -1").head()
     total = total["n"] if total else 0
     # What is hot overall is found in each slice where it is half as hot, so its sum is at least half its count.
     often = sums.filter((F.col("kind") >= 0) & (F.col("n") * 2 * HEAVY >= total)).collect()  # at most 2 * HEAVY of each kind
-    array = lambda rows: np.sort(np.array([r["ngram"] for r in rows], np.int64).view(np.uint64))
+    array = lambda rows: np.array([r["ngram"] for r in rows], np.int64).view(np.uint64)
     coded = sums.filter("kind = -2").orderBy(F.desc("n"), "ngram").limit(CODED).collect()
-    hot, codes = array(often), np.union1d(array(coded), array([r for r in often if r["kind"] == 0]))
+    hot, coded = np.sort(array(often)), array(coded)
+    codes = np.concatenate([coded, np.setdiff1d(array([r for r in often if r["kind"] == 0]), coded)])
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def exact(batches):
@@ -142,6 +147,7 @@ def _heavy_counts(docs: DataFrame, order: int) -> tuple[int, dict[str, np.ndarra
                 at, key = at[known], key[known]
             seen = np.flatnonzero(count)
             yield rows([np.zeros(len(seen), np.int32)], [shared.value[seen].view(np.int64)], [count[seen]])
+        give_back()
 
     found = docs.mapInArrow(exact, "kind int, ngram long, n long").groupBy("ngram").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(len(hot))
@@ -168,23 +174,34 @@ _NAMES = ["kind", "part", "ids", "a", "b"]
 
 
 def _bytes(values: np.ndarray) -> bytes:
-    """Bytes of a column. Ids and numbers are steps (where they rise) or offsets from the least, as short as they can be."""
-    if values.dtype.kind == "f" or values.dtype.itemsize == 1 or values.dtype == np.uint64 or not len(values):
-        return values.tobytes()
-    values = values.astype(np.int64)
-    rising = bool((values[1:] >= values[:-1]).all())
-    low = values[:1] if rising else values.min(keepdims=True)
-    rest = values.view(np.uint64) - low.view(np.uint64)  # modulo 2 ** 64, as the range may be
-    if rising:
-        rest[1:] -= rest[:-1].copy()
-    width = next(w for w in (1, 2, 4, 8) if int(rest.max()) < 1 << 8 * w)
-    return bytes([width + 16 * rising]) + low.tobytes() + rest.astype(f"<u{width}").tobytes()
-
-
-def _numbers(raw: pa.Scalar) -> np.ndarray:
+    """Bytes of a column. Ids and numbers are steps (where they rise) or offsets from the least, as short as they can be.
+
+    The length before compression stands in front, 0 if there is none.
+    """
+    raw = values.tobytes()
+    if values.dtype.kind == "i" or values.dtype == np.uint32:
+        values = values.astype(np.int64)
+        rising = bool((values[1:] >= values[:-1]).all())
+        low = values[:1] if rising else values.min(keepdims=True)
+        rest = values.view(np.uint64) - (low.view(np.uint64) if len(low) else np.uint64(0))  # modulo 2 ** 64, as the range may be
+        if rising:
+            rest[1:] -= rest[:-1].copy()
+        width = next(w for w in (1, 2, 4, 8) if int(rest.max(initial=0)) < 1 << 8 * w)
+        raw = bytes([width + 16 * rising]) + low.tobytes() + rest.astype(f"<u{width}").tobytes() if len(values) else b""
+    short = pa.compress(raw, codec="zstd", asbytes=True) if len(raw) > 64 else raw
+    return len(raw).to_bytes(4, "little") + short if len(short) < len(raw) else bytes(4) + raw
+
+
+def _raw(packed: pa.Scalar) -> pa.Buffer:
+    packed = packed.as_buffer()
+    size = int(np.frombuffer(packed, "<u4", 1)[0])
+    return pa.decompress(packed.slice(4), size, codec="zstd") if size else packed.slice(4)
+
+
+def _numbers(packed: pa.Scalar) -> np.ndarray:
     """Ids and numbers of a row, from ``_bytes``."""
-    raw = raw.as_buffer()
-    if not len(raw):
+    raw = _raw(packed)
+    if not raw.size:
         return np.zeros(0, np.int64)
     head = int(np.frombuffer(raw, np.uint8, 1)[0])
     rest = np.frombuffer(raw, f"<u{head % 16}", -1, 9).astype(np.uint64)
@@ -193,8 +210,8 @@ def _numbers(raw: pa.Scalar) -> np.ndarray:
     return (rest + np.frombuffer(raw, np.uint64, 1, 1)).view(np.int64)
 
 
-def _keys(raw: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(raw.as_buffer(), np.uint64)
+def _keys(packed: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(_raw(packed), np.uint64)
 
 
 def _cut(kind: int, part: int, *columns: np.ndarray):
@@ -240,13 +257,16 @@ def _packed(table: np.ndarray, word_code: np.ndarray, n_coded: int, codes: np.nd
     code, own = word_code[used], (used > 0) & (word_code[used] == 0)
     code[own] = n_coded + 1 + np.arange(int(own.sum()))
     places = code[inverse.ravel()].astype("<u2" if n_coded + own.sum() < 65535 else "<u4")
-    return np.concatenate([np.array([own.sum()], "<u4").view(np.uint8), table[used[own]].view(np.uint8), places.view(np.uint8)])
+    # High bytes stand together, as most of them are small.
+    places = places.view(np.uint8).reshape(-1, places.itemsize).T.ravel()
+    return np.concatenate([np.array([own.sum()], "<u4").view(np.uint8), table[used[own]].view(np.uint8), places])
 
 
 def _histories(raw: pa.Buffer, coded: np.ndarray, order: int) -> np.ndarray:
     own = int(np.frombuffer(raw, "<u4", 1)[0])
     table = np.concatenate([np.zeros(1, np.uint64), coded, np.frombuffer(raw, np.uint64, own, 4)])
-    codes = np.frombuffer(raw, "<u2" if len(coded) + own < 65535 else "<u4", -1, 4 + 8 * own)
+    width = 2 if len(coded) + own < 65535 else 4
+    codes = np.ascontiguousarray(np.frombuffer(raw, np.uint8, -1, 4 + 8 * own).reshape(width, -1).T).view(f"<u{width}")
     return table[codes].reshape(order, -1)
 
 
@@ -275,6 +295,8 @@ def _explode(docs: DataFrame, heavy, parts: int, order: int, rule: _Rule) -> Dat
 
     def run(batches):
         hot = heavy.value
+        sorting = np.argsort(hot["words"])
+        coded = hot["words"][sorting]
         for ids, column in _slices(batches):
             table, codes, offsets = _ngrams(column, order)
             ids = ids.fill_null(_NULL_ID).to_numpy()
@@ -290,8 +312,9 @@ def _explode(docs: DataFrame, heavy, parts: int, order: int, rule: _Rule) -> Dat
                 _, context, _, _ = _hot_depth(hot, [table[c] for c in codes[1:, own]]) if len(own) else (0, np.ones((1, 0)), 0, 0)
                 value[long] -= np.log(context[longest[long] - 2, np.arange(len(own))] - rule.own)
                 rows.append((0, -1, *_sums(ids[doc[known]], value)))
-            at, found = _find(hot["words"], table)
-            word_code = np.where(found, at + 1, 0)
+            at, found = _find(coded, table)
+            word_code = np.zeros(len(table), np.int64)
+            word_code[found] = sorting[at[found]] + 1
             part = _part(cold, parts)
             rest = np.flatnonzero(~known)
             rest = rest[np.argsort(part[rest], kind="stable")]
@@ -301,11 +324,41 @@ def _explode(docs: DataFrame, heavy, parts: int, order: int, rule: _Rule) -> Dat
                 present, numbers = np.unique(doc[own], return_counts=True)
                 rows.append((3, int(p), ids[present], numbers.astype("<u4"), _packed(table, word_code, len(hot["words"]), codes[:, own])))
             yield from _rows(rows).to_batches()
+        give_back()
 
     return docs.mapInArrow(run, _SCHEMA)
 
 
-def _scorer(heavy, parts: int, order: int, rule: _Rule):
+def _sum_rows(ids: np.ndarray, sums: np.ndarray, places: np.ndarray, blocks: int):
+    """Sums (kind 0) by blocks of documents, which stand in place of the part."""
+    block = _part(ids.view(np.uint64), blocks)
+    sorting = np.argsort(block, kind="stable")
+    cuts = np.searchsorted(block[sorting], np.arange(blocks + 1))
+    for b in np.flatnonzero(np.diff(cuts)):
+        own = sorting[cuts[b] : cuts[b + 1]]
+        yield from _cut(0, int(b), ids[own], sums[own], places[own].astype(np.int32))
+
+
+def _added(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids of several sums, with the sum of their values and of their numbers."""
+    ids, values, numbers = (np.concatenate(x) for x in zip(*held, strict=True))
+    found, inverse = np.unique(ids, return_inverse=True)
+    return found, np.bincount(inverse, values, len(found)), np.bincount(inverse, numbers, len(found)).astype(np.int64)
+
+
+def _sum_up(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums and numbers by id of rows of kind 0, of which only some are held at once."""
+    held, size, most = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))], 0, 8 * ROW_ENTRIES
+    for batch in batches:
+        for ids, values, numbers in zip(batch.column("ids"), batch.column("a"), batch.column("b"), strict=True):
+            held.append((_numbers(ids), np.frombuffer(_raw(values), np.float64), _numbers(numbers)))
+            size += len(held[-1][0])
+            if size > max(most, 2 * len(held[0][0])):
+                held, size = [_added(held)], 0
+    return _added(held)
+
+
+def _scorer(heavy, parts: int, order: int, rule: _Rule, blocks: int = 1):
     """Function from all n-grams of a part to sums (kind 0), open contexts (kind 1) and n-gram counts (kind 2)."""
 
     def counted(ids: np.ndarray, history: list[np.ndarray], depth: np.ndarray, counts: np.ndarray, orders: np.ndarray):
@@ -351,7 +404,7 @@ def _scorer(heavy, parts: int, order: int, rule: _Rule):
         ids, history = np.empty(cuts[-1], np.int64), np.empty((order, cuts[-1]), np.uint64)
         for i, j, number, of, raw in zip(cuts, cuts[1:], numbers, table.column("ids"), table.column("b"), strict=False):
             ids[i:j] = np.repeat(_numbers(of), number)
-            history[:, i:j] = _histories(raw.as_buffer(), hot["words"], order)
+            history[:, i:j] = _histories(_raw(raw), hot["words"], order)
         del numbers
         # Words of one cold n-gram stand in one share, so the shares are counted one after another.
         shares = max(1, math.ceil(len(ids) / SHARE_WORDS))
@@ -375,15 +428,13 @@ def _scorer(heavy, parts: int, order: int, rule: _Rule):
         for p in np.flatnonzero(np.diff(cuts)):
             own = sorting[cuts[p] : cuts[p + 1]]
             rows += _cut(1, int(p), of[own], keys[own], keys[:0])
-        present, inverse = np.unique(np.concatenate([x[0] for x in sums]), return_inverse=True)
-        totals, places = (np.bincount(inverse, np.concatenate([x[i] for x in sums]), len(present)) for i in (1, 2))
-        rows += _cut(0, part, present, totals, places.astype(np.int32))
+        rows += _sum_rows(*_added(sums), blocks)
         return _rows(rows)
 
     return score
 
 
-def _closer(own: int):
+def _closer(own: int, blocks: int):
     """Function to the sums of what the contexts of hits take off, of one part."""
 
     def contexts(opened: pa.Table, counted: pa.Table) -> pa.Table:
@@ -394,19 +445,18 @@ def _closer(own: int):
         order = np.argsort(keys)
         at, _ = _find(keys[order], join(opened.column("a"), _keys))
         ids, sums, _ = _sums(join(opened.column("ids"), _numbers), -np.log(counts[order][at] - own))
-        return _rows(list(_cut(0, -1, ids, sums, np.zeros(len(ids), np.int32))))
+        made = _rows(list(_sum_rows(ids, sums, np.zeros(len(ids), np.int32), blocks)))
+        give_back()
+        return made
 
     return contexts
 
 
-def _unpacked(sums: DataFrame) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for ids, a, b in zip(batch.column("ids"), batch.column("a"), batch.column("b"), strict=True):
-                columns = _numbers(ids), np.frombuffer(a.as_buffer(), np.float64), _numbers(b).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "value", "n"])
-
-    return sums.select("ids", "a", "b").mapInArrow(run, "id long, value double, n int")
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document of a block."""
+    ids, sums, numbers = _sum_up(batches)
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, numbers, sums)], ["id", "n_words", "log_score"])
+    give_back()
 
 
 def scores(
@@ -416,29 +466,31 @@ def scores(
     """(id, n_words, log_score): words and the sum of the logarithms of their scores, of ids with words."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("text is not null")
     total, heavy = _heavy_counts(small_batches(rows), order)
-    parts = max(1, math.ceil(total * ENTRY_BYTES * order / part_bytes))
+    parts, blocks = max(1, math.ceil(total * ENTRY_BYTES * order / part_bytes)), max(1, math.ceil(total / BLOCK_WORDS))
     shared = rows.sparkSession.sparkContext.broadcast(heavy)
     rule = _Rule(total, alpha, least, leave_out)
     exploded = _explode(rows, shared, parts, order, rule)
     # Sums of hot n-grams leave with part -1 beside the others, so one pass over the texts makes both.
-    scorer = _scorer(shared, parts, order, rule)
+    scorer = _scorer(shared, parts, order, rule, blocks)
 
     def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next(batches)
         if first.column("kind")[0].as_py() == 0:  # they come in groups of their own, a few to each
-            yield first
-            yield from batches
+            made = _rows(list(_sum_rows(*_sum_up(chain([first], batches)), blocks)))
         else:
-            yield from scorer(pa.Table.from_batches([first, *batches])).to_batches(max_chunksize=1)
+            made = scorer(pa.Table.from_batches([first, *batches]))
+        yield from made.to_batches(max_chunksize=1)
+        del first, made
+        give_back()
 
     spread = F.when(F.col("kind") == 0, -1 - F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int")).otherwise(F.col("part"))
     made = stored(exploded.withColumn("part", spread).groupBy("part").applyInArrow(by_part, _SCHEMA), "scored")
     # Both sides come from one table, so one gets columns of its own before they meet.
     opened = made.filter("kind = 1")
     counted = made.filter("kind = 2").select(*[F.col(c).alias(c) for c in _NAMES])
-    closed = opened.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(_closer(rule.own), _SCHEMA)
-    sums = _unpacked(made.filter("kind = 0").unionByName(closed))
-    return sums.groupBy("id").agg(F.sum("n").alias("n_words"), F.sum("value").alias("log_score"))
+    closed = opened.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(_closer(rule.own, blocks), _SCHEMA)
+    sums = made.filter("kind = 0").unionByName(closed)
+    return sums.groupBy("part").applyInArrow(_summed, "id long, n_words long, log_score double")
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
