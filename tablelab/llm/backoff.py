@@ -45,8 +45,10 @@ HEAVY = 2000
 PART_BYTES = 8 << 20
 #: Words of a part that are counted at once, about; sorting them takes about 150 bytes for each.
 SHARE_WORDS = 150_000
-#: Of a word of an entry.
-ENTRY_BYTES = 5
+#: Of a word of an entry, as it travels.
+ENTRY_BYTES = 3
+#: Bytes of text whose entries are dealt out at once; the more, the fewer words stand twice in a part's rows.
+DEALT_BYTES = 2 << 20
 #: Frequent words that travel as short codes instead of hashes, at most; they come from the first slice of each task.
 CODED = 30_000
 #: Bytes of text whose words are hashed at once.
@@ -82,10 +84,10 @@ def _longer(key: np.ndarray, before: np.ndarray) -> np.ndarray:
     return words.mix(key * _GOLDEN + words.mix(before))
 
 
-def _slices(batches: Iterator[pa.RecordBatch]):
+def _slices(batches: Iterator[pa.RecordBatch], limit: int = words.STEP_BYTES):
     for batch in batches:
         column = batch.column("text")
-        for start, end in words.steps(column):
+        for start, end in words.steps(column, limit):
             yield batch.column("id").slice(start, end - start), column.slice(start, end - start)
 
 
@@ -297,7 +299,7 @@ def _explode(docs: DataFrame, heavy, parts: int, order: int, rule: _Rule) -> Dat
         hot = heavy.value
         sorting = np.argsort(hot["words"])
         coded = hot["words"][sorting]
-        for ids, column in _slices(batches):
+        for ids, column in _slices(batches, DEALT_BYTES):
             table, codes, offsets = _ngrams(column, order)
             ids = ids.fill_null(_NULL_ID).to_numpy()
             doc = np.repeat(np.arange(len(ids)), np.diff(offsets))
